@@ -82,7 +82,7 @@ def _snap(sql: str, digits: int = 6) -> str:
 
 
 def _with(body: str, base: str = PANEL) -> str:
-    return _snap("WITH " + base + body)
+    return "WITH " + base + body
 
 
 SQL: dict[str, str] = {}
@@ -388,3 +388,94 @@ SELECT split, round(avg(-(is_winner * ln(greatest(1e-12, least(1 - 1e-12, sp_win
        CAST(count(*) AS BIGINT) AS n
 FROM panel GROUP BY split
 """)
+
+
+# ------------------------------------------------------------------ text
+
+def _stop_list() -> str:
+    from paddock.functions.text import stop_words
+
+    return "[" + ", ".join(f"'{w}'" for w in stop_words()) + "]"
+
+
+def _tok(expr: str) -> str:
+    return (f"list_filter(list_transform(regexp_split_to_array(regexp_replace(lower({expr}), "
+            r"""'[,;:?!()\[\]{}"]', ' ', 'g'), '\s+'), """
+            r"""lambda x: regexp_replace(regexp_replace(x, '\.+$', ''), '(''s|''re|''ve|''ll|''d|''m|n''t)$', '')), """
+            rf"""lambda x: regexp_matches(x, '^\p{{L}}+$') AND NOT list_contains({_stop_list()}, x))""")
+
+
+TOK = f"""
+tok AS (SELECT doc_id, {_tok('text')} AS tokens FROM documents),
+bow AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(tokens) AS term FROM tok) GROUP BY doc_id, term)
+"""
+
+SQL["token_clean"] = "WITH " + TOK + """
+SELECT doc_id, CAST(len(tokens) AS BIGINT) AS n_tokens, array_to_string(tokens, ' ') AS preprocessed FROM tok
+"""
+
+SQL["bag_of_words"] = "WITH " + TOK + "SELECT doc_id, term, CAST(n AS BIGINT) AS n FROM bow"
+
+SQL["document_frequency"] = "WITH " + TOK + """
+SELECT term, CAST(count(*) AS BIGINT) AS df, CAST(sum(n) AS BIGINT) AS cf FROM bow GROUP BY term
+"""
+
+SQL["lemma_join"] = "WITH " + TOK + r""",
+v AS (SELECT DISTINCT term FROM bow),
+cand AS (
+  SELECT term AS surface, 1 AS rank, CASE WHEN term LIKE '%ies' THEN substr(term, 1, length(term) - 3) || 'y' END AS stem FROM v
+  UNION ALL
+  SELECT term, 2, CASE WHEN term LIKE '%es' THEN substr(term, 1, length(term) - 2) END FROM v
+  UNION ALL
+  SELECT term, 3, CASE WHEN term LIKE '%s' AND term NOT LIKE '%ss' THEN substr(term, 1, length(term) - 1) END FROM v),
+hits AS (SELECT c.* FROM cand c JOIN v ON v.term = c.stem WHERE c.stem IS NOT NULL AND length(c.stem) > 1),
+lem AS (SELECT surface, arg_min(stem, rank) AS lemma FROM hits GROUP BY surface)
+SELECT doc_id, coalesce(lemma, term) AS term, CAST(sum(n) AS BIGINT) AS n
+FROM bow LEFT JOIN lem ON bow.term = lem.surface GROUP BY doc_id, coalesce(lemma, term)
+"""
+
+CLAUSES = f"""
+cl AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS clause_no,
+              unnest(string_split(text, chr(10))) AS clause FROM documents),
+ctok AS (SELECT doc_id, clause_no, {_tok('clause')} AS tokens FROM cl),
+cpos AS (SELECT doc_id, clause_no, unnest(range(len(tokens))) AS j, unnest(tokens) AS term FROM ctok),
+pairs AS (SELECT doc_id, clause_no, j AS i, term AS a, lead(term) OVER (PARTITION BY doc_id, clause_no ORDER BY j) AS b FROM cpos),
+uni AS (SELECT term AS w, count(*) AS n FROM cpos GROUP BY term),
+bi AS (SELECT a, b, count(*) AS n_ab FROM pairs WHERE b IS NOT NULL GROUP BY a, b),
+vs AS (SELECT (SELECT count(*) FROM uni) + (SELECT count(*) FROM bi) AS V),
+ph AS (
+  SELECT bi.a, bi.b, bi.n_ab, (bi.n_ab - 5) * vs.V / (CAST(ua.n AS DOUBLE) * ub.n) AS score
+  FROM bi JOIN uni ua ON ua.w = bi.a JOIN uni ub ON ub.w = bi.b CROSS JOIN vs
+  WHERE bi.n_ab > 5 AND (bi.n_ab - 5) * vs.V / (CAST(ua.n AS DOUBLE) * ub.n) > 10)
+"""
+
+SQL["bigram_scores"] = "WITH " + CLAUSES + "SELECT a, b, CAST(n_ab AS BIGINT) AS n_ab, round(score, 6) AS score FROM ph"
+
+SQL["phrase_merge"] = "WITH " + CLAUSES + """,
+fl AS (SELECT p.doc_id, p.clause_no, p.i, p.a, p.b FROM pairs p JOIN ph ON ph.a = p.a AND ph.b = p.b),
+isl AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, clause_no ORDER BY i) AS g FROM fl),
+taken AS (SELECT * FROM (SELECT *, i - min(i) OVER (PARTITION BY doc_id, clause_no, g) AS off FROM isl) WHERE off % 2 = 0),
+em AS (
+  SELECT c.doc_id, c.clause_no, c.j,
+    CASE WHEN t1.i IS NOT NULL THEN t1.a || '_' || t1.b WHEN t2.i IS NOT NULL THEN NULL ELSE c.term END AS tok
+  FROM cpos c
+  LEFT JOIN taken t1 ON t1.doc_id = c.doc_id AND t1.clause_no = c.clause_no AND t1.i = c.j
+  LEFT JOIN taken t2 ON t2.doc_id = c.doc_id AND t2.clause_no = c.clause_no AND t2.i = c.j - 1),
+agg AS (SELECT doc_id, clause_no, string_agg(tok, ' ' ORDER BY j) AS merged FROM em GROUP BY doc_id, clause_no)
+SELECT ctok.doc_id, CAST(ctok.clause_no AS INTEGER) AS clause_no, coalesce(agg.merged, '') AS merged
+FROM ctok LEFT JOIN agg ON agg.doc_id = ctok.doc_id AND agg.clause_no = ctok.clause_no
+"""
+
+SQL["tfidf_filter"] = "WITH " + TOK + """,
+dfq AS (SELECT term, count(*) AS df FROM bow GROUP BY term),
+w AS (SELECT bow.doc_id, bow.term, bow.n, bow.n * log2((SELECT count(*) FROM documents) / CAST(dfq.df AS DOUBLE)) AS w
+      FROM bow JOIN dfq USING (term)),
+nr AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY doc_id),
+ww AS (SELECT w.*, w.w / nullif(nr.norm, 0) AS weight FROM w JOIN nr USING (doc_id))
+SELECT doc_id, term, CAST(n AS BIGINT) AS n, round(weight, 6) AS weight FROM ww WHERE abs(w) > 1e-12 AND weight >= 0.05
+"""
+
+
+def finalize() -> dict[str, str]:
+    """Every SQL twin with the two-step 6-digit rounding applied."""
+    return {k: _snap(v) for k, v in SQL.items()}

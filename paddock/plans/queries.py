@@ -253,3 +253,65 @@ def q_logscore_test(spark, sf_dir):
 @register("logloss")
 def q_logloss(spark, sf_dir):
     return round_doubles(ST.log_loss(clean_fixture_panel(spark, sf_dir), "sp_win_prob", by=["split"]))
+
+
+# ---------------------------------------------------------------- text
+
+from paddock.operators import text as TX  # noqa: E402
+
+PHRASE_MIN_COUNT = 5  # scaled down from 100 for the small fixture corpus
+PHRASE_THRESHOLD = 10.0
+
+
+def _docs(spark, sf_dir):
+    return read_table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _clause_tokens(spark, sf_dir):
+    return TX.clean_tokens(TX.clauses(_docs(spark, sf_dir)), "clause").select("doc_id", "clause_no", "tokens")
+
+
+@register("token_clean")
+def q_token_clean(spark, sf_dir):
+    d = TX.clean_documents(_docs(spark, sf_dir))
+    return d.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), "preprocessed")
+
+
+@register("bag_of_words")
+def q_bag_of_words(spark, sf_dir):
+    return TX.bag_of_words(TX.clean_documents(_docs(spark, sf_dir)))
+
+
+@register("document_frequency")
+def q_document_frequency(spark, sf_dir):
+    return TX.document_frequency(TX.bag_of_words(TX.clean_documents(_docs(spark, sf_dir))))
+
+
+@register("lemma_join")
+def q_lemma_join(spark, sf_dir):
+    docs = TX.clean_documents(_docs(spark, sf_dir))
+    long = TX.explode_terms(docs)
+    lemmas = TX.suffix_lemmas(long.select("term"))
+    lem = TX.apply_lemmas(long, lemmas)
+    return lem.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("bigram_scores")
+def q_bigram_scores(spark, sf_dir):
+    ph = TX.phrase_scores(_clause_tokens(spark, sf_dir), PHRASE_MIN_COUNT, PHRASE_THRESHOLD)
+    return round_doubles(ph)
+
+
+@register("phrase_merge")
+def q_phrase_merge(spark, sf_dir):
+    ct = _clause_tokens(spark, sf_dir)
+    ph = TX.phrase_scores(ct, PHRASE_MIN_COUNT, PHRASE_THRESHOLD)
+    merged = TX.merge_phrases(ct, ph)
+    return merged.select("doc_id", "clause_no", F.array_join("merged", " ").alias("merged"))
+
+
+@register("tfidf_filter")
+def q_tfidf_filter(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    bow = TX.bag_of_words(TX.clean_documents(docs))
+    return round_doubles(TX.tfidf_filter(bow, 0.05, n_docs=docs.count()))
