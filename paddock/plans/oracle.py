@@ -479,3 +479,79 @@ SELECT doc_id, term, CAST(n AS BIGINT) AS n, round(weight, 6) AS weight FROM ww
 def finalize() -> dict[str, str]:
     """Every SQL twin with the two-step 6-digit rounding applied."""
     return {k: _snap(v) for k, v in SQL.items()}
+
+
+# ------------------------------------------------------------------ choice model (recursive Newton)
+
+_NEWTON = """,
+tr AS (SELECT race_id, logit_sp_win_prob AS x, is_winner AS y FROM panel2 WHERE split = 'train'),
+k1 AS (SELECT race_id FROM tr GROUP BY race_id HAVING sum(y) = 1 AND count(*) > 1),
+d AS (SELECT tr.* FROM tr JOIN k1 USING (race_id)),
+nt(it, beta, g, h) AS (
+  SELECT 0, CAST(0.0 AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)
+  UNION ALL
+  SELECT it + 1, beta + sum(xw - s1 / s0) / sum(s2 / s0 - (s1 / s0) * (s1 / s0)),
+         sum(xw - s1 / s0), sum(s2 / s0 - (s1 / s0) * (s1 / s0))
+  FROM (SELECT nt.it, nt.beta, d.race_id, sum(exp(nt.beta * d.x)) AS s0, sum(d.x * exp(nt.beta * d.x)) AS s1,
+               sum(d.x * d.x * exp(nt.beta * d.x)) AS s2, sum(d.y * d.x) AS xw
+        FROM nt, d WHERE nt.it < 30 GROUP BY nt.it, nt.beta, d.race_id) per
+  GROUP BY it, beta),
+fin AS (SELECT beta, h FROM nt WHERE it = 30),
+coef AS (SELECT beta, 1 / sqrt(h) AS se FROM fin)
+"""
+
+SQL["choice_fit"] = "WITH RECURSIVE " + PANEL + _NEWTON + """
+SELECT 'baseline' AS model, round(beta, 6) AS beta_hat, round(beta / se, 6) AS beta_z_stat, round(se, 6) AS beta_se,
+  round(beta - 1.959963984540054 * se, 6) AS beta_ci_lower, round(beta + 1.959963984540054 * se, 6) AS beta_ci_upper,
+  round(""" + sql_erfc("abs(beta / se) / sqrt(2)") + """, 6) AS beta_p_val
+FROM coef
+"""
+
+SQL["choice_probs"] = "WITH RECURSIVE " + PANEL + _NEWTON + """,
+u AS (SELECT race_id, horse_id, (SELECT beta FROM coef) * logit_sp_win_prob AS u FROM panel2),
+m AS (SELECT race_id, max(u) AS umax FROM u GROUP BY race_id),
+e AS (SELECT u.race_id, u.horse_id, exp(u.u - m.umax) AS e FROM u JOIN m USING (race_id)),
+s AS (SELECT race_id, sum(e) AS es FROM e GROUP BY race_id)
+SELECT e.race_id, e.horse_id, round(e.e / s.es, 6) AS cl_prob FROM e JOIN s USING (race_id)
+"""
+
+
+# ------------------------------------------------------------------ margins (recursive bisection)
+
+def _bisect_sql(name: str, term: str, lo: str, hi: str, prob: str, renorm: bool, fallback: bool) -> str:
+    t = lambda v: term.replace("{t}", v)
+    body = f""",
+rr AS (SELECT race_id, horse_id, 1.0 / sp AS pi FROM panel),
+rb AS (SELECT race_id, max(pi) AS pmax, sum(pi) AS pisum FROM rr GROUP BY race_id),
+ends AS (
+  SELECT rb.race_id, {lo} AS lo0, {hi} AS hi0,
+         sum({t(lo.replace('pmax', 'rb.pmax'))}) - 1 AS fa, sum({t(hi.replace('pmax', 'rb.pmax'))}) - 1 AS fb
+  FROM rb JOIN rr USING (race_id) GROUP BY rb.race_id, rb.pmax),
+bis(race_id, it, lo, hi) AS (
+  SELECT race_id, 0, CAST(lo0 AS DOUBLE), CAST(hi0 AS DOUBLE) FROM ends
+  UNION ALL
+  SELECT race_id, it + 1, CASE WHEN f > 0 THEN mid ELSE lo END, CASE WHEN f > 0 THEN hi ELSE mid END
+  FROM (SELECT bis.race_id, bis.it, bis.lo, bis.hi, (bis.lo + bis.hi) / 2 AS mid,
+               sum({t('((bis.lo + bis.hi) / 2)')}) - 1 AS f
+        FROM bis JOIN rr ON rr.race_id = bis.race_id WHERE bis.it < 64
+        GROUP BY bis.race_id, bis.it, bis.lo, bis.hi)),
+root AS (
+  SELECT e.race_id, CASE WHEN e.fa * e.fb > 0 THEN NULL WHEN e.fa = 0 THEN e.lo0 WHEN e.fb = 0 THEN e.hi0
+                         ELSE (b.lo + b.hi) / 2 END AS r
+  FROM ends e JOIN bis b ON b.race_id = e.race_id AND b.it = 64),
+raw AS (SELECT rr.*, rb.pisum, root.r, {prob.replace('{t}', 'root.r')} AS q
+        FROM rr JOIN rb USING (race_id) JOIN root USING (race_id)),
+nrm AS (SELECT race_id, sum(q) AS qs FROM raw GROUP BY race_id)
+SELECT raw.race_id, raw.horse_id, round(greatest(1e-12, least(1 - 1e-12,
+  CASE WHEN raw.r IS NULL THEN {'pi / pisum' if fallback else 'NULL'}
+       ELSE {'q / nrm.qs' if renorm else 'q'} END)), 6) AS {name}_win_prob
+FROM raw JOIN nrm USING (race_id)
+"""
+    return "WITH RECURSIVE " + PANEL + body
+
+
+SQL["margin_power"] = _bisect_sql("power", "pow(pi, {t})", "0.01", "10.0", "pow(pi, {t})", True, True)
+SQL["margin_odds_ratio"] = _bisect_sql("odds_ratio", "pi / ({t} + pi)", "0.0", "pmax * 1000.0", "pi / ({t} + pi)",
+                                       False, False)
+SQL["margin_shin"] = _bisect_sql("shin", "(sqrt({t} * {t} + 4 * (1 - {t}) * pi) - {t}) / 2", "1e-6", "(1 - 1e-6)",
+                                 "(sqrt({t} * {t} + 4 * (1 - {t}) * pi) - {t}) / 2", False, True)

@@ -315,3 +315,61 @@ def q_tfidf_filter(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     bow = TX.bag_of_words(TX.clean_documents(docs))
     return round_doubles(TX.tfidf_filter(bow, 0.05, n_docs=docs.count()))
+
+
+# ---------------------------------------------------------------- choice model and margins
+
+from paddock.operators import choice as CH  # noqa: E402
+from paddock.operators import margins as MG  # noqa: E402
+
+COEF_COLS = ["model"] + [f"beta_{m}" for m in ("hat", "z_stat", "se", "ci_lower", "ci_upper", "p_val")]
+
+
+def _baseline_fit(spark, sf_dir):
+    panel = clean_fixture_panel(spark, sf_dir)
+    fit = CH.fit_conditional_logit(panel.filter(F.col("split") == "train"), ["logit_sp_win_prob"])
+    return panel, fit
+
+
+@register("choice_fit")
+def q_choice_fit(spark, sf_dir):
+    _, fit = _baseline_fit(spark, sf_dir)
+    row = CH.coefficient_row(fit, "baseline", {"logit_sp_win_prob": "beta"})
+    return round_doubles(CH.coefficient_table(spark, [row], ["beta"]))
+
+
+@register("choice_probs")
+def q_choice_probs(spark, sf_dir):
+    panel, fit = _baseline_fit(spark, sf_dir)
+    probs = CH.choice_probabilities(panel, ["logit_sp_win_prob"], fit.params)
+    return round_doubles(probs.select("race_id", "horse_id", "cl_prob"))
+
+
+@register("choice_fit_form")
+def q_choice_fit_form(spark, sf_dir):
+    """Market logit plus the runner's recent win rate (mean of its previous 5 results)."""
+    panel = FT.rolling_mean(clean_fixture_panel(spark, sf_dir), ["is_winner"], window=5)
+    train = panel.filter(F.col("split") == "train")
+    fit = CH.fit_conditional_logit(train, ["logit_sp_win_prob", "is_winner_rollavg_5"])
+    row = CH.coefficient_row(fit, "form", {"logit_sp_win_prob": "beta", "is_winner_rollavg_5": "gamma"})
+    return round_doubles(CH.coefficient_table(spark, [row], ["beta", "gamma"]))
+
+
+def _margin(spark, sf_dir, method):
+    df = MG.remove_margin(clean_fixture_panel(spark, sf_dir), method)
+    return round_doubles(df.select("race_id", "horse_id", f"{method}_win_prob"))
+
+
+@register("margin_power")
+def q_margin_power(spark, sf_dir):
+    return _margin(spark, sf_dir, "power")
+
+
+@register("margin_odds_ratio")
+def q_margin_odds_ratio(spark, sf_dir):
+    return _margin(spark, sf_dir, "odds_ratio")
+
+
+@register("margin_shin")
+def q_margin_shin(spark, sf_dir):
+    return _margin(spark, sf_dir, "shin")
