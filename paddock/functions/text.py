@@ -24,6 +24,9 @@ PUNCT_PATTERN = r'[,;:?!()\[\]{}"]'
 TRAILING_PERIODS = r"\.+$"
 CONTRACTION_SUFFIX = r"('s|'re|'ve|'ll|'d|'m|n't)$"
 ALPHA = r"^\p{L}+$"
+# the same two token-end rules applied to whole text (tokens end at whitespace)
+TEXT_PERIODS = r"\.+(?=\s|$)"
+TEXT_CONTRACTIONS = r"('s|'re|'ve|'ll|'d|'m|n't)(?=\s|$)"
 
 
 def stop_words() -> list[str]:
@@ -35,11 +38,9 @@ def tokenize(text: Column, stops: list[str] | None = None) -> Column:
     """Lower, split punctuation and contractions, keep alphabetic non-stop tokens."""
     stops = stop_words() if stops is None else stops
     s = F.regexp_replace(F.lower(text), PUNCT_PATTERN, " ")
-    raw = F.split(s, r"\s+")
-    cleaned = F.transform(raw, lambda t: F.regexp_replace(F.regexp_replace(t, TRAILING_PERIODS, ""),
-                                                          CONTRACTION_SUFFIX, ""))
-    stop_arr = F.array(*[F.lit(w) for w in stops])
-    return F.filter(cleaned, lambda t: t.rlike(ALPHA) & ~F.array_contains(stop_arr, t))
+    s = F.regexp_replace(F.regexp_replace(s, TEXT_PERIODS, ""), TEXT_CONTRACTIONS, "")
+    # isin over many literals becomes a hash-set lookup (InSet)
+    return F.filter(F.split(s, r"\s+"), lambda t: t.rlike(ALPHA) & ~t.isin(*stops))
 
 
 def bigrams(tokens: Column) -> Column:
@@ -48,6 +49,27 @@ def bigrams(tokens: Column) -> Column:
                         F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))).alias("b"))
 
 
+def greedy_merge_flags(tokens: Column, flagged: Column, joiner: str = "_") -> Column:
+    """Greedy left-to-right merge given a 0/1 flag per adjacent pair.
+
+    Inside a run of flagged pairs the greedy scan takes every other pair,
+    starting with the first.  Writing the flags as a string, replacing "11"
+    by "10" left to right (non-overlapping) marks exactly the taken pairs;
+    the output is then one O(n) transform.
+    """
+    n = F.size(tokens)
+    flagstr = F.array_join(F.transform(flagged, lambda b: F.when(b, "1").otherwise("0")), "")
+    taken = F.regexp_replace(flagstr, "11", "10")
+
+    def is_taken(i):
+        return (i >= 0) & (F.substring(taken, i + 1, 1) == F.lit("1"))
+
+    emit = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.when(
+        is_taken(i), F.concat(F.element_at(tokens, i + 1), F.lit(joiner), F.element_at(tokens, i + 2))
+    ).when(is_taken(i - 1), F.lit(None).cast("string")).otherwise(F.element_at(tokens, i + 1)))
+    return F.when(n <= 0, F.array().cast("array<string>")).otherwise(F.filter(emit, lambda x: x.isNotNull()))
+
+
 def greedy_merge(tokens: Column, flags: Column, joiner: str = "_") -> Column:
     """Left-to-right merge: where pair (i, i+1) is flagged and token i is free,
     emit ``a_b`` and consume both tokens; otherwise emit token i."""

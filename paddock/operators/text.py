@@ -11,9 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paddock.functions.text import bigrams, greedy_merge, tokenize
+from paddock.functions.text import bigrams, greedy_merge_flags, tokenize
 
 BROADCAST_ROWS = 2_000_000
+INLINE_PHRASES = 50_000  # phrase sets up to this size are tested in place (hash set), no shuffle
 
 
 def _maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -115,13 +116,28 @@ def phrase_scores(clause_tokens: DataFrame, min_count: int = 100, threshold: flo
 
 def merge_phrases(clause_tokens: DataFrame, phrases: DataFrame, keys=("doc_id", "clause_no"),
                   tokens: str = "tokens", out: str = "merged") -> DataFrame:
-    """Greedy left-to-right bigram merge per clause against a phrase table (a, b)."""
+    """Greedy left-to-right bigram merge per clause against a phrase table (a, b).
+
+    A phrase set of checked size is applied in place: each adjacent pair is
+    looked up in a hash set (``isin`` -> InSet), so clauses never move.
+    Larger sets go through a join of the exploded pairs.
+    """
+    keys = list(keys)
+    keyed = phrases.select(F.concat_ws(" ", "a", "b").alias("k"))
+    small = keyed.limit(INLINE_PHRASES + 1).collect()
+    if len(small) <= INLINE_PHRASES:
+        members = [r["k"] for r in small]
+        flagged = F.transform(bigrams(F.col(tokens)), lambda p: F.concat_ws(" ", p["a"], p["b"]).isin(*members)) \
+            if members else F.transform(bigrams(F.col(tokens)), lambda p: F.lit(False))
+        return clause_tokens.withColumn(out, greedy_merge_flags(F.col(tokens), flagged))
     pairs = clause_tokens.select(*keys, F.posexplode(bigrams(F.col(tokens))).alias("i", "p")).select(
         *keys, "i", "p.a", "p.b")
     hit = pairs.join(_maybe_broadcast(phrases.select("a", "b")), ["a", "b"], "inner")
     flags = hit.groupBy(*keys).agg(F.collect_list("i").alias("_flags"))
-    joined = clause_tokens.join(flags, list(keys), "left")
-    return joined.withColumn(out, greedy_merge(F.col(tokens), F.col("_flags"))).drop("_flags")
+    joined = clause_tokens.join(flags, keys, "left")
+    flagged = F.transform(bigrams(F.col(tokens)), lambda p, i: F.array_contains(
+        F.coalesce(F.col("_flags"), F.array().cast("array<int>")), i))
+    return joined.withColumn(out, greedy_merge_flags(F.col(tokens), flagged)).drop("_flags")
 
 
 def tfidf_filter(bow: DataFrame, threshold: float = 0.05, key: str = "doc_id", n_docs: int | None = None) -> DataFrame:
