@@ -555,3 +555,70 @@ SQL["margin_odds_ratio"] = _bisect_sql("odds_ratio", "pi / ({t} + pi)", "0.0", "
                                        False, False)
 SQL["margin_shin"] = _bisect_sql("shin", "(sqrt({t} * {t} + 4 * (1 - {t}) * pi) - {t}) / 2", "1e-6", "(1 - 1e-6)",
                                  "(sqrt({t} * {t} + 4 * (1 - {t}) * pi) - {t}) / 2", False, True)
+
+
+# ------------------------------------------------------------------ topics (source groups as topics)
+
+_TOPICS = """,
+tw0 AS (SELECT d.source AS topic, b.term, sum(b.n) AS n FROM bow b JOIN documents d USING (doc_id) GROUP BY 1, 2),
+tw AS (SELECT topic, term, n / sum(n) OVER (PARTITION BY topic) AS weight FROM tw0),
+top AS (SELECT * FROM (SELECT topic, term, weight,
+          row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS rank FROM tw) WHERE rank <= 15)
+"""
+
+SQL["top_terms"] = "WITH " + TOK + _TOPICS + """
+SELECT topic, CAST(rank AS BIGINT) AS rank, term, round(weight, 6) AS weight FROM top
+"""
+
+SQL["topic_uniqueness"] = "WITH " + TOK + _TOPICS + """,
+k AS (SELECT count(DISTINCT topic) AS k FROM top),
+c AS (SELECT term, count(*) AS c FROM top GROUP BY term)
+SELECT CAST(k.k AS BIGINT) AS n_topics,
+       round(1 - (SELECT sum(c * (c - 1)) FROM c) / nullif(15.0 * k.k * (k.k - 1), 0), 6) AS tu_score
+FROM k
+"""
+
+SQL["topic_similarity"] = "WITH " + TOK + _TOPICS + """,
+nr AS (SELECT topic, sqrt(sum(weight * weight)) AS norm FROM tw GROUP BY topic),
+u AS (SELECT tw.term, tw.weight / nr.norm AS u FROM tw JOIN nr USING (topic)),
+s AS (SELECT term, sum(u) AS s FROM u GROUP BY term),
+k AS (SELECT count(*) AS k FROM nr)
+SELECT CAST(k.k AS BIGINT) AS n_topics,
+       round(CASE WHEN k.k > 1 THEN ((SELECT sum(s * s) FROM s) - k.k) / (k.k * (k.k - 1)) ELSE 0.0 END, 6)
+         AS avg_topic_similarity
+FROM k
+"""
+
+SQL["topic_coherence"] = "WITH " + TOK + _TOPICS + """,
+rel AS (SELECT DISTINCT term FROM top),
+ex AS (SELECT doc_id, len(tokens) AS l, unnest(tokens) AS term, generate_subscripts(tokens, 1) - 1 AS pos FROM tok),
+occ AS (SELECT doc_id, term, greatest(l - 110 + 1, 1) AS nwin, pos FROM ex WHERE term IN (SELECT term FROM rel)),
+iv AS (SELECT doc_id, term, nwin, greatest(0, pos - 109) AS s, least(pos, nwin - 1) AS e FROM occ),
+iv2 AS (SELECT *, max(e) OVER (PARTITION BY doc_id, term ORDER BY s, e
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM iv),
+iv3 AS (SELECT *, sum(CASE WHEN pe IS NULL OR s > pe + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, term
+          ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isl FROM iv2),
+isl AS (SELECT doc_id, term, min(s) AS s, max(e) AS e FROM iv3 GROUP BY doc_id, term, isl),
+nw AS (SELECT sum(nwin) AS n FROM (SELECT doc_id, max(nwin) AS nwin FROM occ GROUP BY doc_id)),
+oc AS (SELECT term, sum(e - s + 1) AS occ FROM isl GROUP BY term),
+pr AS (SELECT DISTINCT a.term AS u, b.term AS v FROM top a JOIN top b ON a.topic = b.topic AND a.term < b.term),
+bo AS (SELECT i.doc_id, p.u, p.v, i.s, i.e FROM isl i JOIN pr p ON i.term = p.u
+       UNION ALL SELECT i.doc_id, p.u, p.v, i.s, i.e FROM isl i JOIN pr p ON i.term = p.v),
+bo2 AS (SELECT *, max(e) OVER (PARTITION BY doc_id, u, v ORDER BY s, e
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM bo),
+un AS (SELECT u, v, sum(greatest(0, e - greatest(s, coalesce(pe + 1, s)) + 1)) AS uni FROM bo2 GROUP BY u, v),
+co AS (SELECT un.u, un.v, ou.occ + ov.occ - un.uni AS co FROM un JOIN oc ou ON ou.term = un.u JOIN oc ov ON ov.term = un.v),
+cs AS (SELECT u, v, co FROM co UNION ALL SELECT v, u, co FROM co UNION ALL SELECT term, term, occ FROM oc),
+gr AS (SELECT a.topic, a.term AS wi, b.term AS wj FROM top a JOIN top b ON a.topic = b.topic),
+g AS (SELECT gr.topic, gr.wi, gr.wj,
+        ln((coalesce(cs.co, 0) / nw.n + 1e-12) / nullif((oi.occ / nw.n) * (oj.occ / nw.n), 0))
+          / nullif(-ln(coalesce(cs.co, 0) / nw.n + 1e-12), 0) AS x
+      FROM gr LEFT JOIN cs ON cs.u = gr.wi AND cs.v = gr.wj
+      LEFT JOIN oc oi ON oi.term = gr.wi LEFT JOIN oc oj ON oj.term = gr.wj CROSS JOIN nw),
+vs AS (SELECT topic, wj, sum(x) AS vs FROM g GROUP BY topic, wj),
+ns AS (SELECT topic, sqrt(sum(vs * vs)) AS ns FROM vs GROUP BY topic),
+seg AS (SELECT g.topic, g.wi, sum(g.x * vs.vs) AS dot, sqrt(sum(g.x * g.x)) AS ni
+        FROM g JOIN vs USING (topic, wj) GROUP BY g.topic, g.wi),
+cosr AS (SELECT seg.topic, seg.dot / nullif(seg.ni * ns.ns, 0) AS cos FROM seg JOIN ns USING (topic))
+SELECT topic, round(avg(cos), 6) AS coherence FROM cosr GROUP BY topic
+"""

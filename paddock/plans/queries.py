@@ -373,3 +373,72 @@ def q_margin_odds_ratio(spark, sf_dir):
 @register("margin_shin")
 def q_margin_shin(spark, sf_dir):
     return _margin(spark, sf_dir, "shin")
+
+
+# ---------------------------------------------------------------- topics
+
+from paddock.operators import topics as TP  # noqa: E402
+
+TOPN = 15
+COHERENCE_WINDOW = 110
+
+
+def _source_topics(spark, sf_dir):
+    """Clean corpus and a stand-in topic model: each ``source``'s term distribution."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    clean = TX.clean_documents(docs.select("doc_id", "text"))
+    tw = TP.grouped_topic_terms(TX.bag_of_words(clean), docs.select("doc_id", F.col("source").alias("topic")))
+    return clean, tw
+
+
+@register("top_terms")
+def q_top_terms(spark, sf_dir):
+    _, tw = _source_topics(spark, sf_dir)
+    top = TP.top_terms(tw, TOPN)
+    return round_doubles(top.select("topic", F.col("rank").cast("long").alias("rank"), "term", "weight"))
+
+
+@register("topic_uniqueness")
+def q_topic_uniqueness(spark, sf_dir):
+    _, tw = _source_topics(spark, sf_dir)
+    return round_doubles(TP.topic_uniqueness(TP.top_terms(tw, TOPN), TOPN))
+
+
+@register("topic_similarity")
+def q_topic_similarity(spark, sf_dir):
+    _, tw = _source_topics(spark, sf_dir)
+    return round_doubles(TP.topic_similarity(tw))
+
+
+@register("topic_coherence")
+def q_topic_coherence(spark, sf_dir):
+    clean, tw = _source_topics(spark, sf_dir)
+    coh = TP.coherence_cv(TP.top_terms(tw, TOPN), clean, window=COHERENCE_WINDOW)
+    return round_doubles(coh)
+
+
+LDA_K = 10
+LDA_ITER = 10
+
+
+def _lda(spark, sf_dir):
+    clean = TX.clean_documents(_docs(spark, sf_dir)).select("doc_id", "tokens")
+    cv, model = TP.fit_lda(clean, LDA_K, max_iter=LDA_ITER, seed=42)
+    return clean, cv, model
+
+
+@register("lda_flags")
+def q_lda_flags(spark, sf_dir):
+    clean, cv, model = _lda(spark, sf_dir)
+    flags = TP.topic_flags(cv, model, clean, LDA_K)
+    return FT.expand_array(flags, "topics", _names(LDA_K)).select("doc_id", *_names(LDA_K))
+
+
+@register("lda_perplexity")
+def q_lda_perplexity(spark, sf_dir):
+    clean, cv, model = _lda(spark, sf_dir)
+    tw = TP.lda_topic_terms(cv, model, spark)
+    top = TP.top_terms(tw, TOPN)
+    ppl = TP.perplexity(cv, model, clean)
+    m = TP.topic_uniqueness(top, TOPN).crossJoin(TP.topic_similarity(tw).drop("n_topics"))
+    return round_doubles(m.withColumn("perplexity", F.lit(ppl)))
