@@ -622,3 +622,42 @@ seg AS (SELECT g.topic, g.wi, sum(g.x * vs.vs) AS dot, sqrt(sum(g.x * g.x)) AS n
 cosr AS (SELECT seg.topic, seg.dot / nullif(seg.ni * ns.ns, 0) AS cos FROM seg JOIN ns USING (topic))
 SELECT topic, round(avg(cos), 6) AS coherence FROM cosr GROUP BY topic
 """
+
+
+# ------------------------------------------------------------------ classifiers
+
+SQL["bernoulli_nb"] = _with(_LAG + """,
+tr AS (SELECT * FROM lagged WHERE split = 'train'),
+va AS (SELECT * FROM lagged WHERE split = 'val'),
+ids AS (SELECT CAST(range AS INTEGER) AS j FROM range(0, (SELECT count(*) FROM cats_source))),
+nc AS (SELECT is_winner AS y, count(*) AS n FROM tr GROUP BY is_winner),
+kc AS (SELECT is_winner AS y, prev_t AS j, count(*) AS k FROM tr WHERE hrn > 1 AND prev_t IS NOT NULL GROUP BY 1, 2),
+th AS (SELECT ids.j, nc.y, (coalesce(kc.k, 0) + 1.0) / (nc.n + 2.0) AS theta
+       FROM ids CROSS JOIN nc LEFT JOIN kc ON kc.j = ids.j AND kc.y = nc.y),
+base AS (SELECT y, sum(ln(1 - theta)) AS b FROM th GROUP BY y),
+pri AS (SELECT y, ln(n / (SELECT sum(n) FROM nc)) AS lp FROM nc),
+jl AS (SELECT va.race_id, va.horse_id, pri.y,
+              pri.lp + base.b + coalesce(ln(th.theta) - ln(1 - th.theta), 0) AS jl
+       FROM va CROSS JOIN pri JOIN base ON base.y = pri.y
+       LEFT JOIN th ON th.y = pri.y AND va.hrn > 1 AND th.j = va.prev_t)
+SELECT race_id, horse_id,
+       round(1 / (1 + exp(greatest(-700, least(700, max(jl) FILTER (WHERE y = 0) - max(jl) FILTER (WHERE y = 1))))), 6)
+         AS nb_prob
+FROM jl GROUP BY race_id, horse_id
+""")
+
+SQL["gaussian_nb"] = """
+WITH e AS (SELECT vec_id, CAST(label < 5 AS INTEGER) AS y, embedding FROM embeddings),
+ex AS (SELECT vec_id, y, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS j FROM e),
+allv AS (SELECT j, var_pop(x) AS v FROM ex GROUP BY j),
+eps AS (SELECT 1e-9 * max(v) AS eps FROM allv),
+nc AS (SELECT y, count(*) AS n FROM e GROUP BY y),
+par AS (SELECT y, j, avg(x) AS mu, var_pop(x) + (SELECT eps FROM eps) AS var FROM ex GROUP BY y, j),
+ll AS (SELECT ex.vec_id, par.y, sum(-0.5 * ln(2 * pi() * par.var) - 0.5 * (ex.x - par.mu) * (ex.x - par.mu) / par.var) AS s
+       FROM ex JOIN par ON ex.j = par.j GROUP BY ex.vec_id, par.y),
+jl AS (SELECT ll.vec_id, ll.y, ll.s + ln(nc.n / (SELECT sum(n) FROM nc)) AS jl FROM ll JOIN nc USING (y))
+SELECT vec_id,
+       round(1 / (1 + exp(greatest(-700, least(700, max(jl) FILTER (WHERE y = 0) - max(jl) FILTER (WHERE y = 1))))), 6)
+         AS gnb_prob
+FROM jl GROUP BY vec_id
+"""

@@ -442,3 +442,86 @@ def q_lda_perplexity(spark, sf_dir):
     ppl = TP.perplexity(cv, model, clean)
     m = TP.topic_uniqueness(top, TOPN).crossJoin(TP.topic_similarity(tw).drop("n_topics"))
     return round_doubles(m.withColumn("perplexity", F.lit(ppl)))
+
+
+# ---------------------------------------------------------------- classifiers
+
+from paddock.operators import models as MD  # noqa: E402
+from paddock.sources.fixtures import vector_fixture  # noqa: E402
+
+
+def _lagged_splits(spark, sf_dir):
+    df, k = topic_panel(spark, sf_dir, "source")
+    df = FT.lag_features(df, ["topics"], max_lag=1).select(
+        "race_id", "horse_id", "split", "is_winner", "sp_win_prob", "topics_lag_1")
+    return df.filter(F.col("split") == "train"), df.filter(F.col("split") == "val"), k
+
+
+@register("bernoulli_nb")
+def q_bernoulli_nb(spark, sf_dir):
+    """Lag-1 topic flags -> P(win), fitted on train, scored on validation rows."""
+    train, val, _ = _lagged_splits(spark, sf_dir)
+    nb = MD.fit_bernoulli_nb(train, "topics_lag_1", "is_winner")
+    return round_doubles(val.select("race_id", "horse_id", nb.predict_proba(F.col("topics_lag_1")).alias("nb_prob")))
+
+
+@register("gaussian_nb")
+def q_gaussian_nb(spark, sf_dir):
+    """64-dim vectors -> P(label < 5), fitted and scored on the whole table."""
+    vec = vector_fixture(spark, sf_dir)
+    nb = MD.fit_gaussian_nb(vec, "embedding", "y")
+    return round_doubles(vec.select("vec_id", nb.predict_proba(F.col("embedding")).alias("gnb_prob")))
+
+
+@register("isotonic")
+def q_isotonic(spark, sf_dir):
+    """Bernoulli NB validation scores calibrated by isotonic regression on the same rows."""
+    train, val, _ = _lagged_splits(spark, sf_dir)
+    nb = MD.fit_bernoulli_nb(train, "topics_lag_1", "is_winner")
+    scored = val.select("race_id", "horse_id", "is_winner", nb.predict_proba(F.col("topics_lag_1")).alias("nb_prob"))
+    iso = MD.fit_isotonic(scored, "nb_prob", "is_winner")
+    cal = MD.calibrate(iso, scored, "nb_prob", "calibrated_nb_prob")
+    return round_doubles(cal.select("race_id", "horse_id", "nb_prob", "calibrated_nb_prob"))
+
+
+GBT_CHECK_GRID = {"maxIter": [10, 20], "maxDepth": [3], "stepSize": [0.1]}  # the full grid is REFERENCE_GBT_GRID
+
+
+@register("gbt_grid")
+def q_gbt_grid(spark, sf_dir):
+    """Boosted trees on lag-1 topic flags: validation log-loss per grid point, best refit on train + val."""
+    train, val, _ = _lagged_splits(spark, sf_dir)
+    train, val = MD.as_vector(train, "topics_lag_1"), MD.as_vector(val, "topics_lag_1")
+    model, best, results = MD.gbt_grid_search(train, val, "is_winner", GBT_CHECK_GRID)
+    rows = [(p["maxIter"], p["maxDepth"], float(p["stepSize"]), float(ll), p == best) for p, ll in results]
+    return round_doubles(spark.createDataFrame(
+        rows, "max_iter int, max_depth int, step_size double, val_log_loss double, is_best boolean"))
+
+
+@register("margin_logit")
+def q_margin_logit(spark, sf_dir):
+    """Logistic regression on each margin method's logit (train); log-score test vs uniform (validation)."""
+    from paddock.functions.odds import logit
+
+    df = clean_fixture_panel(spark, sf_dir)
+    for m in ("power", "odds_ratio", "shin"):
+        df = MG.remove_margin(df, m)
+    df = df.withColumnRenamed("sp_win_prob", "mm_win_prob")
+    methods = ["mm", "odds_ratio", "shin", "power"]
+    for m in methods:
+        df = df.withColumn(f"logit_{m}", logit(F.col(f"{m}_win_prob")))
+    df = betting.uniform_probability(df).persist()
+    train = df.filter(F.col("split") == "train")
+    val = df.filter(F.col("split") == "val")
+    out = None
+    for m in methods:
+        lr = MD.fit_logistic(train, [f"logit_{m}"], "is_winner")
+        v = val.withColumn("_p", MD.logistic_prob(lr, [f"logit_{m}"]))
+        v = v.join(v.groupBy("race_id").agg(F.sum("_p").alias("_ps")), "race_id").withColumn(
+            "prob_a", F.col("_p") / F.col("_ps"))
+        t = ST.logscore_test(v, "prob_a", "uniform_prob").select(
+            F.lit(m).alias("method"), F.lit(float(lr.intercept)).alias("intercept"),
+            F.lit(float(lr.coefficients[0])).alias("coef"), "n", "mean_logscore_diff", "standard_error",
+            "z_statistic", "p_value", "reject_null")
+        out = t if out is None else out.unionByName(t)
+    return round_doubles(out)
