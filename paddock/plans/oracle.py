@@ -661,3 +661,23 @@ SELECT vec_id,
          AS gnb_prob
 FROM jl GROUP BY vec_id
 """
+
+
+# ------------------------------------------------------------------ embeddings
+
+SQL["mean_pool"] = "WITH " + TOK + """,
+nv AS (SELECT count(*) AS n FROM embeddings),
+bv AS (SELECT doc_id, CAST(('0x' || substr(md5(term), 1, 8)) AS BIGINT) % nv.n AS vec_id, sum(bow.n) AS n
+       FROM bow CROSS JOIN nv GROUP BY 1, 2),
+ex AS (SELECT bv.doc_id, bv.n, generate_subscripts(e.embedding, 1) - 1 AS dim, CAST(unnest(e.embedding) AS DOUBLE) AS x
+       FROM bv JOIN embeddings e USING (vec_id))
+SELECT doc_id, CAST(dim AS BIGINT) AS dim, round(sum(n * x) / sum(n), 6) AS value FROM ex GROUP BY doc_id, dim
+"""
+
+SQL["vector_join"] = _with(""",
+nv AS (SELECT count(*) AS n FROM embeddings),
+pv AS (SELECT panel.race_id, panel.horse_id, panel.date, e.embedding
+       FROM panel CROSS JOIN nv LEFT JOIN embeddings e ON e.vec_id = panel.comment_key % nv.n),
+lg AS (SELECT race_id, horse_id, lag(embedding) OVER (PARTITION BY horse_id ORDER BY date, race_id) AS prev FROM pv)
+SELECT race_id, horse_id, """ + ", ".join(
+    f"round(coalesce(CAST(prev[{i + 1}] AS DOUBLE), 0.0), 6) AS e_{i}_lag_1" for i in range(64)) + " FROM lg")

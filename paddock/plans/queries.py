@@ -525,3 +525,44 @@ def q_margin_logit(spark, sf_dir):
             "z_statistic", "p_value", "reject_null")
         out = t if out is None else out.unionByName(t)
     return round_doubles(out)
+
+
+# ---------------------------------------------------------------- embeddings
+
+from paddock.operators import embed as EM  # noqa: E402
+
+
+@register("mean_pool")
+def q_mean_pool(spark, sf_dir):
+    """Each document = mean of its tokens' vectors (token -> vector row by md5 key)."""
+    vec = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n_vecs = vec.count()
+    bow = TX.bag_of_words(TX.clean_documents(_docs(spark, sf_dir)))
+    keyed = bow.select("doc_id", EM.hashed_key(F.col("term"), n_vecs).alias("vec_id"), "n").groupBy(
+        "doc_id", "vec_id").agg(F.sum("n").alias("n"))
+    pooled = EM.mean_pool(keyed, vec)
+    long = EM.to_long(pooled, "pooled")
+    return round_doubles(long.select("doc_id", F.col("dim").cast("long").alias("dim"), "value"))
+
+
+EMB_DIM = 64
+
+
+@register("vector_join")
+def q_vector_join(spark, sf_dir):
+    """Each runner's comment vector (by key), lagged one race per entity, one column per dimension."""
+    vec = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n_vecs = vec.count()
+    panel = clean_fixture_panel(spark, sf_dir).select("race_id", "horse_id", "date", "comment_key")
+    rows = EM.attach_vectors(panel, vec, F.pmod(F.col("comment_key"), F.lit(n_vecs)))
+    lagged = FT.lag_features(rows, ["embedding"], max_lag=1)
+    cols = [F.col("embedding_lag_1")[i].cast("double").alias(f"e_{i}_lag_1") for i in range(EMB_DIM)]
+    return round_doubles(lagged.select("race_id", "horse_id", *cols))
+
+
+@register("text_vectors")
+def q_text_vectors(spark, sf_dir):
+    """Documents through the pluggable encoder (hashing stand-in), 128 tokens, masked mean."""
+    enc = EM.encode_texts(_docs(spark, sf_dir), "text", "doc_id")
+    return enc.select("doc_id", F.size("embedding").alias("dims"),
+                      F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x).alias("sq_norm"))
