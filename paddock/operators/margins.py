@@ -7,19 +7,27 @@
 * shin           : solve sum (sqrt(z^2 + 4 (1 - z) pi) - z) / 2 = 1 on (1e-6, 1 - 1e-6);
                    no root -> multiplicative
 
-Each f is decreasing in its parameter, so bisection applies.  Races of at
-most ``max_inline`` runners are solved in one pass: their prices are gathered
-into a bounded array and bisected by a JVM higher-order function.  Larger
-races are solved by a distributed multi-point bisection: each round evaluates
-f at G points per race with one map-side-combined aggregate, so no large
-race is ever gathered into one row.
+Each f is decreasing in its parameter, so bisection applies.  All methods
+are solved in one pass.  The panel is hash-partitioned on the race once; the
+prices of each race of at most ``max_inline`` runners are gathered into a
+bounded array (no further shuffle: the grouping reuses that partitioning)
+and ``mapInPandas`` bisects a whole Arrow batch of races at once as padded
+numpy matrices.  Only one row per race (the roots and the sums needed for
+renormalising) is joined back.  Races above ``max_inline`` runners are solved
+by a distributed multi-point bisection: each round evaluates f at G points
+per race with one map-side-combined aggregate, so no large race is ever
+gathered into one row.  ``_solve_inline`` keeps the same bisection as a JVM
+higher-order function (used by tests as a second implementation).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,9 +128,127 @@ def _solve_distributed(rows: DataFrame, bounds: DataFrame, m: Method) -> DataFra
     return out
 
 
+# numpy twins of the per-runner terms (pi: (B, M) padded with 0, t: (B, 1))
+_NP_TERMS = {
+    "power": lambda pi, t: np.power(pi, t),
+    "odds_ratio": lambda pi, t: pi / (t + pi),
+    "shin": lambda pi, t: (np.sqrt(t * t + 4.0 * (1.0 - t) * pi) - t) / 2.0,
+}
+_NP_BOUNDS = {
+    "power": lambda pmax: (np.full_like(pmax, 0.01), np.full_like(pmax, 10.0)),
+    "odds_ratio": lambda pmax: (np.zeros_like(pmax), pmax * 1000.0),
+    "shin": lambda pmax: (np.full_like(pmax, 1e-6), np.full_like(pmax, 1.0 - 1e-6)),
+}
+
+
+def _np_roots(pi: np.ndarray, mask: np.ndarray, method: str) -> np.ndarray:
+    """Bisection for a batch of races at once; NaN where no root is bracketed."""
+    term = _NP_TERMS[method]
+    pmax = np.where(mask, pi, 0.0).max(axis=1)
+    lo, hi = _NP_BOUNDS[method](pmax)
+    safe = np.where(mask, pi, 1.0)
+
+    def f(t):
+        with np.errstate(all="ignore"):
+            return np.where(mask, term(safe, t[:, None]), 0.0).sum(axis=1) - 1.0
+
+    fa, fb = f(lo), f(hi)
+    a, b = lo.copy(), hi.copy()
+    for _ in range(BISECT_STEPS):
+        mid = (a + b) / 2.0
+        fm = f(mid)
+        up = fm > 0
+        a = np.where(up, mid, a)
+        b = np.where(up, b, mid)
+    root = (a + b) / 2.0
+    root = np.where(fa == 0, lo, np.where(fb == 0, hi, root))
+    bad = ~np.isfinite(fa) | ~np.isfinite(fb) | ((fa * fb > 0) & (fa != 0) & (fb != 0))
+    return np.where(bad, np.nan, root)
+
+
+def _batch_solver(methods: list[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            lists = pdf["pis"].tolist()
+            width = max(len(x) for x in lists)
+            pi = np.zeros((len(lists), width))
+            mask = np.zeros((len(lists), width), dtype=bool)
+            for i, x in enumerate(lists):
+                pi[i, :len(x)] = x
+                mask[i, :len(x)] = True
+            out = {"race": pdf["race"].values}
+            for m in methods:
+                r = _np_roots(pi, mask, m)
+                out[f"root_{m}"] = r
+                if METHODS[m].renormalise:
+                    with np.errstate(all="ignore"):
+                        raw = np.where(mask, _NP_TERMS[m](np.where(mask, pi, 1.0), r[:, None]), 0.0).sum(axis=1)
+                    out[f"rawsum_{m}"] = np.where(np.isnan(r), np.nan, raw)
+            res = pd.DataFrame(out)
+            yield res.astype({c: "float64" for c in res.columns if c != "race"})
+    return run
+
+
+def remove_margins(df: DataFrame, methods=("power", "odds_ratio", "shin"), odds: str = "sp",
+                   race: str = "race_id", max_inline: int = MAX_INLINE, keep_root: bool = False) -> DataFrame:
+    """Add ``{method}_win_prob`` for every method (clipped to [1e-12, 1 - 1e-12]) in one pass."""
+    methods = list(methods)
+    race_type = dict(df.dtypes)[race]
+    has_big = (df.groupBy(race).agg(F.count(F.lit(1)).alias("_n"))
+               .filter(F.col("_n") > max_inline).limit(1).count() > 0)
+    d = df.withColumn("_pi", F.lit(1.0) / F.col(odds)).repartition(race)
+    races = d.groupBy(race).agg(F.count(F.lit(1)).alias("_n"), F.sum("_pi").alias("_pisum"))
+    d = d.join(races, race)  # both sides hash-partitioned on the race: no exchange
+    small = d.filter(F.col("_n") <= max_inline) if has_big else d
+    gathered = small.groupBy(race).agg(F.collect_list("_pi").alias("pis")).withColumnRenamed(race, "race")
+    cols = ", ".join([f"root_{m} double" + (f", rawsum_{m} double" if METHODS[m].renormalise else "")
+                      for m in methods])
+    roots = gathered.mapInPandas(_batch_solver(methods), f"race {race_type}, {cols}")
+    if has_big:
+        big_rows = d.filter(F.col("_n") > max_inline)
+        rows = big_rows.select(F.col(race).alias("race"), F.col("_pi").alias("pi"))
+        bounds = big_rows.groupBy(race).agg(F.max("_pi").alias("pmax")).withColumnRenamed(race, "race")
+        big = None
+        for m in methods:
+            r = _solve_distributed(rows, bounds, METHODS[m]).withColumnRenamed("root", f"root_{m}")
+            if METHODS[m].renormalise:
+                sums = rows.join(r, "race").groupBy("race").agg(
+                    F.sum(METHODS[m].prob(F.col("pi"), F.col(f"root_{m}"))).alias(f"rawsum_{m}"))
+                r = r.join(sums, "race", "left")
+            big = r if big is None else big.join(r, "race")
+        roots = roots.unionByName(big.select(*roots.columns))
+    # NaN (no root) -> null
+    roots = roots.select("race", *[F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c)
+                                   for c in roots.columns if c != "race"]).withColumnRenamed("race", race)
+    d = d.join(roots, race, "left")
+    naive = F.col("_pi") / F.col("_pisum")
+    for m in methods:
+        meth = METHODS[m]
+        root = F.col(f"root_{m}")
+        raw = meth.prob(F.col("_pi"), root)
+        if meth.renormalise:
+            raw = raw / F.col(f"rawsum_{m}")
+        prob = F.when(root.isNull(), naive if meth.fallback else F.lit(None).cast("double")).otherwise(raw)
+        d = d.withColumn(f"{m}_win_prob", clip_prob(prob))
+        if keep_root:
+            d = d.withColumnRenamed(f"root_{m}", f"{m}_root")
+    drop = [c for c in d.columns if c in ("_pi", "_n", "_pisum") or c.startswith("root_") or c.startswith("rawsum_")]
+    return d.drop(*drop)
+
+
+
 def remove_margin(df: DataFrame, method: str, odds: str = "sp", race: str = "race_id", out: str | None = None,
                   max_inline: int = MAX_INLINE, keep_root: bool = False) -> DataFrame:
     """Add ``{method}_win_prob`` (clipped to [1e-12, 1 - 1e-12])."""
+    d = remove_margins(df, [method], odds, race, max_inline, keep_root)
+    return d if out is None else d.withColumnRenamed(f"{method}_win_prob", out)
+
+
+def remove_margin_jvm(df: DataFrame, method: str, odds: str = "sp", race: str = "race_id", out: str | None = None,
+                      max_inline: int = MAX_INLINE, keep_root: bool = False) -> DataFrame:
+    """Same as ``remove_margin`` with the bisection as a JVM higher-order function (second implementation)."""
     m = METHODS[method]
     out = out or f"{method}_win_prob"
     d = df.withColumn("_pi", F.lit(1.0) / F.col(odds))

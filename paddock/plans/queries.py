@@ -503,9 +503,7 @@ def q_margin_logit(spark, sf_dir):
     """Logistic regression on each margin method's logit (train); log-score test vs uniform (validation)."""
     from paddock.functions.odds import logit
 
-    df = clean_fixture_panel(spark, sf_dir)
-    for m in ("power", "odds_ratio", "shin"):
-        df = MG.remove_margin(df, m)
+    df = MG.remove_margins(clean_fixture_panel(spark, sf_dir), ("power", "odds_ratio", "shin"))
     df = df.withColumnRenamed("sp_win_prob", "mm_win_prob")
     methods = ["mm", "odds_ratio", "shin", "power"]
     for m in methods:
