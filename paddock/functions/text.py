@@ -54,19 +54,20 @@ def greedy_merge_flags(tokens: Column, flagged: Column, joiner: str = "_") -> Co
 
     Inside a run of flagged pairs the greedy scan takes every other pair,
     starting with the first.  Writing the flags as a string, replacing "11"
-    by "10" left to right (non-overlapping) marks exactly the taken pairs;
-    the output is then one O(n) transform.
+    by "10" left to right (non-overlapping) marks exactly the taken pairs.
+    The taken marks, the next token and the previous mark are zipped with the
+    tokens, so the per-element lambda only reads its own struct: O(n) per
+    clause (nothing inside the lambda rescans the row).
     """
     n = F.size(tokens)
     flagstr = F.array_join(F.transform(flagged, lambda b: F.when(b, "1").otherwise("0")), "")
-    taken = F.regexp_replace(flagstr, "11", "10")
-
-    def is_taken(i):
-        return (i >= 0) & (F.substring(taken, i + 1, 1) == F.lit("1"))
-
-    emit = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.when(
-        is_taken(i), F.concat(F.element_at(tokens, i + 1), F.lit(joiner), F.element_at(tokens, i + 2))
-    ).when(is_taken(i - 1), F.lit(None).cast("string")).otherwise(F.element_at(tokens, i + 1)))
+    taken = F.split(F.regexp_replace(flagstr, "11", "10"), "")
+    prev = F.concat(F.array(F.lit("0")), taken)
+    nxt = F.slice(tokens, 2, F.greatest(n - 1, F.lit(1)))
+    z = F.arrays_zip(tokens.alias("t"), nxt.alias("nx"), taken.alias("tk"), prev.alias("pv"))
+    emit = F.transform(z, lambda e: F.when(
+        e["tk"] == "1", F.concat(e["t"], F.lit(joiner), e["nx"])
+    ).when(e["pv"] == "1", F.lit(None).cast("string")).otherwise(e["t"]))
     return F.when(n <= 0, F.array().cast("array<string>")).otherwise(F.filter(emit, lambda x: x.isNotNull()))
 
 

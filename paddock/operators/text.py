@@ -100,11 +100,14 @@ def phrase_scores(clause_tokens: DataFrame, min_count: int = 100, threshold: flo
     """Bigram phrase scores (Mikolov et al. 2013):
     score = (n_ab - min_count) * V / (n_a * n_b), V = distinct unigrams + distinct bigrams.
     Returns (a, b, n_ab, score) with score > threshold."""
-    uni = clause_tokens.select(F.explode(tokens).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    bi = clause_tokens.select(F.explode(bigrams(F.col(tokens))).alias("p")).select("p.a", "p.b").groupBy(
-        "a", "b").agg(F.count(F.lit(1)).alias("n_ab"))
-    vocab_size = uni.agg(F.count(F.lit(1)).alias("nu")).crossJoin(bi.agg(F.count(F.lit(1)).alias("nb"))).select(
-        (F.col("nu") + F.col("nb")).alias("V"))
+    # unigrams (b = null) and bigrams counted in one exchange; the three uses below share it
+    items = F.concat(F.transform(F.col(tokens), lambda t: F.struct(t.alias("a"), F.lit(None).cast("string").alias("b"))),
+                     F.transform(bigrams(F.col(tokens)), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"))))
+    counts = clause_tokens.select(F.explode(items).alias("it")).groupBy("it.a", "it.b").agg(
+        F.count(F.lit(1)).alias("n"))
+    uni = counts.filter(F.col("b").isNull()).select(F.col("a").alias("w"), "n")
+    bi = counts.filter(F.col("b").isNotNull()).select("a", "b", F.col("n").alias("n_ab"))
+    vocab_size = counts.agg(F.count(F.lit(1)).alias("V"))
     cand = bi.filter(F.col("n_ab") > min_count)
     ua = uni.select(F.col("w").alias("a"), F.col("n").alias("n_a"))
     ub = uni.select(F.col("w").alias("b"), F.col("n").alias("n_b"))

@@ -132,7 +132,7 @@ def q_uniform_prob(spark, sf_dir):
 
 from paddock.operators import features as FT  # noqa: E402
 from paddock.operators import stats as ST  # noqa: E402
-from paddock.sources.fixtures import attach_comments, read_table  # noqa: E402
+from paddock.sources.fixtures import attach_comments, read_documents, read_table  # noqa: E402
 
 MAX_CATEGORIES = 512
 
@@ -264,7 +264,7 @@ PHRASE_THRESHOLD = 10.0
 
 
 def _docs(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return read_documents(spark, sf_dir, "doc_id", "text")
 
 
 def _clause_tokens(spark, sf_dir):
@@ -385,7 +385,7 @@ COHERENCE_WINDOW = 110
 
 def _source_topics(spark, sf_dir):
     """Clean corpus and a stand-in topic model: each ``source``'s term distribution."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    docs = read_documents(spark, sf_dir, "doc_id", "text", "source")
     clean = TX.clean_documents(docs.select("doc_id", "text"))
     tw = TP.grouped_topic_terms(TX.bag_of_words(clean), docs.select("doc_id", F.col("source").alias("topic")))
     return clean, tw

@@ -15,6 +15,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition on ``key`` only when the scan yields fewer splits than
+    the cluster has cores (e.g. a file with a single row group).  A large
+    input already arrives in many splits and is left alone, so no extra
+    shuffle is added at scale; when it is added, later groupings on ``key``
+    reuse it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, key)
+    return df
+
+
+def read_documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
+    """The documents table (selected columns), spread over the cores by doc_id."""
+    df = read_table(spark, sf_dir, "documents")
+    return spread(df.select(*cols) if cols else df, "doc_id")
+
+
 def panel_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw runner panel: race_id, horse_id, date, sp_raw, pos, comment_key.
 
@@ -58,7 +76,7 @@ def panel_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents LEFT JOIN labels: doc_id, text, lang, source, quality, toxic."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    docs = read_documents(spark, sf_dir, "doc_id", "text", "lang", "source")
     labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     return docs.join(labels, "doc_id", "left")
 
