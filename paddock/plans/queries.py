@@ -564,3 +564,26 @@ def q_text_vectors(spark, sf_dir):
     enc = EM.encode_texts(_docs(spark, sf_dir), "text", "doc_id")
     return enc.select("doc_id", F.size("embedding").alias("dims"),
                       F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x).alias("sq_norm"))
+
+
+# ---------------------------------------------------------------- the whole study
+
+from paddock.plans import study as SD  # noqa: E402
+
+
+def _study(spark, sf_dir):
+    panel, k = topic_panel(spark, sf_dir, "source")
+    return SD.run_study(spark, panel, k)
+
+
+@register("text_choice_fit")
+def q_text_choice_fit(spark, sf_dir):
+    """Baseline and market + text conditional logits (text = Naive Bayes, raw and calibrated)."""
+    return round_doubles(_study(spark, sf_dir).coefficients)
+
+
+@register("strategy_backtest")
+def q_strategy_backtest(spark, sf_dir):
+    """Random, text, market and full-model Kelly strategies on the test split."""
+    stats = betting.strategy_stats(_study(spark, sf_dir).bets, by=["strategy"])
+    return round_doubles(stats.select("strategy", "pnl", "num_bets", "roi"))

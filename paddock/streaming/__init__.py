@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The analysed pipeline reads whole files and writes whole files at every
+stage; it has no streams, watermarks, event-time windows or stateful
+operators, so nothing here is built.  Every operator in ``paddock`` is a
+plain DataFrame transformation and therefore also runs unchanged on a
+streaming DataFrame where Spark supports the operation (row-wise scoring,
+column expressions); model fits and window features are batch jobs.
+"""
