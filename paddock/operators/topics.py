@@ -109,11 +109,14 @@ def window_islands(texts: DataFrame, relevant: DataFrame, window: int = 110, tok
 def coherence_cv(top: DataFrame, texts: DataFrame, window: int = 110, tokens: str = "tokens",
                  key: str = "doc_id") -> DataFrame:
     """(topic, coherence): c_v of each topic's top words over ``texts`` (token arrays)."""
-    words = top.select("topic", "term")
+    # the top-n lists are bounded by K * n: gather them once (checked) so the
+    # many uses below read a local relation instead of re-running the topic model
+    rows = top.select("topic", "term").limit(MAX_RELEVANT + 1).collect()
+    if len(rows) > MAX_RELEVANT:
+        raise ValueError(f"more than {MAX_RELEVANT} top words")
+    spark = texts.sparkSession
+    words = spark.createDataFrame(rows, top.select("topic", "term").schema)
     relevant = words.select("term").distinct()
-    n_rel = relevant.limit(MAX_RELEVANT + 1).count()
-    if n_rel > MAX_RELEVANT:
-        raise ValueError(f"more than {MAX_RELEVANT} distinct top words")
     islands, windows = window_islands(texts, relevant, window, tokens, key)
     n_windows = windows.agg(F.sum("nwin").cast("double").alias("N"))
 
