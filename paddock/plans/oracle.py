@@ -681,3 +681,37 @@ pv AS (SELECT panel.race_id, panel.horse_id, panel.date, e.embedding
 lg AS (SELECT race_id, horse_id, lag(embedding) OVER (PARTITION BY horse_id ORDER BY date, race_id) AS prev FROM pv)
 SELECT race_id, horse_id, """ + ", ".join(
     f"round(coalesce(CAST(prev[{i + 1}] AS DOUBLE), 0.0), 6) AS e_{i}_lag_1" for i in range(64)) + " FROM lg")
+
+
+# ------------------------------------------------------------------ sweep over topic models, entity ids
+
+def _train_for(attr: str) -> str:
+    """The training-split test CTEs of ``_TRAIN`` for another stand-in topic model."""
+    import re
+
+    body = _TRAIN[len(_topics("source")):].replace("pt_source", f"pt_{attr}").replace("cats_source", f"cats_{attr}")
+    body = re.sub(r"\b(lagged|tr|ids|cells|chi|chp)\b", lambda m: f"{m.group(1)}_{attr}", body)
+    return _topics(attr) + body
+
+
+def _sweep_select(attr: str) -> str:
+    return f"""
+SELECT '{attr}' AS model_type, CAST((SELECT count(*) FROM cats_{attr}) AS BIGINT) AS num_topics,
+  'topic_' || CAST(a.i AS VARCHAR) AS topic,
+  round(a.stat, 6) AS chi2_lag0_train, round(a.p, 6) AS pval_lag0_train,
+  round(b.stat, 6) AS chi2_lag1_train, round(b.p, 6) AS pval_lag1_train,
+  round(least(b.p * (SELECT count(*) FROM cats_{attr}), 1.0), 6) AS pval_lag1_train_corrected,
+  round(b.r, 4) AS corr_lag1_train
+FROM chp_{attr} a JOIN chp_{attr} b ON a.i = b.i AND a.lag = 0 AND b.lag = 1"""
+
+
+SQL["topic_sweep"] = _with(_train_for("source") + _train_for("lang") + _sweep_select("source")
+                           + "\nUNION ALL" + _sweep_select("lang"))
+
+SQL["entity_ids"] = _with(""",
+raw AS (SELECT DISTINCT race_id, horse_id, date FROM p1),
+fr AS (SELECT horse_id, date, race_id,
+              row_number() OVER (PARTITION BY horse_id ORDER BY date, race_id) AS k FROM raw),
+ids AS (SELECT horse_id, row_number() OVER (ORDER BY date, race_id, horse_id) AS entity_id FROM fr WHERE k = 1)
+SELECT raw.race_id, raw.horse_id, CAST(ids.entity_id AS BIGINT) AS entity_id FROM raw JOIN ids USING (horse_id)
+""", base=PRICED)

@@ -587,3 +587,30 @@ def q_strategy_backtest(spark, sf_dir):
     """Random, text, market and full-model Kelly strategies on the test split."""
     stats = betting.strategy_stats(_study(spark, sf_dir).bets, by=["strategy"])
     return round_doubles(stats.select("strategy", "pnl", "num_bets", "roi"))
+
+
+# ---------------------------------------------------------------- sweep over topic models, entity ids
+
+
+@register("topic_sweep")
+def q_topic_sweep(spark, sf_dir):
+    """Chi-squared and correlation tests for two stand-in topic models in one table
+    keyed by (model_type, num_topics): the K sweep as a column, not a file per K."""
+    out = None
+    for attr in ("source", "lang"):
+        df, k = topic_panel(spark, sf_dir, attr)
+        df = FT.lag_features(df, ["topics"], max_lag=1).filter(F.col("split") == "train")
+        t = ST.topic_tests(df, {0: "topics", 1: "topics_lag_1"}, k).select(
+            F.lit(attr).alias("model_type"), F.lit(k).cast("long").alias("num_topics"), "topic",
+            "chi2_lag0_train", "pval_lag0_train", "chi2_lag1_train", "pval_lag1_train",
+            "pval_lag1_train_corrected", "corr_lag1_train")
+        out = t if out is None else out.unionByName(t)
+    return round_doubles(out)
+
+
+@register("entity_ids")
+def q_entity_ids(spark, sf_dir):
+    """Dense entity ids by first appearance in (date, race) order."""
+    raw = panel_fixture(spark, sf_dir).withColumn("_order", F.struct("date", "race_id"))
+    ids = P.entity_ids(raw, entity="horse_id", out="entity_id", order="_order")
+    return ids.select("race_id", "horse_id", "entity_id")
