@@ -26,6 +26,18 @@ def clauses(docs: DataFrame, text: str = "text", key: str = "doc_id", separator:
     return docs.select(key, F.posexplode(F.split(F.col(text), separator)).alias("clause_no", "clause"))
 
 
+def flatten_clauses(clause_tokens: DataFrame, keys=("doc_id",), order: str = "clause_no", tokens: str = "tokens",
+                    separator: str = "-", out: str = "tokens") -> DataFrame:
+    """One token list per document: clauses in order with a separator token between them.
+
+    Gathers one document's clauses (bounded by that document's length)."""
+    keys = list(keys)
+    g = clause_tokens.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, tokens))).alias("_c"))
+    parts = F.transform("_c", lambda c, i: F.when(i > 0, F.concat(F.array(F.lit(separator)), c[tokens]))
+                        .otherwise(c[tokens]))
+    return g.select(*keys, F.flatten(parts).alias(out))
+
+
 def clean_tokens(df: DataFrame, text: str = "text", out: str = "tokens") -> DataFrame:
     """Add a token array; null text -> empty array."""
     return df.withColumn(out, tokenize(F.coalesce(F.col(text), F.lit(""))))

@@ -715,3 +715,9 @@ fr AS (SELECT horse_id, date, race_id,
 ids AS (SELECT horse_id, row_number() OVER (ORDER BY date, race_id, horse_id) AS entity_id FROM fr WHERE k = 1)
 SELECT raw.race_id, raw.horse_id, CAST(ids.entity_id AS BIGINT) AS entity_id FROM raw JOIN ids USING (horse_id)
 """, base=PRICED)
+
+SQL["flatten_clauses"] = "WITH " + CLAUSES + """,
+fl AS (SELECT doc_id, flatten(list(CASE WHEN clause_no > 0 THEN list_prepend('-', tokens) ELSE tokens END
+                                   ORDER BY clause_no)) AS t FROM ctok GROUP BY doc_id)
+SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, array_to_string(t, ' ') AS flattened FROM fl
+"""

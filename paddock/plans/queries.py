@@ -614,3 +614,11 @@ def q_entity_ids(spark, sf_dir):
     raw = panel_fixture(spark, sf_dir).withColumn("_order", F.struct("date", "race_id"))
     ids = P.entity_ids(raw, entity="horse_id", out="entity_id", order="_order")
     return ids.select("race_id", "horse_id", "entity_id")
+
+
+@register("flatten_clauses")
+def q_flatten_clauses(spark, sf_dir):
+    """Clause token lists joined back into one list per document with a separator token."""
+    flat = TX.flatten_clauses(_clause_tokens(spark, sf_dir), separator="-")
+    return flat.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"),
+                       F.array_join("tokens", " ").alias("flattened"))

@@ -8,6 +8,7 @@ so a split filter becomes partition pruning.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 RAW_PANEL_SCHEMA = T.StructType([
@@ -21,9 +22,16 @@ RAW_PANEL_SCHEMA = T.StructType([
 
 
 def read_raw_panel(spark: SparkSession, path: str, schema: T.StructType = RAW_PANEL_SCHEMA) -> DataFrame:
-    """CSV scan with a declared schema; extra columns in the file are ignored by name."""
-    return (spark.read.option("header", True).option("enforceSchema", False)
-            .option("multiLine", True).option("escape", '"').schema(schema).csv(path))
+    """CSV scan, nothing inferred: every field is read as text under its header
+    name, the declared columns are picked by name (other columns are pruned
+    by the CSV parser) and cast to their declared types (bad values -> null)."""
+    raw = (spark.read.option("header", True).option("inferSchema", False)
+           .option("multiLine", True).option("escape", '"').csv(path))
+    missing = [f.name for f in schema.fields if f.name not in raw.columns]
+    if missing:
+        raise ValueError(f"columns missing from {path}: {missing}")
+    return raw.select(*[F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name)
+                        for f in schema.fields])
 
 
 def write_panel(df: DataFrame, path: str, split_col: str = "split", mode: str = "overwrite") -> None:
