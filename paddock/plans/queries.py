@@ -29,7 +29,15 @@ def register(name: str):
 
 
 def clean_fixture_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.clean_panel(panel_fixture(spark, sf_dir), cuts=P.FIXTURE_CUTS)
+    """Stage 1 output, written once to the reliable checkpoint folder.
+
+    Every later stage branches several times off the panel (group statistics
+    joined back, fits, tests); the cut keeps those branches from re-running
+    the scan and the de-duplication windows, keeps the race partitioning
+    (later per-race aggregates need no exchange) and makes the stage boundary
+    survive lost executors, like the written stage file of the source pipeline.
+    """
+    return P.clean_panel(panel_fixture(spark, sf_dir), cuts=P.FIXTURE_CUTS).checkpoint()
 
 
 # ---------------------------------------------------------------- stage 1: panel
