@@ -30,8 +30,13 @@ def round_to(c: Column, digits: int = 6) -> Column:
     to an integer gives the same answer on both sides.
     """
     def once(x: Column, d: int) -> Column:
+        # half away from zero on the scaled double, in primitive arithmetic
+        # (Spark's round goes through BigDecimal per value); |v| >= 1e15 is
+        # already an integer in double precision and is left alone
         scale = F.lit(float(10 ** d))
-        return F.round(x * scale, 0) / scale
+        v = x * scale
+        r = F.when(F.abs(v) < F.lit(1e15), F.signum(v) * F.floor(F.abs(v) + F.lit(0.5))).otherwise(v)
+        return r / scale
 
     # snap to 9 digits first: two engines summing in different orders differ
     # in the last bits, which must not decide a 6-digit tie

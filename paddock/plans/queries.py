@@ -556,14 +556,19 @@ EMB_DIM = 64
 
 @register("vector_join")
 def q_vector_join(spark, sf_dir):
-    """Each runner's comment vector (by key), lagged one race per entity, one column per dimension."""
+    """Each runner's comment vector (by key), lagged one race per entity, one column per dimension.
+
+    The key is lagged, not the vector: the entity window sorts narrow rows and
+    the 64-float payload is joined on afterwards."""
     vec = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     n_vecs = vec.count()
     panel = clean_fixture_panel(spark, sf_dir).select("race_id", "horse_id", "date", "comment_key")
-    rows = EM.attach_vectors(panel, vec, F.pmod(F.col("comment_key"), F.lit(n_vecs)))
-    lagged = FT.lag_features(rows, ["embedding"], max_lag=1)
-    cols = [F.col("embedding_lag_1")[i].cast("double").alias(f"e_{i}_lag_1") for i in range(EMB_DIM)]
-    return round_doubles(lagged.select("race_id", "horse_id", *cols))
+    keyed = panel.withColumn("vec_key", F.pmod(F.col("comment_key"), F.lit(n_vecs)))
+    prev = FT.previous_values(keyed, ["vec_key"], 1).withColumnRenamed("_prev1_vec_key", "prev_key")
+    rows = EM.attach_vectors(prev, vec, F.col("prev_key"), out="embedding_lag_1")
+    cols = [F.coalesce(F.col("embedding_lag_1")[i].cast("double"), F.lit(0.0)).alias(f"e_{i}_lag_1")
+            for i in range(EMB_DIM)]
+    return round_doubles(rows.select("race_id", "horse_id", *cols))
 
 
 @register("text_vectors")
