@@ -5,8 +5,9 @@ Likelihood per race r with winner set W (k = |W|):
 k = 1 is the softmax case; its gradient and Hessian are sums of
 exp(u) x and exp(u) x x' per race, computed by one groupBy (combined
 map-side, so a very large race is reduced in pieces) and one global sum.
-Races with 2 <= k < n (dead heats) use the elementary-symmetric recursion
-in a grouped pandas step; races with k = 0 or k = n carry no information.
+Races with 2 <= k < n (dead heats) rebuild e_k from per-race power sums
+(Newton's identities), again map-side combined; races with k = 0 or k = n
+carry no information.
 Only P + P^2 numbers reach the driver per iteration (P = number of features).
 """
 
@@ -63,49 +64,90 @@ def _single_winner_terms(d: DataFrame, beta: np.ndarray, p: int):
     return per_race.agg(*tot)
 
 
-def _dead_heat_terms(d: DataFrame, beta: np.ndarray, p: int) -> DataFrame:
-    """Per-race loglik/gradient/Hessian for races with 2 <= k < n (elementary symmetric DP)."""
+def _dead_heat_terms(d: DataFrame, beta: np.ndarray, p: int, kmax: int) -> DataFrame:
+    """Per-race loglik/gradient/Hessian for races with 2 <= k < n winners.
+
+    e_k(w) is rebuilt from power sums p_m = sum w^m (m <= k) by Newton's
+    identities, and so are its first and second derivatives (d p_m = sum m w^m x,
+    d2 p_m = sum m^2 w^m x x').  Power sums are plain sums: a race of any size
+    is reduced map-side like the single-winner case, and only one row per race
+    (a few dozen numbers) goes through the vectorised numpy step.  w is
+    exp(u - max u) per race, so nothing overflows.
+    """
     import pandas as pd
 
-    b = [float(v) for v in beta]
+    u = sum((F.lit(float(beta[j])) * F.col(f"x{j}") for j in range(p)), F.lit(0.0))
+    heats = d.filter(F.col("k") >= 2).withColumn("_u", u)
+    heats = with_group_stats(heats, "race", F.max("_u").alias("_s"))
+    w = F.exp(F.col("_u") - F.col("_s"))
+    xs = [F.col(f"x{j}") for j in range(p)]
+    aggs = [F.first("k").alias("k"), F.first("_s").alias("s"), F.sum(F.col("y") * F.col("_u")).alias("uw")]
+    aggs += [F.sum(F.col("y") * xs[j]).alias(f"xw_{j}") for j in range(p)]
+    for m in range(1, kmax + 1):
+        wm = F.pow(w, F.lit(float(m)))
+        aggs.append(F.sum(wm).alias(f"p_{m}"))
+        aggs += [F.sum(F.lit(float(m)) * wm * xs[j]).alias(f"dp_{m}_{j}") for j in range(p)]
+        aggs += [F.sum(F.lit(float(m * m)) * wm * xs[j] * xs[l]).alias(f"ddp_{m}_{j}_{l}")
+                 for j in range(p) for l in range(j, p)]
+    per_race = heats.groupBy("race").agg(*aggs)
     out_schema = "ll double, " + ", ".join(f"g_{j} double" for j in range(p)) + ", " + ", ".join(
         f"h_{j}_{l} double" for j in range(p) for l in range(j, p))
 
-    def per_race(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[[f"x{j}" for j in range(p)]].to_numpy()
-        y = pdf["y"].to_numpy()
-        k = int(y.sum())
-        u = x @ np.array(b)
-        shift = u.max()
-        w = np.exp(u - shift)
-        e = np.zeros(k + 1)
-        de = np.zeros((k + 1, p))
-        d2e = np.zeros((k + 1, p, p))
-        e[0] = 1.0
-        for i in range(len(w)):
-            xi = x[i]
-            for j in range(min(i + 1, k), 0, -1):
-                d2e[j] += (w[i] * np.outer(xi, xi) * e[j - 1] + w[i] * np.outer(xi, de[j - 1])
-                           + w[i] * np.outer(de[j - 1], xi) + w[i] * d2e[j - 1])
-                de[j] += w[i] * xi * e[j - 1] + w[i] * de[j - 1]
-                e[j] += w[i] * e[j - 1]
-        ek, dek, d2ek = e[k], de[k], d2e[k]
-        ll = float(u[y == 1].sum() - (math.log(ek) + k * shift))
-        g = x[y == 1].sum(axis=0) - dek / ek
-        h = d2ek / ek - np.outer(dek, dek) / (ek * ek)
-        row = {"ll": ll, **{f"g_{j}": g[j] for j in range(p)},
-               **{f"h_{j}_{l}": h[j, l] for j in range(p) for l in range(j, p)}}
-        return pd.DataFrame([row])
-
-    heats = d.filter(F.col("k") >= 2).select("race", "y", *[f"x{j}" for j in range(p)])
-    return heats.groupBy("race").applyInPandas(per_race, out_schema)
+    def solve(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            r = len(pdf)
+            pw = np.zeros((kmax + 1, r))
+            dpw = np.zeros((kmax + 1, r, p))
+            ddpw = np.zeros((kmax + 1, r, p, p))
+            for m in range(1, kmax + 1):
+                pw[m] = pdf[f"p_{m}"].to_numpy()
+                for j in range(p):
+                    dpw[m, :, j] = pdf[f"dp_{m}_{j}"].to_numpy()
+                    for l in range(j, p):
+                        ddpw[m, :, j, l] = ddpw[m, :, l, j] = pdf[f"ddp_{m}_{j}_{l}"].to_numpy()
+            e = np.zeros((kmax + 1, r))
+            de = np.zeros((kmax + 1, r, p))
+            dde = np.zeros((kmax + 1, r, p, p))
+            e[0] = 1.0
+            for m in range(1, kmax + 1):
+                for i in range(1, m + 1):
+                    sg = 1.0 if i % 2 == 1 else -1.0
+                    e[m] += sg * e[m - i] * pw[i]
+                    de[m] += sg * (de[m - i] * pw[i][:, None] + e[m - i][:, None] * dpw[i])
+                    dde[m] += sg * (dde[m - i] * pw[i][:, None, None]
+                                    + np.einsum("rj,rl->rjl", de[m - i], dpw[i])
+                                    + np.einsum("rj,rl->rjl", dpw[i], de[m - i])
+                                    + e[m - i][:, None, None] * ddpw[i])
+                e[m] /= m
+                de[m] /= m
+                dde[m] /= m
+            k = pdf["k"].to_numpy().astype(int)
+            idx = np.arange(r)
+            ek, dek, ddek = e[k, idx], de[k, idx], dde[k, idx]
+            ll = pdf["uw"].to_numpy() - (np.log(ek) + k * pdf["s"].to_numpy())
+            xw = np.stack([pdf[f"xw_{j}"].to_numpy() for j in range(p)], axis=1)
+            g = xw - dek / ek[:, None]
+            h = ddek / ek[:, None, None] - np.einsum("rj,rl->rjl", dek, dek) / (ek * ek)[:, None, None]
+            out = {"ll": ll, **{f"g_{j}": g[:, j] for j in range(p)},
+                   **{f"h_{j}_{l}": h[:, j, l] for j in range(p) for l in range(j, p)}}
+            yield pd.DataFrame(out)
+
+    return per_race.mapInPandas(solve, out_schema)
+
+
+MAX_WINNERS = 50  # Newton's identities lose precision beyond a few dozen tied winners
 
 
 def fit_conditional_logit(df: DataFrame, features: list[str], y: str = "is_winner", race: str = "race_id",
                           max_iter: int = 50, tol: float = 1e-10, start: list[float] | None = None) -> ChoiceFit:
     p = len(features)
     d = _prepare(df, features, y, race).checkpoint()  # reliable cut: every iteration re-reads it
-    has_heats = d.filter(F.col("k") >= 2).limit(1).count() > 0
+    kmax = d.filter(F.col("k") >= 2).agg(F.max("k").alias("m")).collect()[0]["m"]
+    has_heats = kmax is not None
+    if has_heats and kmax > MAX_WINNERS:
+        raise ValueError(f"a race has {kmax} tied winners; at most {MAX_WINNERS} are supported")
     beta = np.zeros(p) if start is None else np.array(start, dtype=float)
     hist, converged, it = [], False, 0
     g = np.zeros(p)
@@ -122,7 +164,7 @@ def fit_conditional_logit(df: DataFrame, features: list[str], y: str = "is_winne
             for l in range(j, p):
                 h[j, l] = h[l, j] = float(row[f"h_{j}_{l}"] or 0.0)
         if has_heats:
-            extra = _dead_heat_terms(d, beta, p).agg(
+            extra = _dead_heat_terms(d, beta, p, int(kmax)).agg(
                 F.sum("ll").alias("ll"), F.count(F.lit(1)).alias("n"),
                 *[F.sum(f"g_{j}").alias(f"g_{j}") for j in range(p)],
                 *[F.sum(f"h_{j}_{l}").alias(f"h_{j}_{l}") for j in range(p) for l in range(j, p)],

@@ -94,3 +94,35 @@ def test_encoder_padding_mask(spark):
     assert masked[3] is None
     padded = {r["doc_id"]: r["embedding"] for r in EM.encode_texts(df, batch_size=8, include_padding=True).collect()}
     assert not np.allclose(padded[2], masked[2])    # reference mode: padding enters the mean
+
+
+def test_conditional_logit_dead_heats_match_subset_enumeration(spark):
+    """Races with tied winners: the fitted beta zeroes the exact score computed by
+    enumerating every k-subset of runners."""
+    import itertools
+
+    rng = np.random.default_rng(11)
+    rows, races = [], []
+    for r in range(120):
+        n = int(rng.integers(3, 7))
+        x = rng.normal(size=(n, 2))
+        k = 1 if r % 3 else int(rng.integers(2, n))
+        winners = set(rng.choice(n, size=k, replace=False).tolist())
+        rows += [(r, i, float(x[i, 0]), float(x[i, 1]), int(i in winners)) for i in range(n)]
+        races.append((x, winners))
+    df = spark.createDataFrame(rows, "race_id long, horse_id long, a double, b double, is_winner int")
+    fit = CH.fit_conditional_logit(df, ["a", "b"])
+    beta = np.array(fit.params, dtype=float)
+
+    def score(bv):
+        g = np.zeros(2)
+        for x, winners in races:
+            w = np.exp(x @ bv)
+            k = len(winners)
+            subs = list(itertools.combinations(range(len(w)), k))
+            ws = np.array([np.prod(w[list(c)]) for c in subs])
+            xs = np.array([x[list(c)].sum(axis=0) for c in subs])
+            g += x[list(winners)].sum(axis=0) - (ws[:, None] * xs).sum(axis=0) / ws.sum()
+        return g
+
+    assert np.max(np.abs(score(beta))) < 1e-6
