@@ -116,15 +116,15 @@ def phrase_scores(clause_tokens: DataFrame, min_count: int = 100, threshold: flo
     items = F.concat(F.transform(F.col(tokens), lambda t: F.struct(t.alias("a"), F.lit(None).cast("string").alias("b"))),
                      F.transform(bigrams(F.col(tokens)), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"))))
     counts = clause_tokens.select(F.explode(items).alias("it")).groupBy("it.a", "it.b").agg(
-        F.count(F.lit(1)).alias("n"))
+        F.count(F.lit(1)).alias("n")).checkpoint()  # reliable cut: V and both joins read it
+    vocab_size = counts.count()
     uni = counts.filter(F.col("b").isNull()).select(F.col("a").alias("w"), "n")
     bi = counts.filter(F.col("b").isNotNull()).select("a", "b", F.col("n").alias("n_ab"))
-    vocab_size = counts.agg(F.count(F.lit(1)).alias("V"))
     cand = bi.filter(F.col("n_ab") > min_count)
     ua = uni.select(F.col("w").alias("a"), F.col("n").alias("n_a"))
     ub = uni.select(F.col("w").alias("b"), F.col("n").alias("n_b"))
-    scored = cand.join(ua, "a").join(ub, "b").crossJoin(F.broadcast(vocab_size))
-    scored = scored.withColumn("score", (F.col("n_ab") - F.lit(min_count)).cast("double") * F.col("V")
+    scored = cand.join(ua, "a").join(ub, "b")
+    scored = scored.withColumn("score", (F.col("n_ab") - F.lit(min_count)).cast("double") * F.lit(float(vocab_size))
                                / (F.col("n_a").cast("double") * F.col("n_b")))
     return scored.filter(F.col("score") > threshold).select("a", "b", "n_ab", "score")
 

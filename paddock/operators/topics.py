@@ -49,12 +49,15 @@ def top_terms(tw: DataFrame, n: int = 15) -> DataFrame:
 
 
 def topic_uniqueness(top: DataFrame, topn: int = 15) -> DataFrame:
-    """One row: n_topics, tu_score (Nan et al. 2019)."""
-    per_term = top.groupBy("term").agg(F.count(F.lit(1)).alias("c"))
-    s = per_term.agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("shared"))
-    k = top.agg(F.countDistinct("topic").alias("n_topics"))
+    """One row: n_topics, tu_score (Nan et al. 2019).
+
+    One aggregate over the union of per-term shares and per-topic markers."""
+    per_term = top.groupBy("term").agg(F.count(F.lit(1)).alias("c")).select(
+        (F.col("c") * (F.col("c") - 1)).alias("shared"), F.lit(0).alias("t"))
+    topics = top.select("topic").distinct().select(F.lit(0).cast("long").alias("shared"), F.lit(1).alias("t"))
+    agg = per_term.unionByName(topics).agg(F.sum("shared").alias("shared"), F.sum("t").alias("n_topics"))
     denom = F.lit(float(topn)) * F.col("n_topics") * (F.col("n_topics") - 1)
-    return k.crossJoin(s).select(
+    return agg.select(
         F.col("n_topics").cast("long").alias("n_topics"),
         (F.lit(1.0) - F.try_divide(F.coalesce(F.col("shared"), F.lit(0)).cast("double"),
                                    F.when(denom > 0, denom))).alias("tu_score"))
@@ -64,11 +67,12 @@ def topic_similarity(tw: DataFrame) -> DataFrame:
     """One row: n_topics, avg_topic_similarity (mean cosine over ordered pairs i != j; 0 for one topic)."""
     norms = tw.groupBy("topic").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"))
     unit = tw.join(norms, "topic").select("term", F.try_divide(F.col("weight"), F.col("_norm")).alias("u"))
-    col_sums = unit.groupBy("term").agg(F.sum("u").alias("s"))
-    sq = col_sums.agg(F.sum(F.col("s") * F.col("s")).alias("ss"))
-    k = norms.agg(F.count(F.lit(1)).alias("n_topics"))
+    col_sums = unit.groupBy("term").agg(F.sum("u").alias("s")).select(
+        (F.col("s") * F.col("s")).alias("ss"), F.lit(0).alias("t"))
+    agg = col_sums.unionByName(norms.select(F.lit(0.0).alias("ss"), F.lit(1).alias("t"))).agg(
+        F.sum("ss").alias("ss"), F.sum("t").alias("n_topics"))
     pairs = F.col("n_topics") * (F.col("n_topics") - 1)
-    return k.crossJoin(sq).select(
+    return agg.select(
         F.col("n_topics").cast("long").alias("n_topics"),
         F.when(pairs > 0, (F.col("ss") - F.col("n_topics")) / pairs).otherwise(F.lit(0.0)).alias(
             "avg_topic_similarity"))
@@ -84,11 +88,11 @@ def _union_size(iv: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def window_islands(texts: DataFrame, relevant: DataFrame, window: int = 110, tokens: str = "tokens",
-                   key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+                   key: str = "doc_id") -> DataFrame:
     """Window-start intervals of each relevant word per document, merged into islands.
 
     A document of L tokens has max(L - w + 1, 1) windows (a short document is
-    one window).  Returns (islands(doc, term, start, end), window count per doc).
+    one window).  Returns islands(doc, term, start, end, nwin).
     """
     n = F.size(tokens)
     nwin = F.greatest(n - F.lit(window) + 1, F.lit(1))
@@ -101,9 +105,9 @@ def window_islands(texts: DataFrame, relevant: DataFrame, window: int = 110, tok
     prev_end = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(prev_end.isNull() | (F.col("start") > prev_end + 1), 1).otherwise(0)
     isl = occ.withColumn("_new", new).withColumn("_isl", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    islands = isl.groupBy(key, "term", "_isl").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    windows = occ.groupBy(key).agg(F.max("nwin").alias("nwin"))
-    return islands.drop("_isl"), windows
+    islands = isl.groupBy(key, "term", "_isl").agg(F.min("start").alias("start"), F.max("end").alias("end"),
+                                                    F.max("nwin").alias("nwin"))
+    return islands.drop("_isl")
 
 
 def coherence_cv(top: DataFrame, texts: DataFrame, window: int = 110, tokens: str = "tokens",
@@ -117,8 +121,10 @@ def coherence_cv(top: DataFrame, texts: DataFrame, window: int = 110, tokens: st
     spark = texts.sparkSession
     words = spark.createDataFrame(rows, top.select("topic", "term").schema)
     relevant = words.select("term").distinct()
-    islands, windows = window_islands(texts, relevant, window, tokens, key)
-    n_windows = windows.agg(F.sum("nwin").cast("double").alias("N"))
+    # reliable cut: the islands feed four branches below
+    islands = window_islands(texts, relevant, window, tokens, key).checkpoint()
+    n_windows = islands.groupBy(key).agg(F.max("nwin").alias("nwin")).agg(F.sum("nwin").alias("N")).collect()[0]["N"]
+    n_windows = float(n_windows or 0)
 
     occ = islands.groupBy("term").agg(F.sum(F.col("end") - F.col("start") + 1).alias("occ"))
 
@@ -142,7 +148,7 @@ def coherence_cv(top: DataFrame, texts: DataFrame, window: int = 110, tokens: st
     g = (grid.join(co_sym.select(F.col("u").alias("wi"), F.col("v").alias("wj"), "co"), ["wi", "wj"], "left")
          .join(occ.select(F.col("term").alias("wi"), F.col("occ").alias("ci")), "wi", "left")
          .join(occ.select(F.col("term").alias("wj"), F.col("occ").alias("cj")), "wj", "left")
-         .crossJoin(F.broadcast(n_windows)))
+         .withColumn("N", F.lit(n_windows)))
     p_ij = F.coalesce(F.col("co"), F.lit(0)).cast("double") / F.col("N")
     p_i = F.col("ci").cast("double") / F.col("N")
     p_j = F.col("cj").cast("double") / F.col("N")

@@ -448,7 +448,7 @@ def q_lda_perplexity(spark, sf_dir):
     tw = TP.lda_topic_terms(cv, model, spark)
     top = TP.top_terms(tw, TOPN)
     ppl = TP.perplexity(cv, model, clean)
-    m = TP.topic_uniqueness(top, TOPN).crossJoin(TP.topic_similarity(tw).drop("n_topics"))
+    m = TP.topic_uniqueness(top, TOPN).join(TP.topic_similarity(tw), "n_topics")
     return round_doubles(m.withColumn("perplexity", F.lit(ppl)))
 
 
