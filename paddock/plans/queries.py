@@ -321,7 +321,7 @@ def q_phrase_merge(spark, sf_dir):
 @register("tfidf_filter")
 def q_tfidf_filter(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    bow = TX.bag_of_words(TX.clean_documents(docs))
+    bow = TX.bag_of_words(TX.clean_documents(docs)).checkpoint()  # the corpus as (doc, term, n), read twice
     return round_doubles(TX.tfidf_filter(bow, 0.05, n_docs=docs.count()))
 
 
@@ -396,7 +396,8 @@ def _source_topics(spark, sf_dir):
     docs = read_documents(spark, sf_dir, "doc_id", "text", "source")
     clean = TX.clean_documents(docs.select("doc_id", "text"))
     tw = TP.grouped_topic_terms(TX.bag_of_words(clean), docs.select("doc_id", F.col("source").alias("topic")))
-    return clean, tw
+    # the topic-term table is the model: written once, read by every metric branch
+    return clean, tw.checkpoint()
 
 
 @register("top_terms")
