@@ -636,3 +636,18 @@ def q_flatten_clauses(spark, sf_dir):
     flat = TX.flatten_clauses(_clause_tokens(spark, sf_dir), separator="-")
     return flat.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"),
                        F.array_join("tokens", " ").alias("flattened"))
+
+
+@register("lda_evaluation")
+def q_lda_evaluation(spark, sf_dir):
+    """One metrics row for a fitted LDA model: mean c_v coherence, perplexity,
+    topic uniqueness and mean topic similarity."""
+    clean, cv, model = _lda(spark, sf_dir)
+    tw = TP.lda_topic_terms(cv, model, spark).checkpoint()
+    top = TP.top_terms(tw, TOPN)
+    coherence = TP.coherence_cv(top, clean, window=COHERENCE_WINDOW).agg(F.avg("coherence").alias("coherence"))
+    ppl = TP.perplexity(cv, model, clean)
+    m = TP.topic_uniqueness(top, TOPN).join(TP.topic_similarity(tw), "n_topics")
+    m = m.withColumn("perplexity", F.lit(ppl)).withColumn("coherence", F.lit(coherence.collect()[0]["coherence"]))
+    return round_doubles(m.select(F.lit("lda").alias("model_type"), "n_topics", "coherence", "perplexity",
+                                  "tu_score", "avg_topic_similarity"))
