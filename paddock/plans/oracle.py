@@ -721,3 +721,45 @@ fl AS (SELECT doc_id, flatten(list(CASE WHEN clause_no > 0 THEN list_prepend('-'
                                    ORDER BY clause_no)) AS t FROM ctok GROUP BY doc_id)
 SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, array_to_string(t, ' ') AS flattened FROM fl
 """
+
+
+# ------------------------------------------------------------------ two-feature conditional logit (recursive Newton)
+
+def _coef_cols(tag: str, b: str, se: str) -> str:
+    return (f"round({b}, 6) AS {tag}_hat, round({b} / {se}, 6) AS {tag}_z_stat, round({se}, 6) AS {tag}_se, "
+            f"round({b} - 1.959963984540054 * {se}, 6) AS {tag}_ci_lower, "
+            f"round({b} + 1.959963984540054 * {se}, 6) AS {tag}_ci_upper, "
+            f"round({sql_erfc(f'abs({b} / {se}) / sqrt(2)')}, 6) AS {tag}_p_val")
+
+
+SQL["choice_fit_form"] = "WITH RECURSIVE " + PANEL + """,
+fm AS (SELECT race_id, split, is_winner, logit_sp_win_prob AS x1,
+         coalesce(avg(CAST(is_winner AS DOUBLE)) OVER (PARTITION BY horse_id ORDER BY date, race_id
+                  ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 0.0) AS x2
+       FROM panel2),
+tr AS (SELECT race_id, x1, x2, is_winner AS y FROM fm WHERE split = 'train'),
+k1 AS (SELECT race_id FROM tr GROUP BY race_id HAVING sum(y) = 1 AND count(*) > 1),
+d AS (SELECT tr.* FROM tr JOIN k1 USING (race_id)),
+nt(it, b1, b2, h11, h12, h22) AS (
+  SELECT 0, CAST(0.0 AS DOUBLE), CAST(0.0 AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)
+  UNION ALL
+  SELECT it + 1, b1 + (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12),
+         b2 + (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12), h11, h12, h22
+  FROM (SELECT it, b1, b2, sum(xw1 - s1a / s0) AS g1, sum(xw2 - s1b / s0) AS g2,
+               sum(s2aa / s0 - s1a * s1a / (s0 * s0)) AS h11, sum(s2ab / s0 - s1a * s1b / (s0 * s0)) AS h12,
+               sum(s2bb / s0 - s1b * s1b / (s0 * s0)) AS h22
+        FROM (SELECT nt.it, nt.b1, nt.b2, d.race_id,
+                     sum(exp(nt.b1 * d.x1 + nt.b2 * d.x2)) AS s0,
+                     sum(d.x1 * exp(nt.b1 * d.x1 + nt.b2 * d.x2)) AS s1a,
+                     sum(d.x2 * exp(nt.b1 * d.x1 + nt.b2 * d.x2)) AS s1b,
+                     sum(d.x1 * d.x1 * exp(nt.b1 * d.x1 + nt.b2 * d.x2)) AS s2aa,
+                     sum(d.x1 * d.x2 * exp(nt.b1 * d.x1 + nt.b2 * d.x2)) AS s2ab,
+                     sum(d.x2 * d.x2 * exp(nt.b1 * d.x1 + nt.b2 * d.x2)) AS s2bb,
+                     sum(d.y * d.x1) AS xw1, sum(d.y * d.x2) AS xw2
+              FROM nt, d WHERE nt.it < 30 GROUP BY nt.it, nt.b1, nt.b2, d.race_id) per
+        GROUP BY it, b1, b2) agg),
+fin AS (SELECT b1, b2, sqrt(h22 / (h11 * h22 - h12 * h12)) AS se1, sqrt(h11 / (h11 * h22 - h12 * h12)) AS se2
+        FROM nt WHERE it = 30)
+SELECT 'form' AS model, """ + _coef_cols("beta", "b1", "se1") + ", " + _coef_cols("gamma", "b2", "se2") + """
+FROM fin
+"""
