@@ -36,7 +36,8 @@ def round_to(c: Column, digits: int = 6) -> Column:
         scale = F.lit(float(10 ** d))
         v = x * scale
         r = F.when(F.abs(v) < F.lit(1e15), F.signum(v) * F.floor(F.abs(v) + F.lit(0.5))).otherwise(v)
-        return r / scale
+        # no negative zero: the SQL engines return +0.0 for values that round to zero
+        return F.when(r == 0, F.lit(0.0)).otherwise(r / scale)
 
     # snap to 9 digits first: two engines summing in different orders differ
     # in the last bits, which must not decide a 6-digit tie
