@@ -680,7 +680,7 @@ pv AS (SELECT panel.race_id, panel.horse_id, panel.date, e.embedding
        FROM panel CROSS JOIN nv LEFT JOIN embeddings e ON e.vec_id = panel.comment_key % nv.n),
 lg AS (SELECT race_id, horse_id, lag(embedding) OVER (PARTITION BY horse_id ORDER BY date, race_id) AS prev FROM pv)
 SELECT race_id, horse_id, """ + ", ".join(
-    f"round(coalesce(CAST(prev[{i + 1}] AS DOUBLE), 0.0), 6) AS e_{i}_lag_1" for i in range(64)) + " FROM lg")
+    f"coalesce(CAST(prev[{i + 1}] AS DOUBLE), 0.0) AS e_{i}_lag_1" for i in range(64)) + " FROM lg")
 
 
 # ------------------------------------------------------------------ sweep over topic models, entity ids

@@ -567,9 +567,10 @@ def q_vector_join(spark, sf_dir):
     keyed = panel.withColumn("vec_key", F.pmod(F.col("comment_key"), F.lit(n_vecs)))
     prev = FT.previous_values(keyed, ["vec_key"], 1).withColumnRenamed("_prev1_vec_key", "prev_key")
     rows = EM.attach_vectors(prev, vec, F.col("prev_key"), out="embedding_lag_1")
+    # the vectors pass through unchanged (float -> double is exact): nothing to round
     cols = [F.coalesce(F.col("embedding_lag_1")[i].cast("double"), F.lit(0.0)).alias(f"e_{i}_lag_1")
             for i in range(EMB_DIM)]
-    return round_doubles(rows.select("race_id", "horse_id", *cols))
+    return rows.select("race_id", "horse_id", *cols)
 
 
 @register("text_vectors")
