@@ -87,3 +87,14 @@ def test_rolling_mean_excludes_current(spark):
     out = {r["race_id"]: r["x_rollavg_2"] for r in FT.rolling_mean(_history(spark), ["x"], window=2)
            .filter(F.col("horse_id") == "h1").collect()}
     assert out[1] == 0.0 and out[2] == 1.0 and out[3] == 1.5 and out[6] == 4.5
+
+
+def test_numpy_and_jvm_bisection_agree(spark):
+    df = _races(spark)
+    for m in ("power", "odds_ratio", "shin"):
+        a = {(r[0], r[1]): r[2] for r in MG.remove_margin(df, m).select("race_id", "horse_id", f"{m}_win_prob").collect()}
+        b = {(r[0], r[1]): r[2] for r in MG.remove_margin_jvm(df, m).select(
+            "race_id", "horse_id", f"{m}_win_prob").collect()}
+        assert a.keys() == b.keys()
+        for k in a:
+            assert (a[k] is None and b[k] is None) or abs(a[k] - b[k]) < 1e-12, (m, k, a[k], b[k])

@@ -111,3 +111,17 @@ def test_coherence_matches_window_enumeration(spark):
     want = _cv_brute(topics, texts, w)
     for k in topics:
         assert math.isclose(got[k], want[k], rel_tol=1e-9, abs_tol=1e-12), (k, got[k], want[k])
+
+
+def test_flag_string_merge_equals_sequential_scan(spark):
+    """The O(n) flag-string merge equals the left-to-right scan it replaces."""
+    from paddock.functions.text import bigrams, greedy_merge, greedy_merge_flags
+
+    rows = [(1, ["a", "b", "c", "d", "e"], [0, 1, 3]), (2, ["x", "y"], [0]), (3, ["q"], []),
+            (4, ["a", "b", "c", "d"], [0, 1, 2]), (5, [], [])]
+    df = spark.createDataFrame(rows, "id int, t array<string>, f array<int>")
+    flagged = F.transform(bigrams(F.col("t")), lambda p, i: F.array_contains(F.col("f"), i))
+    out = df.select("id", greedy_merge(F.col("t"), F.col("f")).alias("seq"),
+                    greedy_merge_flags(F.col("t"), flagged).alias("fast")).collect()
+    for r in out:
+        assert r["seq"] == r["fast"], r
