@@ -98,3 +98,19 @@ def test_numpy_and_jvm_bisection_agree(spark):
         assert a.keys() == b.keys()
         for k in a:
             assert (a[k] is None and b[k] is None) or abs(a[k] - b[k]) < 1e-12, (m, k, a[k], b[k])
+
+
+def test_null_keys_labels_and_entities(spark):
+    from paddock.operators import panel as P
+
+    rows = [(1, "2018-01-01", "A", "2/1", "1"), (1, "2018-01-01", "B", "3/1", None),
+            (None, "2018-01-02", "C", "4/1", "1"), (2, "bad date", None, "5/1", "1"), (2, "bad date", "A", "1/1", "2")]
+    raw = spark.createDataFrame(rows, "race_id long, date string, horse string, sp_raw string, pos string")
+    raw = P.entity_ids(raw.withColumn("row_id", F.monotonically_increasing_id()).coalesce(1))
+    ids = {r["horse"]: r["horse_id"] for r in raw.select("horse", "horse_id").collect()}
+    assert ids[None] == 0 and ids["A"] == 1                      # null entity -> 0, first appearance -> 1
+    clean = P.clean_panel(raw)
+    got = {(r["race_id"], r["horse"]): (r["is_winner"], r["split"]) for r in clean.collect()}
+    assert (None, "C") not in got                                # a null race key forms no race
+    assert got[(1, "B")] == (0, "train")                         # null position is a loss, not null
+    assert got[(2, "A")] == (0, None)                            # unparseable date -> no split
