@@ -763,3 +763,39 @@ fin AS (SELECT b1, b2, sqrt(h22 / (h11 * h22 - h12 * h12)) AS se1, sqrt(h11 / (h
 SELECT 'form' AS model, """ + _coef_cols("beta", "b1", "se1") + ", " + _coef_cols("gamma", "b2", "se2") + """
 FROM fin
 """
+
+
+# ------------------------------------------------------------------ isotonic calibration (min-max formula)
+
+_NB_ROWS = _LAG + """,
+tr AS (SELECT * FROM lagged WHERE split = 'train'),
+va AS (SELECT * FROM lagged WHERE split = 'val'),
+ids AS (SELECT CAST(range AS INTEGER) AS j FROM range(0, (SELECT count(*) FROM cats_source))),
+nc AS (SELECT is_winner AS y, count(*) AS n FROM tr GROUP BY is_winner),
+kc AS (SELECT is_winner AS y, prev_t AS j, count(*) AS k FROM tr WHERE hrn > 1 AND prev_t IS NOT NULL GROUP BY 1, 2),
+th AS (SELECT ids.j, nc.y, (coalesce(kc.k, 0) + 1.0) / (nc.n + 2.0) AS theta
+       FROM ids CROSS JOIN nc LEFT JOIN kc ON kc.j = ids.j AND kc.y = nc.y),
+base AS (SELECT y, sum(ln(1 - theta)) AS b FROM th GROUP BY y),
+pri AS (SELECT y, ln(n / (SELECT sum(n) FROM nc)) AS lp FROM nc),
+jl AS (SELECT va.race_id, va.horse_id, va.is_winner, pri.y,
+              pri.lp + base.b + coalesce(ln(th.theta) - ln(1 - th.theta), 0) AS jl
+       FROM va CROSS JOIN pri JOIN base ON base.y = pri.y
+       LEFT JOIN th ON th.y = pri.y AND va.hrn > 1 AND th.j = va.prev_t),
+nbp AS (SELECT race_id, horse_id, is_winner,
+               1 / (1 + exp(greatest(-700, least(700, max(jl) FILTER (WHERE y = 0) - max(jl) FILTER (WHERE y = 1)))))
+                 AS p
+        FROM jl GROUP BY race_id, horse_id, is_winner)
+"""
+
+# isotonic fit at the distinct scores (ties pooled): f(i) = max_{j<=i} min_{k>=i} mean(y over blocks j..k)
+SQL["isotonic"] = _with(_NB_ROWS + """,
+pts AS (SELECT p AS x, count(*) AS n, sum(is_winner) AS sy FROM nbp GROUP BY p),
+pc AS (SELECT *, row_number() OVER (ORDER BY x) AS i, sum(sy) OVER (ORDER BY x) AS csy,
+              sum(n) OVER (ORDER BY x) AS cn FROM pts),
+sg AS (SELECT a.i AS j, b.i AS k, (b.csy - a.csy + a.sy) / CAST(b.cn - a.cn + a.n AS DOUBLE) AS m
+       FROM pc a JOIN pc b ON a.i <= b.i),
+mn AS (SELECT pc.i, s.j, min(s.m) AS mn FROM pc JOIN sg s ON s.j <= pc.i AND s.k >= pc.i GROUP BY pc.i, s.j),
+fit AS (SELECT i, max(mn) AS f FROM mn GROUP BY i)
+SELECT nbp.race_id, nbp.horse_id, round(nbp.p, 6) AS nb_prob, round(least(1.0, fit.f), 6) AS calibrated_nb_prob
+FROM nbp JOIN pc ON pc.x = nbp.p JOIN fit ON fit.i = pc.i
+""")
