@@ -21,10 +21,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     input already arrives in many splits and is left alone, so no extra
     shuffle is added at scale; when it is added, later groupings on ``key``
     reuse it."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores, key)
-    return df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave the scan as it is
+        return df
+    return df.repartition(cores, key) if splits < cores else df
 
 
 def read_documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
