@@ -202,9 +202,56 @@ def fit_logistic(train: DataFrame, features: list[str], label: str, fit_intercep
     return lr.fit(data)
 
 
+@dataclass(frozen=True)
+class LogisticFit:
+    intercept: float
+    coefficients: tuple[float, ...]
+    iterations: int
+
+
+def fit_logistic_newton(df: DataFrame, features: list[str], label: str, c: float = 1.0, fit_intercept: bool = True,
+                        max_iter: int = 100, tol: float = 1e-12) -> LogisticFit:
+    """L2 logistic regression (0.5 |w|^2 + C sum logloss, intercept unpenalised) by Newton's method.
+
+    Each step is one aggregation (gradient and Hessian sums, combined
+    map-side); only (P + 1) + (P + 1)^2 numbers reach the driver.  For the
+    few features of the margin comparison this converges to machine
+    precision in a handful of steps."""
+    import numpy as np
+
+    cols = ([F.lit(1.0)] if fit_intercept else []) + [F.col(f).cast("double") for f in features]
+    q = len(cols)
+    d = df.select(*[cc.alias(f"z{j}") for j, cc in enumerate(cols)], F.col(label).cast("double").alias("y")) \
+        .dropna().checkpoint()
+    pen = np.eye(q)
+    if fit_intercept:
+        pen[0, 0] = 0.0
+    theta = np.zeros(q)
+    it = 0
+    for it in range(1, max_iter + 1):
+        eta = sum((F.lit(float(theta[j])) * F.col(f"z{j}") for j in range(q)), F.lit(0.0))
+        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
+        w = p * (F.lit(1.0) - p)
+        aggs = [F.sum((p - F.col("y")) * F.col(f"z{j}")).alias(f"g{j}") for j in range(q)]
+        aggs += [F.sum(w * F.col(f"z{j}") * F.col(f"z{l}")).alias(f"h{j}_{l}") for j in range(q) for l in range(j, q)]
+        row = d.agg(*aggs).collect()[0]
+        g = np.array([c * row[f"g{j}"] for j in range(q)]) + pen @ theta
+        h = np.zeros((q, q))
+        for j in range(q):
+            for l in range(j, q):
+                h[j, l] = h[l, j] = c * row[f"h{j}_{l}"]
+        step = np.linalg.solve(h + pen, g)
+        theta = theta - step
+        if np.max(np.abs(step)) < tol:
+            break
+    if fit_intercept:
+        return LogisticFit(float(theta[0]), tuple(float(v) for v in theta[1:]), it)
+    return LogisticFit(0.0, tuple(float(v) for v in theta), it)
+
+
 def logistic_prob(model, features: list[str]) -> Column:
-    """P(y=1) of a fitted binary logistic model as a column expression."""
-    coef = model.coefficients.toArray().tolist()
+    """P(y=1) of a fitted binary logistic model (Spark ML or ``LogisticFit``) as a column expression."""
+    coef = list(model.coefficients) if isinstance(model, LogisticFit) else model.coefficients.toArray().tolist()
     z = F.lit(float(model.intercept))
     for f, w in zip(features, coef):
         z = z + F.col(f) * F.lit(float(w))

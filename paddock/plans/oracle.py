@@ -799,3 +799,84 @@ fit AS (SELECT i, max(mn) AS f FROM mn GROUP BY i)
 SELECT nbp.race_id, nbp.horse_id, round(nbp.p, 6) AS nb_prob, round(least(1.0, fit.f), 6) AS calibrated_nb_prob
 FROM nbp JOIN pc ON pc.x = nbp.p JOIN fit ON fit.i = pc.i
 """)
+
+
+# ------------------------------------------------------------------ margin methods compared by logistic regression
+
+def _margin_cte(name: str, term: str, lo: str, hi: str, prob: str, renorm: bool, fallback: bool) -> str:
+    """Per-race bisection for one method as CTEs suffixed ``_{name}``; ends in
+    ``mg_{name}(race_id, horse_id, p)`` with the clipped, unrounded probability."""
+    t = lambda v: term.replace("{t}", v)
+    s = name
+    return f""",
+rr_{s} AS (SELECT race_id, horse_id, 1.0 / sp AS pi FROM panel),
+rb_{s} AS (SELECT race_id, max(pi) AS pmax, sum(pi) AS pisum FROM rr_{s} GROUP BY race_id),
+ends_{s} AS (
+  SELECT rb.race_id, {lo.replace('pmax', 'rb.pmax')} AS lo0, {hi.replace('pmax', 'rb.pmax')} AS hi0,
+         sum({t(lo.replace('pmax', 'rb.pmax'))}) - 1 AS fa, sum({t(hi.replace('pmax', 'rb.pmax'))}) - 1 AS fb
+  FROM rb_{s} rb JOIN rr_{s} rr USING (race_id) GROUP BY rb.race_id, rb.pmax),
+bis_{s}(race_id, it, lo, hi) AS (
+  SELECT race_id, 0, CAST(lo0 AS DOUBLE), CAST(hi0 AS DOUBLE) FROM ends_{s}
+  UNION ALL
+  SELECT race_id, it + 1, CASE WHEN f > 0 THEN mid ELSE lo END, CASE WHEN f > 0 THEN hi ELSE mid END
+  FROM (SELECT bis.race_id, bis.it, bis.lo, bis.hi, (bis.lo + bis.hi) / 2 AS mid,
+               sum({t('((bis.lo + bis.hi) / 2)')}) - 1 AS f
+        FROM bis_{s} bis JOIN rr_{s} rr ON rr.race_id = bis.race_id WHERE bis.it < 64
+        GROUP BY bis.race_id, bis.it, bis.lo, bis.hi)),
+root_{s} AS (
+  SELECT e.race_id, CASE WHEN e.fa * e.fb > 0 THEN NULL WHEN e.fa = 0 THEN e.lo0 WHEN e.fb = 0 THEN e.hi0
+                         ELSE (b.lo + b.hi) / 2 END AS r
+  FROM ends_{s} e JOIN bis_{s} b ON b.race_id = e.race_id AND b.it = 64),
+raw_{s} AS (SELECT rr.*, rb.pisum, root.r, {prob.replace('{t}', 'root.r')} AS q
+            FROM rr_{s} rr JOIN rb_{s} rb USING (race_id) JOIN root_{s} root USING (race_id)),
+nrm_{s} AS (SELECT race_id, sum(q) AS qs FROM raw_{s} GROUP BY race_id),
+mg_{s} AS (SELECT raw.race_id, raw.horse_id, greatest(1e-12, least(1 - 1e-12,
+  CASE WHEN raw.r IS NULL THEN {'pi / pisum' if fallback else 'NULL'}
+       ELSE {'q / nrm.qs' if renorm else 'q'} END)) AS p
+  FROM raw_{s} raw JOIN nrm_{s} nrm USING (race_id))"""
+
+
+def _logit_fit(m: str) -> str:
+    """Newton for L2 logistic regression (C = 1, intercept unpenalised) on one margin logit."""
+    return f""",
+tr_{m} AS (SELECT x_{m} AS x, CAST(is_winner AS DOUBLE) AS y FROM lg WHERE split = 'train' AND x_{m} IS NOT NULL),
+nt_{m}(it, a, b) AS (
+  SELECT 0, CAST(0.0 AS DOUBLE), CAST(0.0 AS DOUBLE)
+  UNION ALL
+  SELECT it + 1, a - (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b - (haa * gb - hab * ga) / (haa * hbb - hab * hab)
+  FROM (SELECT it, a, b, sum(pp - y) AS ga, sum((pp - y) * x) + b AS gb, sum(pp * (1 - pp)) AS haa,
+               sum(pp * (1 - pp) * x) AS hab, sum(pp * (1 - pp) * x * x) + 1 AS hbb
+        FROM (SELECT nt.it, nt.a, nt.b, t.x, t.y, 1 / (1 + exp(-(nt.a + nt.b * t.x))) AS pp
+              FROM nt_{m} nt, tr_{m} t WHERE nt.it < 25) s
+        GROUP BY it, a, b) g),
+fit_{m} AS (SELECT a, b FROM nt_{m} WHERE it = 25),
+va_{m} AS (SELECT lg.race_id, lg.is_winner, lg.uniform_prob, 1 / (1 + exp(-(f.a + f.b * lg.x_{m}))) AS pr
+           FROM lg CROSS JOIN fit_{m} f WHERE lg.split = 'val'),
+vn_{m} AS (SELECT va.*, va.pr / s.ps AS pa FROM va_{m} va JOIN (SELECT race_id, sum(pr) AS ps FROM va_{m} GROUP BY race_id) s
+           USING (race_id)),
+ls_{m} AS (SELECT ln(greatest(1e-12, least(1 - 1e-12, pa))) - ln(greatest(1e-12, least(1 - 1e-12, uniform_prob))) AS r
+           FROM vn_{m} WHERE is_winner = 1),
+st_{m} AS (SELECT '{m}' AS method, (SELECT a FROM fit_{m}) AS intercept, (SELECT b FROM fit_{m}) AS coef,
+                  count(r) AS n, -avg(r) AS d, stddev_samp(r) / sqrt(count(r)) AS se FROM ls_{m})"""
+
+
+_MARGINS = (_margin_cte("power", "pow(pi, {t})", "0.01", "10.0", "pow(pi, {t})", True, True)
+            + _margin_cte("odds_ratio", "pi / ({t} + pi)", "0.0", "pmax * 1000.0", "pi / ({t} + pi)", False, False)
+            + _margin_cte("shin", "(sqrt({t} * {t} + 4 * (1 - {t}) * pi) - {t}) / 2", "1e-6", "(1 - 1e-6)",
+                          "(sqrt({t} * {t} + 4 * (1 - {t}) * pi) - {t}) / 2", False, True))
+
+_METHODS = ("mm", "odds_ratio", "shin", "power")
+
+SQL["margin_logit"] = "WITH RECURSIVE " + PANEL + _MARGINS + """,
+un AS (SELECT race_id, 1.0 / count(*) AS uniform_prob FROM panel GROUP BY race_id),
+lg AS (SELECT p.race_id, p.horse_id, p.split, p.is_winner, un.uniform_prob,
+              ln(p.sp_win_prob / (1 - p.sp_win_prob)) AS x_mm,
+              ln(a.p / (1 - a.p)) AS x_power, ln(b.p / (1 - b.p)) AS x_odds_ratio, ln(c.p / (1 - c.p)) AS x_shin
+       FROM panel p JOIN un USING (race_id)
+       JOIN mg_power a USING (race_id, horse_id) JOIN mg_odds_ratio b USING (race_id, horse_id)
+       JOIN mg_shin c USING (race_id, horse_id))""" + "".join(_logit_fit(m) for m in _METHODS) + """
+SELECT method, round(intercept, 6) AS intercept, round(coef, 6) AS coef, CAST(n AS BIGINT) AS n,
+       round(d, 6) AS mean_logscore_diff, round(se, 6) AS standard_error,
+       round(d / nullif(se, 0), 6) AS z_statistic, round(""" + sql_normal_cdf("d / nullif(se, 0)") + """, 6) AS p_value,
+       """ + sql_normal_cdf("d / nullif(se, 0)") + """ < 0.05 AS reject_null
+FROM (""" + " UNION ALL ".join(f"SELECT * FROM st_{m}" for m in _METHODS) + ")"

@@ -522,7 +522,7 @@ def q_margin_logit(spark, sf_dir):
     val = df.filter(F.col("split") == "val")
     out = None
     for m in methods:
-        lr = MD.fit_logistic(train, [f"logit_{m}"], "is_winner")
+        lr = MD.fit_logistic_newton(train, [f"logit_{m}"], "is_winner")
         v = val.withColumn("_p", MD.logistic_prob(lr, [f"logit_{m}"]))
         v = v.join(v.groupBy("race_id").agg(F.sum("_p").alias("_ps")), "race_id").withColumn(
             "prob_a", F.col("_p") / F.col("_ps"))
