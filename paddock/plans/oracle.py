@@ -542,9 +542,10 @@ root AS (
 raw AS (SELECT rr.*, rb.pisum, root.r, {prob.replace('{t}', 'root.r')} AS q
         FROM rr JOIN rb USING (race_id) JOIN root USING (race_id)),
 nrm AS (SELECT race_id, sum(q) AS qs FROM raw GROUP BY race_id)
-SELECT raw.race_id, raw.horse_id, round(greatest(1e-12, least(1 - 1e-12,
+SELECT raw.race_id, raw.horse_id, round(CASE WHEN raw.r IS NULL AND {'FALSE' if fallback else 'TRUE'} THEN NULL
+  ELSE greatest(1e-12, least(1 - 1e-12,
   CASE WHEN raw.r IS NULL THEN {'pi / pisum' if fallback else 'NULL'}
-       ELSE {'q / nrm.qs' if renorm else 'q'} END)), 6) AS {name}_win_prob
+       ELSE {'q / nrm.qs' if renorm else 'q'} END)) END, 6) AS {name}_win_prob
 FROM raw JOIN nrm USING (race_id)
 """
     return "WITH RECURSIVE " + PANEL + body
@@ -830,9 +831,10 @@ root_{s} AS (
 raw_{s} AS (SELECT rr.*, rb.pisum, root.r, {prob.replace('{t}', 'root.r')} AS q
             FROM rr_{s} rr JOIN rb_{s} rb USING (race_id) JOIN root_{s} root USING (race_id)),
 nrm_{s} AS (SELECT race_id, sum(q) AS qs FROM raw_{s} GROUP BY race_id),
-mg_{s} AS (SELECT raw.race_id, raw.horse_id, greatest(1e-12, least(1 - 1e-12,
+mg_{s} AS (SELECT raw.race_id, raw.horse_id, CASE WHEN raw.r IS NULL AND {'FALSE' if fallback else 'TRUE'} THEN NULL
+  ELSE greatest(1e-12, least(1 - 1e-12,
   CASE WHEN raw.r IS NULL THEN {'pi / pisum' if fallback else 'NULL'}
-       ELSE {'q / nrm.qs' if renorm else 'q'} END)) AS p
+       ELSE {'q / nrm.qs' if renorm else 'q'} END)) END AS p
   FROM raw_{s} raw JOIN nrm_{s} nrm USING (race_id))"""
 
 
