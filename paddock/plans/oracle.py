@@ -882,3 +882,103 @@ SELECT method, round(intercept, 6) AS intercept, round(coef, 6) AS coef, CAST(n
        round(d / nullif(se, 0), 6) AS z_statistic, round(""" + sql_normal_cdf("d / nullif(se, 0)") + """, 6) AS p_value,
        """ + sql_normal_cdf("d / nullif(se, 0)") + """ < 0.05 AS reject_null
 FROM (""" + " UNION ALL ".join(f"SELECT * FROM st_{m}" for m in _METHODS) + ")"
+
+
+# ------------------------------------------------------------------ the whole study: market + text conditional logits
+
+_STUDY = _TRAIN + """,
+sel0 AS (SELECT i FROM chp WHERE lag = 1 AND p < 0.05),
+sel AS (SELECT i FROM sel0 UNION ALL SELECT i FROM ids WHERE NOT EXISTS (SELECT 1 FROM sel0)),
+rw AS (SELECT l.race_id, l.horse_id, l.split, l.is_winner, ln(l.sp_win_prob / (1 - l.sp_win_prob)) AS logit_sp_win_prob,
+              CASE WHEN l.hrn > 1 AND l.prev_t IN (SELECT i FROM sel) THEN l.prev_t END AS f FROM lagged l),
+tv AS (SELECT * FROM rw WHERE split IN ('train', 'val')),
+nbc AS (SELECT is_winner AS y, count(*) AS n FROM tv GROUP BY is_winner),
+nbk AS (SELECT is_winner AS y, f AS j, count(*) AS k FROM tv WHERE f IS NOT NULL GROUP BY 1, 2),
+nbt AS (SELECT sel.i AS j, nbc.y, (coalesce(nbk.k, 0) + 1.0) / (nbc.n + 2.0) AS theta
+        FROM sel CROSS JOIN nbc LEFT JOIN nbk ON nbk.j = sel.i AND nbk.y = nbc.y),
+nbb AS (SELECT y, sum(ln(1 - theta)) AS b FROM nbt GROUP BY y),
+nbpr AS (SELECT y, ln(n / (SELECT sum(n) FROM nbc)) AS lp FROM nbc),
+nbj AS (SELECT r.race_id, r.horse_id, pr.y, pr.lp + bb.b + coalesce(ln(t.theta) - ln(1 - t.theta), 0) AS jl
+        FROM rw r CROSS JOIN nbpr pr JOIN nbb bb ON bb.y = pr.y LEFT JOIN nbt t ON t.y = pr.y AND t.j = r.f),
+nbp AS (SELECT race_id, horse_id,
+          1 / (1 + exp(greatest(-700, least(700, max(jl) FILTER (WHERE y = 0) - max(jl) FILTER (WHERE y = 1))))) AS nb
+        FROM nbj GROUP BY race_id, horse_id),
+vp AS (SELECT r.is_winner, n.nb AS x FROM rw r JOIN nbp n USING (race_id, horse_id) WHERE r.split = 'val'),
+ipts AS (SELECT x, count(*) AS n, sum(is_winner) AS sy FROM vp GROUP BY x),
+ipc AS (SELECT *, row_number() OVER (ORDER BY x) AS i, sum(sy) OVER (ORDER BY x) AS csy,
+               sum(n) OVER (ORDER BY x) AS cn FROM ipts),
+isg AS (SELECT a.i AS j, b.i AS k, (b.csy - a.csy + a.sy) / CAST(b.cn - a.cn + a.n AS DOUBLE) AS m
+        FROM ipc a JOIN ipc b ON a.i <= b.i),
+imn AS (SELECT ipc.i, s.j, min(s.m) AS mn FROM ipc JOIN isg s ON s.j <= ipc.i AND s.k >= ipc.i GROUP BY ipc.i, s.j),
+ifit AS (SELECT ipc.x, max(imn.mn) AS f FROM imn JOIN ipc USING (i) GROUP BY ipc.x),
+idv AS (SELECT DISTINCT nb AS v FROM nbp),
+inb AS (SELECT idv.v, (SELECT max(x) FROM ifit WHERE x <= idv.v) AS lox, (SELECT min(x) FROM ifit WHERE x >= idv.v) AS hix
+        FROM idv),
+ical AS (SELECT inb.v, CASE WHEN inb.lox IS NULL THEN fh.f WHEN inb.hix IS NULL THEN fl.f WHEN inb.lox = inb.hix THEN fl.f
+                            ELSE fl.f + (fh.f - fl.f) * (inb.v - inb.lox) / (inb.hix - inb.lox) END AS c
+         FROM inb LEFT JOIN ifit fl ON fl.x = inb.lox LEFT JOIN ifit fh ON fh.x = inb.hix),
+rn AS (SELECT r.race_id, r.horse_id, r.split, r.is_winner, r.logit_sp_win_prob, n.nb, least(1.0, ical.c) AS cnb
+       FROM rw r JOIN nbp n USING (race_id, horse_id) JOIN ical ON ical.v = n.nb),
+rsum AS (SELECT race_id, sum(nb) AS s1, sum(cnb) AS s2 FROM rn GROUP BY race_id),
+lx AS (SELECT rn.*, rn.nb / nullif(rsum.s1, 0) AS q1, rn.cnb / nullif(rsum.s2, 0) AS q2 FROM rn JOIN rsum USING (race_id)),
+lz AS (SELECT lx.*,
+         CASE WHEN q1 IS NULL THEN NULL ELSE greatest(1e-12, least(1 - 1e-12, q1)) END AS p1,
+         CASE WHEN q2 IS NULL THEN NULL ELSE greatest(1e-12, least(1 - 1e-12, q2)) END AS p2 FROM lx),
+st AS (SELECT race_id, split, is_winner, logit_sp_win_prob AS xs, ln(p1 / (1 - p1)) AS x_nb, ln(p2 / (1 - p2)) AS x_cnb
+       FROM lz)
+"""
+
+
+def _cl1(s: str, x: str) -> str:
+    return f""",
+tr_{s} AS (SELECT race_id, {x} AS x, is_winner AS y FROM st WHERE split = 'train' AND {x} IS NOT NULL),
+k1_{s} AS (SELECT race_id FROM tr_{s} GROUP BY race_id HAVING sum(y) = 1 AND count(*) > 1),
+d_{s} AS (SELECT tr_{s}.* FROM tr_{s} JOIN k1_{s} USING (race_id)),
+nt_{s}(it, b1, h) AS (
+  SELECT 0, CAST(0.0 AS DOUBLE), CAST(NULL AS DOUBLE)
+  UNION ALL
+  SELECT it + 1, b1 + sum(xw - s1 / s0) / sum(s2 / s0 - (s1 / s0) * (s1 / s0)), sum(s2 / s0 - (s1 / s0) * (s1 / s0))
+  FROM (SELECT nt.it, nt.b1, d.race_id, sum(exp(nt.b1 * d.x)) AS s0, sum(d.x * exp(nt.b1 * d.x)) AS s1,
+               sum(d.x * d.x * exp(nt.b1 * d.x)) AS s2, sum(d.y * d.x) AS xw
+        FROM nt_{s} nt, d_{s} d WHERE nt.it < 30 GROUP BY nt.it, nt.b1, d.race_id) per
+  GROUP BY it, b1),
+fin_{s} AS (SELECT b1, 1 / sqrt(h) AS se1, CAST(NULL AS DOUBLE) AS b2, CAST(NULL AS DOUBLE) AS se2 FROM nt_{s} WHERE it = 30)"""
+
+
+def _cl2(s: str, x1: str, x2: str) -> str:
+    return f""",
+tr_{s} AS (SELECT race_id, {x1} AS x1, {x2} AS x2, is_winner AS y FROM st
+           WHERE split = 'train' AND {x1} IS NOT NULL AND {x2} IS NOT NULL),
+k1_{s} AS (SELECT race_id FROM tr_{s} GROUP BY race_id HAVING sum(y) = 1 AND count(*) > 1),
+d_{s} AS (SELECT tr_{s}.* FROM tr_{s} JOIN k1_{s} USING (race_id)),
+nt_{s}(it, b1, b2, h11, h12, h22) AS (
+  SELECT 0, CAST(0.0 AS DOUBLE), CAST(0.0 AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)
+  UNION ALL
+  SELECT it + 1, b1 + (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12),
+         b2 + (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12), h11, h12, h22
+  FROM (SELECT it, b1, b2, sum(xw1 - s1a / s0) AS g1, sum(xw2 - s1b / s0) AS g2,
+               sum(s2aa / s0 - s1a * s1a / (s0 * s0)) AS h11, sum(s2ab / s0 - s1a * s1b / (s0 * s0)) AS h12,
+               sum(s2bb / s0 - s1b * s1b / (s0 * s0)) AS h22
+        FROM (SELECT nt.it, nt.b1, nt.b2, d.race_id,
+                     sum(exp(nt.b1 * d.x1 + nt.b2 * d.x2)) AS s0,
+                     sum(d.x1 * exp(nt.b1 * d.x1 + nt.b2 * d.x2)) AS s1a,
+                     sum(d.x2 * exp(nt.b1 * d.x1 + nt.b2 * d.x2)) AS s1b,
+                     sum(d.x1 * d.x1 * exp(nt.b1 * d.x1 + nt.b2 * d.x2)) AS s2aa,
+                     sum(d.x1 * d.x2 * exp(nt.b1 * d.x1 + nt.b2 * d.x2)) AS s2ab,
+                     sum(d.x2 * d.x2 * exp(nt.b1 * d.x1 + nt.b2 * d.x2)) AS s2bb,
+                     sum(d.y * d.x1) AS xw1, sum(d.y * d.x2) AS xw2
+              FROM nt_{s} nt, d_{s} d WHERE nt.it < 30 GROUP BY nt.it, nt.b1, nt.b2, d.race_id) per
+        GROUP BY it, b1, b2) agg),
+fin_{s} AS (SELECT b1, sqrt(h22 / (h11 * h22 - h12 * h12)) AS se1, b2, sqrt(h11 / (h11 * h22 - h12 * h12)) AS se2
+            FROM nt_{s} WHERE it = 30)"""
+
+
+def _coef_row(model: str, s: str) -> str:
+    return f"SELECT '{model}' AS model, " + _coef_cols("beta", "b1", "se1") + ", " + _coef_cols("gamma", "b2", "se2") \
+        + f" FROM fin_{s}"
+
+
+SQL["text_choice_fit"] = _with(_STUDY + _cl1("base", "xs") + _cl2("nb", "xs", "x_nb") + _cl2("cnb", "xs", "x_cnb") + "\n"
+                               + "\nUNION ALL ".join([_coef_row("baseline", "base"), _coef_row("nb", "nb"),
+                                                      _coef_row("calibrated_nb", "cnb")]),
+                               base="RECURSIVE " + PANEL)
