@@ -144,6 +144,12 @@ def fit_conditional_logit(df: DataFrame, features: list[str], y: str = "is_winne
                           max_iter: int = 50, tol: float = 1e-10, start: list[float] | None = None) -> ChoiceFit:
     p = len(features)
     d = _prepare(df, features, y, race).checkpoint()  # reliable cut: every iteration re-reads it
+    # a feature with no variation inside any race cancels out of every softmax: not identifiable
+    spread = d.groupBy("race").agg(*[(F.max(f"x{j}") - F.min(f"x{j}")).alias(f"r{j}") for j in range(p)]) \
+        .agg(*[F.max(f"r{j}").alias(f"r{j}") for j in range(p)]).collect()[0]
+    if any(not spread[f"r{j}"] for j in range(p)):
+        nan = np.full(p, np.nan)
+        return ChoiceFit(list(features), nan, np.full((p, p), np.nan), float("nan"), 0, 0, False)
     kmax = d.filter(F.col("k") >= 2).agg(F.max("k").alias("m")).collect()[0]["m"]
     has_heats = kmax is not None
     if has_heats and kmax > MAX_WINNERS:
@@ -193,6 +199,8 @@ def normal_two_sided(z: float) -> float:
 def coefficient_row(fit: ChoiceFit, model: str, names: dict[str, str]) -> dict:
     """One result row: model, {name}_{hat,z_stat,se,ci_lower,ci_upper,p_val} per feature."""
     row = {"model": model}
+    if not fit.converged:  # no maximum (e.g. separation): report no estimate rather than the last iterate
+        return row
     for j, f in enumerate(fit.features):
         b, se = float(fit.params[j]), float(fit.se[j])
         z = b / se if se > 0 else float("nan")

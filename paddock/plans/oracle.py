@@ -930,47 +930,66 @@ st AS (SELECT race_id, split, is_winner, logit_sp_win_prob AS xs, ln(p1 / (1 - p
 
 
 def _cl1(s: str, x: str) -> str:
+    """One-feature Newton fit that stops like the Spark fit (|step| < 1e-10, at most 50 steps);
+    a fit that does not converge reports NULL."""
     return f""",
 tr_{s} AS (SELECT race_id, {x} AS x, is_winner AS y FROM st WHERE split = 'train' AND {x} IS NOT NULL),
 k1_{s} AS (SELECT race_id FROM tr_{s} GROUP BY race_id HAVING sum(y) = 1 AND count(*) > 1),
 d_{s} AS (SELECT tr_{s}.* FROM tr_{s} JOIN k1_{s} USING (race_id)),
-nt_{s}(it, b1, h) AS (
-  SELECT 0, CAST(0.0 AS DOUBLE), CAST(NULL AS DOUBLE)
+nt_{s}(it, b1, h, stp) AS (
+  SELECT 0, CAST(0.0 AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)
   UNION ALL
-  SELECT it + 1, b1 + sum(xw - s1 / s0) / sum(s2 / s0 - (s1 / s0) * (s1 / s0)), sum(s2 / s0 - (s1 / s0) * (s1 / s0))
-  FROM (SELECT nt.it, nt.b1, d.race_id, sum(exp(nt.b1 * d.x)) AS s0, sum(d.x * exp(nt.b1 * d.x)) AS s1,
-               sum(d.x * d.x * exp(nt.b1 * d.x)) AS s2, sum(d.y * d.x) AS xw
-        FROM nt_{s} nt, d_{s} d WHERE nt.it < 30 GROUP BY nt.it, nt.b1, d.race_id) per
-  GROUP BY it, b1),
-fin_{s} AS (SELECT b1, 1 / sqrt(h) AS se1, CAST(NULL AS DOUBLE) AS b2, CAST(NULL AS DOUBLE) AS se2 FROM nt_{s} WHERE it = 30)"""
+  SELECT it + 1, b1 + g / hh, hh, abs(g / hh)
+  FROM (SELECT it, b1, sum(xw - s1 / s0) AS g, sum(s2 / s0 - (s1 / s0) * (s1 / s0)) AS hh
+        FROM (SELECT nt.it, nt.b1, d.race_id, sum(exp(nt.b1 * d.x)) AS s0, sum(d.x * exp(nt.b1 * d.x)) AS s1,
+                     sum(d.x * d.x * exp(nt.b1 * d.x)) AS s2, sum(d.y * d.x) AS xw
+              FROM nt_{s} nt, d_{s} d WHERE nt.it < 50 AND (nt.stp IS NULL OR nt.stp >= 1e-10)
+              GROUP BY nt.it, nt.b1, d.race_id) per
+        GROUP BY it, b1) agg),
+var_{s} AS (SELECT max(r1) > 0 AS ok FROM (SELECT race_id, max(x) - min(x) AS r1 FROM d_{s} GROUP BY race_id)),
+fin_{s} AS (SELECT CASE WHEN stp < 1e-10 THEN b1 END AS b1, CASE WHEN stp < 1e-10 THEN 1 / sqrt(h) END AS se1,
+                   CAST(NULL AS DOUBLE) AS b2, CAST(NULL AS DOUBLE) AS se2
+            FROM nt_{s} WHERE it = (SELECT max(it) FROM nt_{s}) AND (SELECT ok FROM var_{s})
+            UNION ALL
+            SELECT NULL, NULL, NULL, NULL WHERE NOT coalesce((SELECT ok FROM var_{s}), false))"""
 
 
 def _cl2(s: str, x1: str, x2: str) -> str:
+    """Two-feature Newton fit with the Spark fit's stopping rule; NULL when it does not converge."""
     return f""",
 tr_{s} AS (SELECT race_id, {x1} AS x1, {x2} AS x2, is_winner AS y FROM st
            WHERE split = 'train' AND {x1} IS NOT NULL AND {x2} IS NOT NULL),
 k1_{s} AS (SELECT race_id FROM tr_{s} GROUP BY race_id HAVING sum(y) = 1 AND count(*) > 1),
 d_{s} AS (SELECT tr_{s}.* FROM tr_{s} JOIN k1_{s} USING (race_id)),
-nt_{s}(it, b1, b2, h11, h12, h22) AS (
-  SELECT 0, CAST(0.0 AS DOUBLE), CAST(0.0 AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE)
+nt_{s}(it, b1, b2, h11, h12, h22, stp) AS (
+  SELECT 0, CAST(0.0 AS DOUBLE), CAST(0.0 AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE),
+         CAST(NULL AS DOUBLE)
   UNION ALL
-  SELECT it + 1, b1 + (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12),
-         b2 + (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12), h11, h12, h22
-  FROM (SELECT it, b1, b2, sum(xw1 - s1a / s0) AS g1, sum(xw2 - s1b / s0) AS g2,
-               sum(s2aa / s0 - s1a * s1a / (s0 * s0)) AS h11, sum(s2ab / s0 - s1a * s1b / (s0 * s0)) AS h12,
-               sum(s2bb / s0 - s1b * s1b / (s0 * s0)) AS h22
-        FROM (SELECT nt.it, nt.b1, nt.b2, d.race_id,
-                     sum(exp(nt.b1 * d.x1 + nt.b2 * d.x2)) AS s0,
-                     sum(d.x1 * exp(nt.b1 * d.x1 + nt.b2 * d.x2)) AS s1a,
-                     sum(d.x2 * exp(nt.b1 * d.x1 + nt.b2 * d.x2)) AS s1b,
-                     sum(d.x1 * d.x1 * exp(nt.b1 * d.x1 + nt.b2 * d.x2)) AS s2aa,
-                     sum(d.x1 * d.x2 * exp(nt.b1 * d.x1 + nt.b2 * d.x2)) AS s2ab,
-                     sum(d.x2 * d.x2 * exp(nt.b1 * d.x1 + nt.b2 * d.x2)) AS s2bb,
-                     sum(d.y * d.x1) AS xw1, sum(d.y * d.x2) AS xw2
-              FROM nt_{s} nt, d_{s} d WHERE nt.it < 30 GROUP BY nt.it, nt.b1, nt.b2, d.race_id) per
-        GROUP BY it, b1, b2) agg),
-fin_{s} AS (SELECT b1, sqrt(h22 / (h11 * h22 - h12 * h12)) AS se1, b2, sqrt(h11 / (h11 * h22 - h12 * h12)) AS se2
-            FROM nt_{s} WHERE it = 30)"""
+  SELECT it + 1, b1 + d1, b2 + d2, h11, h12, h22, greatest(abs(d1), abs(d2))
+  FROM (SELECT *, (h22 * g1 - h12 * g2) / (h11 * h22 - h12 * h12) AS d1, (h11 * g2 - h12 * g1) / (h11 * h22 - h12 * h12) AS d2
+        FROM (SELECT it, b1, b2, sum(xw1 - s1a / s0) AS g1, sum(xw2 - s1b / s0) AS g2,
+                     sum(s2aa / s0 - s1a * s1a / (s0 * s0)) AS h11, sum(s2ab / s0 - s1a * s1b / (s0 * s0)) AS h12,
+                     sum(s2bb / s0 - s1b * s1b / (s0 * s0)) AS h22
+              FROM (SELECT nt.it, nt.b1, nt.b2, d.race_id,
+                           sum(exp(nt.b1 * d.x1 + nt.b2 * d.x2)) AS s0,
+                           sum(d.x1 * exp(nt.b1 * d.x1 + nt.b2 * d.x2)) AS s1a,
+                           sum(d.x2 * exp(nt.b1 * d.x1 + nt.b2 * d.x2)) AS s1b,
+                           sum(d.x1 * d.x1 * exp(nt.b1 * d.x1 + nt.b2 * d.x2)) AS s2aa,
+                           sum(d.x1 * d.x2 * exp(nt.b1 * d.x1 + nt.b2 * d.x2)) AS s2ab,
+                           sum(d.x2 * d.x2 * exp(nt.b1 * d.x1 + nt.b2 * d.x2)) AS s2bb,
+                           sum(d.y * d.x1) AS xw1, sum(d.y * d.x2) AS xw2
+                    FROM nt_{s} nt, d_{s} d WHERE nt.it < 50 AND (nt.stp IS NULL OR nt.stp >= 1e-10)
+                    GROUP BY nt.it, nt.b1, nt.b2, d.race_id) per
+              GROUP BY it, b1, b2) agg) st2),
+var_{s} AS (SELECT max(r1) > 0 AND max(r2) > 0 AS ok
+            FROM (SELECT race_id, max(x1) - min(x1) AS r1, max(x2) - min(x2) AS r2 FROM d_{s} GROUP BY race_id)),
+fin_{s} AS (SELECT CASE WHEN stp < 1e-10 THEN b1 END AS b1,
+                   CASE WHEN stp < 1e-10 THEN sqrt(h22 / (h11 * h22 - h12 * h12)) END AS se1,
+                   CASE WHEN stp < 1e-10 THEN b2 END AS b2,
+                   CASE WHEN stp < 1e-10 THEN sqrt(h11 / (h11 * h22 - h12 * h12)) END AS se2
+            FROM nt_{s} WHERE it = (SELECT max(it) FROM nt_{s}) AND (SELECT ok FROM var_{s})
+            UNION ALL
+            SELECT NULL, NULL, NULL, NULL WHERE NOT coalesce((SELECT ok FROM var_{s}), false))"""
 
 
 def _coef_row(model: str, s: str) -> str:
