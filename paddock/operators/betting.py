@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paddock.functions.odds import expected_value, kelly_fraction, settle
-from paddock.operators.common import with_group_stats
+from paddock.operators.common import round_to, with_group_stats
 
 DEFAULT_CARRY = ("sp", "is_winner", "date", "split")
 
@@ -59,7 +59,9 @@ def place_bets(picks: DataFrame, prob: str = "prob", odds: str = "sp", won: str
     ev = expected_value(prob, odds)
     size = kelly_fraction(prob, odds) * F.lit(stake) if staking == "kelly" else F.lit(float(stake))
     out = picks.withColumn("expected_value", ev).withColumn(
-        "wager", F.when(F.col("expected_value") > F.lit(threshold), size).otherwise(F.lit(0.0))
+        # the gate reads EV at 1e-9 resolution: a sum taken in another order (another
+        # partitioning, another engine) must not flip a bet that sits exactly on the threshold
+        "wager", F.when(round_to(F.col("expected_value"), 9) > F.lit(threshold), size).otherwise(F.lit(0.0))
     )
     return out.withColumn("pnl", settle("wager", odds, won))
 

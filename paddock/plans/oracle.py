@@ -133,7 +133,7 @@ SELECT race_id, horse_id, round(sp_win_prob, 6) AS prob, round(sp, 6) AS sp, is_
 SQL["favourite_flat_stats"] = _with(_FAV + """
 SELECT split, CAST(count(*) AS BIGINT) AS num_bets,
        round(sum(CASE WHEN is_winner = 1 THEN sp - 1 ELSE -1 END), 6) AS pnl
-FROM fav WHERE sp_win_prob * (sp - 1) - (1 - sp_win_prob) > -1 GROUP BY split
+FROM fav WHERE round(round(sp_win_prob * (sp - 1) - (1 - sp_win_prob), 12), 9) > -1 GROUP BY split
 """)
 
 _KELLY = _FAV + """,
@@ -143,7 +143,7 @@ kel AS (
     coalesce(greatest((sp * sp_win_prob - 1) / nullif(sp - 1, 0), 0), 0) AS kf
   FROM fav),
 bets AS (
-  SELECT *, CASE WHEN ev > 0.15 THEN kf ELSE 0.0 END AS wager FROM kel),
+  SELECT *, CASE WHEN round(round(ev, 12), 9) > 0.15 THEN kf ELSE 0.0 END AS wager FROM kel),
 settled AS (
   SELECT *, CASE WHEN wager > 0 THEN (CASE WHEN is_winner = 1 THEN wager * (sp - 1) ELSE -wager END)
                  ELSE 0.0 END AS pnl FROM bets)
@@ -171,7 +171,7 @@ picks AS (
   UNION ALL
   SELECT 'market' AS strategy, race_id, horse_id, date, split, sp, is_winner, sp_win_prob AS prob FROM mkt),
 st AS (
-  SELECT *, CASE WHEN prob * (sp - 1) - (1 - prob) > 0.15
+  SELECT *, CASE WHEN round(round(prob * (sp - 1) - (1 - prob), 12), 9) > 0.15
                  THEN coalesce(greatest((sp * prob - 1) / nullif(sp - 1, 0), 0), 0) ELSE 0.0 END AS wager
   FROM picks WHERE split = 'test'),
 st2 AS (
@@ -1001,3 +1001,40 @@ SQL["text_choice_fit"] = _with(_STUDY + _cl1("base", "xs") + _cl2("nb", "xs", "x
                                + "\nUNION ALL ".join([_coef_row("baseline", "base"), _coef_row("nb", "nb"),
                                                       _coef_row("calibrated_nb", "cnb")]),
                                base="RECURSIVE " + PANEL)
+
+
+def _raw_params(s: str, col: str) -> str:
+    return f"(SELECT {col} FROM nt_{s} WHERE it = (SELECT max(it) FROM nt_{s}))"
+
+
+SQL["strategy_backtest"] = _with(_STUDY + _cl1("base", "xs") + _cl2("nb", "xs", "x_nb") + """,
+bt AS (SELECT lz.race_id, lz.horse_id, lz.split, lz.is_winner, p.sp, lz.p1 AS text_prob,
+              lz.logit_sp_win_prob AS xs, ln(lz.p1 / (1 - lz.p1)) AS x_nb,
+              1.0 / count(*) OVER (PARTITION BY lz.race_id) AS uniform_prob
+       FROM lz JOIN panel p USING (race_id, horse_id)),
+bu AS (SELECT bt.*, """ + _raw_params("base", "b1") + """ * xs AS u0,
+              """ + _raw_params("nb", "b1") + " * xs + " + _raw_params("nb", "b2") + """ * x_nb AS u1 FROM bt),
+bm AS (SELECT bu.*, max(u0) OVER (PARTITION BY race_id) AS m0, max(u1) OVER (PARTITION BY race_id) AS m1 FROM bu),
+be AS (SELECT bm.*, exp(u0 - m0) AS e0, exp(u1 - m1) AS e1 FROM bm),
+bp AS (SELECT be.*, e0 / sum(e0) OVER (PARTITION BY race_id) AS market_prob,
+              e1 / sum(e1) OVER (PARTITION BY race_id) AS full_prob FROM be),
+ranked AS (SELECT bp.*,
+   row_number() OVER (PARTITION BY race_id
+     ORDER BY md5(concat_ws('-', CAST(race_id AS VARCHAR), CAST(horse_id AS VARCHAR), '42')), horse_id) AS rk_random,
+   row_number() OVER (PARTITION BY race_id ORDER BY text_prob DESC, horse_id) AS rk_text,
+   row_number() OVER (PARTITION BY race_id ORDER BY market_prob DESC, horse_id) AS rk_market,
+   row_number() OVER (PARTITION BY race_id ORDER BY full_prob DESC, horse_id) AS rk_full
+   FROM bp WHERE split = 'test'),
+picks AS (
+  SELECT 'random' AS strategy, sp, is_winner, uniform_prob AS prob FROM ranked WHERE rk_random = 1
+  UNION ALL SELECT 'text', sp, is_winner, text_prob FROM ranked WHERE rk_text = 1
+  UNION ALL SELECT 'market', sp, is_winner, market_prob FROM ranked WHERE rk_market = 1
+  UNION ALL SELECT 'full', sp, is_winner, full_prob FROM ranked WHERE rk_full = 1),
+wg AS (SELECT *, CASE WHEN round(round(prob * (sp - 1) - (1 - prob), 12), 9) > 0.15
+                      THEN coalesce(greatest((sp * prob - 1) / nullif(sp - 1, 0), 0), 0) ELSE 0.0 END AS wager FROM picks),
+pl AS (SELECT *, CASE WHEN wager > 0 THEN (CASE WHEN is_winner = 1 THEN wager * (sp - 1) ELSE -wager END)
+                      ELSE 0.0 END AS pnl FROM wg)
+SELECT strategy, round(sum(pnl), 6) AS pnl, CAST(count(*) FILTER (WHERE wager > 0) AS BIGINT) AS num_bets,
+       round(coalesce(sum(pnl) / nullif(sum(wager), 0), 0), 6) AS roi
+FROM pl GROUP BY strategy
+""", base="RECURSIVE " + PANEL)
