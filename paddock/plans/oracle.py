@@ -1038,3 +1038,15 @@ SELECT strategy, round(sum(pnl), 6) AS pnl, CAST(count(*) FILTER (WHERE wager >
        round(coalesce(sum(pnl) / nullif(sum(wager), 0), 0), 6) AS roi
 FROM pl GROUP BY strategy
 """, base="RECURSIVE " + PANEL)
+
+
+SQL["dictionary"] = "WITH " + TOK + """
+SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS term_id, CAST(count(*) AS BIGINT) AS df
+FROM bow GROUP BY term
+"""
+
+SQL["doc2bow"] = "WITH " + TOK + """,
+voc AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id
+        FROM (SELECT term FROM bow GROUP BY term HAVING count(*) >= 2))
+SELECT bow.doc_id, CAST(voc.term_id AS BIGINT) AS term_id, CAST(bow.n AS BIGINT) AS n FROM bow JOIN voc USING (term)
+"""

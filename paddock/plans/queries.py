@@ -652,3 +652,20 @@ def q_lda_evaluation(spark, sf_dir):
     m = m.withColumn("perplexity", F.lit(ppl)).withColumn("coherence", F.lit(coherence.collect()[0]["coherence"]))
     return round_doubles(m.select(F.lit("lda").alias("model_type"), "n_topics", "coherence", "perplexity",
                                   "tu_score", "avg_topic_similarity"))
+
+
+@register("dictionary")
+def q_dictionary(spark, sf_dir):
+    """Dense term ids in term order with document frequencies (no single-partition window)."""
+    bow = TX.bag_of_words(TX.clean_documents(_docs(spark, sf_dir)))
+    d = TX.dictionary(TX.document_frequency(bow))
+    return d.select("term", F.col("term_id").cast("long").alias("term_id"), F.col("df").cast("long").alias("df"))
+
+
+@register("doc2bow")
+def q_doc2bow(spark, sf_dir):
+    """Bag of words against the corpus dictionary: (doc_id, term_id, n); unknown terms dropped."""
+    bow = TX.bag_of_words(TX.clean_documents(_docs(spark, sf_dir))).checkpoint()
+    vocab = TX.dictionary(TX.document_frequency(bow), min_df=2)
+    return TX.dictionary_join(bow, vocab).select(
+        "doc_id", F.col("term_id").cast("long").alias("term_id"), F.col("n").cast("long").alias("n"))
