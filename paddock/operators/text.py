@@ -17,7 +17,9 @@ BROADCAST_ROWS = 2_000_000
 INLINE_PHRASES = 50_000  # phrase sets up to this size are tested in place (hash set), no shuffle
 
 
-def _maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+def _maybe_broadcast(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Broadcast hint only when the row count is at most ``limit`` (checked with a bounded count)."""
+    limit = BROADCAST_ROWS if limit is None else limit
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
