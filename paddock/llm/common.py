@@ -41,6 +41,11 @@ def byte_values(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches end at 32 MB, so that long texts don't add up in a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 32 << 20)
+
+
 def per_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], out: T.StructType,
               rows: int = 2000) -> DataFrame:
     """Map Arrow batches of at most ``rows`` rows; ``make`` runs once per task and returns
@@ -48,6 +53,7 @@ def per_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]
     from pyspark.sql.pandas.types import to_arrow_schema
 
     target = to_arrow_schema(out)
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()

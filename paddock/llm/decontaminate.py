@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paddock.llm.common import byte_values, cut, per_batch, schema, table
+from paddock.llm.common import bounded_batches, byte_values, cut, per_batch, schema, table
 
 N = 10
 BLOCK_WINDOWS = 2_000_000
@@ -121,27 +121,31 @@ def unite(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _blocks(benchmark: DataFrame, item_col: str, item_text: str, block_windows: int) -> list:
+    """The items as broadcasts of bounded size, dealt by the hash of their ids."""
+    test = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("body")).dropna()
+    # a window needs a word and a word a byte and a separator: an upper bound of the windows
+    bound = test.agg(F.sum(F.ceil((F.octet_length("body") + 1) / 2))).first()[0] or 0
+    blocks = max(1, -(-int(bound) // block_windows))
+    send = benchmark.sparkSession.sparkContext.broadcast
+    return [send([(r["item"], r["body"].encode()) for r in test.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()])
+            for k in range(blocks)]
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                        item_col: str = "item_id", item_text: str = "text", n: int = N,
                        block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """One row per document: the id, ``n_words``, ``hits`` (united intervals of words, end
     exclusive) and ``items`` (ids of the items of which a window occurs, sorted)."""
-    spark = docs.sparkSession
     item_type = benchmark.schema[item_col].dataType.simpleString()
-    test = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("body")).dropna()
-    # a window needs a word and a word a byte and a separator: an upper bound of the windows
-    bound = test.agg(F.sum(F.ceil((F.octet_length("body") + 1) / 2))).first()[0] or 0
-    blocks = max(1, -(-int(bound) // block_windows))
+    blocks = _blocks(benchmark, item_col, item_text, block_windows)
     out = schema(docs, id_col, f"row bigint, n_words bigint, hits array<struct<start:bigint,end:bigint>>, items array<{item_type}>")
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     rows = docs.select(id_col, F.lit(0).cast("long").alias("row"), F.col(text_col).alias("body"))
-    if blocks > 1:  # a stable name for each row, to unite what the blocks find
+    if len(blocks) > 1:  # a stable name for each row, to unite what the blocks find
         rows = cut(rows.withColumn("row", F.monotonically_increasing_id()), "documents")
 
-    def scan(block: int) -> DataFrame:
-        part = test.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block).collect()
-        shared = spark.sparkContext.broadcast([(r["item"], r["body"].encode()) for r in part])
-
+    def scan(shared) -> DataFrame:
         def make():
             windows = Windows(shared.value, n)
 
@@ -153,9 +157,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
         return per_batch(rows, make, out)
 
-    found = scan(0)
-    if blocks > 1:
-        for block in range(1, blocks):
+    found = scan(blocks[0])
+    if len(blocks) > 1:
+        for block in blocks[1:]:
             found = found.unionByName(scan(block))
         found = (found.groupBy(id_col, "row")
                  .agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"),
@@ -174,12 +178,23 @@ def _united(batches):
             [pa.array(spans, b.column(k).type) if n == "hits" else b.column(k) for k, n in enumerate(names)], names=names)
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents without any hit. Rows that repeat an id share its fate; rows with a null id
-    are judged together."""
-    found = find_contamination(docs, benchmark, id_col, **options)
-    bad = found.where(F.size("hits") > 0).select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad")), "left_anti")
+def remove_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
+                     item_text: str = "text", n: int = N, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
+    """The rows without any hit, with all their columns, judged row by row in one pass per block."""
+    for shared in _blocks(benchmark, item_col, item_text, block_windows):
+        docs = _without_hits(docs, shared, text_col, n)
+    return docs
+
+
+def _without_hits(docs: DataFrame, shared, text_col: str, n: int) -> DataFrame:
+    bounded_batches(docs.sparkSession)
+
+    def run(batches):
+        windows = Windows(shared.value, n)
+        for batch in batches:
+            yield batch.filter(pa.array([not windows.hits(t)[1] for t in byte_values(batch.column(text_col))], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from paddock.llm import chat, decontaminate, dedup, html, secrets
+from paddock.llm import chat, decontaminate, dedup, html, pieces, quality, secrets, topk, toxicity, warc
 
 REGISTRY = {f.__name__: f for f in (
-    secrets.op1_secret_scan, dedup.op3_minhash_dedup, chat.op6_chat_formatting, html.op7_html_extraction, decontaminate.op10_decontamination)}
+    secrets.op1_secret_scan, topk.op2_topk_search, dedup.op3_minhash_dedup, quality.op4_quality,
+    pieces.op5_sentencepiece, chat.op6_chat_formatting, html.op7_html_extraction, toxicity.op8_toxicity, warc.op9_warc,
+    decontaminate.op10_decontamination)}
 
-SQL = {"op3_minhash_dedup": dedup.OP3_SQL, "op6_chat_formatting": chat.OP6_SQL}
+SQL = {"op2_topk_search": topk.OP2_SQL, "op3_minhash_dedup": dedup.OP3_SQL, "op6_chat_formatting": chat.OP6_SQL,
+       "op9_warc": warc.OP9_SQL}
