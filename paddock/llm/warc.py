@@ -377,7 +377,10 @@ def write_warc(records: DataFrame, path: str, **options) -> None:
 
 
 def read_warc(spark: SparkSession, path: str, **options) -> DataFrame:
-    """The records below ``path``; filters on header columns are applied while reading."""
+    """The records below ``path``; filters on header columns are applied while reading.
+
+    Spark 4.1 keeps the filters that it has pushed with the relation, so that a second, different
+    use of one DataFrame would read by the first one's filters: call this once for each use."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
     return spark.read.format("warc").options(**options).load(path)
