@@ -6,13 +6,12 @@
 2. Documents with the same set are one class from here on, named by the set's key.
    A group of exact copies, however large, is one aggregated row.
 3. Classes that share a band are candidates. A bucket is first linked as a star: every
-   member is compared with one centre, picked anew by a keyed hash in each round, and
-   what is confirmed is united by connected components. Only members of different
-   components meet in later rounds, and in the last one the signatures of all such pairs
-   that share a band are compared, bucket by bucket in bounded blocks, so no candidate is
-   left out, while a large group of near copies costs a few confirmations per member.
+   member is compared with one centre, picked by a keyed hash, and what is confirmed is
+   united by connected components. Then all pairs of a bucket whose members are in different
+   components are compared, in bounded blocks, so no candidate is left out, while a
+   large group of near copies costs a few confirmations per member.
 4. A pair passes if its sizes and its signature allow the wanted similarity (the
-   signature test leaves room for eight standard deviations) and if the full sets do.
+   signature test leaves room for six standard deviations) and if the full sets do.
 5. Components run over confirmed links by alternating large-star and small-star.
 
 With 40 bands of 6 rows, two documents of similarity 0.8 share no band with a probability of
@@ -38,7 +37,6 @@ from paddock.llm.components import components
 
 BANDS, ROWS = 40, 6
 MINIMA = BANDS * ROWS
-ROUNDS = 2
 WIDTH = 4  # words of a shingle in the registered query
 PERCENT = 80
 BLOCK = 256
@@ -116,89 +114,113 @@ def features(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                      schema(docs, id_col, "n_shingles bigint, node bigint, bands array<bigint>, signature binary"))
 
 
-def _alike(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sizes and signatures allow the similarity."""
-    left = marks.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("s_a"))
-    right = marks.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("s_b"))
-    sized = (pairs.join(left, "a").join(right, "b")
-             .where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent))
-    least = _least_agreement(percent)
+def _least_agreement(percent: int) -> float:
+    """Agreeing minima that a pair of the wanted similarity falls below by chance once in 1e9."""
+    p = percent / 100
+    return MINIMA * (p - 6 * np.sqrt(p * (1 - p) / MINIMA))
 
-    def run(batches):
-        for b in batches:
-            s, t = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint8).reshape(-1, MINIMA) for k in ("s_a", "s_b"))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(
-                pa.array((s == t).sum(axis=1) >= least))
 
-    return sized.select("a", "b", "s_a", "s_b").mapInArrow(run, pairs.schema)
+def _similar(x: bytes, y: bytes, percent: int) -> bool:
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= percent * (len(both) - shared)
 
 
-def _least_agreement(percent: int) -> float:
-    """Agreeing minima that a pair of the wanted similarity falls below by chance once in 1e15."""
-    p = percent / 100
-    return MINIMA * (p - 8 * np.sqrt(p * (1 - p) / MINIMA))
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and signatures allow the similarity and whose full sets have it."""
+    least = _least_agreement(percent)
+
+    def run(batches):
+        for batch in batches:
+            s, t = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, MINIMA) for k in ("s_a", "s_b"))
+            n, m = (np.asarray(batch.column(k)) for k in ("n_a", "n_b"))
+            good = ((s == t).sum(axis=1) >= least) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+            for k in np.flatnonzero(good):
+                good[k] = _similar(batch.column("w_a")[k].as_buffer(), batch.column("w_b")[k].as_buffer(), percent)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good))
+
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("signature").alias(f"s_{x}"),
+                                 F.col("words").alias(f"w_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _rest(members: DataFrame, marks: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """All pairs of members that share a bucket, belong to different components and whose sizes
-    and signatures allow the similarity.
+def _rest(members: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links between members that share a bucket and belong to different components.
 
     A bucket is dealt into blocks of about ``block`` members, and every pair of blocks is one row
-    of at most two blocks, compared in numpy: no task holds a bucket, and pairs that fail are
-    never rows."""
+    of at most two blocks, compared in numpy: no task holds a bucket, and a pair is never a
+    row. A pair is looked at in the first band that it shares. First signatures are compared; then the
+    full sets of the members with candidates left come to the same row."""
     wide = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"),
                                          F.count("*").alias("size")).where("lo <> hi")
     blocks = F.ceil(F.col("size") / block)
-    own = F.pmod(F.xxhash64("node", F.lit(-1)), blocks)
-    dealt = (members.join(wide.select("bucket", "size"), "bucket").join(marks.select("node", "n", "signature"), "node")
-             .withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    facts = sets.select("node", "n", "signature", "bands")
+    dealt = (members.join(wide.select("bucket", "size"), "bucket").join(facts, "node")
+             .withColumn("own", F.pmod(F.xxhash64("node", F.lit(-1)), blocks))
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
              .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-                     F.struct("node", "component", "n", "signature", "own").alias("m")))
-    groups = dealt.groupBy("bucket", "i", "j").agg(F.collect_list("m").alias("m")).where("size(m) > 1").select("i", "j", "m")
+                     F.struct("node", "component", "n", "signature", "bands", "own").alias("m")))
+    groups = dealt.groupBy("bucket", "i", "j").agg(F.collect_list("m").alias("m")).where("size(m) > 1")
     least = _least_agreement(percent)
 
-    def run(batches):
-        for b in batches:
-            left, right = [], []
-            for i, j, m in zip(b.column("i").to_pylist(), b.column("j").to_pylist(), b.column("m"), strict=True):
+    def look(batches):
+        for batch in batches:
+            out = {"bucket": [], "i": [], "j": [], "left": [], "right": []}
+            columns = [batch.column(k).to_pylist() for k in ("bucket", "i", "j")]
+            for bucket, i, j, m in zip(*columns, batch.column("m"), strict=True):
                 m = m.values
-                nodes, parts = m.field("node").to_pylist(), m.field("component").to_pylist()
-                label = {c: k for k, c in enumerate(dict.fromkeys(parts))}
-                part = np.array([label[c] for c in parts])
-                n, own = m.field("n").to_numpy(), m.field("own").to_numpy()
-                marked = np.frombuffer(b"".join(m.field("signature").to_pylist()), np.uint8).reshape(-1, MINIMA)
+                nodes, part, n, own = (m.field(k).to_numpy() for k in ("node", "component", "n", "own"))
+                mark = np.frombuffer(b"".join(m.field("signature").to_pylist()), np.uint8).reshape(-1, MINIMA)
+                bands = m.field("bands").flatten().to_numpy().reshape(-1, BANDS)
+                band = int(np.flatnonzero(bands[0] == bucket)[0])
+                left, right = [], []
                 for x in range(len(nodes) - 1):
                     y = np.arange(x + 1, len(nodes))
                     ok = (part[y] != part[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))
                     if i != j:  # pairs within one block have a row of their own
                         ok &= own[y] != own[x]
                     y = y[ok]
-                    y = y[(marked[y] == marked[x]).sum(axis=1) >= least]
-                    left += [min(nodes[x], nodes[k]) for k in y]
-                    right += [max(nodes[x], nodes[k]) for k in y]
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-
-    return groups.mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose full sets are similar."""
-    def run(batches):
-        for b in batches:
-            good = []
-            for x, y in zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    return (pairs.join(sets.select(F.col("node").alias("a"), F.col("words").alias("set_a")), "a")
-            .join(sets.select(F.col("node").alias("b"), F.col("words").alias("set_b")), "b")
-            .select("a", "b", "set_a", "set_b").mapInArrow(run, pairs.schema))
+                    y = y[(mark[y] == mark[x]).sum(axis=1) >= least]
+                    y = y[(bands[y] == bands[x]).argmax(axis=1) == band] if len(y) else y
+                    left += [nodes[x]] * len(y)
+                    right += nodes[y].tolist()
+                if left:
+                    for key, value in zip(out, (bucket, i, j, left, right), strict=True):
+                        out[key].append(value)
+            many = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), (pa.int64(),) * 3 + (many,) * 2, strict=True)],
+                                             names=list(out))
+
+    found = cut(groups.mapInArrow(look, "bucket bigint, i bigint, j bigint, left array<bigint>, right array<bigint>"), "candidates")
+    key = ["bucket", "i", "j"]
+    whole = (found.select(*key, F.explode(F.array_distinct(F.concat("left", "right"))).alias("node"))
+             .join(sets.select("node", "words"), "node").groupBy(*key).agg(F.collect_list(F.struct("node", "words")).alias("w")))
+
+    def confirm(batches):
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for lefts, rights, w in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), batch.column("w"), strict=True):
+                words = dict(zip(w.values.field("node").to_pylist(), w.values.field("words").to_pylist(), strict=True))
+                root: dict[int, int] = {}
+
+                def find(x, root=root):
+                    while root.get(x, x) != x:
+                        x = root[x]
+                    return x
+
+                for a, b in zip(lefts, rights, strict=True):
+                    if find(a) != find(b) and _similar(words[a], words[b], percent):  # else united already
+                        root[find(a)] = find(b)
+                        out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return found.join(whole, key).select("left", "right", "w").mapInArrow(confirm, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
-                    percent: int = PERCENT, rounds: int = ROUNDS) -> DataFrame:
+                    percent: int = PERCENT) -> DataFrame:
     """One row per document: (id, n_shingles, component_id, kept).
 
     Documents are linked if 100 * |A and B| >= ``percent`` * |A or B| over their shingle sets;
@@ -209,37 +231,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.first("bands").alias("bands")), "nodes")
     rows = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket")
-    # buckets with several classes, and the component of each member as far as it is known
-    members = cut(rows.join(shared, "bucket").select("bucket", "node", F.col("node").alias("component")), "members")
+    # buckets with several classes
+    members = cut(rows.join(shared, "bucket").select("bucket", "node"), "members")
     sets = cut(_sets(docs, id_col, text_col, width, nodes.join(members.select("node").distinct(), "node")), "sets")
-    links = united = None
-    for turn in range(rounds + 1):
-        if turn < rounds:  # a star in every bucket that still joins several components
-            choice = F.struct(F.xxhash64("node", F.lit(turn)).alias("by"), F.col("node").alias("b"), F.col("component").alias("of"))
-            centres = (members.groupBy("bucket").agg(F.min(choice).alias("c"), F.min("component").alias("lo"),
-                                                     F.max("component").alias("hi"))
-                       .where("lo <> hi").select("bucket", "c.b", "c.of"))
-            star = members.join(centres, "bucket").where("component <> of")
-            star = cut(star.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), "pairs")
-            if star.isEmpty():  # no bucket joins several components any more
-                break
-            pairs = _alike(star, nodes, percent)
-        else:
-            pairs = _rest(members, nodes, percent)
-        found = cut(_confirmed(pairs, sets, percent), "links")
-        if found.isEmpty():
-            continue
-        links = found if links is None else links.unionByName(found)
-        united = components(links)
-        if turn < rounds:
-            united = cut(united, "components")
-            members = cut(members.select("bucket", "node").join(united, "node", "left")
-                          .select("bucket", "node", F.coalesce("component", "node").alias("component")), "members")
+    # in every bucket a star around one member
+    centres = members.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(3)).alias("by"), "node")).alias("c"))
+    star = (members.join(centres.select("bucket", F.col("c.node").alias("b")), "bucket").where("node <> b")
+            .select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct())
+    links = cut(_confirmed(star, sets, percent), "links")
+    united = cut(components(links), "components")
+    # then whatever pairs of a bucket are in different components
+    parts = members.select("bucket", "node").join(united, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    more = cut(_rest(cut(parts, "members"), sets, percent), "links")
+    if not more.isEmpty():
+        side = lambda x: united.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}"))
+        joined = (more.join(side("a"), "a", "left").join(side("b"), "b", "left")
+                  .select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
+        later = cut(components(joined), "components")  # of components
+        united = (united.unionByName(joined.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+                                     .select("node", F.col("node").alias("component")))
+                  .join(later.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
+                  .groupBy("node").agg(F.min(F.coalesce("top", "component")).alias("component")))
     named = nodes.select("node", F.col("doc").alias("least"))
-    if united is not None:
-        named = named.join(united, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        least = named.groupBy("component").agg(F.min("least").alias("least"))
-        named = named.select("node", "component").join(least, "component").select("node", "least")
+    named = named.join(united, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("least").alias("least"))
+    named = named.select("node", "component").join(least, "component").select("node", "least")
     return (marks.select("doc", "n_shingles", "node").join(named, "node", "left")
             .select(F.col("doc").alias(id_col), "n_shingles",
                     F.when(F.col("node").isNull(), F.col("doc")).otherwise(F.col("least")).alias("component_id"))
@@ -258,7 +274,8 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, nodes: DataFr
     texts = docs.select(id_col, text_col).join(wanted, F.col(id_col).eqNullSafe(F.col("__doc")), "left_semi").select(text_col)
     whole = T.StructType.fromDDL("node bigint, words binary")
     # rows that repeat an id may bring other sets and repeated ones
-    return per_batch(texts, make, whole).join(nodes.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    return (per_batch(texts, make, whole).dropDuplicates(["node"])
+            .join(nodes.select("node", "n", "signature", "bands"), "node"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
