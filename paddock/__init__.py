@@ -6,6 +6,6 @@ DataFrame plan: row-level work stays on the executors, only fitted parameters
 and small result tables reach the driver.
 """
 
-from paddock.session import get_spark, scratch_dir
+from paddock.session import get_spark
 
-__all__ = ["get_spark", "scratch_dir"]
+__all__ = ["get_spark"]

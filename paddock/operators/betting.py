@@ -26,7 +26,9 @@ def random_key(race: str, entity: str, seed: int) -> Column:
 
 def pick_per_race(df: DataFrame, key: Column, prob: str, race: str = "race_id", entity: str = "horse_id",
                   carry: Sequence[str] = DEFAULT_CARRY, by: Sequence[str] = ()) -> DataFrame:
-    """One row per race (and per ``by``): smallest ``key``, ties to the smallest entity id."""
+    """One row per race (and per ``by``): smallest ``key``, ties to the smallest entity id.
+    A runner without a score is never picked; a race without any has no row."""
+    df = df.where(F.col(prob).isNotNull())
     payload = [F.col(entity).alias(entity), F.col(prob).alias("prob")] + [F.col(c).alias(c) for c in carry]
     best = F.min(F.struct(key.alias("_k"), *payload)).alias("_best")
     out = df.groupBy(*by, race).agg(best)

@@ -42,10 +42,17 @@ class ChoiceFit:
 
 
 def _prepare(df: DataFrame, features: list[str], y: str, race: str) -> DataFrame:
+    """Races with a winner and a loser. A race with a missing value is left out whole: without
+    one of its runners it would be another choice set. Features are centred within the race, which
+    cancels in the softmax and keeps its exponents small."""
     cols = [F.col(race).alias("race")] + [F.col(f).cast("double").alias(f"x{j}") for j, f in enumerate(features)]
-    d = df.select(*cols, F.col(y).cast("int").alias("y")).dropna()
-    d = with_group_stats(d, "race", F.sum("y").alias("k"), F.count(F.lit(1)).alias("n"), how="inner")
-    return d.filter((F.col("k") >= 1) & (F.col("k") < F.col("n")))
+    xs = [f"x{j}" for j in range(len(features))]
+    d = df.select(*cols, F.col(y).cast("int").alias("y")).where(F.col("race").isNotNull())
+    missing = F.greatest(*[F.col(c).isNull().cast("int") for c in [*xs, "y"]])
+    d = with_group_stats(d, "race", F.sum("y").alias("k"), F.count(F.lit(1)).alias("n"), F.max(missing).alias("gaps"),
+                         *[F.avg(c).alias(f"m_{c}") for c in xs], how="inner")
+    d = d.filter((F.col("gaps") == 0) & (F.col("k") >= 1) & (F.col("k") < F.col("n")))
+    return d.select("race", *[(F.col(c) - F.col(f"m_{c}")).alias(c) for c in xs], "y", "k", "n")
 
 
 def _single_winner_terms(d: DataFrame, beta: np.ndarray, p: int):
@@ -155,6 +162,7 @@ def fit_conditional_logit(df: DataFrame, features: list[str], y: str = "is_winne
     if has_heats and kmax > MAX_WINNERS:
         raise ValueError(f"a race has {kmax} tied winners; at most {MAX_WINNERS} are supported")
     beta = np.zeros(p) if start is None else np.array(start, dtype=float)
+    before = beta
     hist, converged, it = [], False, 0
     g = np.zeros(p)
     h = np.eye(p)
@@ -182,9 +190,16 @@ def fit_conditional_logit(df: DataFrame, features: list[str], y: str = "is_winne
                 for l in range(j, p):
                     h[j, l] += float(extra[f"h_{j}_{l}"] or 0.0)
                     h[l, j] = h[j, l]
+        if hist and not ll >= hist[-1] - 1e-9 * abs(hist[-1]):  # the likelihood fell: go half the way
+            beta = (beta + before) / 2
+            continue
         hist.append(ll)
-        step = np.linalg.solve(h, g)
-        beta = beta + step
+        try:
+            step = np.linalg.solve(h, g)
+        except np.linalg.LinAlgError:  # features that depend on each other: no estimate
+            nan = np.full(p, np.nan)
+            return ChoiceFit(list(features), nan, np.full((p, p), np.nan), ll, it, n_races, False, hist)
+        before, beta = beta, beta + step
         if np.max(np.abs(step)) < tol:
             converged = True
             break

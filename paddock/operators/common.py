@@ -22,6 +22,9 @@ def with_group_stats(df: DataFrame, keys: str | Sequence[str], *aggs: Column, ho
     return df.join(stats, keys, how)
 
 
+WIDE = 6  # reported doubles that are rounded in generated code
+
+
 def round_to(c: Column, digits: int = 6) -> Column:
     """round(x * 10^d) / 10^d on the binary double (the SQL engines' rule).
 
@@ -29,24 +32,38 @@ def round_to(c: Column, digits: int = 6) -> Column:
     which disagrees on values such as 0.9894875; rounding the scaled value
     to an integer gives the same answer on both sides.
     """
-    def once(x: Column, d: int) -> Column:
-        # half away from zero on the scaled double, in primitive arithmetic
-        # (Spark's round goes through BigDecimal per value); |v| >= 1e15 is
-        # already an integer in double precision and is left alone
-        scale = F.lit(float(10 ** d))
-        v = x * scale
-        r = F.when(F.abs(v) < F.lit(1e15), F.signum(v) * F.floor(F.abs(v) + F.lit(0.5))).otherwise(v)
-        # no negative zero: the SQL engines return +0.0 for values that round to zero
-        return F.when(r == 0, F.lit(0.0)).otherwise(r / scale)
-
     # snap to 9 digits first: two engines summing in different orders differ
     # in the last bits, which must not decide a 6-digit tie
-    return once(once(c, digits + 3), digits)
+    return _round_once(_round_once(c, digits + 3), digits)
+
+
+def _round_once(x: Column, digits: int) -> Column:
+    # half away from zero on the scaled double, in primitive arithmetic
+    # (Spark's round goes through BigDecimal per value); |v| >= 1e15 is
+    # already an integer in double precision and is left alone
+    scale = F.lit(float(10 ** digits))
+    v = x * scale
+    r = F.when(F.abs(v) < F.lit(1e15), F.signum(v) * F.floor(F.abs(v) + F.lit(0.5))).otherwise(v)
+    # no negative zero: the SQL engines return +0.0 for values that round to zero
+    return F.when(r == 0, F.lit(0.0)).otherwise(r / scale)
+
+
+def report(c: Column, digits: int = 6) -> Column:
+    """The rounding of reported doubles: ``digits`` decimals, and twice as many below 0.001, so that
+    small differences and probabilities keep their leading digits."""
+    small = F.abs(c) < F.lit(1e-3)
+    return F.when(small, _round_once(c, 2 * digits)).otherwise(round_to(c, digits))
 
 
 def round_cols(df: DataFrame, cols: Sequence[str], digits: int = 6) -> DataFrame:
     """Round computed doubles for stable value hashing across engines."""
-    return df.select(*[round_to(F.col(c), digits).alias(c) if c in cols else F.col(c) for c in df.columns])
+    if len(cols) <= WIDE:
+        return df.select(*[report(F.col(c), digits).alias(c) if c in cols else F.col(c) for c in df.columns])
+    # many columns: one lambda over an array, as the generated code of all of them would be too long to compile
+    rounded = F.transform(F.array(*[F.col(c).cast("double") for c in cols]), lambda v: report(v, digits))
+    rest = [c for c in df.columns if c not in cols]
+    out = df.select(*rest, rounded.alias("_rounded"))
+    return out.select(*[F.col("_rounded")[list(cols).index(c)].alias(c) if c in cols else F.col(c) for c in df.columns])
 
 
 def doubles(df: DataFrame) -> list[str]:

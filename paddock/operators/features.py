@@ -92,13 +92,6 @@ def previous_values(df: DataFrame, cols: Sequence[str], max_lag: int, entity: st
     return df.drop("_bucket", "_pos", "_hot", "_carry")
 
 
-def _zero_like(df: DataFrame, c: str) -> Column:
-    dtype = dict(df.dtypes)[c]
-    if dtype.startswith("array"):
-        return F.transform(F.col(c), lambda x: F.lit(0).cast(dtype[6:-1]))
-    return F.lit(0.0)
-
-
 def lag_features(df: DataFrame, cols: str | Sequence[str], max_lag: int = 1, entity: str = "horse_id",
                  order: Sequence[str] = ("date", "race_id"), hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
     """``{col}_lag_{k}`` for k = 1..max_lag; no earlier row -> 0 (an array of zeros for arrays)."""
@@ -121,6 +114,11 @@ def rolling_mean(df: DataFrame, cols: str | Sequence[str], window: int = 5, enti
                  order: Sequence[str] = ("date", "race_id"), hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
     """``{col}_rollavg_{w}``: mean of the non-null values among the previous w rows, none -> 0."""
     cols = _cols(df, cols)
+    if _hot_entities(df, entity, hot_rows) is None:
+        w = (Window.partitionBy(entity).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+             .rowsBetween(-window, Window.currentRow - 1))
+        return df.withColumns({f"{c}_rollavg_{window}": F.coalesce(F.avg(F.col(c).cast("double")).over(w), F.lit(0.0))
+                               for c in cols})
     out = previous_values(df, cols, window, entity, order, hot_rows, prefix="_roll")
     for c in cols:
         prev = [F.col(f"_roll{k}_{c}").cast("double") for k in range(1, window + 1)]
@@ -173,6 +171,3 @@ def category_flags(docs: DataFrame, col: str, categories: Sequence[str], out: st
     arr = F.array(*[(F.col(col) == F.lit(c)).cast("int") for c in categories])
     return docs.select(key, arr.alias(out))
 
-
-def default_fill(df: DataFrame, cols: Sequence[str], value=0) -> DataFrame:
-    return df.fillna(value, subset=list(cols))

@@ -19,18 +19,22 @@ from paddock.operators.common import round_to
 PROB_EPS = 1e-12
 
 
-def _moment_sums(x: Column, y: Column, tag: str) -> list[Column]:
-    xd = x.cast("double")
-    return [F.sum(xd).alias(f"sx_{tag}"), F.sum(xd * xd).alias(f"sxx_{tag}"), F.sum(xd * y).alias(f"sxy_{tag}")]
+def feature_label_sums(df: DataFrame, arrays: dict[int, str], n_topics: int, label: str = "is_winner") -> DataFrame:
+    """One row per (lag, topic): n, sum y, sum y^2, sum x, sum x^2, sum x*y.
 
-
-def feature_label_sums(df: DataFrame, features: dict[str, Column], label: str = "is_winner") -> DataFrame:
-    """One row: n, sum y, sum y^2 and, per feature tag, sum x, sum x^2, sum x*y."""
+    ``arrays`` maps a lag to an array column of K values. Only non-zero entries become rows, which
+    combine map-side into K sums per lag; zeros add nothing."""
     y = F.col(label).cast("double")
-    aggs = [F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy")]
-    for tag, x in features.items():
-        aggs += _moment_sums(x, y, tag)
-    return df.agg(*aggs)
+    entry = F.array(*[F.struct(F.lit(lag).alias("lag"), F.col(c).cast("array<double>").alias("x")) for lag, c in arrays.items()])
+    cells = (df.select(y.alias("y"), F.explode(entry).alias("e")).select("y", "e.lag", F.posexplode("e.x").alias("i", "x"))
+             .where("x <> 0").groupBy("lag", "i")
+             .agg(F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("x") * F.col("y")).alias("sxy")))
+    whole = df.agg(F.count(F.lit(1)).alias("n"), F.sum(y).alias("sy"), F.sum(y * y).alias("syy"))
+    lags = F.explode(F.array(*[F.lit(lag) for lag in arrays])).alias("lag")
+    grid = whole.select("n", "sy", "syy", lags).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_topics - 1))))
+    zero = F.lit(0.0)
+    return grid.join(cells, ["lag", "i"], "left").select("lag", "i", "n", "sy", "syy", *[
+        F.coalesce(c, zero).alias(c) for c in ("sx", "sxx", "sxy")])
 
 
 def pearson(n: Column, sx: Column, sy: Column, sxx: Column, syy: Column, sxy: Column) -> Column:
@@ -70,45 +74,30 @@ def topic_tests(df: DataFrame, arrays: dict[int, str], n_topics: int, label: str
     Output, one row per topic:
     topic, pval_lag{L}_train, pval_lag{L}_train_corrected, corr_lag{L}_train, chi2_lag{L}_train.
     """
-    feats = {f"{lag}_{i}": F.col(col)[i] for lag, col in arrays.items() for i in range(n_topics)}
-    sums = feature_label_sums(df, feats, label)
-    rows = []
-    for i in range(n_topics):
-        fields = [F.lit(f"{prefix}{i}").alias("topic")]
-        for lag in arrays:
-            t = f"{lag}_{i}"
-            fields += [F.col(f"sx_{t}").alias(f"sx_{lag}"), F.col(f"sxx_{t}").alias(f"sxx_{lag}"),
-                       F.col(f"sxy_{t}").alias(f"sxy_{lag}")]
-        rows.append(F.struct(*fields))
-    long = sums.select("n", "sy", "syy", F.explode(F.array(*rows)).alias("r")).select("n", "sy", "syy", "r.*")
+    sums = feature_label_sums(df, arrays, n_topics, label)
     n, sy, syy = F.col("n").cast("double"), F.col("sy"), F.col("syy")
-    out = [F.col("topic")]
+    sx, sxx, sxy = F.col("sx"), F.col("sxx"), F.col("sxy")
+    # the p-value is computed once per row, before the lags become columns
+    per = sums.select("lag", "i", yates_chi2(n, sx, sy, sxy).alias("stat"),
+                      round_to(pearson(n, sx, sy, sxx, syy, sxy), 4).alias("r"))
+    per = per.withColumn("p", chi2_sf_1(F.col("stat")))
+    wide = []
     for lag in arrays:
-        sx, sxx, sxy = F.col(f"sx_{lag}"), F.col(f"sxx_{lag}"), F.col(f"sxy_{lag}")
-        stat = yates_chi2(n, sx, sy, sxy)
-        p = chi2_sf_1(stat)
-        out += [
-            stat.alias(f"chi2_lag{lag}_train"),
-            p.alias(f"pval_lag{lag}_train"),
-            bonferroni(p, n_topics).alias(f"pval_lag{lag}_train_corrected"),
-            round_to(pearson(n, sx, sy, sxx, syy, sxy), 4).alias(f"corr_lag{lag}_train"),
-        ]
-    return long.select(*out)
+        at = lambda c, lag=lag: F.max(F.when(F.col("lag") == lag, F.col(c)))
+        wide += [at("stat").alias(f"chi2_lag{lag}_train"), at("p").alias(f"pval_lag{lag}_train"),
+                 bonferroni(at("p"), n_topics).alias(f"pval_lag{lag}_train_corrected"), at("r").alias(f"corr_lag{lag}_train")]
+    return per.groupBy("i").agg(*wide).withColumn("topic", F.concat(F.lit(prefix), F.col("i").cast("string"))).select(
+        "topic", *[c for lag in arrays for c in (f"chi2_lag{lag}_train", f"pval_lag{lag}_train",
+                                                 f"pval_lag{lag}_train_corrected", f"corr_lag{lag}_train")])
 
 
 def contingency(df: DataFrame, arrays: dict[int, str], n_topics: int, label: str = "is_winner") -> DataFrame:
     """Long contingency table: topic, lag, feature value, label, count (binary flags)."""
-    feats = {f"{lag}_{i}": F.col(col)[i] for lag, col in arrays.items() for i in range(n_topics)}
-    sums = feature_label_sums(df, feats, label)
-    rows = []
-    for lag in arrays:
-        for i in range(n_topics):
-            t = f"{lag}_{i}"
-            sx, sxy, sy, n = F.col(f"sx_{t}"), F.col(f"sxy_{t}"), F.col("sy"), F.col("n")
-            for xv, yv, cnt in ((1, 1, sxy), (1, 0, sx - sxy), (0, 1, sy - sxy), (0, 0, n - sx - sy + sxy)):
-                rows.append(F.struct(F.lit(i).alias("topic"), F.lit(lag).alias("lag"), F.lit(xv).alias("feature"),
-                                     F.lit(yv).alias("label"), cnt.cast("long").alias("n")))
-    return sums.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    sums = feature_label_sums(df, arrays, n_topics, label)
+    sx, sxy, sy, n = F.col("sx"), F.col("sxy"), F.col("sy"), F.col("n")
+    cells = F.array(*[F.struct(F.lit(x).alias("feature"), F.lit(y).alias("label"), c.cast("long").alias("n"))
+                      for x, y, c in ((1, 1, sxy), (1, 0, sx - sxy), (0, 1, sy - sxy), (0, 0, n - sx - sy + sxy))])
+    return sums.select(F.col("i").alias("topic"), "lag", F.explode(cells).alias("c")).select("topic", "lag", "c.*")
 
 
 def significant_features(tests: DataFrame, p_col: str = "pval_lag1_train", alpha: float = 0.05) -> DataFrame:

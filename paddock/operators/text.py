@@ -100,7 +100,8 @@ def dictionary(df_table: DataFrame, min_df: int = 1) -> DataFrame:
     from pyspark.sql import Window
 
     kept = df_table.filter(F.col("df") >= min_df)
-    ranged = kept.repartitionByRange("term").withColumn("_pid", F.spark_partition_id())
+    # cut: both reads below must see the same partition ids
+    ranged = kept.repartitionByRange("term").withColumn("_pid", F.spark_partition_id()).checkpoint()
     ranged = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_pid").orderBy("term")))
     sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = sizes.withColumn("_off", F.coalesce(

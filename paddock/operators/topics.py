@@ -166,9 +166,11 @@ def coherence_cv(top: DataFrame, texts: DataFrame, window: int = 110, tokens: st
 
 # ------------------------------------------------------------------ fitted LDA (Spark ML)
 
-def fit_lda(docs: DataFrame, k: int, tokens: str = "tokens", vocab_size: int = 1 << 18, min_df: float = 1.0,
-            max_iter: int = 10, seed: int = 42, optimizer: str = "online"):
-    """CountVectorizer + online LDA with a learned document concentration.
+def fit_lda(docs: DataFrame, k: int, tokens: str = "tokens", min_df: float = 1.0,
+            passes: int = 10, batch_share: float = 1.0, seed: int = 42, optimizer: str = "online"):
+    """CountVectorizer over the whole vocabulary + online LDA with a learned document concentration.
+
+    ``passes`` over the corpus in batches of ``batch_share`` of its documents.
 
     Returns (vectorizer model, LDA model).  Spark's online LDA learns alpha
     (optimizeDocConcentration) but keeps eta fixed.
@@ -176,11 +178,11 @@ def fit_lda(docs: DataFrame, k: int, tokens: str = "tokens", vocab_size: int = 1
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
 
-    cv = CountVectorizer(inputCol=tokens, outputCol="features", vocabSize=vocab_size, minDF=min_df).fit(docs)
+    cv = CountVectorizer(inputCol=tokens, outputCol="features", vocabSize=2**31 - 1, minDF=min_df).fit(docs)
     feats = cv.transform(docs).filter(F.size(tokens) > 0)
-    params = dict(k=k, maxIter=max_iter, seed=seed, optimizer=optimizer, featuresCol="features")
+    params = dict(k=k, maxIter=round(passes / batch_share), seed=seed, optimizer=optimizer, featuresCol="features")
     if optimizer == "online":
-        params["optimizeDocConcentration"] = True
+        params |= {"optimizeDocConcentration": True, "subsamplingRate": batch_share}
     lda = LDA(**params)
     return cv, lda.fit(feats)
 

@@ -2,7 +2,7 @@
 
 They start from the same driver tables and re-derive everything, so they are
 an independent check of the DataFrame plans.  Computed doubles are rounded
-to 6 decimals on both sides.
+to 6 decimals, and to 12 below 0.001, on both sides.
 """
 
 from __future__ import annotations
@@ -60,7 +60,7 @@ panel2 AS (
 
 
 def _snap(sql: str, digits: int = 6) -> str:
-    """Rewrite every ``round(expr, 6)`` as ``round(round(expr, 9), 6)``."""
+    """Rewrite every ``round(expr, 6)`` as ``round(round(expr, 9), 6)``, with twice the decimals below 0.001."""
     out, i, token = [], 0, "round("
     while True:
         j = sql.find(token, i)
@@ -75,7 +75,8 @@ def _snap(sql: str, digits: int = 6) -> str:
         inner = sql[j + len(token):k - 1]
         head, sep, tail = inner.rpartition(",")
         if sep and tail.strip() == str(digits):
-            out.append(f"round(round({_snap(head)}, {digits + 3}), {digits})")
+            out.append(f"list_transform([CAST({_snap(head)} AS DOUBLE)], lambda v: CASE WHEN abs(v) < 0.001 THEN "
+                       f"round(v, {2 * digits}) ELSE round(round(v, {digits + 3}), {digits}) END)[1]")
         else:
             out.append(f"round({_snap(inner)})")
         i = k
@@ -1047,6 +1048,6 @@ FROM bow GROUP BY term
 
 SQL["doc2bow"] = "WITH " + TOK + """,
 voc AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS term_id
-        FROM (SELECT term FROM bow GROUP BY term HAVING count(*) >= 2))
+        FROM (SELECT DISTINCT term FROM bow))
 SELECT bow.doc_id, CAST(voc.term_id AS BIGINT) AS term_id, CAST(bow.n AS BIGINT) AS n FROM bow JOIN voc USING (term)
 """

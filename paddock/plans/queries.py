@@ -33,9 +33,10 @@ def clean_fixture_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Every later stage branches several times off the panel (group statistics
     joined back, fits, tests); the cut keeps those branches from re-running
-    the scan and the de-duplication windows, keeps the race partitioning
-    (later per-race aggregates need no exchange) and makes the stage boundary
-    survive lost executors, like the written stage file of the source pipeline.
+    the scan and the de-duplication windows and makes the stage boundary
+    survive lost executors, like the written stage file of the source
+    pipeline. A cut table has no known partitioning: later per-race
+    aggregates shuffle again.
     """
     return P.clean_panel(panel_fixture(spark, sf_dir), cuts=P.FIXTURE_CUTS).checkpoint()
 
@@ -105,10 +106,10 @@ def q_kelly_wagers(spark, sf_dir):
 
 
 def _market_and_random(spark, sf_dir):
-    df = betting.uniform_probability(clean_fixture_panel(spark, sf_dir))
-    bets = betting.backtest(df, {"random": ("uniform_prob", "random"), "market": ("sp_win_prob", "argmax")},
+    panel = clean_fixture_panel(spark, sf_dir).filter(F.col("split") == "test")  # a race lies in one split
+    return betting.backtest(betting.uniform_probability(panel),
+                            {"random": ("uniform_prob", "random"), "market": ("sp_win_prob", "argmax")},
                             threshold=0.15, staking="kelly")
-    return bets.filter(F.col("split") == "test")
 
 
 @register("strategy_stats")
@@ -159,7 +160,8 @@ def topic_panel(spark: SparkSession, sf_dir: str, attr: str = "source") -> tuple
     docs = read_table(spark, sf_dir, "documents")
     flags = FT.category_flags(docs, attr, cats)
     n_docs = docs.count()
-    return attach_comments(clean_fixture_panel(spark, sf_dir), flags, n_docs), len(cats)
+    none = F.array_repeat(F.lit(0), len(cats))  # a runner without a comment has no topic
+    return attach_comments(clean_fixture_panel(spark, sf_dir), flags, n_docs, fill={"topics": none}), len(cats)
 
 
 def _names(k: int, suffix: str = "") -> list[str]:
@@ -427,12 +429,12 @@ def q_topic_coherence(spark, sf_dir):
 
 
 LDA_K = 10
-LDA_ITER = 10
+LDA_PASSES = 10
 
 
 def _lda(spark, sf_dir):
     clean = TX.clean_documents(_docs(spark, sf_dir)).select("doc_id", "tokens")
-    cv, model = TP.fit_lda(clean, LDA_K, max_iter=LDA_ITER, seed=42)
+    cv, model = TP.fit_lda(clean, LDA_K, passes=LDA_PASSES, seed=42)
     return clean, cv, model
 
 
@@ -517,7 +519,7 @@ def q_margin_logit(spark, sf_dir):
     methods = ["mm", "odds_ratio", "shin", "power"]
     for m in methods:
         df = df.withColumn(f"logit_{m}", logit(F.col(f"{m}_win_prob")))
-    df = betting.uniform_probability(df).persist()
+    df = betting.uniform_probability(df).checkpoint()  # every Newton step reads it
     train = df.filter(F.col("split") == "train")
     val = df.filter(F.col("split") == "val")
     out = None
@@ -573,14 +575,6 @@ def q_vector_join(spark, sf_dir):
     return rows.select("race_id", "horse_id", *cols)
 
 
-@register("text_vectors")
-def q_text_vectors(spark, sf_dir):
-    """Documents through the pluggable encoder (hashing stand-in), 128 tokens, masked mean."""
-    enc = EM.encode_texts(_docs(spark, sf_dir), "text", "doc_id")
-    return enc.select("doc_id", F.size("embedding").alias("dims"),
-                      F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x).alias("sq_norm"))
-
-
 # ---------------------------------------------------------------- the whole study
 
 from paddock.plans import study as SD  # noqa: E402
@@ -666,6 +660,6 @@ def q_dictionary(spark, sf_dir):
 def q_doc2bow(spark, sf_dir):
     """Bag of words against the corpus dictionary: (doc_id, term_id, n); unknown terms dropped."""
     bow = TX.bag_of_words(TX.clean_documents(_docs(spark, sf_dir))).checkpoint()
-    vocab = TX.dictionary(TX.document_frequency(bow), min_df=2)
+    vocab = TX.dictionary(TX.document_frequency(bow))
     return TX.dictionary_join(bow, vocab).select(
         "doc_id", F.col("term_id").cast("long").alias("term_id"), F.col("n").cast("long").alias("n"))

@@ -47,15 +47,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not configured:
         configured = tempfile.mkdtemp(prefix="paddock-ckpt-", dir=os.environ.get("PADDOCK_SCRATCH", "/tmp"))
     sc.setCheckpointDir(configured)
     return configured
 
-
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh sub-folder of the checkpoint folder for written intermediate tables."""
-    base = ensure_checkpoint_dir(spark)
-    import uuid
-
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

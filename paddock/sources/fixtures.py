@@ -1,13 +1,13 @@
 """Adapters from the driver's test tables to the engine's data model.
 
 * panel  : race = order, runner = part, price/result derived from lineitem
-* corpus : documents with their labels, ``lang``/``source`` as stand-in topics
+* corpus : documents, with ``lang``/``source`` as stand-in topics
 * vectors: the 64-dim ``embeddings`` table
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -76,13 +76,6 @@ def panel_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def corpus_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents LEFT JOIN labels: doc_id, text, lang, source, quality, toxic."""
-    docs = read_documents(spark, sf_dir, "doc_id", "text", "lang", "source")
-    labels = read_table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    return docs.join(labels, "doc_id", "left")
-
-
 def vector_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, embedding array<float>, label 0-9, y = label < 5."""
     emb = read_table(spark, sf_dir, "embeddings")
@@ -90,11 +83,13 @@ def vector_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attach_comments(panel: DataFrame, doc_features: DataFrame, n_docs: int | None = None,
-                    key: str = "comment_key") -> DataFrame:
+                    key: str = "comment_key", fill: dict[str, Column] | None = None) -> DataFrame:
     """Join per-document features onto runners: doc_id = comment_key % n_docs.
 
-    ``doc_features`` must carry ``doc_id``; the text itself is never joined.
+    ``doc_features`` must carry ``doc_id``; the text itself is never joined. ``fill`` gives the
+    value of a feature for runners without a comment.
     """
     if n_docs is None:
         n_docs = doc_features.select("doc_id").distinct().count()
-    return panel.withColumn("doc_id", F.pmod(F.col(key), F.lit(n_docs))).join(doc_features, "doc_id", "left")
+    return panel.withColumn("doc_id", F.pmod(F.col(key), F.lit(n_docs))).join(doc_features, "doc_id", "left").withColumns(
+        {c: F.coalesce(F.col(c), value) for c, value in (fill or {}).items()})
