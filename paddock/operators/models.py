@@ -145,10 +145,10 @@ def log_loss(scored: DataFrame, prob: str, label: str, eps: float = 1e-15) -> fl
 
 
 def gbt_grid_search(train: DataFrame, val: DataFrame, label: str = "label", grid: dict | None = None,
-                    seed: int = 42, refit_on_union: bool = True):
+                    seed: int = 42, refit_on_union: bool = False):
     """Fit every grid point on ``train``, pick the lowest validation log-loss,
-    refit it on train + val (reference behaviour; ``refit_on_union=False``
-    keeps the train-only model so validation stays unseen).
+    keep it, so that validation stays unseen (``refit_on_union=True`` refits it
+    on train + val, the reference behaviour).
 
     Returns (best model, best params, [(params, val log-loss)]).
     Inputs must carry a ``features`` vector column.

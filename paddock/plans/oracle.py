@@ -892,7 +892,7 @@ sel0 AS (SELECT i FROM chp WHERE lag = 1 AND p < 0.05),
 sel AS (SELECT i FROM sel0 UNION ALL SELECT i FROM ids WHERE NOT EXISTS (SELECT 1 FROM sel0)),
 rw AS (SELECT l.race_id, l.horse_id, l.split, l.is_winner, ln(l.sp_win_prob / (1 - l.sp_win_prob)) AS logit_sp_win_prob,
               CASE WHEN l.hrn > 1 AND l.prev_t IN (SELECT i FROM sel) THEN l.prev_t END AS f FROM lagged l),
-tv AS (SELECT * FROM rw WHERE split IN ('train', 'val')),
+tv AS (SELECT * FROM rw WHERE split = 'train'),
 nbc AS (SELECT is_winner AS y, count(*) AS n FROM tv GROUP BY is_winner),
 nbk AS (SELECT is_winner AS y, f AS j, count(*) AS k FROM tv WHERE f IS NOT NULL GROUP BY 1, 2),
 nbt AS (SELECT sel.i AS j, nbc.y, (coalesce(nbk.k, 0) + 1.0) / (nbc.n + 2.0) AS theta
@@ -1008,8 +1008,8 @@ def _raw_params(s: str, col: str) -> str:
     return f"(SELECT {col} FROM nt_{s} WHERE it = (SELECT max(it) FROM nt_{s}))"
 
 
-SQL["strategy_backtest"] = _with(_STUDY + _cl1("base", "xs") + _cl2("nb", "xs", "x_nb") + """,
-bt AS (SELECT lz.race_id, lz.horse_id, lz.split, lz.is_winner, p.sp, lz.p1 AS text_prob,
+_BETS = (_STUDY + _cl1("base", "xs") + _cl2("nb", "xs", "x_nb") + """,
+bt AS (SELECT lz.race_id, lz.horse_id, lz.split, lz.is_winner, p.sp, p.date, lz.p1 AS text_prob,
               lz.logit_sp_win_prob AS xs, ln(lz.p1 / (1 - lz.p1)) AS x_nb,
               1.0 / count(*) OVER (PARTITION BY lz.race_id) AS uniform_prob
        FROM lz JOIN panel p USING (race_id, horse_id)),
@@ -1027,19 +1027,58 @@ ranked AS (SELECT bp.*,
    row_number() OVER (PARTITION BY race_id ORDER BY full_prob DESC, horse_id) AS rk_full
    FROM bp WHERE split = 'test'),
 picks AS (
-  SELECT 'random' AS strategy, sp, is_winner, uniform_prob AS prob FROM ranked WHERE rk_random = 1
-  UNION ALL SELECT 'text', sp, is_winner, text_prob FROM ranked WHERE rk_text = 1
-  UNION ALL SELECT 'market', sp, is_winner, market_prob FROM ranked WHERE rk_market = 1
-  UNION ALL SELECT 'full', sp, is_winner, full_prob FROM ranked WHERE rk_full = 1),
+  SELECT 'random' AS strategy, date, sp, is_winner, uniform_prob AS prob FROM ranked WHERE rk_random = 1
+  UNION ALL SELECT 'text', date, sp, is_winner, text_prob FROM ranked WHERE rk_text = 1
+  UNION ALL SELECT 'market', date, sp, is_winner, market_prob FROM ranked WHERE rk_market = 1
+  UNION ALL SELECT 'full', date, sp, is_winner, full_prob FROM ranked WHERE rk_full = 1),
 wg AS (SELECT *, CASE WHEN round(round(prob * (sp - 1) - (1 - prob), 12), 9) > 0.15
                       THEN coalesce(greatest((sp * prob - 1) / nullif(sp - 1, 0), 0), 0) ELSE 0.0 END AS wager FROM picks),
 pl AS (SELECT *, CASE WHEN wager > 0 THEN (CASE WHEN is_winner = 1 THEN wager * (sp - 1) ELSE -wager END)
                       ELSE 0.0 END AS pnl FROM wg)
+""")
+
+SQL["strategy_backtest"] = _with(_BETS + """
 SELECT strategy, round(sum(pnl), 6) AS pnl, CAST(count(*) FILTER (WHERE wager > 0) AS BIGINT) AS num_bets,
        round(coalesce(sum(pnl) / nullif(sum(wager), 0), 0), 6) AS roi
 FROM pl GROUP BY strategy
 """, base="RECURSIVE " + PANEL)
 
+SQL["study_equity_curve"] = _with(_BETS + """,
+daily AS (SELECT strategy, date, sum(pnl) AS daily_pnl FROM pl GROUP BY strategy, date)
+SELECT strategy, CAST(date AS VARCHAR) AS date, round(daily_pnl, 6) AS daily_pnl,
+       round(sum(daily_pnl) OVER (PARTITION BY strategy ORDER BY date
+                                  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS cum_pnl
+FROM daily""", base="RECURSIVE " + PANEL)
+
+_TESTED = """,
+tm AS (SELECT model, count(d) AS n, avg(d) AS mean_diff, stddev_samp(d) AS sd FROM td GROUP BY model),
+tt AS (SELECT *, sd / sqrt(n) AS se, mean_diff / nullif(sd / sqrt(n), 0) AS t_stat FROM tm),
+tp AS (SELECT *, """ + sql_t_two_sided("t_stat", "(n - 1)") + """ AS p2 FROM tt),
+tq AS (SELECT *, CASE WHEN mean_diff > 0 THEN p2 / 2 ELSE 1 - p2 / 2 END AS p1 FROM tp)
+"""
+
+SQL["study_classifier_tests"] = _with(_STUDY + """,
+td AS (SELECT m.model, 0.5 - 2 * pow(m.p - is_winner, 2) AS d
+       FROM (SELECT 'nb' AS model, nb AS p, is_winner FROM rn WHERE split = 'val'
+             UNION ALL SELECT 'calibrated_nb', cnb, is_winner FROM rn WHERE split = 'val') m)""" + _TESTED + """
+SELECT model, round(t_stat, 6) AS t_statistic, round(p1, 6) AS p_value, round(least(p1 * 2, 1.0), 6) AS p_value_bonferroni,
+       round(mean_diff, 6) AS mean_brier_diff, CAST(n AS BIGINT) AS n FROM tq""", base="RECURSIVE " + PANEL)
+
+SQL["study_brier_tests"] = _with(_STUDY + _cl1("base", "xs") + _cl2("nb", "xs", "x_nb") + _cl2("cnb", "xs", "x_cnb") + """,
+bt AS (SELECT race_id, is_winner, logit_sp_win_prob AS xs, ln(p1 / (1 - p1)) AS x_nb, ln(p2 / (1 - p2)) AS x_cnb
+       FROM lz WHERE split = 'val'),
+bu AS (SELECT bt.*, """ + _raw_params("base", "b1") + " * xs AS u0, " + _raw_params("nb", "b1") + " * xs + "
+    + _raw_params("nb", "b2") + " * x_nb AS u1, " + _raw_params("cnb", "b1") + " * xs + " + _raw_params("cnb", "b2")
+    + """ * x_cnb AS u2 FROM bt),
+be AS (SELECT race_id, is_winner, exp(u0 - max(u0) OVER w) AS e0, exp(u1 - max(u1) OVER w) AS e1, exp(u2 - max(u2) OVER w) AS e2
+       FROM bu WINDOW w AS (PARTITION BY race_id)),
+bp AS (SELECT is_winner, e0 / sum(e0) OVER w AS q0, e1 / sum(e1) OVER w AS q1, e2 / sum(e2) OVER w AS q2
+       FROM be WINDOW w AS (PARTITION BY race_id)),
+td AS (SELECT 'nb' AS model, pow(q0 - is_winner, 2) - pow(q1 - is_winner, 2) AS d FROM bp
+       UNION ALL SELECT 'calibrated_nb', pow(q0 - is_winner, 2) - pow(q2 - is_winner, 2) FROM bp)""" + _TESTED + """
+SELECT model, CAST(n AS BIGINT) AS n, round(t_stat, 6) AS t_stat, round(p1, 6) AS p_val_one_sided,
+       round(mean_diff, 6) AS mean_brier_diff, round(se, 6) AS se, round(mean_diff - 1.96 * se, 6) AS ci_lower,
+       round(mean_diff + 1.96 * se, 6) AS ci_upper FROM tq""", base="RECURSIVE " + PANEL)
 
 SQL["dictionary"] = "WITH " + TOK + """
 SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS BIGINT) AS term_id, CAST(count(*) AS BIGINT) AS df

@@ -598,6 +598,25 @@ def q_strategy_backtest(spark, sf_dir):
     return round_doubles(stats.select("strategy", "pnl", "num_bets", "roi"))
 
 
+@register("study_equity_curve")
+def q_study_equity_curve(spark, sf_dir):
+    """Cumulative PnL of the four strategies by day."""
+    curve = betting.equity_curve(_study(spark, sf_dir).bets, by=["strategy"])
+    return round_doubles(curve.select("strategy", F.col("date").cast("string").alias("date"), "daily_pnl", "cum_pnl"))
+
+
+@register("study_classifier_tests")
+def q_study_classifier_tests(spark, sf_dir):
+    """Text models against the uniform guess on validation rows."""
+    return round_doubles(_study(spark, sf_dir).classifier_tests)
+
+
+@register("study_brier_tests")
+def q_study_brier_tests(spark, sf_dir):
+    """Market + text choice models against the market alone on validation rows."""
+    return round_doubles(_study(spark, sf_dir).brier_tests)
+
+
 # ---------------------------------------------------------------- sweep over topic models, entity ids
 
 

@@ -13,6 +13,8 @@ sound default:
 
 from __future__ import annotations
 
+import warnings
+
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,13 +57,16 @@ class Study:
 
 
 def run_study(spark: SparkSession, panel: DataFrame, n_topics: int, topics: str = "topics",
-              clip_logit: bool = False, refit_on_union: bool = True, threshold: float = 0.15) -> Study:
+              clip_logit: bool = False, refit_on_union: bool = False, threshold: float = 0.15) -> Study:
     """``panel``: clean panel with a K-flag ``topics`` array per runner."""
     df = FT.lag_features(panel, [topics], max_lag=1)
     lag = f"{topics}_lag_1"
     train = df.filter(F.col("split") == "train")
     tests = ST.topic_tests(train, {0: topics, 1: lag}, n_topics)
-    sel = selected_topics(tests) or list(range(n_topics))
+    sel = selected_topics(tests)
+    if not sel:
+        warnings.warn("no topic is significant; the text models use all of them", stacklevel=2)
+        sel = list(range(n_topics))
     df = df.withColumn("_x", select_flags(lag, sel)).checkpoint()  # reliable cut before the model fits
     train = df.filter(F.col("split") == "train")
     val = df.filter(F.col("split") == "val")
