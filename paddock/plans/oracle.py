@@ -1074,8 +1074,10 @@ be AS (SELECT race_id, is_winner, exp(u0 - max(u0) OVER w) AS e0, exp(u1 - max(u
        FROM bu WINDOW w AS (PARTITION BY race_id)),
 bp AS (SELECT is_winner, e0 / sum(e0) OVER w AS q0, e1 / sum(e1) OVER w AS q1, e2 / sum(e2) OVER w AS q2
        FROM be WINDOW w AS (PARTITION BY race_id)),
-td AS (SELECT 'nb' AS model, pow(q0 - is_winner, 2) - pow(q1 - is_winner, 2) AS d FROM bp
-       UNION ALL SELECT 'calibrated_nb', pow(q0 - is_winner, 2) - pow(q2 - is_winner, 2) FROM bp)""" + _TESTED + """
+td AS (SELECT 'nb' AS model, CASE WHEN (SELECT b1 FROM fin_nb) IS NOT NULL
+                                  THEN pow(q0 - is_winner, 2) - pow(q1 - is_winner, 2) END AS d FROM bp
+       UNION ALL SELECT 'calibrated_nb', CASE WHEN (SELECT b1 FROM fin_cnb) IS NOT NULL
+                                              THEN pow(q0 - is_winner, 2) - pow(q2 - is_winner, 2) END FROM bp)""" + _TESTED + """
 SELECT model, CAST(n AS BIGINT) AS n, round(t_stat, 6) AS t_stat, round(p1, 6) AS p_val_one_sided,
        round(mean_diff, 6) AS mean_brier_diff, round(se, 6) AS se, round(mean_diff - 1.96 * se, 6) AS ci_lower,
        round(mean_diff + 1.96 * se, 6) AS ci_upper FROM tq""", base="RECURSIVE " + PANEL)

@@ -91,8 +91,9 @@ def run_study(spark: SparkSession, panel: DataFrame, n_topics: int, topics: str
     base = CH.fit_conditional_logit(train, ["logit_sp_win_prob"])
     rows = [CH.coefficient_row(base, "baseline", {"logit_sp_win_prob": "beta"})]
     df = CH.choice_probabilities(df, ["logit_sp_win_prob"], base.params, out="cl_baseline")
+    fitted = {}
     for m in text_models:
-        fit = CH.fit_conditional_logit(train, ["logit_sp_win_prob", f"logit_{m}_win_prob"])
+        fitted[m] = fit = CH.fit_conditional_logit(train, ["logit_sp_win_prob", f"logit_{m}_win_prob"])
         rows.append(CH.coefficient_row(fit, m, {"logit_sp_win_prob": "beta", f"logit_{m}_win_prob": "gamma"}))
         df = CH.choice_probabilities(df, ["logit_sp_win_prob", f"logit_{m}_win_prob"], fit.params, out=f"cl_{m}")
     coefs = CH.coefficient_table(spark, rows, ["beta", "gamma"])
@@ -102,7 +103,7 @@ def run_study(spark: SparkSession, panel: DataFrame, n_topics: int, topics: str
     bt = None
     for m in text_models:
         scored = val.withColumn("b_base", ST.brier("cl_baseline", "is_winner")).withColumn(
-            "b_new", ST.brier(f"cl_{m}", "is_winner"))
+            "b_new", ST.brier(f"cl_{m}", "is_winner") if fitted[m].converged else F.lit(None).cast("double"))  # no fit, no test
         t = ST.paired_t_test(scored, "b_base", "b_new").select(
             F.lit(m).alias("model"), "n", "t_stat", "p_val_one_sided", F.col("mean_diff").alias("mean_brier_diff"),
             "se", "ci_lower", "ci_upper")
