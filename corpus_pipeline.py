@@ -41,9 +41,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    done = pieces.decode(pieces.encode(docs))
-    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
-                       F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    done = pieces.encode_and_check(docs)
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "lossless")
 
 
 STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_contaminated),

@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -42,13 +44,28 @@ def byte_values(column: pa.Array) -> list[bytes | None]:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches end at 32 MB, so that long texts don't add up in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 32 << 20)
+    """Arrow batches end at 8 MB, so that long texts don't add up in an executor or a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
+
+
+def slices(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive parts of a batch whose texts and lists come to about ``limit`` bytes, one row at least."""
+    size = np.full(batch.num_rows, 16, np.int64)
+    for c in batch.columns:
+        if pa.types.is_binary(c.type) or pa.types.is_string(c.type) or pa.types.is_large_string(c.type):
+            size += np.asarray(pc.fill_null(pc.binary_length(c), 0))
+        elif pa.types.is_list(c.type):
+            size += 4 * np.asarray(pc.fill_null(pc.list_value_length(c), 0))
+    part = (np.cumsum(size) - size) // limit
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(edges, edges[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
 
 
 def per_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]], out: T.StructType,
-              rows: int = 2000) -> DataFrame:
-    """Map Arrow batches of at most ``rows`` rows; ``make`` runs once per task and returns
+              limit: int = 4 << 20) -> DataFrame:
+    """Map Arrow batches of about ``limit`` bytes; ``make`` runs once per task and returns
     a function from a batch to the columns of ``out``."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -58,8 +75,8 @@ def per_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], list]
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for whole in batches:
-            for start in range(0, whole.num_rows, rows):
-                columns = fn(whole.slice(start, rows))
+            for part in slices(whole, limit):
+                columns = fn(part)
                 yield pa.RecordBatch.from_arrays(
                     [c.cast(f.type) if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c, f.type)
                      for c, f in zip(columns, target, strict=True)], schema=target)

@@ -174,7 +174,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
             return [batch.column(0), batch.column(1), [main_text(h, sigma) for h in batch.column(2).to_pylist()]]
         return fn
 
-    return per_batch(pages.select(id_col, url_col, html_col), make, schema(pages, id_col, f"`{url_col}` string, text string"), 200)
+    return per_batch(pages.select(id_col, url_col, html_col), make, schema(pages, id_col, f"`{url_col}` string, text string"))
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

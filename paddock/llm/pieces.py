@@ -24,6 +24,7 @@ key is a key of its own; other columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 
 import numpy as np
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paddock.llm.common import per_batch, schema, table
+from paddock.llm.common import byte_values, per_batch, schema, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT, SEED, VARIANTS = 0.1, 5, 4
@@ -383,7 +384,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
             return [batch.column(0), batch.column(1), ids]
         return fn
 
-    return per_batch(docs.select(id_col, F.col(text_col).alias("text")), make, schema(docs, id_col, "text string, ids array<int>"), 1000)
+    return per_batch(docs.select(id_col, F.col(text_col).alias("text")), make, schema(docs, id_col, "text string, ids array<int>"), 1 << 20)
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", out_col: str = "decoded", model: str = MODEL) -> DataFrame:
@@ -404,10 +405,36 @@ def decode(rows: DataFrame, ids_col: str = "ids", out_col: str = "decoded", mode
             return [*batch.columns, texts]
         return fn
 
-    return per_batch(rows.select(*kept), make, T.StructType([*[rows.schema[c] for c in kept], T.StructField(out_col, T.StringType())]), 1000)
+    return per_batch(rows.select(*kept), make, T.StructType([*[rows.schema[c] for c in kept], T.StructField(out_col, T.StringType())]), 2 << 20)
+
+
+def encode_and_check(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL,
+                     dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+    """One row per document: (id, ids, decoded_sha256, lossless), encoded and decoded in one task, so that
+    neither texts nor ids travel twice and one worker holds one vocabulary."""
+    shared = docs.sparkSession.sparkContext.broadcast(load(model))
+
+    def make():
+        v = Vocabulary(shared.value)
+        encoder = Encoder(v, dropout, seed, variants)
+
+        def fn(batch):
+            texts = batch.column(1).to_pylist()
+            ids, offsets = encoder(texts, batch.column(0).to_pylist())
+            data, ends = v.decode(ids, offsets)
+            data, ends = data.tobytes(), ends.tolist()
+            back = [None if t is None else data[a:b] for t, a, b in zip(texts, ends, ends[1:], strict=False)]
+            return [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids),
+                                                              mask=pa.array([t is None for t in texts], pa.bool_())),
+                    [None if b is None else hashlib.sha256(b).hexdigest() for b in back],
+                    [b == t for b, t in zip(back, byte_values(batch.column(1)), strict=True)]]
+        return fn
+
+    return per_batch(docs.select(id_col, F.col(text_col).cast("string")), make,
+                     schema(docs, id_col, "ids array<int>, decoded_sha256 string, lossless boolean"), 1 << 20)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = decode(encode(table(spark, sf_dir, "documents")))
+    done = encode_and_check(table(spark, sf_dir, "documents"))
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.xxhash64("ids").alias("ids_hash"),
-                       F.sha2("decoded", 256).alias("decoded_sha256"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+                       "decoded_sha256", "lossless")
