@@ -117,6 +117,22 @@ def test_sample_is_bounded(spark):
     assert len(net.rows) < len(full.rows)
 
 
+def test_a_long_document_does_not_empty_the_sample(spark):
+    ids = [r["id"] for r in spark.range(1, 61).orderBy(F.xxhash64("id", F.lit(8))).collect()]
+    toxic = {k: n % 2 for n, k in enumerate(ids)}
+    texts = {k: ("foul vile rotten " if toxic[k] else "kind calm gentle ") * 4 for k in ids}
+    for k in (ids[0], ids[1], ids[7]):  # first in the order of the sample, of both classes
+        texts[k] *= 500
+    docs = spark.createDataFrame([(k, texts[k], "en") for k in ids], "doc_id bigint, text string, lang string")
+    marks = spark.createDataFrame(list(toxic.items()), "doc_id bigint, toxic int")
+    got = {r["doc_id"]: r["rejected"] for r in toxicity.score_toxicity(docs, marks, max_words=2000).collect()}
+    assert got == {k: bool(y) for k, y in toxic.items()}
+    assert {r["doc_id"] for r in toxicity.drop_toxic(docs, marks, max_words=2000).collect()} == {k for k, y in toxic.items() if not y}
+    with pytest.raises(ValueError, match="max_words"):
+        toxicity.train(docs, marks, max_words=80)
+    assert toxicity.train(docs, marks.where("toxic = 1"), max_words=80) == (None, {})
+
+
 def test_threshold_lies_in_the_widest_gap():
     assert toxicity.threshold(np.array([0.1, 0.2, 0.8, 0.9]), np.array([0, 0, 1, 1])) == pytest.approx(0.5)
     assert F.col("x") is not None
