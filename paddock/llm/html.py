@@ -4,6 +4,9 @@ The events of the standard library's streaming parser cut a page into lines
 (one per block element). A line's ratio is its number of code points over its
 number of tags. Lines inside menus, headers, footers, sidebars, notices,
 adverts, forms and comments, known by element, role, class or id, get ratio 0.
+A class or id is only a hint: it doesn't count for an element that holds an ``article``
+or ``main``, unless that stands within another one, nor for one that holds more than half of
+the page's text, unless it stands outside of the section elements of a page that has some.
 The ratios are smoothed by a Gaussian and clustered by a threshold (the standard
 deviation of the smoothed ratios, at most their mean): runs above it are the
 content regions. The section element (``article``, ``main`` or the whole body)
@@ -14,8 +17,9 @@ outside of any section element the lines from the first to the last region are.
 A page is one row, parsed as a stream inside a map; nothing is shuffled.
 
 Defined results: a null, empty or text-free page gives the empty string;
-white space inside a line, no-break spaces included, becomes one space; an
-unclosed element ends with its parent; repeated rows are parsed each for itself;
+white space inside a line, no-break spaces included, becomes one space; the end
+tags that HTML implies (of ``head``, ``p``, list items, table parts and options) count,
+any other unclosed element ends with its parent; repeated rows are parsed each for itself;
 columns other than those named are ignored.
 """
 
@@ -44,30 +48,75 @@ MARKS = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w
                    r"breadcrumbs?|footer|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|subscription|comments?|"
                    r"commentlist|disqus|discussion|replies|related|recommend\w*|share|sharing|social|toolbar|masthead|"
                    r"site-?header|page-?header|widget|login|signup|search|pagination|pager)(?:$|[\s_-])")
+#: Class names that say that something else is (not) there, as in "has-sidebar" or "post-with-comments".
+ABOUT = re.compile(r"(?i)(?:^|[_-])(?:has|no|with|without)[_-]")
+# What may stand in a head, and the open elements that a start tag ends, up to an element that it doesn't leave.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+CELL = frozenset("td th".split())
+GROUP = frozenset("tbody thead tfoot".split())
+_ITEM_STOP = (BLOCK | CELL) - frozenset("address div p li dd dt".split())
+_TABLE_STOP = frozenset(["table"])
+IMPLIED = {
+    "li": (frozenset(["li"]), _ITEM_STOP), **dict.fromkeys(("dd", "dt"), (frozenset(["dd", "dt"]), _ITEM_STOP)),
+    **dict.fromkeys(CELL, (CELL, _TABLE_STOP | {"tr"})), "tr": (CELL | {"tr"}, _TABLE_STOP), **dict.fromkeys(GROUP, (CELL | GROUP | {"tr"}, _TABLE_STOP)),
+    **dict.fromkeys(("option", "optgroup"), (frozenset(["option"]), frozenset("select datalist".split()))),
+}
+_P_STOP = (BLOCK | CELL | {"button"}) - {"p"}
+ENDS_P = BLOCK - frozenset("body caption html legend tbody tfoot thead tr".split())
 SIGMA = 1.5
 
 
+def marked(name: str, value: str) -> bool:
+    """Whether a class or id names boilerplate; each of a class's words counts by itself."""
+    return any(MARKS.search(x) and not ABOUT.search(x) for x in (value.split() if name == "class" else [value]))
+
+
 class _Lines(HTMLParser):
-    """Collects (text, tags, boilerplate, section) per block."""
+    """Collects (text, tags, boilerplate, section, mark) per block. A mark is the number of the innermost
+    element with a marking class or id, 0 for none."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, int]] = []
+        self.lines: list[tuple[str, int, bool, int, int]] = []
         self.text: list[str] = []
         self.tags = 0
-        self.open: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]  # name, skipped, boilerplate, section
+        # name, skipped, boilerplate, section, mark
+        self.open: list[tuple[str, bool, bool, int, int]] = [("", False, False, 0, 0)]
         self.sections = 0
+        self.around, self.within = [0], [0]  # the mark and the section around each mark
+        self.layout = {0}  # marks around a section element
 
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            _, _, boiler, section = self.open[-1]
-            self.lines.append((text, max(1, self.tags), boiler, section))
+            _, _, boiler, section, mark = self.open[-1]
+            self.lines.append((text, max(1, self.tags), boiler, section, mark))
             self.tags = 0
         self.text.clear()
 
+    def end_open(self, ends, stop) -> None:
+        """End the outermost element of ``ends`` that is open within the innermost one of ``stop``."""
+        cut = 0
+        for k in range(len(self.open) - 1, 0, -1):
+            if self.open[k][0] in ends:
+                cut = k
+            elif self.open[k][0] in stop:
+                break
+        if cut:
+            self.leave(cut)
+
+    def leave(self, cut: int) -> None:
+        """End the open elements from ``cut`` on; text before the end stays with them."""
+        if self.open[-1][2:] != self.open[cut - 1][2:] and any(o[0] in CELL or o[0] in BLOCK for o in self.open[cut:]):
+            self.flush()
+        del self.open[cut:]
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
+        if tag == "body":
+            self.end_open(("head",), ())
+        elif self.open[-1][0] == "head" and tag not in IN_HEAD:
+            self.open.pop()
         if tag in VOID:
             if tag == "hr":
                 self.flush()
@@ -78,16 +127,19 @@ class _Lines(HTMLParser):
             self.flush()
         elif tag in ("td", "th"):
             self.text.append(" ")
-        if tag == "p" and self.open[-1][0] == "p":
-            self.open.pop()
-        _, skipped, boiler, section = self.open[-1]
+        if tag in ENDS_P:
+            self.end_open(("p",), _P_STOP)
+        if tag in IMPLIED:
+            self.end_open(*IMPLIED[tag])
+        _, skipped, boiler, section, mark = self.open[-1]
+        hint = False
         if not skipped and tag in SKIP:
             skipped = True
         if not boiler:
             boiler = tag in BOILER or (tag == "header" and not section)
             for name, value in attrs:
                 if name in ("class", "id") and value and tag not in ("html", "body", "article", "main"):
-                    boiler = boiler or MARKS.search(value) is not None
+                    hint = hint or marked(name, value)
                 elif name == "role":
                     boiler = boiler or (value or "").strip().lower() in ROLES
                 elif name == "hidden" or name == "aria-hidden" and value == "true":
@@ -95,9 +147,23 @@ class _Lines(HTMLParser):
                 elif name == "style" and value and re.search(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden", value):
                     skipped = True
         if tag in SECTION and not boiler and not (section and tag == "main"):
+            if not section:
+                self.hold(mark)
             self.sections += 1
             section = self.sections
-        self.open.append((tag, skipped, boiler, section))
+        if hint:
+            self.around.append(mark)
+            self.within.append(self.open[-1][3])
+            mark = len(self.around) - 1
+        if tag in CELL and (boiler, section, mark) != self.open[-1][2:]:
+            self.flush()  # a cell of another kind than its row
+        self.open.append((tag, skipped, boiler, section, mark))
+
+    def hold(self, mark: int) -> None:
+        """A section element within ``mark``: none of the marks around it names boilerplate."""
+        while mark not in self.layout:
+            self.layout.add(mark)
+            mark = self.around[mark]
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # "/>" closes only void elements
@@ -110,15 +176,31 @@ class _Lines(HTMLParser):
             self.flush()
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k][0] == tag:
-                if tag not in BLOCK and tag not in SKIP and any(o[0] in BLOCK for o in self.open[k + 1:]):
+                if tag not in BLOCK and tag not in SKIP and tag not in CELL and any(o[0] in BLOCK for o in self.open[k + 1:]):
                     return  # an inline element doesn't close blocks
-                del self.open[k:]
+                self.leave(k)
                 return
 
     def handle_data(self, data):
+        if self.open[-1][0] == "head" and data.strip():
+            self.open.pop()
         if not self.open[-1][1]:
             self.text.append(data)
 
+    def settled(self) -> list[tuple[str, int, bool, int]]:
+        """The lines as (text, tags, boilerplate, section), marks that hold most of the text left out."""
+        held = [0] * len(self.around)
+        for text, _, boiler, _, mark in self.lines:
+            held[mark] += 0 if boiler else len(text)
+        whole, sections = sum(held), any(x[3] and not x[2] for x in self.lines)
+        for m in range(len(held) - 1, 0, -1):  # a mark's number is above that of the mark around it
+            held[self.around[m]] += held[m]
+        valid = [False] * len(held)
+        for m in range(1, len(held)):
+            most = 2 * held[m] > whole and (self.within[m] or not sections)
+            valid[m] = valid[self.around[m]] or not (m in self.layout or most)
+        return [(text, tags, boiler or valid[mark], section) for text, tags, boiler, section, mark in self.lines]
+
     def parse_marked_section(self, i, report=1):
         """Conditional comments such as <![if ...]> end at the next ">"."""
         end = self.rawdata.find(">", i)
@@ -130,7 +212,7 @@ def lines_of(html: str) -> list[tuple[str, int, bool, int]]:
     parser.feed(html)
     parser.close()
     parser.flush()
-    return parser.lines
+    return parser.settled()
 
 
 def regions(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:

@@ -66,3 +66,22 @@ def test_smoothing_matches_the_formula():
         smooth = np.array([sum(r[j] * np.exp(-0.5 * ((i - j) / 1.5) ** 2) for j in range(n) if abs(i - j) <= 5) for i in range(n)])
         smooth /= sum(np.exp(-0.5 * (k / 1.5) ** 2) for k in range(-5, 6))
         assert (html.regions(r) == (smooth >= min(smooth.std(), smooth.mean()))).all()
+
+
+def test_a_marked_wrapper_does_not_swallow_the_content():
+    for name in ("layout has-sidebar", "no-sidebar", "post-with-comments", "content sidebar-left", "widget"):
+        assert html.main_text(page(f"<div class='{name}'><article><p>{LONG}</p></article><div class=sidebar>links</div></div>")) == LONG.strip()
+        assert html.main_text(page(f"<main><div class='{name}'><article><p>{LONG}</p></article></div></main>")) == LONG.strip()
+        assert html.main_text(page(f"<div id='{name}'><p>{LONG}</p><div class=share>Share</div></div>")) == LONG.strip()
+    assert html.main_text(page(f"<article><p>{LONG * 3}</p><div class=related><article><p>{LONG}</p></article></div></article>")) == (LONG * 3).strip()
+
+
+def test_implied_end_tags():
+    for head in ("<head><title>t</title><body>", "<head><title>t</title><meta charset=utf-8>", "<head><title>t</title></head><body>"):
+        assert html.main_text(f"<html>{head}<p>{LONG}</p><p>Short.") == LONG.strip() + "\n\nShort."
+    assert html.main_text("<html><head><title>t</title>plain text") == "plain text"
+    assert html.main_text(f"<table><tr><td class=nav>Menu<td><p>{LONG}</p></table>") == LONG.strip()
+    assert html.main_text(f"<table><tr><td class=nav><p>Menu</td><td>{LONG}<tr><td>next</table>").endswith(LONG.strip() + "\n\nnext")
+    assert html.main_text(f"<ul><li class=share>Share<li>{LONG}<ul><li>inner</ul><li>last</ul>") == LONG.strip() + "\n\ninner\n\nlast"
+    assert html.main_text(f"<dl><dt class=social>Share<dd>{LONG}</dl>") == LONG.strip()
+    assert html.main_text(f"<p class=notice>Notice<div>{LONG}</div>") == LONG.strip()
