@@ -9,10 +9,11 @@ or ``main``, unless that stands within another one, nor for one that holds more
 the page's text, unless it stands outside of the section elements of a page that has some.
 The ratios are smoothed by a Gaussian and clustered by a threshold (the standard
 deviation of the smoothed ratios, at most their mean): runs above it are the
-content regions. The section element (``article``, ``main`` or the whole body)
-that holds most of the regions' text is the main one. All its lines that are
-not boilerplate are kept, so that a short paragraph beside long ones stays;
-outside of any section element the lines from the first to the last region are.
+content regions. The regions choose the section elements (``article`` and ``main``; one
+within another is part of it): of each that holds a region all lines that are not
+boilerplate are kept, so that a short paragraph beside long ones stays. Where no section
+element holds a region, or the regions outside of them hold more text than each of them,
+the lines from the first to the last region outside are kept too.
 
 A page is one row, parsed as a stream inside a map; nothing is shuffled.
 
@@ -146,9 +147,8 @@ class _Lines(HTMLParser):
                     skipped = True
                 elif name == "style" and value and re.search(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden", value):
                     skipped = True
-        if tag in SECTION and not boiler and not (section and tag == "main"):
-            if not section:
-                self.hold(mark)
+        if tag in SECTION and not boiler and not section:
+            self.hold(mark)
             self.sections += 1
             section = self.sections
         if hint:
@@ -239,12 +239,11 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     if not inside.any():
         inside = ~boiler
     mass = np.bincount(section[inside], sizes[inside])
-    best = int(mass.argmax())
-    if best:
-        keep = (section == best) & ~boiler
-    else:  # no section element holds most of the content
+    chosen = np.flatnonzero(mass)
+    keep = np.isin(section, chosen[chosen > 0]) & ~boiler
+    if not mass.argmax():  # no section element holds most of the content
         at = np.flatnonzero(inside & (section == 0))
-        keep = ~boiler & (np.arange(len(lines)) >= at[0]) & (np.arange(len(lines)) <= at[-1])
+        keep |= ~boiler & (np.arange(len(lines)) >= at[0]) & (np.arange(len(lines)) <= at[-1])
     return "\n\n".join(lines[k][0] for k in np.flatnonzero(keep))
 
 

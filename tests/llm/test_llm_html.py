@@ -85,3 +85,14 @@ def test_implied_end_tags():
     assert html.main_text(f"<ul><li class=share>Share<li>{LONG}<ul><li>inner</ul><li>last</ul>") == LONG.strip() + "\n\ninner\n\nlast"
     assert html.main_text(f"<dl><dt class=social>Share<dd>{LONG}</dl>") == LONG.strip()
     assert html.main_text(f"<p class=notice>Notice<div>{LONG}</div>") == LONG.strip()
+
+
+def test_all_sections_with_content_are_kept():
+    one, two = LONG.strip(), (LONG * 2).strip()
+    want = "\n\n".join([two, "Short.", one])
+    assert html.main_text(page(f"<nav>menu</nav><article><p>{two}</p></article><article><p>Short.</p><p>{one}</p></article>")) == want
+    assert html.main_text(page(f"<main><article><p>{two}</p><article><p>Short.</p></article><p>{one}</p></article></main>")) == want
+    lead = page(f"<div>before</div><main><h1>Title</h1><p>Lead.</p><article><p>{two}</p></article></main>")
+    assert html.main_text(lead) == "\n\n".join(["Title", "Lead.", two])
+    outside = page(f"<article><p>{one}</p></article><div><p>{two}</p><p>{two}</p></div>")
+    assert html.main_text(outside) == "\n\n".join([one, two, two])
