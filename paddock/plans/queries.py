@@ -495,15 +495,12 @@ def q_isotonic(spark, sf_dir):
     return round_doubles(cal.select("race_id", "horse_id", "nb_prob", "calibrated_nb_prob"))
 
 
-GBT_CHECK_GRID = {"maxIter": [10, 20], "maxDepth": [3], "stepSize": [0.1]}  # the full grid is REFERENCE_GBT_GRID
-
-
 @register("gbt_grid")
 def q_gbt_grid(spark, sf_dir):
     """Boosted trees on lag-1 topic flags: validation log-loss per grid point, best refit on train + val."""
     train, val, _ = _lagged_splits(spark, sf_dir)
     train, val = MD.as_vector(train, "topics_lag_1"), MD.as_vector(val, "topics_lag_1")
-    model, best, results = MD.gbt_grid_search(train, val, "is_winner", GBT_CHECK_GRID)
+    model, best, results = MD.gbt_grid_search(train, val, "is_winner", MD.REFERENCE_GBT_GRID)
     rows = [(p["maxIter"], p["maxDepth"], float(p["stepSize"]), float(ll), p == best) for p, ll in results]
     return round_doubles(spark.createDataFrame(
         rows, "max_iter int, max_depth int, step_size double, val_log_loss double, is_best boolean"))
