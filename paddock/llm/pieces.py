@@ -3,16 +3,17 @@
 A text is cut into units that no piece of the vocabulary crosses: a run of word marks and
 the characters of one class after it, where characters that stand side by side in some
 piece are of one class. In each unit the agenda holds every adjacent pair of symbols whose union is a piece; the best
-(highest score, leftmost on ties) is taken next. A keyed hash of the seed, the unit, its
-variant and the ends of the pair decides whether a candidate is skipped for good; the
-variant, one of ``variants``, comes from the document's key and the unit's place, so one word type is
-segmented in several ways, within a document and across documents, and yet always alike
-for one seed. Without dropout the result is the usual segmentation.
-
-All units of a batch that the task has not met yet are processed together: in every round
-each of them takes the best entry of its agenda, in numpy; a unit of over 200 characters has
-a heap of its own. What is known is remembered under a 64-bit key, up to a fixed number of
-units. Nothing is shuffled.
+(highest score, leftmost on ties) is taken next. A keyed hash of the seed, the document's
+key, the unit's place and the ends of the pair decides whether a candidate is skipped for
+good, so every occurrence of a word is segmented by itself, and yet always alike for one
+seed. Without dropout the result is the usual segmentation.
+
+A unit's usual segmentation and the pairs it takes are remembered under a 64-bit key, up to a
+fixed number of units. A skipped candidate that would not be taken changes nothing, so the
+agenda is worked off anew only for occurrences in which one of these pairs is skipped. All
+such units of a batch are processed together: in every round each of them takes the best
+entry of its agenda, in numpy; a unit of over 200 characters has a heap of its own and, with
+dropout, is not remembered. Nothing is shuffled.
 
 Characters outside the vocabulary, and the word mark itself where it stands in a text, are
 spelled in byte pieces; decoding therefore gives every text back.
@@ -39,7 +40,7 @@ from pyspark.sql import types as T
 from paddock.llm.common import byte_values, per_batch, schema, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-DROPOUT, SEED, VARIANTS = 0.1, 5, 4
+DROPOUT, SEED = 0.1, 5
 MARK = "▁"
 _REMEMBERED = 1_000_000
 _TOGETHER, _LONG = 50_000, 200
@@ -54,6 +55,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _pair(start: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Candidates by the places of their ends in the unit, spread over 64 bits."""
+    with np.errstate(over="ignore"):
+        return _mix((start.astype(np.uint64) << np.uint64(42)) + (middle.astype(np.uint64) << np.uint64(21)) + end.astype(np.uint64))
+
+
 def _mix_int(x: int) -> int:
     x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & _ALL
     x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & _ALL
@@ -152,9 +159,11 @@ class Vocabulary:
             at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def segment(self, points: np.ndarray, sizes: np.ndarray, unit_key: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+    def segment(self, points: np.ndarray, sizes: np.ndarray, unit_key: np.ndarray, dropout: float,
+                taken: list[tuple[np.ndarray, np.ndarray]] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The symbols of many units, processed together, and their number per unit. ``points``
-        are the characters of all units, ``unit_key`` their keys; a negative symbol is a character without a piece."""
+        are the characters of all units, ``unit_key`` their keys; a negative symbol is a character without a piece.
+        ``taken`` receives the units and pairs of all merges."""
         first = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
         owner = np.repeat(np.arange(len(sizes)), sizes)
         place = np.arange(len(points)) - first[owner]  # of a symbol's first character in its unit
@@ -169,8 +178,7 @@ class Vocabulary:
             if dropout > 0:
                 live = np.flatnonzero(piece >= 0)
                 with np.errstate(over="ignore"):
-                    ends = (start[live].astype(np.uint64) << np.uint64(42)) + (middle[live].astype(np.uint64) << np.uint64(21))
-                    drawn = _mix(unit_key[k[live]] ^ _mix(ends + end[live].astype(np.uint64)))
+                    drawn = _mix(unit_key[k[live]] ^ _pair(start[live], middle[live], end[live]))
                 piece[live[drawn < limit]] = -1
             return piece
 
@@ -198,6 +206,8 @@ class Vocabulary:
             per = np.diff(np.append(begin, len(symbol)))
             hit = np.flatnonzero(rank == np.repeat(best, per))
             hit = hit[np.concatenate(([True], owner[hit[1:]] != owner[hit[:-1]]))]  # the leftmost of each unit
+            if taken is not None:
+                taken.append((owner[hit], _pair(place[hit], place[hit + 1], end[hit + 1])))
             symbol[hit] = pair[hit]
             end[hit] = end[hit + 1]
             pair[hit] = -1
@@ -280,17 +290,19 @@ class Vocabulary:
 class Encoder:
     """Encodes texts, remembering the ids of units that it has met under their 64-bit keys."""
 
-    def __init__(self, vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, vocabulary: Vocabulary, dropout: float = DROPOUT, seed: int = SEED):
         self.v, self.dropout, self.seed = vocabulary, dropout, seed
-        self.variants = variants if dropout > 0 else 1
         self._forget()
 
     def _forget(self) -> None:
         self.keys, self.at, self.count = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.store, self.used = np.empty(1 << 16, np.int32), 0
+        # the pairs that a unit's usual segmentation takes
+        self.pair_at, self.pair_count = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.pairs, self.pairs_used = np.empty(1 << 16, np.uint64), 0
 
     def __call__(self, texts: list[str | None], names: list) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts on end, and the offsets of each; ``names`` choose the variants."""
+        """The ids of all texts on end, and the offsets of each; ``names`` are keys of the texts."""
         if len(self.keys) > _REMEMBERED:
             self._forget()
         lengths = np.array([len(t) + 1 if t else 0 for t in texts], np.int64)
@@ -310,56 +322,112 @@ class Encoder:
         sizes = np.diff(np.append(first, len(points)))
         per_text = np.zeros(len(texts), np.int64)
         per_text[lengths > 0] = np.add.reduceat(start, begins[lengths > 0], dtype=np.int64)
-        key = self._unit_keys(points, first, sizes, per_text, names)
-        unique, sample, which = np.unique(key, return_index=True, return_inverse=True)
+        key = self._unit_keys(points, first, sizes)
+        alone = sizes > _LONG if self.dropout > 0 else np.zeros(len(sizes), bool)  # not remembered
+        unique, sample, which = np.unique(key[~alone], return_index=True, return_inverse=True)
+        sample = np.flatnonzero(~alone)[sample]
         where = np.searchsorted(self.keys, unique)
         known = np.zeros(len(unique), bool)
         inside = where < len(self.keys)
         known[inside] = self.keys[where[inside]] == unique[inside]
         self._learn(points, first[sample[~known]], sizes[sample[~known]], unique[~known])
         where = np.searchsorted(self.keys, unique)[which]
-        counts, at = self.count[where], self.at[where]
+        usual = np.flatnonzero(~alone)
+        anew, counts = alone, np.zeros(len(first), np.int64)
+        if self.dropout > 0:
+            occurrence = self._occurrence_keys(key, per_text, names)
+            anew = alone.copy()
+            anew[usual] = self._skips(where, occurrence[usual])
+            rest = ~anew[usual]
+            usual, where = usual[rest], where[rest]
+        again = np.flatnonzero(anew)
+        counts[usual] = self.count[where]
+        if len(again):
+            order, fresh, counts[again] = self._segment(points, first[again], sizes[again], occurrence[again], self.dropout)
         ends = np.cumsum(counts)
-        ids = self.store[np.repeat(at - (ends - counts), counts) + np.arange(int(ends[-1]))]
+        ids = np.empty(int(ends[-1]), np.int32)
+        ids[_spans(ends[usual] - counts[usual], counts[usual])] = self.store[_spans(self.at[where], counts[usual])]
+        if len(again):
+            again = again[order]
+            ids[_spans(ends[again] - counts[again], counts[again])] = fresh
         return ids, np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(per_text)))]
 
-    def _unit_keys(self, points, first, sizes, per_text, names) -> np.ndarray:
-        """A key from a unit's characters, its variant and the seed."""
+    def _unit_keys(self, points, first, sizes) -> np.ndarray:
+        """A key from a unit's characters."""
         place = np.arange(len(points)) - np.repeat(first, sizes)
         spread = _mix(points.astype(np.uint64) + (place.astype(np.uint64) << np.uint64(24)))
-        key = _mix(np.add.reduceat(spread, first))
-        if self.variants > 1:  # drawn from the text's name and the unit's number
-            base = np.array([xxhash.xxh3_64_intdigest(str(x), self.seed) for x in names], np.uint64)
-            number = np.arange(len(first)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-            variant = _mix(np.repeat(base, per_text) + number.astype(np.uint64)) % np.uint64(self.variants)
-            key = _mix(key + variant * np.uint64(0x9E3779B97F4A7C15))
-        return _mix(key + np.uint64(self.seed))
+        return _mix(np.add.reduceat(spread, first))
+
+    def _occurrence_keys(self, key, per_text, names) -> np.ndarray:
+        """A key from the unit, the text's name, the unit's number in the text and the seed."""
+        base = np.array([xxhash.xxh3_64_intdigest(str(x), self.seed) for x in names], np.uint64)
+        number = np.arange(len(key)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+        return _mix(key + _mix(np.repeat(base, per_text) + _mix(number.astype(np.uint64) + np.uint64(self.seed))))
+
+    def _skips(self, where, occurrence) -> np.ndarray:
+        """Whether an occurrence of a remembered unit skips a pair that its usual segmentation takes."""
+        limit = np.uint64(min(int(self.dropout * 2.0**64), _ALL))
+        out = np.zeros(len(where), bool)
+        for a in range(0, len(where), _TOGETHER):
+            w = where[a:a + _TOGETHER]
+            n = self.pair_count[w]
+            drawn = _mix(np.repeat(occurrence[a:a + _TOGETHER], n) ^ self.pairs[_spans(self.pair_at[w], n)])
+            out[a + np.repeat(np.arange(len(w)), n)[drawn < limit]] = True
+        return out
 
-    def _learn(self, points, first, sizes, keys) -> None:
-        """Segment units and remember their ids."""
-        if not len(keys):
-            return
-        order = np.argsort(sizes > _LONG, kind="stable")  # long units last
+    def _segment(self, points, first, sizes, keys, dropout, taken=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order of the units (long ones last), the ids of all units in that order, and the number per unit."""
+        order = np.argsort(sizes > _LONG, kind="stable")
         first, sizes, keys = first[order], sizes[order], keys[order]
         short = int((sizes <= _LONG).sum())
         found, counts = [], []
         for a in range(0, short, _TOGETHER):
             f, n, k = first[a:min(a + _TOGETHER, short)], sizes[a:min(a + _TOGETHER, short)], keys[a:min(a + _TOGETHER, short)]
-            at = np.repeat(f - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            symbols, c = self.v.segment(points[at], n, k, self.dropout)
+            merges = None if taken is None else []
+            symbols, c = self.v.segment(points[_spans(f, n)], n, k, dropout, merges)
             found.append(symbols), counts.append(c)
+            if taken is not None:
+                taken += [(order[a + unit], pair) for unit, pair in merges]
         for f, n, k in zip(first[short:], sizes[short:], keys[short:], strict=True):
-            symbols = self.v.segment_one(points[f:f + n].tolist(), int(k), self.dropout)
+            symbols = self.v.segment_one(points[f:f + n].tolist(), int(k), dropout)
             found.append(np.array(symbols)), counts.append(np.array([len(symbols)]))
         ids, count = self.v.spell(np.concatenate(found), np.concatenate(counts))
-        at = self.used + np.cumsum(count) - count
-        while self.used + len(ids) > len(self.store):
-            self.store = np.concatenate([self.store, np.empty_like(self.store)])
-        self.store[self.used:self.used + len(ids)] = ids
-        self.used += len(ids)
-        keys, at, count = (np.concatenate(x) for x in ((self.keys, keys), (self.at, at), (self.count, count)))
+        back = np.empty_like(count)
+        back[order] = count
+        return order, ids, back
+
+    def _learn(self, points, first, sizes, keys) -> None:
+        """Segment units without dropout and remember their ids and, for dropout, the pairs taken."""
+        if not len(keys):
+            return
+        taken: list[tuple[np.ndarray, np.ndarray]] | None = [] if self.dropout > 0 else None
+        order, ids, count = self._segment(points, first, sizes, keys, 0.0, taken)
+        at = np.empty_like(count)
+        at[order] = self.used + np.cumsum(count[order]) - count[order]
+        self.store, self.used = _append(self.store, self.used, ids)
+        unit = np.concatenate([t[0] for t in taken]) if taken else np.empty(0, np.int64)
+        pair = np.concatenate([t[1] for t in taken]) if taken else np.empty(0, np.uint64)
+        pair_count = np.bincount(unit, minlength=len(keys))
+        pair_at = self.pairs_used + np.cumsum(pair_count) - pair_count
+        self.pairs, self.pairs_used = _append(self.pairs, self.pairs_used, pair[np.argsort(unit, kind="stable")])
+        keys, at, count, pair_at, pair_count = (np.concatenate(x) for x in (
+            (self.keys, keys), (self.at, at), (self.count, count), (self.pair_at, pair_at), (self.pair_count, pair_count)))
         order = np.argsort(keys)
         self.keys, self.at, self.count = keys[order], at[order], count[order]
+        self.pair_at, self.pair_count = pair_at[order], pair_count[order]
+
+
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of all spans, on end."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def _append(store: np.ndarray, used: int, values: np.ndarray) -> tuple[np.ndarray, int]:
+    """``values`` behind the used part of a store that doubles when it is full."""
+    while used + len(values) > len(store):
+        store = np.concatenate([store, np.empty_like(store)])
+    store[used:used + len(values)] = values
+    return store, used + len(values)
 
 
 def load(model: str) -> bytes:
@@ -369,12 +437,12 @@ def load(model: str) -> bytes:
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, dropout: float = DROPOUT,
-           seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+           seed: int = SEED) -> DataFrame:
     """One row per document: (id, text, ids)."""
     shared = docs.sparkSession.sparkContext.broadcast(load(model))
 
     def make():
-        encoder = Encoder(Vocabulary(shared.value), dropout, seed, variants)
+        encoder = Encoder(Vocabulary(shared.value), dropout, seed)
 
         def fn(batch):
             texts = batch.column(1).to_pylist()
@@ -409,14 +477,14 @@ def decode(rows: DataFrame, ids_col: str = "ids", out_col: str = "decoded", mode
 
 
 def encode_and_check(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL,
-                     dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+                     dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """One row per document: (id, ids, decoded_sha256, lossless), encoded and decoded in one task, so that
     neither texts nor ids travel twice and one worker holds one vocabulary."""
     shared = docs.sparkSession.sparkContext.broadcast(load(model))
 
     def make():
         v = Vocabulary(shared.value)
-        encoder = Encoder(v, dropout, seed, variants)
+        encoder = Encoder(v, dropout, seed)
 
         def fn(batch):
             texts = batch.column(1).to_pylist()

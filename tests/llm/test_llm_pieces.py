@@ -61,6 +61,17 @@ def test_seeded_and_varied(vocabulary):
     assert len(ids_of(pieces.Encoder(vocabulary, 1.0), ["understanding"])[0]) == len("▁understanding")
 
 
+def test_every_occurrence_has_dropout_of_its_own(vocabulary):
+    encoder = pieces.Encoder(vocabulary, 0.1)
+    plain = ids_of(pieces.Encoder(vocabulary, 0.0), ["a"])[0]
+    rows = ids_of(encoder, ["a"] * 20000, [f"doc{k}" for k in range(20000)])
+    assert len(plain) == 1 and abs(sum(r == plain for r in rows) / 20000 - 0.9) < 0.01  # one candidate
+    words = ids_of(encoder, ["internationalization"] * 3000)
+    assert len({tuple(r) for r in words}) > 20
+    within = ids_of(encoder, ["of " * 5000])[0]
+    assert within != ids_of(encoder, ["of " * 5000], ["other"])[0]
+
+
 def test_merges_match_a_search(vocabulary):
     """Every pair of pieces whose union is a piece is found, and no other."""
     rng = random.Random(5)
