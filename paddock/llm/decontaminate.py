@@ -17,7 +17,7 @@ and characters beyond ASCII. All bytes beyond ASCII are word bytes, so working
 on UTF-8 bytes gives the same words.
 
 Defined results: a null or empty text has no words and no hit; items without
-words, and items with a null id, are no items; rows that repeat an item id
+words are no items, nor, unless documents are only removed, are those with a null id; rows that repeat an item id
 count as one item with the windows of all of them; repeated documents are each
 scanned; an empty benchmark hits nothing.
 """
@@ -181,7 +181,8 @@ def _united(batches):
 def remove_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
                      item_text: str = "text", n: int = N, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """The rows without any hit, with all their columns, judged row by row in one pass per block."""
-    for shared in _blocks(benchmark, item_col, item_text, block_windows):
+    texts = benchmark.select(F.xxhash64(item_text).alias(item_col), F.col(item_text).alias("body"))  # rows without an id count too
+    for shared in _blocks(texts, item_col, "body", block_windows):
         docs = _without_hits(docs, shared, text_col, n)
     return docs
 

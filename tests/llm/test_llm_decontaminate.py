@@ -76,3 +76,10 @@ def test_query(spark, sf_dir):
     sha = lambda ids: hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()
     assert sorted((r["doc_id"], r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in got) == sorted(
         (d, n, h, len(i), sha(i), h > 0) for d, n, h, i in want)
+
+
+def test_documents_with_a_passage_of_an_item_without_id_go(spark):
+    passage = " ".join(f"word{k}" for k in range(40))
+    docs = spark.createDataFrame([(1, passage), (2, "something else " * 30)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(None, passage), (7, None)], "item_id string, text string")
+    assert [r["doc_id"] for r in decontaminate.remove_documents(docs, bench).collect()] == [2]
