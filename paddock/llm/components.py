@@ -7,18 +7,31 @@ from pyspark.sql import functions as F
 
 from paddock.llm.common import cut
 
+#: A node with over 1 / HOT_SHARE of all edge ends is hot, so there are at most HOT_SHARE of them.
+HOT_SHARE = 500
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _to_least(edges: DataFrame, key: str, least: DataFrame, ends: int) -> DataFrame:
+    """``edges`` with ``least`` (key, least, degree) of their ``key``.
+
+    The edges of a hot node stay where they are and get its one row by a broadcast of at most
+    ``HOT_SHARE`` rows; only the others are shuffled by their key."""
+    hot = F.broadcast(least.where(F.col("degree") * HOT_SHARE > ends).select(key, "least"))
+    cold = least.where(F.col("degree") * HOT_SHARE <= ends).select(key, "least")
+    return edges.join(hot, key).unionByName(edges.join(hot, key, "left_anti").join(cold, key))
+
+
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Every node hands its larger neighbours to the smallest node it knows."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"))
-    return both.join(least, "a").where("b > a").select(F.col("least").alias("a"), "b")
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("least"), F.count("*").alias("degree"))
+    return _to_least(both, "a", least, 2 * n).where("b > a").select(F.col("least").alias("a"), "b")
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Every node hands its smaller neighbours and itself to the smallest of them; edges run from small to large."""
-    least = edges.groupBy("b").agg(F.min("a").alias("least"))
-    joined = edges.join(least, "b")
+    least = edges.groupBy("b").agg(F.min("a").alias("least"), F.count("*").alias("degree"))
+    joined = _to_least(edges, "b", least, n)
     return (joined.select(F.col("least").alias("a"), F.col("a").alias("c"))
             .unionByName(least.select(F.col("least").alias("a"), F.col("b").alias("c")))
             .where("a <> c").select("a", F.col("c").alias("b")).distinct())
@@ -36,10 +49,14 @@ def components(edges: DataFrame) -> DataFrame:
     smallest node. Self-loops and edges with nulls are ignored, repeated edges count once.
 
     Each round is two aggregates and two joins over the edges; the rounds grow with the
-    logarithm of the longest path. Whether another is needed is all that reaches the driver."""
+    logarithm of the longest path. The number of edges, and whether another round is needed, are all that
+    reach the driver."""
     edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    n = edges.count()
     while True:
-        edges = cut(_small_star(_large_star(edges)), "stars")
+        large = cut(_large_star(edges, n), "stars")
+        edges = cut(_small_star(large, large.count()), "stars")
+        n = edges.count()
         if _settled(edges):  # a forest of stars, each around its smallest node
             break
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(
