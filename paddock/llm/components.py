@@ -37,11 +37,13 @@ def _small_star(edges: DataFrame, n: int) -> DataFrame:
             .where("a <> c").select("a", F.col("c").alias("b")).distinct())
 
 
-def _settled(edges: DataFrame) -> bool:
-    """Whether the edges are stars: no node has two centres or is both centre and leaf."""
+def _state(edges: DataFrame) -> tuple[int, bool]:
+    """Number of edges, and whether they are stars: no node has two centres or is both centre and leaf."""
     sides = edges.select(F.col("b").alias("v"), F.lit(1).alias("n")).unionByName(edges.select(F.col("a").alias("v"), F.lit(0).alias("n")))
-    busy = sides.groupBy("v").agg(F.sum("n").alias("n"), F.min("n").alias("centre")).where("n > 1 or (n > 0 and centre = 0)")
-    return busy.isEmpty()
+    busy = F.col("n").isNotNull() & ((F.col("n") > 1) | ((F.col("n") > 0) & (F.col("centre") == 0)))
+    row = sides.groupBy("v").agg(F.sum("n").alias("n"), F.min("n").alias("centre")).agg(
+        F.sum("n").alias("edges"), F.max(busy).alias("busy")).first()
+    return row["edges"] or 0, not row["busy"]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -52,12 +54,10 @@ def components(edges: DataFrame) -> DataFrame:
     logarithm of the longest path. The number of edges, and whether another round is needed, are all that
     reach the driver."""
     edges = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    n = edges.count()
-    while True:
-        large = cut(_large_star(edges, n), "stars")
-        edges = cut(_small_star(large, large.count()), "stars")
-        n = edges.count()
-        if _settled(edges):  # a forest of stars, each around its smallest node
-            break
+    n, settled = edges.count(), False
+    while not settled:  # until a forest of stars is left, each around its smallest node
+        large = cut(_large_star(edges, n), "stars")  # one edge for each of the n
+        edges = cut(_small_star(large, n), "stars")
+        n, settled = _state(edges)
     return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(
         edges.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
