@@ -11,10 +11,7 @@ Bernoulli NB uses the unsmoothed class prior n_c / n with Laplace-smoothed
 feature probabilities (n_cj + a) / (n_c + 2a); Gaussian NB uses population
 variances plus 1e-9 x the largest feature variance.
 
-Boosted trees, isotonic calibration and logistic regression are Spark ML
-estimators; the grid search is a loop over parameter maps scored on the
-predefined validation split, then refit on train + validation (the
-reference's ``refit`` default).
+Boosted trees are in ``paddock.operators.boost``.
 """
 
 from __future__ import annotations
@@ -117,63 +114,13 @@ def fit_gaussian_nb(df: DataFrame, features: str, label: str, var_smoothing: flo
     return GaussianNB((0, 1), (math.log(n_c[0] / n), math.log(n_c[1] / n)), mean, var)
 
 
-# ------------------------------------------------------------------ Spark ML estimators
+# ------------------------------------------------------------------ calibration and logistic regression
 
 
+# fixed values: the grid that is searched
 REFERENCE_GBT_GRID = {"maxIter": [50, 100, 200], "maxDepth": [3, 5, 7], "stepSize": [0.01, 0.1]}
 
 
-def as_vector(df: DataFrame, features: str, out: str = "features") -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
-
-    return df.withColumn(out, array_to_vector(F.transform(F.col(features), lambda x: x.cast("double"))))
-
-
-def positive_prob(model, df: DataFrame, out: str) -> DataFrame:
-    """Score with a fitted Spark ML classifier and keep P(class 1)."""
-    from pyspark.ml.functions import vector_to_array
-
-    scored = model.transform(df)
-    keep = [c for c in df.columns]
-    return scored.select(*keep, vector_to_array("probability")[1].alias(out))
-
-
-def log_loss(scored: DataFrame, prob: str, label: str, eps: float = 1e-15) -> float:
-    p = F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.col(prob)))
-    ll = F.when(F.col(label) == 1, -F.ln(p)).otherwise(-F.ln(F.lit(1.0) - p))
-    return scored.agg(F.avg(ll).alias("ll")).collect()[0]["ll"]
-
-
-def gbt_grid_search(train: DataFrame, val: DataFrame, label: str = "label", grid: dict | None = None,
-                    seed: int = 42, refit_on_union: bool = False):
-    """Fit every grid point on ``train``, pick the lowest validation log-loss,
-    keep it, so that validation stays unseen (``refit_on_union=True`` refits it
-    on train + val, the reference behaviour).
-
-    Returns (best model, best params, [(params, val log-loss)]).
-    Inputs must carry a ``features`` vector column.
-    """
-    import itertools
-
-    from pyspark.ml.classification import GBTClassifier
-
-    grid = grid or REFERENCE_GBT_GRID
-    keys = sorted(grid)
-    train = train.select("features", F.col(label).cast("double").alias("label")).persist()
-    val = val.select("features", F.col(label).cast("double").alias("label")).persist()
-    results = []
-    for combo in itertools.product(*[grid[k] for k in keys]):
-        params = dict(zip(keys, combo))
-        model = GBTClassifier(labelCol="label", featuresCol="features", seed=seed, **params).fit(train)
-        results.append((params, log_loss(positive_prob(model, val, "_p"), "_p", "label")))
-    best = min(results, key=lambda r: (r[1], sorted(r[0].items())))[0]
-    fit_on = train.unionByName(val) if refit_on_union else train
-    model = GBTClassifier(labelCol="label", featuresCol="features", seed=seed, **best).fit(fit_on)
-    train.unpersist()
-    val.unpersist()
-    return model, best, results
-
-
 def fit_isotonic(scored_val: DataFrame, prob: str, label: str):
     """Isotonic map from a model's validation scores to outcomes (pooled ties,
     linear interpolation, clamped outside the fitted range)."""
@@ -262,22 +209,25 @@ def logistic_prob(model, features: list[str]) -> Column:
 
 
 def save_model(model, path: str) -> None:
-    """Spark ML models via MLWriter; Naive Bayes parameters as a small table."""
-    if isinstance(model, (BernoulliNB, GaussianNB)):
+    """Spark ML models via MLWriter; Naive Bayes parameters and boosted trees as a small table."""
+    from paddock.operators.boost import BoostedTrees
+
+    if isinstance(model, (BernoulliNB, GaussianNB, BoostedTrees)):
         import json
 
         from pyspark.sql import SparkSession
 
         spark = SparkSession.getActiveSession()
         kind = type(model).__name__
-        spark.createDataFrame([(kind, json.dumps(model.__dict__))], "kind string, params string") \
+        state = model.state() if isinstance(model, BoostedTrees) else model.__dict__
+        spark.createDataFrame([(kind, json.dumps(state))], "kind string, params string") \
             .coalesce(1).write.mode("overwrite").parquet(path)
     else:
         model.write().overwrite().save(path)
 
 
 def load_model(path: str, loader=None):
-    """``loader`` is the Spark ML model class (e.g. GBTClassificationModel); None for Naive Bayes."""
+    """``loader`` is the Spark ML model class (e.g. GBTClassificationModel); None for Naive Bayes and boosted trees."""
     if loader is not None:
         return loader.load(path)
     import json
@@ -285,6 +235,10 @@ def load_model(path: str, loader=None):
     from pyspark.sql import SparkSession
 
     row = SparkSession.getActiveSession().read.parquet(path).collect()[0]
+    if row["kind"] == "BoostedTrees":
+        from paddock.operators.boost import BoostedTrees
+
+        return BoostedTrees.of(json.loads(row["params"]))
     params = {k: tuple(tuple(x) if isinstance(x, list) else x for x in v) if isinstance(v, list) else v
               for k, v in json.loads(row["params"]).items()}
     return {"BernoulliNB": BernoulliNB, "GaussianNB": GaussianNB}[row["kind"]](**params)

@@ -457,7 +457,7 @@ def q_lda_perplexity(spark, sf_dir):
 
 # ---------------------------------------------------------------- classifiers
 
-from paddock.operators import models as MD  # noqa: E402
+from paddock.operators import boost as BO, models as MD  # noqa: E402
 from paddock.sources.fixtures import vector_fixture  # noqa: E402
 
 
@@ -497,10 +497,9 @@ def q_isotonic(spark, sf_dir):
 
 @register("gbt_grid")
 def q_gbt_grid(spark, sf_dir):
-    """Boosted trees on lag-1 topic flags: validation log-loss per grid point, best refit on train + val."""
+    """Boosted trees on lag-1 topic flags: validation log-loss of every grid point."""
     train, val, _ = _lagged_splits(spark, sf_dir)
-    train, val = MD.as_vector(train, "topics_lag_1"), MD.as_vector(val, "topics_lag_1")
-    model, best, results = MD.gbt_grid_search(train, val, "is_winner", MD.REFERENCE_GBT_GRID)
+    _, best, results = BO.grid_search(train, val, "topics_lag_1", "is_winner", MD.REFERENCE_GBT_GRID)
     rows = [(p["maxIter"], p["maxDepth"], float(p["stepSize"]), float(ll), p == best) for p, ll in results]
     return round_doubles(spark.createDataFrame(
         rows, "max_iter int, max_depth int, step_size double, val_log_loss double, is_best boolean"))

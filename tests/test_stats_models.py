@@ -126,21 +126,3 @@ def test_conditional_logit_dead_heats_match_subset_enumeration(spark):
         return g
 
     assert np.max(np.abs(score(beta))) < 1e-6
-
-
-def test_gbt_grid_is_the_reference_grid(spark, monkeypatch):
-    from paddock.plans import queries as Q
-
-    rows = [(i, [i % 2, (i // 2) % 2], int(i % 4 == 1)) for i in range(40)]
-    df = spark.createDataFrame(rows, "id int, topics_lag_1 array<int>, is_winner int")
-    asked, search = [], MD.gbt_grid_search
-
-    def small(train, val, label, grid=None, **options):
-        asked.append(grid or MD.REFERENCE_GBT_GRID)
-        return search(train, val, label, {"maxIter": [1, 2], "maxDepth": [2], "stepSize": [0.1]}, **options)
-
-    monkeypatch.setattr(Q, "_lagged_splits", lambda s, d: (df, df, 2))
-    monkeypatch.setattr(MD, "gbt_grid_search", small)
-    got = Q.q_gbt_grid(spark, "").collect()
-    assert asked == [{"maxIter": [50, 100, 200], "maxDepth": [3, 5, 7], "stepSize": [0.01, 0.1]}]
-    assert [(r["max_iter"], r["is_best"]) for r in got] == [(1, False), (2, True)] and got[1]["val_log_loss"] < got[0]["val_log_loss"]
