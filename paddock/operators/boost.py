@@ -28,6 +28,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paddock.operators.common import written
+
 LAMBDA, MIN_CHILD, MIN_GAIN = 1.0, 1.0, 1e-6  # fixed values: the usual defaults of this loss
 MAX_BINS = 32
 KEEP = 5
@@ -272,7 +274,7 @@ def fit_boosted(df: DataFrame, features: str, label: str, models: Sequence[tuple
     cuts = feature_cuts(df, features, max_bins)
     k, bins = len(cuts), max([len(c) + 1 for c in cuts], default=1)
     table = patterns(df, features, label, cuts)
-    table = table.withColumn("scores", F.array(*[F.lit(0.0)] * len(models))).checkpoint()
+    table = written(table.withColumn("scores", F.array(*[F.lit(0.0)] * len(models))), "patterns")
     sums = table.agg(F.sum("n").alias("n"), F.sum("sy").alias("sy")).first()
     n, sy = sums["n"] or 0.0, sums["sy"] or 0.0
     if not 0 < sy < n:
@@ -310,7 +312,7 @@ def _saved(table: DataFrame, growing: list[_Growing], k: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, new.size + 1, new.shape[1]), pa.int32()), pa.array(new.ravel()))
             yield pa.RecordBatch.from_arrays([b.column("bins"), b.column("n"), b.column("sy"), lists], names=["bins", "n", "sy", "scores"])
 
-    return table.mapInArrow(run, table.schema).checkpoint()
+    return written(table.mapInArrow(run, table.schema), "scores")
 
 
 def prefix_losses(df: DataFrame, features: str, label: str, models: Sequence[BoostedTrees], prefixes: Sequence[int],

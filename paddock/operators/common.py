@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paddock.session import ensure_checkpoint_dir
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder: lineage ends here.
+
+    Unlike ``checkpoint()``, which runs its last stage a second time to save it, this computes it once."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/stage-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
 def with_group_stats(df: DataFrame, keys: str | Sequence[str], *aggs: Column, how: str = "left") -> DataFrame:
     """Attach per-group aggregates to every row (pandas ``groupby().transform``).

@@ -1,7 +1,7 @@
 """Stage 2b: topic models and their quality metrics.
 
 A topic model is held as a long table ``(topic, term, weight)``: from a
-fitted Spark ``LDAModel`` (``lda_topic_terms``) or from any grouping of the
+fitted model (``lda.TopicModels.topic_terms``) or from any grouping of the
 corpus (``grouped_topic_terms``: the term distribution of each group).
 
 Metrics are aggregations over that table, written so that no pairs of topics
@@ -162,52 +162,3 @@ def coherence_cv(top: DataFrame, texts: DataFrame, window: int = 110, tokens: st
     cos = seg.join(star_norm, "topic").select(
         "topic", F.try_divide(F.col("dot"), F.col("ni") * F.col("ns")).alias("cos"))
     return cos.groupBy("topic").agg(F.avg("cos").alias("coherence"))
-
-
-# ------------------------------------------------------------------ fitted LDA (Spark ML)
-
-def fit_lda(docs: DataFrame, k: int, tokens: str = "tokens", min_df: float = 1.0,
-            passes: int = 10, batch_share: float = 1.0, seed: int = 42, optimizer: str = "online"):
-    """CountVectorizer over the whole vocabulary + online LDA with a learned document concentration.
-
-    ``passes`` over the corpus in batches of ``batch_share`` of its documents.
-
-    Returns (vectorizer model, LDA model).  Spark's online LDA learns alpha
-    (optimizeDocConcentration) but keeps eta fixed.
-    """
-    from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
-
-    cv = CountVectorizer(inputCol=tokens, outputCol="features", vocabSize=2**31 - 1, minDF=min_df).fit(docs)
-    feats = cv.transform(docs).filter(F.size(tokens) > 0)
-    params = dict(k=k, maxIter=round(passes / batch_share), seed=seed, optimizer=optimizer, featuresCol="features")
-    if optimizer == "online":
-        params |= {"optimizeDocConcentration": True, "subsamplingRate": batch_share}
-    lda = LDA(**params)
-    return cv, lda.fit(feats)
-
-
-def lda_topic_terms(cv_model, lda_model, spark) -> DataFrame:
-    """(topic, term, weight): the full topic-term distribution (K x V, the model's own size)."""
-    vocab = spark.createDataFrame([(i, t) for i, t in enumerate(cv_model.vocabulary)], "term_index int, term string")
-    desc = lda_model.describeTopics(maxTermsPerTopic=len(cv_model.vocabulary))
-    long = desc.select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("z")).select(
-        "topic", F.col("z.termIndices").alias("term_index"), F.col("z.termWeights").alias("weight"))
-    return long.join(F.broadcast(vocab), "term_index").select("topic", "term", "weight")
-
-
-def topic_flags(cv_model, lda_model, docs: DataFrame, k: int, threshold: float | None = None,
-                key: str = "doc_id", tokens: str = "tokens", out: str = "topics") -> DataFrame:
-    """(doc_id, topics array<int>): 1 where the document's topic probability >= threshold (1/K)."""
-    from pyspark.ml.functions import vector_to_array
-
-    t = 1.0 / k if threshold is None else threshold
-    scored = lda_model.transform(cv_model.transform(docs.select(key, tokens)))
-    probs = vector_to_array(F.col("topicDistribution"))
-    return scored.select(key, F.transform(probs, lambda p: (p >= F.lit(t)).cast("int")).alias(out))
-
-
-def perplexity(cv_model, lda_model, docs: DataFrame, tokens: str = "tokens") -> float:
-    """2 ** (per-word negative log-likelihood bound), the reference's 2 ** (-log_perplexity)."""
-    feats = cv_model.transform(docs).filter(F.size(tokens) > 0)
-    return float(2.0 ** lda_model.logPerplexity(feats))

@@ -477,8 +477,45 @@ SELECT doc_id, term, CAST(n AS BIGINT) AS n, round(weight, 6) AS weight FROM ww
 """
 
 
+def _fold_in(iterations: int = 10) -> str:
+    """The fixed-point iterations of topic shares, unrolled: g is the share's parameter, e its weight."""
+    from paddock.functions.special import sql_digamma
+
+    steps = """,
+kk AS (SELECT count(DISTINCT topic) AS k FROM tw),
+ws AS MATERIALIZED (SELECT b.doc_id, b.term, CAST(b.n AS DOUBLE) AS n FROM bow b WHERE b.term IN (SELECT term FROM tw)),
+g0 AS MATERIALIZED (SELECT doc_id, topic, 1.0 / k + n / k AS g
+  FROM (SELECT doc_id, sum(n) AS n FROM ws GROUP BY doc_id), (SELECT DISTINCT topic FROM tw), kk)"""
+    for i in range(iterations + 1):
+        steps += f""",
+e{i} AS MATERIALIZED (SELECT doc_id, topic, g, {sql_digamma('g')} - {sql_digamma('t')} AS l
+  FROM (SELECT *, sum(g) OVER (PARTITION BY doc_id) AS t FROM g{i})),
+p{i} AS MATERIALIZED (SELECT ws.doc_id, ws.term, any_value(ws.n) AS n, sum(exp(e.l) * tw.weight) AS phi
+  FROM ws JOIN tw USING (term) JOIN e{i} e ON e.doc_id = ws.doc_id AND e.topic = tw.topic GROUP BY ws.doc_id, ws.term)"""
+        if i < iterations:
+            steps += f""",
+g{i + 1} AS MATERIALIZED (SELECT e.doc_id, e.topic, 1.0 / any_value(k) + any_value(exp(e.l)) * coalesce(sum(p.n / p.phi * tw.weight), 0) AS g
+  FROM kk, e{i} e LEFT JOIN (p{i} p JOIN tw USING (term)) ON p.doc_id = e.doc_id AND tw.topic = e.topic GROUP BY e.doc_id, e.topic)"""
+    return steps
+
+
+def _topic_twins() -> None:
+    from paddock.functions.special import sql_lgamma
+
+    SQL["topic_fold_in"] = "WITH " + TOK + _TOPICS + _fold_in() + """
+SELECT doc_id, topic, round(g / sum(g) OVER (PARTITION BY doc_id), 6) AS share FROM g10"""
+    SQL["topic_perplexity"] = "WITH " + TOK + _TOPICS + _fold_in() + f""",
+db AS (SELECT doc_id, sum((1.0 / k - g) * l + {sql_lgamma('g')}) AS own, sum(g) AS t FROM e10, kk GROUP BY doc_id),
+dw AS (SELECT doc_id, sum(n * ln(phi)) AS lik, sum(n) AS n FROM p10 GROUP BY doc_id),
+db2 AS (SELECT n, lik + own - {sql_lgamma('t')} + {sql_lgamma('1.0')} - k * {sql_lgamma('(1.0 / k)')} AS bound
+  FROM db JOIN dw USING (doc_id), kk)
+SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_words, round(sum(bound) / sum(n), 6) AS bound_per_word,
+  round(pow(2.0, -sum(bound) / sum(n)), 6) AS perplexity FROM db2"""
+
+
 def finalize() -> dict[str, str]:
     """Every SQL twin with the two-step 6-digit rounding applied."""
+    _topic_twins()
     return {k: _snap(v) for k, v in SQL.items()}
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paddock.operators import betting, panel as P
-from paddock.operators.common import round_doubles
+from paddock.operators.common import round_doubles, written
 from paddock.sources.fixtures import panel_fixture
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -387,7 +387,7 @@ def q_margin_shin(spark, sf_dir):
 
 # ---------------------------------------------------------------- topics
 
-from paddock.operators import topics as TP  # noqa: E402
+from paddock.operators import lda as LD, topics as TP  # noqa: E402
 
 TOPN = 15
 COHERENCE_WINDOW = 110
@@ -429,30 +429,88 @@ def q_topic_coherence(spark, sf_dir):
 
 
 LDA_K = 10
+LDA_SWEEP = (10, 20, 30, 40, 50)
 LDA_PASSES = 10
+TFIDF_THRESHOLD = 0.05
+
+
+def _source_table(spark, sf_dir):
+    """Bag of words and the stand-in topic model (source -> term distribution), with the topics in order."""
+    docs = read_documents(spark, sf_dir, "doc_id", "text", "source")
+    bow = written(TX.bag_of_words(TX.clean_documents(docs.select("doc_id", "text"))), "bow")
+    tw = written(TP.grouped_topic_terms(bow, docs.select("doc_id", F.col("source").alias("topic"))), "topics")
+    topics = sorted(r["topic"] for r in tw.select("topic").distinct().where("topic is not null").collect())
+    return bow, tw, topics
+
+
+@register("topic_fold_in")
+def q_topic_fold_in(spark, sf_dir):
+    """Posterior topic shares of every document against a given topic-term table."""
+    bow, tw, topics = _source_table(spark, sf_dir)
+    names = F.array(*[F.lit(t) for t in topics])
+    total = F.aggregate("gamma", F.lit(0.0), lambda s, g: s + g)
+    rows = LD.fold_in(bow, tw, topics).withColumn("t", total).select("doc_id", "t", F.posexplode("gamma").alias("i", "g"))
+    return round_doubles(rows.select("doc_id", F.element_at(names, F.col("i") + 1).alias("topic"), (F.col("g") / F.col("t")).alias("share")))
+
+
+@register("topic_perplexity")
+def q_topic_perplexity(spark, sf_dir):
+    """Variational bound per word and perplexity of the corpus against a given topic-term table."""
+    bow, tw, topics = _source_table(spark, sf_dir)
+    return round_doubles(LD.perplexity_bound(LD.fold_in(bow, tw, topics), len(topics)))
 
 
 def _lda(spark, sf_dir):
-    clean = TX.clean_documents(_docs(spark, sf_dir)).select("doc_id", "tokens")
-    cv, model = TP.fit_lda(clean, LDA_K, passes=LDA_PASSES, seed=42)
-    return clean, cv, model
+    """Bag of words of the whole corpus and a fitted model of LDA_K topics."""
+    bow = written(TX.bag_of_words(TX.clean_documents(_docs(spark, sf_dir))), "bow")
+    return bow, LD.fit_lda(bow, [LDA_K], passes=LDA_PASSES, seed=42)
+
+
+def _flags(model: LD.TopicModels, bow: DataFrame) -> DataFrame:
+    """(doc_id, m, topics): 1 where a document's share of a topic is 1 / K or more."""
+    return LD.document_shares(model, bow).select(
+        "doc_id", "m", F.transform("shares", lambda p: (p >= F.lit(1.0) / F.size("shares")).cast("int")).alias("topics"))
 
 
 @register("lda_flags")
 def q_lda_flags(spark, sf_dir):
-    clean, cv, model = _lda(spark, sf_dir)
-    flags = TP.topic_flags(cv, model, clean, LDA_K)
-    return FT.expand_array(flags, "topics", _names(LDA_K)).select("doc_id", *_names(LDA_K))
+    """Topic flags of every document; one without words has none."""
+    bow, model = _lda(spark, sf_dir)
+    flags = _flags(model, bow).select("doc_id", "topics")
+    every = _docs(spark, sf_dir).select("doc_id").join(flags, "doc_id", "left").withColumn(
+        "topics", F.coalesce("topics", F.array_repeat(F.lit(0), LDA_K)))
+    return FT.expand_array(every, "topics", _names(LDA_K)).select("doc_id", *_names(LDA_K))
 
 
 @register("lda_perplexity")
 def q_lda_perplexity(spark, sf_dir):
-    clean, cv, model = _lda(spark, sf_dir)
-    tw = TP.lda_topic_terms(cv, model, spark)
-    top = TP.top_terms(tw, TOPN)
-    ppl = TP.perplexity(cv, model, clean)
-    m = TP.topic_uniqueness(top, TOPN).join(TP.topic_similarity(tw), "n_topics")
-    return round_doubles(m.withColumn("perplexity", F.lit(ppl)))
+    _, model = _lda(spark, sf_dir)
+    tw = written(model.topic_terms(0), "topics")
+    m = TP.topic_uniqueness(TP.top_terms(tw, TOPN), TOPN).join(TP.topic_similarity(tw), "n_topics")
+    return round_doubles(m.withColumn("perplexity", F.lit(2.0 ** -model.bounds[-1][0])))
+
+
+def _corpus_split(spark, sf_dir, split: str):
+    """Documents are dealt by a hash of their ids: 3 of 5 to train, 1 to val, 1 to test."""
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(5))
+    return _docs(spark, sf_dir).where(part < 3 if split == "train" else part == (3 if split == "val" else 4))
+
+
+@register("lda_sweep")
+def q_lda_sweep(spark, sf_dir):
+    """All numbers of topics fitted together on the train documents, after phrase merge and TF-IDF filter:
+    bound per word of the first and last pass, and the perplexity of train and of validation documents."""
+    train = _corpus_split(spark, sf_dir, "train")
+    ct = TX.clean_tokens(TX.clauses(train), "clause").select("doc_id", "clause_no", "tokens")
+    merged = TX.merge_phrases(ct, TX.phrase_scores(ct, PHRASE_MIN_COUNT, PHRASE_THRESHOLD)).select("doc_id", "clause_no", F.col("merged").alias("tokens"))
+    bow = written(TX.bag_of_words(TX.flatten_clauses(merged)), "bow")
+    kept = written(TX.tfidf_filter(bow, TFIDF_THRESHOLD).select("doc_id", "term", "n"), "kept")
+    model = LD.fit_lda(kept, LDA_SWEEP, passes=LDA_PASSES, seed=42)
+    val = written(TX.bag_of_words(TX.clean_documents(_corpus_split(spark, sf_dir, "val"))), "bow")
+    held = LD.held_out_bound(model, val)
+    rows = [("lda", k, model.bounds[0][m], model.bounds[-1][m], 2.0 ** -model.bounds[-1][m], 2.0 ** -held[m]) for m, k in enumerate(model.sizes)]
+    return round_doubles(spark.createDataFrame(
+        rows, "model_type string, num_topics int, bound_first double, bound_last double, perplexity_train double, perplexity_val double"))
 
 
 # ---------------------------------------------------------------- classifiers
@@ -652,13 +710,13 @@ def q_flatten_clauses(spark, sf_dir):
 def q_lda_evaluation(spark, sf_dir):
     """One metrics row for a fitted LDA model: mean c_v coherence, perplexity,
     topic uniqueness and mean topic similarity."""
-    clean, cv, model = _lda(spark, sf_dir)
-    tw = TP.lda_topic_terms(cv, model, spark).checkpoint()
+    bow, model = _lda(spark, sf_dir)
+    clean = TX.clean_documents(_docs(spark, sf_dir))
+    tw = written(model.topic_terms(0), "topics")
     top = TP.top_terms(tw, TOPN)
     coherence = TP.coherence_cv(top, clean, window=COHERENCE_WINDOW).agg(F.avg("coherence").alias("coherence"))
-    ppl = TP.perplexity(cv, model, clean)
     m = TP.topic_uniqueness(top, TOPN).join(TP.topic_similarity(tw), "n_topics")
-    m = m.withColumn("perplexity", F.lit(ppl)).withColumn("coherence", F.lit(coherence.collect()[0]["coherence"]))
+    m = m.withColumn("perplexity", F.lit(2.0 ** -model.bounds[-1][0])).withColumn("coherence", F.lit(coherence.first()["coherence"]))
     return round_doubles(m.select(F.lit("lda").alias("model_type"), "n_topics", "coherence", "perplexity",
                                   "tu_score", "avg_topic_similarity"))
 
