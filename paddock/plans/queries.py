@@ -460,10 +460,17 @@ def q_topic_perplexity(spark, sf_dir):
     return round_doubles(LD.perplexity_bound(LD.fold_in(bow, tw, topics), len(topics)))
 
 
+_FITTED: dict[tuple[str, str], tuple[DataFrame, LD.TopicModels]] = {}
+
+
 def _lda(spark, sf_dir):
-    """Bag of words of the whole corpus and a fitted model of LDA_K topics."""
-    bow = written(TX.bag_of_words(TX.clean_documents(_docs(spark, sf_dir))), "bow")
-    return bow, LD.fit_lda(bow, [LDA_K], passes=LDA_PASSES, seed=42)
+    """Bag of words of the whole corpus and a fitted model of LDA_K topics: written tables, which the
+    queries that read the same model share within a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _FITTED:
+        bow = written(TX.bag_of_words(TX.clean_documents(_docs(spark, sf_dir))), "bow")
+        _FITTED[key] = bow, LD.fit_lda(bow, [LDA_K], passes=LDA_PASSES, seed=42)
+    return _FITTED[key]
 
 
 def _flags(model: LD.TopicModels, bow: DataFrame) -> DataFrame:
