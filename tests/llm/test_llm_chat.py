@@ -51,7 +51,7 @@ def test_mask_offsets_point_into_the_whole(spark):
 
 
 def test_twin_on_odd_rows(spark, tmp_path):
-    rows = [(1, 0, "user", t) for t in NASTY] + [(2, 0, "assistant", NASTY[1]), (2, 1, None, None)]
+    rows = [(1, 0, "user", t) for t in NASTY] + [(2, 0, "assistant", NASTY[1]), (2, 1, None, None), (2, None, "assistant", "no turn")]
     spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r["conv_id"]: r.asDict() for r in chat.op6_chat_formatting(spark, str(tmp_path)).collect()}
     con = duckdb.connect()

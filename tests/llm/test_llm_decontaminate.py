@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import re
 
 from paddock.llm import decontaminate
@@ -83,3 +84,34 @@ def test_documents_with_a_passage_of_an_item_without_id_go(spark):
     docs = spark.createDataFrame([(1, passage), (2, "something else " * 30)], "doc_id bigint, text string")
     bench = spark.createDataFrame([(None, passage), (7, None)], "item_id string, text string")
     assert [r["doc_id"] for r in decontaminate.remove_documents(docs, bench).collect()] == [2]
+
+
+def test_many_windows_are_built_in_linear_time():
+    rng = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    items = [(k, " ".join(rng.choices(vocabulary, k=100)).encode()) for k in range(4000)]
+    began = time.perf_counter()
+    windows = decontaminate.Windows(items, 10)
+    assert time.perf_counter() - began < 15
+    assert sum(len(x[1]) for x in windows.lengths) == 4000 * 91
+    n, spans, found = windows.hits(b"x y " + items[77][1][:300].rsplit(b" ", 1)[0] + b" z")
+    assert found == [77] and spans == [(2, n - 1)]
+
+
+def test_a_repeated_window_names_all_its_items():
+    text = b"a b c d e"
+    windows = decontaminate.Windows([(3, text), (1, b"x " + text), (2, b"b c d"), (9, b"d")], 3)
+    assert windows.hits(b"q a b c d")[1:] == ([(1, 5)], [1, 2, 3, 9])
+
+
+def test_an_item_longer_than_a_table(spark):
+    rng = random.Random(4)
+    passage = [f"p{rng.randrange(300)}" for _ in range(900)]
+    items = [(1, " ".join(passage)), (2, "short one"), (3, " ".join(passage[100:140]))]
+    docs = [(k, " ".join(["out"] * 3 + passage[k * 7:k * 7 + 15] + ["out"])) for k in range(120)] + [(500, "a short one here"), (501, "clean")]
+    want = brute(docs, items, 10)
+    assert run(spark, docs, items, n=10, block_windows=600) == want
+    d = spark.createDataFrame(docs, "doc_id bigint, text string")
+    b = spark.createDataFrame(items, "item_id bigint, text string")
+    kept = decontaminate.remove_documents(d, b, block_windows=600)
+    assert [r["doc_id"] for r in kept.collect()] == [x[0] for x in want if not x[2]]
