@@ -5,8 +5,8 @@ Likelihood per race r with winner set W (k = |W|):
 k = 1 is the softmax case; its gradient and Hessian are sums of
 exp(u) x and exp(u) x x' per race, computed by one groupBy (combined
 map-side, so a very large race is reduced in pieces) and one global sum.
-Races with 2 <= k < n (dead heats) rebuild e_k from per-race power sums
-(Newton's identities), again map-side combined; races with k = 0 or k = n
+Races with 2 <= k < n (dead heats) get e_k as a coefficient of a product of
+polynomials, multiplied in parts and up a tree; races with k = 0 or k = n
 carry no information.
 Only P + P^2 numbers reach the driver per iteration (P = number of features).
 """
@@ -71,96 +71,139 @@ def _single_winner_terms(d: DataFrame, beta: np.ndarray, p: int):
     return per_race.agg(*tot)
 
 
-def _dead_heat_terms(d: DataFrame, beta: np.ndarray, p: int, kmax: int) -> DataFrame:
-    """Per-race loglik/gradient/Hessian for races with 2 <= k < n winners.
+PART = 4096  # runners whose polynomial one row gets; products then go up a tree of FAN parts a node
+FAN = 64
+GRID = 40
 
-    e_k(w) is rebuilt from power sums p_m = sum w^m (m <= k) by Newton's
-    identities, and so are its first and second derivatives (d p_m = sum m w^m x,
-    d2 p_m = sum m^2 w^m x x').  Power sums are plain sums: a race of any size
-    is reduced map-side like the single-winner case, and only one row per race
-    (a few dozen numbers) goes through the vectorised numpy step.  w is
-    exp(u - max u) per race, so nothing overflows.
-    """
-    import pandas as pd
+Jet = tuple  # coefficients of a truncated polynomial, their gradients and Hessians, and a log scale
+
+
+def _times(a: Jet, b: Jet, k: int) -> Jet:
+    """The product of two polynomials with derivatives, up to degree ``k``, scaled to a largest coefficient of 1."""
+    (v, g, h, s), (w, d, e, t) = a, b
+    p = g.shape[1]
+    c = lambda x, y: np.convolve(x, y)[:k + 1]
+    value = c(v, w)
+    top = value.max()
+    grad = np.stack([c(g[:, j], w) + c(v, d[:, j]) for j in range(p)], axis=1)
+    hess = np.stack([np.stack([c(h[:, j, l], w) + c(g[:, j], d[:, l]) + c(g[:, l], d[:, j]) + c(v, e[:, j, l]) for l in range(p)], axis=1)
+                     for j in range(p)], axis=1)
+    return value / top, grad / top, hess / top, s + t + float(np.log(top))
+
+
+def _product(jets: list[Jet], k: int) -> Jet:
+    while len(jets) > 1:
+        jets = [_times(*jets[i:i + 2], k) if i + 1 < len(jets) else jets[i] for i in range(0, len(jets), 2)]
+    return jets[0]
+
+
+def _leaves(u: np.ndarray, x: np.ndarray) -> list[Jet]:
+    """1 + exp(u) z per runner, scaled, with derivatives in the coefficients that u = x . beta depends on."""
+    m = np.maximum(u, 0)
+    one, w = np.exp(-m), np.exp(u - m)
+    g = np.zeros((len(u), 2, x.shape[1]))
+    g[:, 1] = w[:, None] * x
+    h = np.zeros((len(u), 2, x.shape[1], x.shape[1]))
+    h[:, 1] = w[:, None, None] * x[:, :, None] * x[:, None, :]
+    return [(np.array([one[i], w[i]]), g[i], h[i], float(m[i])) for i in range(len(u))]
+
+
+def _packed(jet: Jet) -> bytes:
+    v, g, h, s = jet
+    return np.concatenate([[s], v, g.ravel(), h.ravel()]).tobytes()
+
+
+def _unpacked(data: bytes, p: int) -> Jet:
+    x = np.frombuffer(data)
+    n = (len(x) - 1) // (1 + p + p * p)
+    return x[1:1 + n], x[1 + n:1 + n + n * p].reshape(n, p), x[1 + n + n * p:].reshape(n, p, p), float(x[0])
+
+
+def _dead_heat_terms(d: DataFrame, beta: np.ndarray, p: int) -> DataFrame:
+    """Log-likelihood, gradient and Hessian per race with 2 <= k < n winners, any k.
+
+    e_k(w) is the coefficient of z^k in the product of 1 + w z over the runners, whose factors carry first
+    and second derivatives. Runners are dealt into parts of about ``PART``, multiplied by divide and conquer;
+    the parts of a race are multiplied up a tree, so a race of any size is many rows. All
+    coefficients are positive, so nothing cancels. To keep z^k near the largest coefficient, the weights of
+    a race are tilted, exp(u - t), so that the expected number of winners is about k; that changes
+    e_k by the factor exp(-k t) only."""
+    import pyarrow as pa
 
     u = sum((F.lit(float(beta[j])) * F.col(f"x{j}") for j in range(p)), F.lit(0.0))
     heats = d.filter(F.col("k") >= 2).withColumn("_u", u)
-    heats = with_group_stats(heats, "race", F.max("_u").alias("_s"))
-    w = F.exp(F.col("_u") - F.col("_s"))
-    xs = [F.col(f"x{j}") for j in range(p)]
-    aggs = [F.first("k").alias("k"), F.first("_s").alias("s"), F.sum(F.col("y") * F.col("_u")).alias("uw")]
-    aggs += [F.sum(F.col("y") * xs[j]).alias(f"xw_{j}") for j in range(p)]
-    for m in range(1, kmax + 1):
-        wm = F.pow(w, F.lit(float(m)))
-        aggs.append(F.sum(wm).alias(f"p_{m}"))
-        aggs += [F.sum(F.lit(float(m)) * wm * xs[j]).alias(f"dp_{m}_{j}") for j in range(p)]
-        aggs += [F.sum(F.lit(float(m * m)) * wm * xs[j] * xs[l]).alias(f"ddp_{m}_{j}_{l}")
-                 for j in range(p) for l in range(j, p)]
-    per_race = heats.groupBy("race").agg(*aggs)
-    out_schema = "ll double, " + ", ".join(f"g_{j} double" for j in range(p)) + ", " + ", ".join(
-        f"h_{j}_{l} double" for j in range(p) for l in range(j, p))
+    heats = with_group_stats(heats, "race", F.min("_u").alias("_lo"), F.max("_u").alias("_hi"))
+    reach = F.ln(F.col("n").cast("double")) + F.lit(1.0)
+    low, width = F.col("_lo") - reach, (F.col("_hi") - F.col("_lo") + 2 * reach) / GRID
+    heats = heats.withColumn("_low", low).withColumn("_width", width)
+    expected = [F.sum(F.lit(1.0) / (F.lit(1.0) + F.exp(F.col("_low") + F.lit(float(j)) * F.col("_width") - F.col("_u")))).alias(f"_e{j}") for j in range(GRID + 1)]
+    tilt = heats.groupBy("race").agg(F.first("k").alias("_k"), F.first("_low").alias("_l"), F.first("_width").alias("_w"), *expected)
+    above = sum((F.when(F.col(f"_e{j}") >= F.col("_k"), 1).otherwise(0) for j in range(GRID + 1)), F.lit(0))
+    tilt = tilt.select("race", (F.col("_l") + F.col("_w") * (above - F.lit(0.5))).alias("t"))
+    xs = [f"x{j}" for j in range(p)]
+    parts = F.ceil(F.col("n") / PART)
+    rows = heats.join(tilt, "race").withColumn("part", F.pmod(F.xxhash64("id"), parts))
+    sums = [F.sum(F.col("y") * F.col("_u")).alias("uw"), *[F.sum(F.col("y") * F.col(x)).alias(f"xw_{j}") for j, x in enumerate(xs)]]
+    runner = F.struct((F.col("_u") - F.col("t")).alias("u"), F.array(*xs).alias("x"))
+    groups = rows.groupBy("race", "part").agg(F.first("k").alias("k"), F.first("t").alias("t"), *sums, F.collect_list(runner).alias("m"))
+    kept = ["uw", *[f"xw_{j}" for j in range(p)]]
+
+    def multiply(batches):
+        for b in batches:
+            out = []
+            for k, m in zip(b.column("k").to_pylist(), b.column("m"), strict=True):
+                flat = m.values
+                out.append(_packed(_product(_leaves(flat.field("u").to_numpy(), flat.field("x").flatten().to_numpy().reshape(-1, p)), k)))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("race", "part", "k", "t", *kept)], pa.array(out, pa.binary())],
+                                             names=["race", "part", "k", "t", *kept, "jet"])
+
+    def join(batches):
+        for b in batches:
+            out = [_packed(_product([_unpacked(x, p) for x in jets], k))
+                   for k, jets in zip(b.column("k").to_pylist(), b.column("jets").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("race", "part", "k", "t", *kept)], pa.array(out, pa.binary())],
+                                             names=["race", "part", "k", "t", *kept, "jet"])
+
+    kind = dict(d.dtypes)["race"]
+    shape = f"race {kind}, part bigint, k bigint, t double, {', '.join(f'{c} double' for c in kept)}, jet binary"
+    groups = groups.select("race", "part", F.col("k").cast("long").alias("k"), "t", *kept, "m")
+    jets = groups.mapInArrow(multiply, shape)
+    for _ in range(2):  # FAN parts to one, then whatever is left of a race
+        up = F.floor(F.col("part") / FAN) if _ == 0 else F.lit(0).cast("long")
+        jets = jets.withColumn("part", up).groupBy("race", "part").agg(
+            F.first("k").alias("k"), F.first("t").alias("t"), *[F.sum(c).alias(c) for c in kept], F.collect_list("jet").alias("jets")).mapInArrow(join, shape)
 
     def solve(batches):
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            r = len(pdf)
-            pw = np.zeros((kmax + 1, r))
-            dpw = np.zeros((kmax + 1, r, p))
-            ddpw = np.zeros((kmax + 1, r, p, p))
-            for m in range(1, kmax + 1):
-                pw[m] = pdf[f"p_{m}"].to_numpy()
-                for j in range(p):
-                    dpw[m, :, j] = pdf[f"dp_{m}_{j}"].to_numpy()
-                    for l in range(j, p):
-                        ddpw[m, :, j, l] = ddpw[m, :, l, j] = pdf[f"ddp_{m}_{j}_{l}"].to_numpy()
-            e = np.zeros((kmax + 1, r))
-            de = np.zeros((kmax + 1, r, p))
-            dde = np.zeros((kmax + 1, r, p, p))
-            e[0] = 1.0
-            for m in range(1, kmax + 1):
-                for i in range(1, m + 1):
-                    sg = 1.0 if i % 2 == 1 else -1.0
-                    e[m] += sg * e[m - i] * pw[i]
-                    de[m] += sg * (de[m - i] * pw[i][:, None] + e[m - i][:, None] * dpw[i])
-                    dde[m] += sg * (dde[m - i] * pw[i][:, None, None]
-                                    + np.einsum("rj,rl->rjl", de[m - i], dpw[i])
-                                    + np.einsum("rj,rl->rjl", dpw[i], de[m - i])
-                                    + e[m - i][:, None, None] * ddpw[i])
-                e[m] /= m
-                de[m] /= m
-                dde[m] /= m
-            k = pdf["k"].to_numpy().astype(int)
-            idx = np.arange(r)
-            ek, dek, ddek = e[k, idx], de[k, idx], dde[k, idx]
-            ll = pdf["uw"].to_numpy() - (np.log(ek) + k * pdf["s"].to_numpy())
-            xw = np.stack([pdf[f"xw_{j}"].to_numpy() for j in range(p)], axis=1)
-            g = xw - dek / ek[:, None]
-            h = ddek / ek[:, None, None] - np.einsum("rj,rl->rjl", dek, dek) / (ek * ek)[:, None, None]
-            out = {"ll": ll, **{f"g_{j}": g[:, j] for j in range(p)},
-                   **{f"h_{j}_{l}": h[:, j, l] for j in range(p) for l in range(j, p)}}
-            yield pd.DataFrame(out)
-
-    return per_race.mapInPandas(solve, out_schema)
-
-
-MAX_WINNERS = 50  # Newton's identities lose precision beyond a few dozen tied winners
+        names = ["ll", *[f"g_{j}" for j in range(p)], *[f"h_{j}_{l}" for j in range(p) for l in range(j, p)]]
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                v, g, h, s = _unpacked(r["jet"], p)
+                k = r["k"]
+                mean = g[k] / v[k]
+                curve = h[k] / v[k] - np.outer(mean, mean)
+                out.append([r["uw"] - (np.log(v[k]) + s + k * r["t"]), *[r[f"xw_{j}"] - mean[j] for j in range(p)],
+                            *[curve[j, l] for j in range(p) for l in range(j, p)]])
+            cells = np.array(out, float).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in cells.T], names=names)
+
+    out_schema = "ll double, " + ", ".join(f"g_{j} double" for j in range(p)) + ", " + ", ".join(
+        f"h_{j}_{l} double" for j in range(p) for l in range(j, p))
+    return jets.mapInArrow(solve, out_schema)
 
 
 def fit_conditional_logit(df: DataFrame, features: list[str], y: str = "is_winner", race: str = "race_id",
                           max_iter: int = 50, tol: float = 1e-10, start: list[float] | None = None) -> ChoiceFit:
     p = len(features)
-    d = _prepare(df, features, y, race).checkpoint()  # reliable cut: every iteration re-reads it
+    # reliable cut: every iteration re-reads it, and rows keep the ids that deal them into parts
+    d = _prepare(df, features, y, race).withColumn("id", F.monotonically_increasing_id()).checkpoint()
     # a feature with no variation inside any race cancels out of every softmax: not identifiable
     spread = d.groupBy("race").agg(*[(F.max(f"x{j}") - F.min(f"x{j}")).alias(f"r{j}") for j in range(p)]) \
         .agg(*[F.max(f"r{j}").alias(f"r{j}") for j in range(p)]).collect()[0]
     if any(not spread[f"r{j}"] for j in range(p)):
         nan = np.full(p, np.nan)
         return ChoiceFit(list(features), nan, np.full((p, p), np.nan), float("nan"), 0, 0, False)
-    kmax = d.filter(F.col("k") >= 2).agg(F.max("k").alias("m")).collect()[0]["m"]
-    has_heats = kmax is not None
-    if has_heats and kmax > MAX_WINNERS:
-        raise ValueError(f"a race has {kmax} tied winners; at most {MAX_WINNERS} are supported")
+    has_heats = not d.filter(F.col("k") >= 2).isEmpty()
     beta = np.zeros(p) if start is None else np.array(start, dtype=float)
     before = beta
     hist, converged, it = [], False, 0
@@ -178,7 +221,7 @@ def fit_conditional_logit(df: DataFrame, features: list[str], y: str = "is_winne
             for l in range(j, p):
                 h[j, l] = h[l, j] = float(row[f"h_{j}_{l}"] or 0.0)
         if has_heats:
-            extra = _dead_heat_terms(d, beta, p, int(kmax)).agg(
+            extra = _dead_heat_terms(d, beta, p).agg(
                 F.sum("ll").alias("ll"), F.count(F.lit(1)).alias("n"),
                 *[F.sum(f"g_{j}").alias(f"g_{j}") for j in range(p)],
                 *[F.sum(f"h_{j}_{l}").alias(f"h_{j}_{l}") for j in range(p) for l in range(j, p)],

@@ -28,8 +28,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paddock.operators.common import written
+
 EPSILON = 1e-12
-MAX_RELEVANT = 100_000  # distinct top words shipped to executors as a broadcast; checked
 
 
 def grouped_topic_terms(bow: DataFrame, doc_groups: DataFrame, key: str = "doc_id", group: str = "topic") -> DataFrame:
@@ -97,7 +98,7 @@ def window_islands(texts: DataFrame, relevant: DataFrame, window: int = 110, tok
     n = F.size(tokens)
     nwin = F.greatest(n - F.lit(window) + 1, F.lit(1))
     occ = texts.select(key, nwin.alias("nwin"), F.posexplode(tokens).alias("pos", "term"))
-    occ = occ.join(F.broadcast(relevant.select("term")), "term")
+    occ = occ.join(relevant.select("term"), "term")
     occ = occ.select(key, "term", "nwin",
                      F.greatest(F.lit(0), F.col("pos") - F.lit(window - 1)).alias("start"),
                      F.least(F.col("pos"), F.col("nwin") - 1).alias("end"))
@@ -113,13 +114,8 @@ def window_islands(texts: DataFrame, relevant: DataFrame, window: int = 110, tok
 def coherence_cv(top: DataFrame, texts: DataFrame, window: int = 110, tokens: str = "tokens",
                  key: str = "doc_id") -> DataFrame:
     """(topic, coherence): c_v of each topic's top words over ``texts`` (token arrays)."""
-    # the top-n lists are bounded by K * n: gather them once (checked) so the
-    # many uses below read a local relation instead of re-running the topic model
-    rows = top.select("topic", "term").limit(MAX_RELEVANT + 1).collect()
-    if len(rows) > MAX_RELEVANT:
-        raise ValueError(f"more than {MAX_RELEVANT} top words")
-    spark = texts.sparkSession
-    words = spark.createDataFrame(rows, top.select("topic", "term").schema)
+    # the top-n lists as a table, so that the many uses below don't re-run the topic model
+    words = written(top.select("topic", "term"), "top")
     relevant = words.select("term").distinct()
     # reliable cut: the islands feed four branches below
     islands = window_islands(texts, relevant, window, tokens, key).checkpoint()
@@ -131,7 +127,6 @@ def coherence_cv(top: DataFrame, texts: DataFrame, window: int = 110, tokens: st
     pairs = (words.alias("a").join(words.alias("b"), "topic")
              .where(F.col("a.term") < F.col("b.term"))
              .select(F.col("a.term").alias("u"), F.col("b.term").alias("v")).distinct())
-    pairs = F.broadcast(pairs)
     both = (islands.join(pairs, islands["term"] == pairs["u"]).select(key, "u", "v", "start", "end")
             .unionByName(islands.join(pairs, islands["term"] == pairs["v"]).select(key, "u", "v", "start", "end")))
     union = _union_size(both, [key, "u", "v"]).groupBy("u", "v").agg(F.sum("covered").alias("uni"))

@@ -126,3 +126,40 @@ def test_conditional_logit_dead_heats_match_subset_enumeration(spark):
         return g
 
     assert np.max(np.abs(score(beta))) < 1e-6
+
+
+def test_dead_heats_of_any_size_match_dynamic_programming(spark, monkeypatch):
+    """200 tied winners among 900 runners, and races in several parts, against e_k by a plain recurrence in logs."""
+    monkeypatch.setattr(CH, "PART", 64)
+    monkeypatch.setattr(CH, "FAN", 3)
+    rng = np.random.default_rng(12)
+    rows, races = [], []
+    for r, (n, k, scale) in enumerate([(900, 200, 1.0), (300, 150, 3.0), (10, 3, 1.0), (50, 49, 1.0), (400, 60, 12.0)]):
+        x = rng.normal(size=n) * scale
+        x -= x.mean()
+        won = np.zeros(n, int)
+        won[np.argsort(-(0.5 * x + rng.gumbel(size=n)))[:k]] = 1
+        rows += [(r, float(a), int(b), k, n) for a, b in zip(x, won)]
+        races.append((x, won, k))
+    d = spark.createDataFrame(rows, "race long, x0 double, y int, k long, n long").repartition(4).withColumn("id", F.monotonically_increasing_id())
+
+    def loglik(beta):
+        total = 0.0
+        for x, won, k in races:
+            logs = np.full(k + 1, -np.inf)
+            logs[0] = 0.0
+            for u in beta * x:
+                logs[1:] = np.logaddexp(logs[1:], logs[:-1] + u)
+            total += beta * x[won == 1].sum() - logs[k]
+        return total
+
+    for beta in (0.0, 0.7, 2.0):
+        got = CH._dead_heat_terms(d, np.array([beta]), 1).agg(*[F.sum(c).alias(c) for c in ("ll", "g_0", "h_0_0")], F.count("*").alias("n")).first()
+        step = 1e-4
+        assert got["n"] == len(races) and math.isclose(got["ll"], loglik(beta), rel_tol=1e-10)
+        assert math.isclose(got["g_0"], (loglik(beta + step) - loglik(beta - step)) / (2 * step), rel_tol=1e-5, abs_tol=1e-4)
+        assert math.isclose(got["h_0_0"], -(loglik(beta + step) - 2 * loglik(beta) + loglik(beta - step)) / step ** 2, rel_tol=1e-3, abs_tol=1e-1)
+    panel = spark.createDataFrame([(r, x, y) for r, x, y, _, _ in rows], "race_id long, x double, is_winner int")
+    fit = CH.fit_conditional_logit(panel, ["x"])
+    best = float(fit.params[0])
+    assert fit.converged and loglik(best) >= max(loglik(best - 1e-3), loglik(best + 1e-3))
