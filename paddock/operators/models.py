@@ -154,6 +154,8 @@ class LogisticFit:
     intercept: float
     coefficients: tuple[float, ...]
     iterations: int
+    left_out: int = 0  # rows with a missing value
+    converged: bool = True
 
 
 def fit_logistic_newton(df: DataFrame, features: list[str], label: str, c: float = 1.0, fit_intercept: bool = True,
@@ -163,18 +165,24 @@ def fit_logistic_newton(df: DataFrame, features: list[str], label: str, c: float
     Each step is one aggregation (gradient and Hessian sums, combined
     map-side); only (P + 1) + (P + 1)^2 numbers reach the driver.  For the
     few features of the margin comparison this converges to machine
-    precision in a handful of steps."""
+    precision in a handful of steps. Rows with a missing value are counted
+    and left out; a fit that does not converge reports no estimate (NaN)
+    rather than its last iterate."""
     import numpy as np
 
     cols = ([F.lit(1.0)] if fit_intercept else []) + [F.col(f).cast("double") for f in features]
     q = len(cols)
-    d = df.select(*[cc.alias(f"z{j}") for j, cc in enumerate(cols)], F.col(label).cast("double").alias("y")) \
-        .dropna().checkpoint()
+    d = df.select(*[cc.alias(f"z{j}") for j, cc in enumerate(cols)], F.col(label).cast("double").alias("y")).checkpoint()
+    whole = F.lit(True)
+    for name in d.columns:
+        whole = whole & F.col(name).isNotNull() & ~F.isnan(name)
+    left_out = d.where(~whole).count()
+    d = d.where(whole)
     pen = np.eye(q)
     if fit_intercept:
         pen[0, 0] = 0.0
     theta = np.zeros(q)
-    it = 0
+    it, converged = 0, False
     for it in range(1, max_iter + 1):
         eta = sum((F.lit(float(theta[j])) * F.col(f"z{j}") for j in range(q)), F.lit(0.0))
         p = F.lit(1.0) / (F.lit(1.0) + F.exp(-eta))
@@ -189,11 +197,13 @@ def fit_logistic_newton(df: DataFrame, features: list[str], label: str, c: float
                 h[j, l] = h[l, j] = c * row[f"h{j}_{l}"]
         step = np.linalg.solve(h + pen, g)
         theta = theta - step
-        if np.max(np.abs(step)) < tol:
+        if np.max(np.abs(step)) < tol * max(1.0, float(np.max(np.abs(theta)))):
+            converged = True
             break
-    if fit_intercept:
-        return LogisticFit(float(theta[0]), tuple(float(v) for v in theta[1:]), it)
-    return LogisticFit(0.0, tuple(float(v) for v in theta), it)
+    if not converged:
+        theta = np.full(q, np.nan)
+    first = float(theta[0]) if fit_intercept else 0.0
+    return LogisticFit(first, tuple(float(v) for v in theta[int(fit_intercept):]), it, left_out, converged)
 
 
 def logistic_prob(model, features: list[str]) -> Column:

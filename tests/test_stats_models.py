@@ -163,3 +163,18 @@ def test_dead_heats_of_any_size_match_dynamic_programming(spark, monkeypatch):
     fit = CH.fit_conditional_logit(panel, ["x"])
     best = float(fit.params[0])
     assert fit.converged and loglik(best) >= max(loglik(best - 1e-3), loglik(best + 1e-3))
+
+
+def test_logistic_newton_counts_missing_rows_and_reports_no_estimate(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=300)
+    y = (rng.random(300) < 1 / (1 + np.exp(-0.8 * x + 0.3))).astype(int)
+    rows = [(float(a), int(b)) for a, b in zip(x, y)]
+    fit = MD.fit_logistic_newton(spark.createDataFrame([*rows, (None, 1), (float("nan"), 0), (0.5, None)], "x double, y int"), ["x"], "y")
+    plain = MD.fit_logistic_newton(spark.createDataFrame(rows, "x double, y int"), ["x"], "y")
+    assert (fit.left_out, fit.converged, plain.left_out) == (3, True, 0)
+    assert math.isclose(fit.coefficients[0], plain.coefficients[0], rel_tol=1e-9)
+    p = 1 / (1 + np.exp(-plain.intercept - plain.coefficients[0] * x))
+    assert abs((p - y).sum()) < 1e-8 and abs(((p - y) * x).sum() + plain.coefficients[0]) < 1e-8
+    short = MD.fit_logistic_newton(spark.createDataFrame(rows, "x double, y int"), ["x"], "y", max_iter=1)
+    assert not short.converged and math.isnan(short.intercept)
