@@ -11,7 +11,7 @@ Bernoulli NB uses the unsmoothed class prior n_c / n with Laplace-smoothed
 feature probabilities (n_cj + a) / (n_c + 2a); Gaussian NB uses population
 variances plus 1e-9 x the largest feature variance.
 
-Boosted trees are in ``paddock.operators.boost``.
+Boosted trees are in ``paddock.operators.boost``, the isotonic calibration in ``paddock.operators.isotonic``.
 """
 
 from __future__ import annotations
@@ -121,20 +121,6 @@ def fit_gaussian_nb(df: DataFrame, features: str, label: str, var_smoothing: flo
 REFERENCE_GBT_GRID = {"maxIter": [50, 100, 200], "maxDepth": [3, 5, 7], "stepSize": [0.01, 0.1]}
 
 
-def fit_isotonic(scored_val: DataFrame, prob: str, label: str):
-    """Isotonic map from a model's validation scores to outcomes (pooled ties,
-    linear interpolation, clamped outside the fitted range)."""
-    from pyspark.ml.regression import IsotonicRegression
-
-    return IsotonicRegression(featuresCol=prob, labelCol=label, isotonic=True).fit(
-        scored_val.select(F.col(prob).cast("double").alias(prob), F.col(label).cast("double").alias(label)))
-
-
-def calibrate(iso_model, df: DataFrame, prob: str, out: str) -> DataFrame:
-    scored = iso_model.setFeaturesCol(prob).setPredictionCol(out).transform(df)
-    return scored.withColumn(out, F.least(F.lit(1.0), F.col(out)))
-
-
 def fit_logistic(train: DataFrame, features: list[str], label: str, fit_intercept: bool = True, c: float = 1.0):
     """L2 logistic regression with the reference library's objective
     (0.5 |w|^2 + C sum logloss, intercept unpenalised): Spark's regParam = 1 / (C n)."""
@@ -219,10 +205,13 @@ def logistic_prob(model, features: list[str]) -> Column:
 
 
 def save_model(model, path: str) -> None:
-    """Spark ML models via MLWriter; Naive Bayes parameters and boosted trees as a small table."""
+    """Spark ML models via MLWriter; Naive Bayes parameters and boosted trees as a small table, isotonic steps as one."""
     from paddock.operators.boost import BoostedTrees
+    from paddock.operators.isotonic import IsotonicFit
 
-    if isinstance(model, (BernoulliNB, GaussianNB, BoostedTrees)):
+    if isinstance(model, IsotonicFit):
+        model.knots.write.mode("overwrite").parquet(path)
+    elif isinstance(model, (BernoulliNB, GaussianNB, BoostedTrees)):
         import json
 
         from pyspark.sql import SparkSession
@@ -237,14 +226,19 @@ def save_model(model, path: str) -> None:
 
 
 def load_model(path: str, loader=None):
-    """``loader`` is the Spark ML model class (e.g. GBTClassificationModel); None for Naive Bayes and boosted trees."""
+    """``loader`` is the Spark ML model class (e.g. GBTClassificationModel); None for this library's own."""
     if loader is not None:
         return loader.load(path)
     import json
 
     from pyspark.sql import SparkSession
 
-    row = SparkSession.getActiveSession().read.parquet(path).collect()[0]
+    saved = SparkSession.getActiveSession().read.parquet(path)
+    if "kind" not in saved.columns:
+        from paddock.operators.isotonic import of
+
+        return of(saved)
+    row = saved.collect()[0]
     if row["kind"] == "BoostedTrees":
         from paddock.operators.boost import BoostedTrees
 

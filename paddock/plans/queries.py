@@ -517,7 +517,7 @@ def q_lda_sweep(spark, sf_dir):
 
 # ---------------------------------------------------------------- classifiers
 
-from paddock.operators import boost as BO, models as MD  # noqa: E402
+from paddock.operators import boost as BO, isotonic as ISO, models as MD  # noqa: E402
 from paddock.sources.fixtures import vector_fixture  # noqa: E402
 
 
@@ -550,8 +550,8 @@ def q_isotonic(spark, sf_dir):
     train, val, _ = _lagged_splits(spark, sf_dir)
     nb = MD.fit_bernoulli_nb(train, "topics_lag_1", "is_winner")
     scored = val.select("race_id", "horse_id", "is_winner", nb.predict_proba(F.col("topics_lag_1")).alias("nb_prob"))
-    iso = MD.fit_isotonic(scored, "nb_prob", "is_winner")
-    cal = MD.calibrate(iso, scored, "nb_prob", "calibrated_nb_prob")
+    iso = ISO.fit_isotonic(scored, "nb_prob", "is_winner")
+    cal = ISO.calibrate(iso, scored, "nb_prob", "calibrated_nb_prob")
     return round_doubles(cal.select("race_id", "horse_id", "nb_prob", "calibrated_nb_prob"))
 
 

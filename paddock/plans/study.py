@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paddock.functions.odds import PROB_EPS, clip_prob
-from paddock.operators import betting, choice as CH, features as FT, models as MD, stats as ST
+from paddock.operators import betting, choice as CH, features as FT, isotonic as ISO, models as MD, stats as ST
 from paddock.operators.common import with_group_stats
 
 
@@ -73,8 +73,8 @@ def run_study(spark: SparkSession, panel: DataFrame, n_topics: int, topics: str
 
     nb = MD.fit_bernoulli_nb(train.unionByName(val) if refit_on_union else train, "_x", "is_winner")
     df = df.withColumn("nb_prob", nb.predict_proba(F.col("_x")))
-    iso = MD.fit_isotonic(df.filter(F.col("split") == "val"), "nb_prob", "is_winner")
-    df = MD.calibrate(iso, df, "nb_prob", "calibrated_nb_prob")
+    iso = ISO.fit_isotonic(df.filter(F.col("split") == "val"), "nb_prob", "is_winner")
+    df = ISO.calibrate(iso, df, "nb_prob", "calibrated_nb_prob")
 
     val = df.filter(F.col("split") == "val")
     text_models = ["nb", "calibrated_nb"]

@@ -2,7 +2,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from paddock.operators import models as MD, panel as P
+from paddock.operators import isotonic as ISO, models as MD, panel as P
 from paddock.sources.io import read_raw_panel, write_panel, write_report
 
 
@@ -43,12 +43,10 @@ def test_model_persistence_round_trip(spark, tmp_path):
     again = MD.load_model(str(tmp_path / "nb"))
     assert again == nb
 
-    from pyspark.ml.regression import IsotonicRegressionModel
-
     scored = df.withColumn("p", F.rand(1))
-    iso = MD.fit_isotonic(scored, "p", "y")
+    iso = ISO.fit_isotonic(scored, "p", "y")
     MD.save_model(iso, str(tmp_path / "iso"))
-    iso2 = MD.load_model(str(tmp_path / "iso"), IsotonicRegressionModel)
-    a = [r["c"] for r in MD.calibrate(iso, scored, "p", "c").collect()]
-    b = [r["c"] for r in MD.calibrate(iso2, scored, "p", "c").collect()]
+    iso2 = MD.load_model(str(tmp_path / "iso"))
+    a = [r["c"] for r in ISO.calibrate(iso, scored, "p", "c").collect()]
+    b = [r["c"] for r in ISO.calibrate(iso2, scored, "p", "c").collect()]
     assert all(math.isclose(x, y) for x, y in zip(a, b))

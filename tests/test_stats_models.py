@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from paddock.functions.stats import chi2_sf_1, normal_cdf, t_two_sided_p
-from paddock.operators import choice as CH, embed as EM, models as MD, stats as ST
+from paddock.operators import choice as CH, embed as EM, isotonic as ISO, models as MD, stats as ST
 
 
 def _scalar(spark, col):
@@ -81,8 +81,8 @@ def test_bernoulli_nb_against_hand_fit(spark):
 def test_isotonic_is_monotone(spark):
     rows = [(0.1, 0), (0.2, 1), (0.3, 0), (0.4, 0), (0.5, 1), (0.6, 1), (0.7, 0), (0.8, 1)]
     df = spark.createDataFrame(rows, "p double, y int")
-    iso = MD.fit_isotonic(df, "p", "y")
-    out = [r["c"] for r in MD.calibrate(iso, df, "p", "c").orderBy("p").collect()]
+    iso = ISO.fit_isotonic(df, "p", "y")
+    out = [r["c"] for r in ISO.calibrate(iso, df, "p", "c").orderBy("p").collect()]
     assert all(a <= b + 1e-12 for a, b in zip(out, out[1:]))
 
 
