@@ -6,19 +6,23 @@ number of tags. Lines inside menus, headers, footers, sidebars, notices,
 adverts, forms and comments, known by element, role, class or id, get ratio 0.
 A class or id is only a hint: it doesn't count for an element that holds an ``article``
 or ``main``, unless that stands within another one, nor for one that holds more than half of
-the page's text, unless it stands outside of the section elements of a page that has some.
+the page's text, unless it stands outside of the section elements of a page that has some. Reader comments
+are the exception: they count within a section whatever their size, and elsewhere unless nothing else is there.
 The ratios are smoothed by a Gaussian and clustered by a threshold (the standard
 deviation of the smoothed ratios, at most their mean): runs above it are the
 content regions. The regions choose the section elements (``article`` and ``main``; one
 within another is part of it): of each that holds a region all lines that are not
 boilerplate are kept, so that a short paragraph beside long ones stays. Where no section
 element holds a region, or the regions outside of them hold more text than each of them,
-the lines from the first to the last region outside are kept too.
+the lines from the first to the last region outside are kept too, without lines that are
+nothing but links at either end, and with the lines next to them that stand in the same
+element (a title, a short last paragraph) and are not links. If no heading ``h1`` is kept, the
+nearest one before the text is, with what follows it, where only main lines lie between.
 
 A page is one row, parsed as a stream inside a map; nothing is shuffled.
 
 Defined results: a null, empty or text-free page gives the empty string;
-white space inside a line, no-break spaces included, becomes one space; the end
+white space inside a line, no-break spaces included, becomes one space; nesting costs linear time; the end
 tags that HTML implies (of ``head``, ``p``, list items, table parts and options) count,
 any other unclosed element ends with its parent; repeated rows are parsed each for itself;
 columns other than those named are ignored.
@@ -27,7 +31,9 @@ columns other than those named are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +55,8 @@ MARKS = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w
                    r"breadcrumbs?|footer|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|subscription|comments?|"
                    r"commentlist|disqus|discussion|replies|related|recommend\w*|share|sharing|social|toolbar|masthead|"
                    r"site-?header|page-?header|widget|login|signup|search|pagination|pager)(?:$|[\s_-])")
+#: Of these, the ones of reader comments.
+COMMENTS = re.compile(r"(?i)(?:^|[\s_-])(?:comments?|commentlist|disqus|discussion|replies)(?:$|[\s_-])")
 #: Class names that say that something else is (not) there, as in "has-sidebar" or "post-with-comments".
 ABOUT = re.compile(r"(?i)(?:^|[_-])(?:has|no|with|without)[_-]")
 # What may stand in a head, and the open elements that a start tag ends, up to an element that it doesn't leave.
@@ -67,23 +75,40 @@ ENDS_P = BLOCK - frozenset("body caption html legend tbody tfoot thead tr".split
 SIGMA = 1.5
 
 
-def marked(name: str, value: str) -> bool:
+def marked(name: str, value: str, words: re.Pattern = MARKS) -> bool:
     """Whether a class or id names boilerplate; each of a class's words counts by itself."""
-    return any(MARKS.search(x) and not ABOUT.search(x) for x in (value.split() if name == "class" else [value]))
+    return any(words.search(x) and not ABOUT.search(x) for x in (value.split() if name == "class" else [value]))
+
+
+class Line(NamedTuple):
+    """The text of a block. A mark is the number of the innermost element with a marking class or id, 0 for none;
+    ``block`` and ``parent`` number the block element and the one around it."""
+
+    text: str
+    tags: int
+    boiler: bool
+    section: int
+    mark: int
+    heading: bool
+    links: bool  # nothing but links
+    block: int
+    parent: int
 
 
 class _Lines(HTMLParser):
-    """Collects (text, tags, boilerplate, section, mark) per block. A mark is the number of the innermost
-    element with a marking class or id, 0 for none."""
+    """Collects the lines of a page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, bool, int, int]] = []
+        self.lines: list[Line] = []
         self.text: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = self.sections = 0
         # name, skipped, boilerplate, section, mark
         self.open: list[tuple[str, bool, bool, int, int]] = [("", False, False, 0, 0)]
-        self.sections = 0
+        self.at: dict[str, list[int]] = {}  # where the elements of each name are open
+        self.blocks = [(0, 0), (0, 0)]  # (place, number) of the open block elements, the page as two of them
+        self.numbers = 0
+        self.comments = {0: False}  # whether a mark is one of reader comments
         self.around, self.within = [0], [0]  # the mark and the section around each mark
         self.layout = {0}  # marks around a section element
 
@@ -91,33 +116,52 @@ class _Lines(HTMLParser):
         text = " ".join("".join(self.text).split())
         if text:
             _, _, boiler, section, mark = self.open[-1]
-            self.lines.append((text, max(1, self.tags), boiler, section, mark))
+            links = self.linked >= len(text) - text.count(" ")
+            self.lines.append(Line(text, max(1, self.tags), boiler, section, mark, "h1" in self.at, links,
+                                   self.blocks[-1][1], self.blocks[-2][1]))
             self.tags = 0
         self.text.clear()
+        self.linked = 0
+
+    def push(self, element: tuple[str, bool, bool, int, int]) -> None:
+        self.at.setdefault(element[0], []).append(len(self.open))
+        if element[0] in BLOCK:
+            self.numbers += 1
+            self.blocks.append((len(self.open), self.numbers))
+        self.open.append(element)
+
+    def drop(self, cut: int) -> None:
+        for name, *_ in reversed(self.open[cut:]):
+            places = self.at[name]
+            places.pop()
+            if not places:
+                del self.at[name]
+        del self.open[cut:]
+        while self.blocks[-1][0] >= cut:
+            self.blocks.pop()
 
     def end_open(self, ends, stop) -> None:
         """End the outermost element of ``ends`` that is open within the innermost one of ``stop``."""
-        cut = 0
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k][0] in ends:
-                cut = k
-            elif self.open[k][0] in stop:
-                break
-        if cut:
-            self.leave(cut)
+        if not any(name in self.at for name in ends):
+            return
+        names = stop if len(stop) < len(self.at) else [name for name in self.at if name in stop]
+        inner = max((self.at[name][-1] for name in names if name in self.at and name not in ends), default=0)
+        inside = [places[bisect_right(places, inner)] for name in ends if (places := self.at.get(name)) and places[-1] > inner]
+        if inside:
+            self.leave(min(inside))
 
     def leave(self, cut: int) -> None:
         """End the open elements from ``cut`` on; text before the end stays with them."""
         if self.open[-1][2:] != self.open[cut - 1][2:] and any(o[0] in CELL or o[0] in BLOCK for o in self.open[cut:]):
             self.flush()
-        del self.open[cut:]
+        self.drop(cut)
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag == "body":
             self.end_open(("head",), ())
         elif self.open[-1][0] == "head" and tag not in IN_HEAD:
-            self.open.pop()
+            self.drop(len(self.open) - 1)
         if tag in VOID:
             if tag == "hr":
                 self.flush()
@@ -133,7 +177,7 @@ class _Lines(HTMLParser):
         if tag in IMPLIED:
             self.end_open(*IMPLIED[tag])
         _, skipped, boiler, section, mark = self.open[-1]
-        hint = False
+        hint = comments = False
         if not skipped and tag in SKIP:
             skipped = True
         if not boiler:
@@ -141,6 +185,7 @@ class _Lines(HTMLParser):
             for name, value in attrs:
                 if name in ("class", "id") and value and tag not in ("html", "body", "article", "main"):
                     hint = hint or marked(name, value)
+                    comments = comments or marked(name, value, COMMENTS)
                 elif name == "role":
                     boiler = boiler or (value or "").strip().lower() in ROLES
                 elif name == "hidden" or name == "aria-hidden" and value == "true":
@@ -155,9 +200,10 @@ class _Lines(HTMLParser):
             self.around.append(mark)
             self.within.append(self.open[-1][3])
             mark = len(self.around) - 1
+            self.comments[mark] = comments
         if tag in CELL and (boiler, section, mark) != self.open[-1][2:]:
             self.flush()  # a cell of another kind than its row
-        self.open.append((tag, skipped, boiler, section, mark))
+        self.push((tag, skipped, boiler, section, mark))
 
     def hold(self, mark: int) -> None:
         """A section element within ``mark``: none of the marks around it names boilerplate."""
@@ -174,32 +220,37 @@ class _Lines(HTMLParser):
             return
         if tag in BLOCK:
             self.flush()
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k][0] == tag:
-                if tag not in BLOCK and tag not in SKIP and tag not in CELL and any(o[0] in BLOCK for o in self.open[k + 1:]):
-                    return  # an inline element doesn't close blocks
-                self.leave(k)
-                return
+        if tag not in self.at:
+            return
+        k = self.at[tag][-1]
+        if tag not in BLOCK and tag not in SKIP and tag not in CELL and self.blocks[-1][0] > k:
+            return  # an inline element doesn't close blocks
+        self.leave(k)
 
     def handle_data(self, data):
         if self.open[-1][0] == "head" and data.strip():
-            self.open.pop()
+            self.drop(len(self.open) - 1)
         if not self.open[-1][1]:
             self.text.append(data)
+            if "a" in self.at:
+                self.linked += len("".join(data.split()))
 
-    def settled(self) -> list[tuple[str, int, bool, int]]:
-        """The lines as (text, tags, boilerplate, section), marks that hold most of the text left out."""
+    def settled(self) -> list[Line]:
+        """The lines, those within a mark that counts being boilerplate."""
         held = [0] * len(self.around)
-        for text, _, boiler, _, mark in self.lines:
-            held[mark] += 0 if boiler else len(text)
-        whole, sections = sum(held), any(x[3] and not x[2] for x in self.lines)
+        for line in self.lines:
+            held[line.mark] += 0 if line.boiler else len(line.text)
+        whole, sections = sum(held), any(x.section and not x.boiler for x in self.lines)
         for m in range(len(held) - 1, 0, -1):  # a mark's number is above that of the mark around it
             held[self.around[m]] += held[m]
         valid = [False] * len(held)
         for m in range(1, len(held)):
-            most = 2 * held[m] > whole and (self.within[m] or not sections)
+            if self.comments[m]:
+                most = held[m] == whole
+            else:
+                most = 2 * held[m] > whole and (self.within[m] or not sections)
             valid[m] = valid[self.around[m]] or not (m in self.layout or most)
-        return [(text, tags, boiler or valid[mark], section) for text, tags, boiler, section, mark in self.lines]
+        return [line._replace(boiler=line.boiler or valid[line.mark]) for line in self.lines]
 
     def parse_marked_section(self, i, report=1):
         """Conditional comments such as <![if ...]> end at the next ">"."""
@@ -207,7 +258,7 @@ class _Lines(HTMLParser):
         return end + 1 if end >= 0 else -1
 
 
-def lines_of(html: str) -> list[tuple[str, int, bool, int]]:
+def lines_of(html: str) -> list[Line]:
     parser = _Lines()
     parser.feed(html)
     parser.close()
@@ -226,15 +277,32 @@ def regions(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return smooth >= min(smooth.std(), smooth.mean()) if len(smooth) > 1 else np.ones(len(smooth), bool)
 
 
+def run_of(lines: list[Line], inside: np.ndarray) -> tuple[int, int]:
+    """The first and the last line of the text outside of sections, from the regions there."""
+    at = [k for k in np.flatnonzero(inside).tolist() if not lines[k].section]
+    plain = [k for k in at if not lines[k].links] or at
+    first, last = plain[0], plain[-1]
+
+    def beside(k: int, edge: int) -> bool:
+        here, there = lines[k], lines[edge]
+        return not (here.boiler or here.links or here.section) and there.parent in (here.parent, here.block)
+
+    while first and beside(first - 1, first):
+        first -= 1
+    while last + 1 < len(lines) and beside(last + 1, last):
+        last += 1
+    return first, last
+
+
 def main_text(html: str | None, sigma: float = SIGMA) -> str:
     """The blocks of the main text in page order, joined by two line feeds."""
     lines = lines_of(html) if html else []
-    boiler = np.array([x[2] for x in lines], bool)
+    boiler = np.array([x.boiler for x in lines], bool)
     if not len(lines) or boiler.all():
         return ""
-    sizes = np.array([len(x[0]) for x in lines], float)
-    section = np.array([x[3] for x in lines])
-    ratios = np.where(boiler, 0.0, sizes / np.array([x[1] for x in lines]))
+    sizes = np.array([len(x.text) for x in lines], float)
+    section = np.array([x.section for x in lines])
+    ratios = np.where(boiler, 0.0, sizes / np.array([x.tags for x in lines]))
     inside = regions(ratios, sigma) & ~boiler
     if not inside.any():
         inside = ~boiler
@@ -242,9 +310,16 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     chosen = np.flatnonzero(mass)
     keep = np.isin(section, chosen[chosen > 0]) & ~boiler
     if not mass.argmax():  # no section element holds most of the content
-        at = np.flatnonzero(inside & (section == 0))
-        keep |= ~boiler & (np.arange(len(lines)) >= at[0]) & (np.arange(len(lines)) <= at[-1])
-    return "\n\n".join(lines[k][0] for k in np.flatnonzero(keep))
+        first, last = run_of(lines, inside)
+        keep[first:last + 1] |= ~boiler[first:last + 1]
+    kept = np.flatnonzero(keep)
+    if not any(lines[k].heading for k in kept):
+        start = kept[0]
+        while start and not boiler[start - 1] and not lines[start - 1].section and not lines[start].heading:
+            start -= 1
+        if lines[start].heading:
+            keep[start:kept[0]] = True
+    return "\n\n".join(lines[k].text for k in np.flatnonzero(keep))
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",

@@ -1,5 +1,6 @@
 import html as H
 import re
+import time
 
 import numpy as np
 
@@ -96,3 +97,32 @@ def test_all_sections_with_content_are_kept():
     assert html.main_text(lead) == "\n\n".join(["Title", "Lead.", two])
     outside = page(f"<article><p>{one}</p></article><div><p>{two}</p><p>{two}</p></div>")
     assert html.main_text(outside) == "\n\n".join([one, two, two])
+
+
+def test_titles_and_last_lines_without_a_section():
+    four = f"<p>{LONG}</p>" * 4
+    body = f"<nav>Menu</nav><h1>The Title</h1><p>By A. Writer</p>{four}<p>Short end.</p><p>Fin.</p><div class=footer>foot</div>"
+    want = "\n\n".join(["The Title", "By A. Writer", *[LONG.strip()] * 4, "Short end.", "Fin."])
+    assert html.main_text(page(body)) == want
+    assert html.main_text(page(f"<div class=content>{four}</div><ul><li><a href=/>Home</a><li><a href=/a>About us</a></ul>")) == "\n\n".join([LONG.strip()] * 4)
+    story = f"<h1>Story title</h1><p>Lead</p><article><p>{LONG}</p></article>"
+    assert html.main_text(page(story)) == "\n\n".join(["Story title", "Lead", LONG.strip()])
+    # a heading of the site, with a menu between, is none of the text; nor is a second one
+    assert html.main_text(page(f"<h1>Site</h1><nav>Menu</nav><article><p>{LONG}</p></article>")) == LONG.strip()
+    assert html.main_text(page(f"<h1>Site</h1><article><h1>Own</h1><p>{LONG}</p></article>")) == "Own\n\n" + LONG.strip()
+
+
+def test_comments_go_whatever_their_size():
+    for name in ("comment-list", "comments", "post replies"):
+        assert html.main_text(page(f"<article><p>{LONG}</p><div class='{name}'><p>{LONG * 9}</p></div></article>")) == LONG.strip()
+        assert html.main_text(page(f"<div><p>{LONG}</p></div><div class='{name}'><p>{LONG * 9}</p></div>")) == LONG.strip()
+    assert html.main_text(page(f"<div class=discussion><p>{LONG}</p></div>")) == LONG.strip()
+
+
+def test_nesting_costs_linear_time():
+    n = 100_000
+    for deep in ("<b>" * n + "<p>x" * 2000, "<span>" * n + "</i>x" * 2000, "<b>" + "<i>" * n + "<div>" + "</b>x" * 2000,
+                 "<li>" + "<b>" * n + "<li>x" * 2000, "".join(f"<x{k}>" for k in range(n)) + "<p>x" * 2000):
+        start = time.process_time()
+        assert "x" in html.main_text(deep)
+        assert time.process_time() - start < 5
