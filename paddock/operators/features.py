@@ -4,12 +4,15 @@ Lag and rolling features read only earlier rows of the same entity in
 (date, group) order, so no feature sees the current race.
 
 Skew: the entity window is partitioned by (entity, bucket).  Ordinary
-entities have one bucket, i.e. the plain window.  Entities with at least
-``hot_rows`` rows (found by a map-side-combined count; the list is at most
-N / hot_rows long and its size is checked before broadcasting) are split
-into one bucket per calendar day; the last ``L`` values before each bucket
-come from a tail table of at most L rows per bucket and are joined back, so
-no task holds more than one day of a hot entity.
+entities have one bucket, i.e. the plain window.  The rows of entities with at
+least ``hot_rows`` rows (found by a map-side-combined count; the list is at most
+N / hot_rows long and its size is checked before broadcasting) are
+range-partitioned by (entity, date, group) into segments of about
+``hot_rows`` / 2 rows, also within one day, and written; a segment of an
+entity is a bucket. The last ``L`` values before each bucket come from a tail
+table of at most L rows per bucket and are joined back, so no task holds more
+than one segment (rows of an entity that tie in date and group share one).
+A null entity is unknown: its rows have no history, and are spread by (date, group).
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paddock.operators.common import with_group_stats
+from paddock.operators.common import with_group_stats, written
 
 DEFAULT_HOT_ROWS = 5_000_000
 BROADCAST_LIMIT = 1_000_000
@@ -41,38 +44,44 @@ def _cols(df: DataFrame, cols: str | Sequence[str]) -> list[str]:
     return select_by_regex(df, cols) if isinstance(cols, str) else list(cols)
 
 
-def _hot_entities(df: DataFrame, entity: str, hot_rows: int) -> DataFrame | None:
-    hot = df.groupBy(entity).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= hot_rows).select(entity)
-    n_hot = hot.count()
-    if n_hot == 0:
-        return None
-    hot = hot.withColumn("_hot", F.lit(True))
-    return F.broadcast(hot) if n_hot <= BROADCAST_LIMIT else hot
+def _hot_entities(df: DataFrame, entity: str, hot_rows: int) -> tuple[DataFrame | None, int]:
+    """The hot entities, if any, and the number of their rows."""
+    counts = df.where(F.col(entity).isNotNull()).groupBy(entity).agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.filter(F.col("_n") >= hot_rows)
+    size = hot.agg(F.count(F.lit(1)).alias("n"), F.sum("_n").alias("rows")).collect()[0]
+    if not size["n"]:
+        return None, 0
+    hot = hot.select(entity, F.lit(True).alias("_hot"))
+    return F.broadcast(hot) if size["n"] <= BROADCAST_LIMIT else hot, size["rows"]
+
+
+def _spread_unknown(entity: str, order: Sequence[str]) -> Column:
+    return F.when(F.col(entity).isNull(), F.xxhash64(*order)).otherwise(F.lit(0).cast("long"))
 
 
 def previous_values(df: DataFrame, cols: Sequence[str], max_lag: int, entity: str = "horse_id",
                     order: Sequence[str] = ("date", "race_id"), hot_rows: int = DEFAULT_HOT_ROWS,
                     prefix: str = "_prev") -> DataFrame:
     """Add ``{prefix}{k}_{col}`` = value of ``col`` k rows earlier for the entity, null if none."""
-    hot = _hot_entities(df, entity, hot_rows)
-    if hot is None:
-        df = df.withColumn("_bucket", F.lit(0))
-    else:
-        df = df.join(hot, entity, "left").withColumn(
-            "_bucket",
-            F.when(F.col("_hot"), F.coalesce(F.unix_date(F.col(order[0]).cast("date")), F.lit(2 ** 31 - 1)))
-            .otherwise(F.lit(0)),
-        )
+    hot, n_rows = _hot_entities(df, entity, hot_rows)
     ordering = [F.col(c).asc_nulls_last() for c in order]
+    if hot is not None:
+        df = df.join(hot, entity, "left")
+        segments = df.where("_hot").repartitionByRange(1 + 2 * n_rows // hot_rows, F.col(entity), *ordering)
+        # written: both uses below must see the same segments
+        segments = written(segments.withColumn("_bucket", F.spark_partition_id().cast("long")), "segments")
+        df = df.where("_hot is null").withColumn("_bucket", _spread_unknown(entity, order)).unionByName(segments)
+    else:
+        df = df.withColumn("_bucket", _spread_unknown(entity, order))
     w = Window.partitionBy(entity, "_bucket").orderBy(*ordering)
     df = df.withColumn("_pos", F.row_number().over(w))
     for c in cols:
         for k in range(1, max_lag + 1):
-            df = df.withColumn(f"{prefix}{k}_{c}", F.lag(c, k).over(w))
+            df = df.withColumn(f"{prefix}{k}_{c}", F.when(F.col(entity).isNotNull(), F.lag(c, k).over(w)))
     if hot is None:
         return df.drop("_bucket", "_pos")
 
-    # tails of hot buckets: last max_lag rows of each (entity, day)
+    # tails of hot buckets: last max_lag rows of each (entity, segment)
     hot_rows_df = df.filter(F.col("_hot"))
     cnt = F.count(F.lit(1)).over(Window.partitionBy(entity, "_bucket"))
     tails = hot_rows_df.withColumn("_cnt", cnt).filter(F.col("_pos") > F.col("_cnt") - max_lag)
@@ -114,10 +123,11 @@ def rolling_mean(df: DataFrame, cols: str | Sequence[str], window: int = 5, enti
                  order: Sequence[str] = ("date", "race_id"), hot_rows: int = DEFAULT_HOT_ROWS) -> DataFrame:
     """``{col}_rollavg_{w}``: mean of the non-null values among the previous w rows, none -> 0."""
     cols = _cols(df, cols)
-    if _hot_entities(df, entity, hot_rows) is None:
-        w = (Window.partitionBy(entity).orderBy(*[F.col(c).asc_nulls_last() for c in order])
+    if _hot_entities(df, entity, hot_rows)[0] is None:
+        w = (Window.partitionBy(entity, _spread_unknown(entity, order)).orderBy(*[F.col(c).asc_nulls_last() for c in order])
              .rowsBetween(-window, Window.currentRow - 1))
-        return df.withColumns({f"{c}_rollavg_{window}": F.coalesce(F.avg(F.col(c).cast("double")).over(w), F.lit(0.0))
+        known = F.col(entity).isNotNull()
+        return df.withColumns({f"{c}_rollavg_{window}": F.coalesce(F.when(known, F.avg(F.col(c).cast("double")).over(w)), F.lit(0.0))
                                for c in cols})
     out = previous_values(df, cols, window, entity, order, hot_rows, prefix="_roll")
     for c in cols:
