@@ -390,7 +390,7 @@ def page_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                  min_bytes: int = 0) -> DataFrame:
     """Records for pages. Among equal payloads of at least ``min_bytes`` bytes the page with the
     largest id is the response and others revisit it; rows that repeat that id are responses too.
-    Only digests are shuffled, and joined with the pages where there are copies."""
+    Digests are grouped first; the join that brings the kept ids back shuffles all rows by digest, payloads included."""
     rows = pages.select(F.col(id_col).alias("page"), F.col(url_col).cast("string").alias("target_uri"),
                         F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("sha", F.sha1("payload"))
