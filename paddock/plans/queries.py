@@ -550,6 +550,7 @@ def q_isotonic(spark, sf_dir):
     train, val, _ = _lagged_splits(spark, sf_dir)
     nb = MD.fit_bernoulli_nb(train, "topics_lag_1", "is_winner")
     scored = val.select("race_id", "horse_id", "is_winner", nb.predict_proba(F.col("topics_lag_1")).alias("nb_prob"))
+    scored = written(scored, "scored")  # read by the fit and twice by the calibration
     iso = ISO.fit_isotonic(scored, "nb_prob", "is_winner")
     cal = ISO.calibrate(iso, scored, "nb_prob", "calibrated_nb_prob")
     return round_doubles(cal.select("race_id", "horse_id", "nb_prob", "calibrated_nb_prob"))
