@@ -209,7 +209,7 @@ def _inverse(odds: pa.Array) -> np.ndarray:
         return 1.0 / np.where(x == 0, np.nan, x)
 
 
-def _probabilities(pi: np.ndarray, t: np.ndarray, whole: np.ndarray, raw_sum: np.ndarray | None, method: str) -> np.ndarray:
+def _probabilities(pi: np.ndarray, t: np.ndarray, whole: np.ndarray | float, raw_sum: np.ndarray | float, method: str) -> np.ndarray:
     """Probabilities of rows from their race's root, its sum of ``pi`` and, for a method that renormalises,
     its sum of terms."""
     m = METHODS[method]
@@ -318,17 +318,27 @@ def _edge_sums(rows: DataFrame, race: str, odds: str, points: dict, methods: lis
     return {r[0]: np.array(r[1:], float).reshape(len(methods), width) for r in total.collect()}
 
 
-def _narrower(lo: float, hi: float, flo: float, fhi: float, n: int) -> np.ndarray:
-    """``n`` sorted points between ``lo`` and ``hi``: evenly spread ones, and some close to where the secant crosses 0."""
-    guess = lo + (hi - lo) * flo / (flo - fhi) if flo != fhi else (lo + hi) / 2.0
+def _crossing(p: np.ndarray, f: np.ndarray, lo: float, hi: float, fa: float, fb: float) -> float:
+    """Where f crosses 0 between ``lo`` and ``hi``: inverse interpolation through the four points around, else the secant."""
+    a = max(0, min(int(np.searchsorted(p, hi)) - 2, len(p) - 4))
+    x, y = p[a:a + 4], f[a:a + 4]
+    if np.isfinite(y).all() and (np.diff(y) < 0).all():
+        guess = sum(x[i] * math.prod(-y[k] / (y[i] - y[k]) for k in range(4) if k != i) for i in range(4))
+        if lo < guess < hi:
+            return float(guess)
+    return lo + (hi - lo) * fa / (fa - fb)
+
+
+def _narrower(lo: float, hi: float, guess: float, n: int) -> np.ndarray:
+    """``n`` sorted points between ``lo`` and ``hi``: evenly spread ones, and some close to ``guess``."""
     off = (hi - lo) * np.array([1e-1, 1e-2, 1e-3, 1e-5, 1e-7])
     even = lo + (hi - lo) * np.arange(1, n - 10) / (n - 10)
     return np.sort(np.clip(np.concatenate([even, [guess], guess - off, guess + off]), lo, hi))
 
 
 def _edge_roots(rows: DataFrame, race: str, odds: str, methods: list[str]) -> dict:
-    """{race: (sum of pi, roots, sums of terms at the roots)} of races that lie at borders of partitions. A round is one
-    job that adds up partial sums at a few points of every such race; the driver holds a bracket per race and method."""
+    """{race: (sum of pi, roots)} of races that lie at borders of partitions. A round is one job that adds up partial
+    sums at a few points of every such race; the driver holds a bracket per race and method."""
     x = F.lit(1.0) / F.when(F.col(odds) != 0, F.col(odds).cast("double"))
     facts = {r["race"]: (r["p"], r["m"]) for r in rows.groupBy(F.col(race).alias("race")).agg(
         F.sum(x).alias("p"), F.max(x).alias("m")).where("m is not null and race is not null").collect()}
@@ -364,17 +374,16 @@ def _edge_roots(rows: DataFrame, race: str, odds: str, methods: list[str]) -> di
                             hi, fb = t, v
                             break
                     s = (lo, hi, fa, fb)
-                    if fb == 0 or hi - lo <= 1e-14 * max(abs(hi), 1e-300) or turn == EDGE_ROUNDS - 1:
-                        s = float(hi if fb == 0 else lo + (hi - lo) * fa / (fa - fb))
+                    guess = float(hi) if fb == 0 else _crossing(p, f, *s)
+                    if fb == 0 or hi - lo <= 1e-13 * max(abs(hi), 1e-300) or turn == EDGE_ROUNDS - 1:
+                        s = guess
                 state[r, i] = s
                 still |= isinstance(s, tuple)
-                nxt.append(_narrower(*s, EDGE_POINTS) if isinstance(s, tuple) else np.full(EDGE_POINTS, s))
+                nxt.append(_narrower(s[0], s[1], guess, EDGE_POINTS) if isinstance(s, tuple) else np.full(EDGE_POINTS, s))
             points[r] = np.array(nxt)
         if not still:
             break
-    roots = {r: np.array([state[r, i] for i in range(len(methods))]) for r in facts}
-    raw = _edge_sums(rows, race, odds, {r: v[:, None] for r, v in roots.items()}, methods)
-    return {r: (facts[r][0], roots[r], raw[r][:, 0]) for r in facts}
+    return {r: (facts[r][0], np.array([state[r, i] for i in range(len(methods))])) for r in facts}
 
 
 def remove_margins(df: DataFrame, methods=("power", "odds_ratio", "shin"), odds: str = "sp",
@@ -404,11 +413,11 @@ def remove_margins(df: DataFrame, methods=("power", "odds_ratio", "shin"), odds:
             pi, starts = _inverse(b.column(odds)), _runs(b.column(race))
             values = [np.full(b.num_rows, np.nan) for _ in range(2 * len(methods))]
             for a, e in zip(starts, [*starts[1:], b.num_rows]):
-                whole, roots, raw = found.get(b.column(race)[int(a)].as_py(), (None, None, None))
+                whole, roots = found.get(b.column(race)[int(a)].as_py(), (None, None))
                 if roots is not None:
                     for i, m in enumerate(methods):
                         values[2 * i][a:e] = roots[i]
-                        values[2 * i + 1][a:e] = _probabilities(pi[a:e], np.full(e - a, roots[i]), whole, raw[i], m)
+                        values[2 * i + 1][a:e] = _probabilities(pi[a:e], np.full(e - a, roots[i]), whole, 1.0, m)  # at a root the terms add up to 1
             yield _with(b, True, values, names)
 
     out = rows.where("not _edge").unionByName(edge.mapInArrow(fill, schema))

@@ -455,7 +455,7 @@ def q_topic_perplexity(spark, sf_dir):
     return round_doubles(LD.perplexity_bound(LD.fold_in(bow, tw, topics), len(topics)))
 
 
-_FITTED: dict[tuple[str, str], tuple[DataFrame, LD.TopicModels]] = {}
+_FITTED: dict[tuple, tuple] = {}
 
 
 def _lda(spark, sf_dir):
@@ -498,18 +498,27 @@ def _corpus_split(spark, sf_dir, split: str):
     return _docs(spark, sf_dir).where(part < 3 if split == "train" else part == (3 if split == "val" else 4))
 
 
+def _lda_models(spark, sf_dir):
+    """All numbers of topics fitted together on the train documents, after phrase merge and TF-IDF filter, and the
+    bound per word of validation documents: shared by the queries of a session."""
+    key = (spark.sparkContext.applicationId, sf_dir, "sweep")
+    if key not in _FITTED:
+        train = _corpus_split(spark, sf_dir, "train")
+        ct = TX.clean_tokens(TX.clauses(train), "clause").select("doc_id", "clause_no", "tokens")
+        merged = TX.merge_phrases(ct, TX.phrase_scores(ct, PHRASE_MIN_COUNT, PHRASE_THRESHOLD)).select("doc_id", "clause_no", F.col("merged").alias("tokens"))
+        bow = written(TX.bag_of_words(TX.flatten_clauses(merged)), "bow")
+        kept = written(TX.tfidf_filter(bow, TFIDF_THRESHOLD).select("doc_id", "term", "n"), "kept")
+        model = LD.fit_lda(kept, LDA_SWEEP, passes=LDA_PASSES, seed=42)
+        val = written(TX.bag_of_words(TX.clean_documents(_corpus_split(spark, sf_dir, "val"))), "bow")
+        _FITTED[key] = model, LD.held_out_bound(model, val)
+    return _FITTED[key]
+
+
 @register("lda_sweep")
 def q_lda_sweep(spark, sf_dir):
     """All numbers of topics fitted together on the train documents, after phrase merge and TF-IDF filter:
     bound per word of the first and last pass, and the perplexity of train and of validation documents."""
-    train = _corpus_split(spark, sf_dir, "train")
-    ct = TX.clean_tokens(TX.clauses(train), "clause").select("doc_id", "clause_no", "tokens")
-    merged = TX.merge_phrases(ct, TX.phrase_scores(ct, PHRASE_MIN_COUNT, PHRASE_THRESHOLD)).select("doc_id", "clause_no", F.col("merged").alias("tokens"))
-    bow = written(TX.bag_of_words(TX.flatten_clauses(merged)), "bow")
-    kept = written(TX.tfidf_filter(bow, TFIDF_THRESHOLD).select("doc_id", "term", "n"), "kept")
-    model = LD.fit_lda(kept, LDA_SWEEP, passes=LDA_PASSES, seed=42)
-    val = written(TX.bag_of_words(TX.clean_documents(_corpus_split(spark, sf_dir, "val"))), "bow")
-    held = LD.held_out_bound(model, val)
+    model, held = _lda_models(spark, sf_dir)
     rows = [("lda", k, model.bounds[0][m], model.bounds[-1][m], 2.0 ** -model.bounds[-1][m], 2.0 ** -held[m]) for m, k in enumerate(model.sizes)]
     return round_doubles(spark.createDataFrame(
         rows, "model_type string, num_topics int, bound_first double, bound_last double, perplexity_train double, perplexity_val double"))
@@ -677,20 +686,61 @@ def q_study_brier_tests(spark, sf_dir):
 # ---------------------------------------------------------------- sweep over topic models, entity ids
 
 
+from paddock.operators import sparse_topics as SP  # noqa: E402
+
+SWEEP_COLUMNS = [f"{c}_lag0_train" for c in ("chi2", "pval")] + [f"{c}_lag1_train" for c in ("chi2", "pval")] + [
+    "pval_lag1_train_corrected", "corr_lag1_train"]
+
+
+def _sweep(panel: DataFrame, flags: DataFrame, n_docs: int, dictionary: DataFrame) -> DataFrame:
+    """Tests of all topics of all models on train rows: one lag and one aggregate."""
+    rows = SP.lag_flags(attach_comments(panel, flags, n_docs, fill={"flags": SP.no_topics()}))
+    tests = SP.sweep_tests(rows.filter(F.col("split") == "train"), dictionary, {0: "flags", 1: "flags_lag_1"})
+    return round_doubles(tests.select("model_type", "num_topics", F.concat(F.lit("topic_"), F.col("topic").cast("string")).alias("topic"), *SWEEP_COLUMNS))
+
+
 @register("topic_sweep")
 def q_topic_sweep(spark, sf_dir):
-    """Chi-squared and correlation tests for two stand-in topic models in one table
-    keyed by (model_type, num_topics): the K sweep as a column, not a file per K."""
-    out = None
-    for attr in ("source", "lang"):
-        df, k = topic_panel(spark, sf_dir, attr)
-        df = FT.lag_features(df, ["topics"], max_lag=1).filter(F.col("split") == "train")
-        t = ST.topic_tests(df, {0: "topics", 1: "topics_lag_1"}, k).select(
-            F.lit(attr).alias("model_type"), F.lit(k).cast("long").alias("num_topics"), "topic",
-            "chi2_lag0_train", "pval_lag0_train", "chi2_lag1_train", "pval_lag1_train",
-            "pval_lag1_train_corrected", "corr_lag1_train")
-        out = t if out is None else out.unionByName(t)
-    return round_doubles(out)
+    """Chi-squared and correlation tests for two stand-in topic models (document attributes) in one table
+    keyed by (model_type, num_topics), from sparse flags of both at once."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    named = SP.attribute_topics(docs, ["source", "lang"])
+    dictionary = SP.topic_dictionary(named)
+    return _sweep(clean_fixture_panel(spark, sf_dir), SP.named_flags(named, dictionary), docs.count(), dictionary)
+
+
+def _comment_flags(spark, sf_dir):
+    """The fitted models (train documents, all K) and the flags of every document with a known term: written once
+    per session and folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, "flags")
+    if key not in _FITTED:
+        model, _ = _lda_models(spark, sf_dir)
+        docs = _docs(spark, sf_dir)
+        bow = written(TX.bag_of_words(TX.clean_documents(docs)), "bow")
+        _FITTED[key] = model, written(SP.fitted_flags(model, bow), "flags"), docs.count()
+    return _FITTED[key]
+
+
+@register("lda_topic_tests")
+def q_lda_topic_tests(spark, sf_dir):
+    """The topic chain with fitted models: topics of K = 10 to 50 (fitted on train documents after phrase merge and
+    TF-IDF filter) flag every runner's comment, the flags are lagged per entity, and all topics of all K
+    are tested against the win on train rows at once."""
+    model, flags, n_docs = _comment_flags(spark, sf_dir)
+    return _sweep(clean_fixture_panel(spark, sf_dir), flags, n_docs, SP.fitted_dictionary(model, spark))
+
+
+@register("lda_runner_flags")
+def q_lda_runner_flags(spark, sf_dir):
+    """Every runner's topics in the fitted models, and those of its entity's race before: one row per runner and K."""
+    model, flags, n_docs = _comment_flags(spark, sf_dir)
+    panel = attach_comments(clean_fixture_panel(spark, sf_dir), flags, n_docs, fill={"flags": SP.no_topics()})
+    rows = SP.lag_flags(panel)
+    spans = F.explode(F.array(*[F.struct(F.lit(k).alias("num_topics"), F.lit(a).alias("a")) for k, a in zip(model.sizes, model.starts)]))
+    rows = rows.select("race_id", "horse_id", "flags", "flags_lag_1", spans.alias("m"))
+    own = lambda c: F.array_join(F.transform(F.filter(c, lambda i: (i >= F.col("m.a")) & (i < F.col("m.a") + F.col("m.num_topics"))),
+                                             lambda i: (i - F.col("m.a")).cast("string")), ",")
+    return rows.select("race_id", "horse_id", "m.num_topics", own("flags").alias("topics"), own("flags_lag_1").alias("topics_lag_1"))
 
 
 @register("entity_ids")
