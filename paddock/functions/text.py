@@ -59,8 +59,20 @@ def greedy_merge_flags(tokens: Column, flagged: Column, joiner: str = "_") -> Co
     tokens, so the per-element lambda only reads its own struct: O(n) per
     clause (nothing inside the lambda rescans the row).
     """
+    return greedy_merge_marks(tokens, F.array_join(F.transform(flagged, lambda b: F.when(b, "1").otherwise("0")), ""), joiner)
+
+
+def position_marks(positions: Column, n: Column) -> Column:
+    """A string of ``n`` marks, "1" at each of the sorted, distinct ``positions`` (from 0), "0" elsewhere; linear."""
+    before = F.concat(F.array(F.lit(-1)), positions)
+    gaps = F.zip_with(positions, F.slice(before, 1, F.greatest(F.size(positions), F.lit(0))), lambda h, p: F.concat(F.repeat(F.lit("0"), h - p - 1), F.lit("1")))
+    head = F.array_join(gaps, "")
+    return F.concat(head, F.repeat(F.lit("0"), n - F.length(head)))
+
+
+def greedy_merge_marks(tokens: Column, flagstr: Column, joiner: str = "_") -> Column:
+    """``greedy_merge_flags`` for pair flags given as a string of 0 and 1."""
     n = F.size(tokens)
-    flagstr = F.array_join(F.transform(flagged, lambda b: F.when(b, "1").otherwise("0")), "")
     taken = F.split(F.regexp_replace(flagstr, "11", "10"), "")
     prev = F.concat(F.array(F.lit("0")), taken)
     nxt = F.slice(tokens, 2, F.greatest(n - 1, F.lit(1)))

@@ -2,19 +2,27 @@
 
 Layout: one row per clause with a token array (narrow work, no shuffle);
 counts come from exploding to (doc, term) and a map-side-combined groupBy.
-The phrase set and the lemma dictionary join by equality; they are
-broadcast only after their row count is checked.
+The phrase set joins by equality, after a Bloom filter; the lemma dictionary is
+broadcast only after its row count is checked.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from paddock.functions.text import bigrams, greedy_merge_flags, tokenize
+from paddock.functions.text import bigrams, greedy_merge_marks, position_marks, tokenize
+from paddock.operators.common import written
 
 BROADCAST_ROWS = 2_000_000
-INLINE_PHRASES = 50_000  # phrase sets up to this size are tested in place (hash set), no shuffle
+FILTER_BITS = 1 << 27  # of the phrase filter: 16 MB
+FILTER_HASHES = 5
 
 
 def _maybe_broadcast(df: DataFrame, limit: int | None = None) -> DataFrame:
@@ -132,30 +140,66 @@ def phrase_scores(clause_tokens: DataFrame, min_count: int = 100, threshold: flo
     return scored.filter(F.col("score") > threshold).select("a", "b", "n_ab", "score")
 
 
+def phrase_filter(phrases: DataFrame, max_bits: int = FILTER_BITS) -> np.ndarray:
+    """Bloom filter of (a, b) pairs as 64-bit words: 16 bits a phrase, rounded up to a power of two, at most
+    ``max_bits`` in all. A set beyond that only lets more pairs pass to the exact join."""
+    n = phrases.count()
+    bits = min(max_bits, 1 << max(6, math.ceil(math.log2(max(1, 16 * n)))))
+    places = F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(k), "a", "b"), F.lit(bits)) for k in range(FILTER_HASHES)]))
+    words = phrases.select(places.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("x"))
+    out = np.zeros(bits // 64, np.int64)
+    got = words.toArrow()
+    out[got.column("w").to_numpy()] = got.column("x").to_numpy()
+    return out.view(np.uint64)
+
+
+def _candidates(rows: DataFrame, words: np.ndarray, tokens: str) -> DataFrame:
+    """``rows`` with ``_maybe``: the places of adjacent pairs that the filter lets pass."""
+    shared = rows.sparkSession.sparkContext.broadcast(words)
+    bits = len(words) * 64
+    hashed = F.flatten(F.transform(bigrams(F.col(tokens)), lambda p: F.array(*[
+        F.pmod(F.xxhash64(F.lit(k), p["a"], p["b"]), F.lit(bits)) for k in range(FILTER_HASHES)])))
+    to = T.StructType([*rows.schema.fields, T.StructField("_maybe", T.ArrayType(T.IntegerType()))])
+
+    def run(batches):
+        table = shared.value
+        for b in batches:
+            places = b.column("_places")
+            at = places.flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, FILTER_HASHES)
+            hit = ((table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1)
+            sizes = pc.fill_null(pc.list_value_length(places), 0).to_numpy().astype(np.int64) // FILTER_HASHES
+            row = np.repeat(np.arange(b.num_rows), sizes)
+            place = np.arange(len(hit)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row[hit], minlength=b.num_rows))])
+            maybe = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(place[hit], pa.int32()))
+            rest = b.drop_columns(["_places"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, maybe], names=[*rest.schema.names, "_maybe"])
+
+    return rows.withColumn("_places", hashed).mapInArrow(run, to)
+
+
 def merge_phrases(clause_tokens: DataFrame, phrases: DataFrame, keys=("doc_id", "clause_no"),
-                  tokens: str = "tokens", out: str = "merged") -> DataFrame:
-    """Greedy left-to-right bigram merge per clause against a phrase table (a, b).
+                  tokens: str = "tokens", out: str = "merged", max_bits: int = FILTER_BITS) -> DataFrame:
+    """Greedy left-to-right bigram merge per clause against a phrase table (a, b) of any size.
 
-    A phrase set of checked size is applied in place: each adjacent pair is
-    looked up in a hash set (``isin`` -> InSet), so clauses never move.
-    Larger sets go through a join of the exploded pairs.
-    """
+    A Bloom filter of the phrases, of bounded size, marks the adjacent pairs that may be phrases; these alone move, to
+    an exact join with the phrase table, and come back as sorted places. Clauses without such a pair stay where
+    they are. ``keys`` name a clause; rows that repeat a key share its text. Null tokens give no tokens."""
     keys = list(keys)
-    keyed = phrases.select(F.concat_ws(" ", "a", "b").alias("k"))
-    small = keyed.limit(INLINE_PHRASES + 1).collect()
-    if len(small) <= INLINE_PHRASES:
-        members = [r["k"] for r in small]
-        flagged = F.transform(bigrams(F.col(tokens)), lambda p: F.concat_ws(" ", p["a"], p["b"]).isin(*members)) \
-            if members else F.transform(bigrams(F.col(tokens)), lambda p: F.lit(False))
-        return clause_tokens.withColumn(out, greedy_merge_flags(F.col(tokens), flagged))
-    pairs = clause_tokens.select(*keys, F.posexplode(bigrams(F.col(tokens))).alias("i", "p")).select(
-        *keys, "i", "p.a", "p.b")
-    hit = pairs.join(_maybe_broadcast(phrases.select("a", "b")), ["a", "b"], "inner")
-    flags = hit.groupBy(*keys).agg(F.collect_list("i").alias("_flags"))
-    joined = clause_tokens.join(flags, keys, "left")
-    flagged = F.transform(bigrams(F.col(tokens)), lambda p, i: F.array_contains(
-        F.coalesce(F.col("_flags"), F.array().cast("array<int>")), i))
-    return joined.withColumn(out, greedy_merge_flags(F.col(tokens), flagged)).drop("_flags")
+    phrases = written(phrases.select("a", "b").distinct(), "phrases")
+    rows = written(_candidates(clause_tokens, phrase_filter(phrases, max_bits), tokens), "candidates")
+    some = rows.where(F.size("_maybe") > 0)
+    at = some.select(*keys, F.explode(F.transform("_maybe", lambda i: F.struct(
+        i.alias("i"), F.get(F.col(tokens), i).alias("a"), F.get(F.col(tokens), i + 1).alias("b")))).alias("p"))
+    hits = at.select(*keys, "p.*").join(phrases, ["a", "b"], "left_semi").groupBy(*keys).agg(
+        F.sort_array(F.collect_set("i")).alias("_hits"))
+    same = [F.col(f"s.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
+    joined = some.alias("s").join(hits.alias("h"), same, "left").select("s.*", "h._hits")
+    marks = position_marks(F.col("_hits"), F.greatest(F.size(tokens) - 1, F.lit(0)))
+    merged = joined.withColumn(out, F.when(F.col("_hits").isNull(), F.col(tokens)).otherwise(greedy_merge_marks(F.col(tokens), marks)))
+    plain = rows.where(F.size("_maybe") <= 0).withColumn(out, F.coalesce(F.col(tokens), F.array().cast("array<string>")))
+    return merged.drop("_maybe", "_hits").unionByName(plain.drop("_maybe"))
 
 
 def tfidf_filter(bow: DataFrame, threshold: float = 0.05, key: str = "doc_id", n_docs: int | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 import itertools
 import math
+import random
 
 from pyspark.sql import functions as F
 
@@ -18,13 +19,46 @@ def test_greedy_merge_left_to_right(spark):
     ct = spark.createDataFrame([(1, 0, ["a", "b", "c", "b", "c"])], "doc_id long, clause_no int, tokens array<string>")
     ph = spark.createDataFrame([("a", "b"), ("b", "c")], "a string, b string")
     assert TX.merge_phrases(ct, ph).collect()[0]["merged"] == ["a_b", "c", "b_c"]
-    # join path (phrase set above the in-place limit) gives the same answer
-    old = TX.INLINE_PHRASES
-    TX.INLINE_PHRASES = 0
-    try:
-        assert TX.merge_phrases(ct, ph).collect()[0]["merged"] == ["a_b", "c", "b_c"]
-    finally:
-        TX.INLINE_PHRASES = old
+    # a filter that lets everything pass: the exact join decides
+    assert TX.merge_phrases(ct, ph, max_bits=64).collect()[0]["merged"] == ["a_b", "c", "b_c"]
+
+
+def merged_by_loop(tokens, pairs):
+    out, i = [], 0
+    while i < len(tokens):
+        two = i + 1 < len(tokens) and (tokens[i], tokens[i + 1]) in pairs
+        out.append("_".join(tokens[i:i + 2]) if two else tokens[i])
+        i += 2 if two else 1
+    return out
+
+
+def test_merge_against_loop(spark):
+    """Many phrases, repeated and null keys, null and empty clauses, a long clause, an extra column."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    pairs = {(rng.choice(words), rng.choice(words)) for _ in range(900)} | {("w0", "w0")}
+    rows = [(d, c, [rng.choice(words) for _ in range(rng.randrange(12))], "x") for d in range(60) for c in range(3)]
+    rows += [(None, 0, ["w0"] * 5, "x"), (70, None, ["w0"] * 4, "x"), (71, 0, None, "x"), (72, 0, [], "x"), (73, 0, ["w0"] * 30_001, "x"), rows[4], rows[4]]
+    ct = spark.createDataFrame(rows, "doc_id long, clause_no int, tokens array<string>, a string")
+    # phrases that never occur make the filter large; the others must still be found
+    ph = spark.createDataFrame([*sorted(pairs), *sorted(pairs)[:5]], "a string, b string").unionByName(
+        spark.range(200_000).select(F.format_string("u%d", "id").alias("a"), F.lit("v").alias("b")))
+    want = sorted(repr((d, c, merged_by_loop(t or [], pairs))) for d, c, t, _ in rows)
+    for bits in (64, TX.FILTER_BITS):
+        got = TX.merge_phrases(ct, ph, max_bits=bits).collect()
+        assert sorted(repr((r["doc_id"], r["clause_no"], r["merged"])) for r in got) == want
+    none = TX.merge_phrases(ct, ph.where("false")).collect()
+    assert sorted(repr((r["doc_id"], r["clause_no"], r["merged"])) for r in none) == sorted(repr((d, c, t or [])) for d, c, t, _ in rows)
+    assert TX.merge_phrases(ct.where("false"), ph).collect() == []
+
+
+def test_phrase_filter_has_few_false_hits(spark):
+    ph = spark.range(20_000).select(F.format_string("a%d", "id").alias("a"), F.lit("b").alias("b"))
+    other = spark.range(20_000).select(F.array(F.format_string("c%d", "id"), F.lit("b")).alias("tokens"))
+    own = ph.select(F.array("a", "b").alias("tokens"))
+    words = TX.phrase_filter(ph)
+    assert TX._candidates(own, words, "tokens").where("size(_maybe) = 1").count() == 20_000
+    assert TX._candidates(other, words, "tokens").where("size(_maybe) = 1").count() < 200
 
 
 def test_phrase_score_formula(spark):
