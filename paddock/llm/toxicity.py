@@ -3,16 +3,21 @@
 A word is the sum of three hashed embeddings (itself, its first four and its first five
 characters), so that inflected words share weight. Filters of width 1, 2 and 3 run over the
 words of the whole text, max pooling keeps the best position of each, and a logistic layer
-turns the maxima into a score. The network is trained in numpy on a bounded sample of labelled
-rows: at most ``max_docs`` documents and ``max_words`` words, half of either for each class, both
-taken in the order of a hash of the id. A document of more than ``max_words / LONGEST`` words is
-not learnt from (but scored whole like any other), so that none takes the place of many; a class
-all of whose documents are that long is an error, not an empty sample. A fifth of the sample is
-held back to place the score's 0.5 and to calibrate one threshold per language.
+turns the maxima into a score. The network is trained on every labelled row: the rows are dealt by a
+hash of their ids into parts of about ``PART_DOCS`` documents, in each epoch every part descends from
+the same network, and the mean of their moves gives the next one (of an embedding, over the parts that
+moved it). Moves are added up as integers, so their order does not count. A fifth of the ids is held
+back to place the score's 0.5 and to calibrate one threshold per language, from counts of
+all their scores to 1 / ``GRID`` of a logit.
+
+A caller may bound the rows by ``max_docs`` documents and ``max_words`` words, half of either for each class, both
+taken in the order of a hash of the id; a document of more than ``max_words / LONGEST`` words is then not learnt from
+(but scored whole like any other), so that none takes the place of many; a class all of whose documents are that long
+is an error, not an empty sample. The registered queries set no such bound.
 
 Scoring is one map over the texts: per vocabulary word the products of its embedding with all
 filters are added up once, so a convolution is a gather and a sum. The model is broadcast; its
-size is bounded by the sample.
+size is bounded by the number of buckets.
 
 Defined results: a null text counts as empty; an empty text scores what the bias gives; ids with
 several labels count as toxic if any label says so; without labels of both classes every score
@@ -22,13 +27,13 @@ is 0; repeated rows are scored each for itself; a null or unknown language has t
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,8 +42,10 @@ from paddock.llm.common import bounded_batches, cut, per_batch, schema, slices,
 DIM, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
 BLOCKS = sum(WIDTHS)  # one block of filter weights per word of each width
 WORD_BITS, FOUR_BITS, FIVE_BITS = 19, 17, 18
-MAX_DOCS, MAX_WORDS, EPOCHS = 4000, 3_000_000, 4
-LONGEST = 8  # a document of the sample has at most this part of the words
+EPOCHS = 4
+PART_DOCS, PART_WORDS = 4000, 3_000_000  # of a part that descends by itself
+GRID, STEPS = 4096, float(1 << 32)  # parts of a logit that are told apart; parts of a unit in the sums of moves
+LONGEST = 8  # with a bound on words, a document that is learnt from has at most this part of them
 _MEMO = 60_000
 
 #: Turns every ASCII byte that is no letter into a space.
@@ -57,6 +64,10 @@ def buckets(word: str) -> tuple[int, int, int]:
             (1 << WORD_BITS) + (1 << FOUR_BITS) + (h(word[:5]) >> (64 - FIVE_BITS)))
 
 
+def _logistic(x):
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
 class Network:
     """Embeddings for the buckets of the sample (all others are zero), filters and output layer."""
 
@@ -99,133 +110,241 @@ class Network:
         return float(self.base + np.maximum(best + self.bias, 0) @ self.out)
 
     def score(self, logit: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(logit - self.shift, -30, 30))))
-
-
-def _fit(texts: list[np.ndarray], labels: np.ndarray, epochs: int) -> Network:
-    """Texts as (words, 3) buckets. Stochastic gradient descent; only the words that won a
-    maximum receive a gradient."""
-    net = Network(np.unique(np.concatenate([t.ravel() for t in texts])) if texts else np.empty(0, np.int64))
-    placed = [np.concatenate([net.place(t.ravel()).reshape(-1, 3), np.full((3 - min(len(t), 1), 3), len(net.rows))]).astype(np.int32)
-              for t in texts]
-    # first dimension: log-odds of the bucket, smoothed and shrunk where few documents hold it
-    count = np.zeros((2, len(net.rows) + 1))
-    for p, y in zip(placed, labels, strict=True):
-        count[y, np.unique(p)] += 1
-    n = np.bincount(labels, minlength=2)
+        return float(_logistic(logit - self.shift))
+
+
+def _start(rows: np.ndarray, count: np.ndarray, n: np.ndarray) -> Network:
+    """The network before training. First dimension of an embedding: log-odds of its bucket, from the documents of either
+    class that hold it, smoothed and shrunk where few do."""
+    net = Network(rows)
     odds = np.log((count[1] + 0.5) / (n[1] + 1)) - np.log((count[0] + 0.5) / (n[0] + 1))
     held = count.sum(axis=0)
-    net.embed[:, 0] = np.where(held > 1, odds / 4 * held / (held + 4), 0)
-    net.embed[-1] = 0
+    net.embed[:-1, 0] = np.where(held > 1, odds / 4 * held / (held + 4), 0)
     net.filters[:, 0, :] += 0.5
-    weight = np.array([0.5 / max(1, n[0]), 0.5 / max(1, n[1])]) * len(texts)
-    moved = np.zeros(len(net.embed), np.float32)  # sums of squares per row, for the step size
-    rng = np.random.default_rng(80)
+    return net
+
+
+def _descend(net: Network, moved: np.ndarray, placed: np.ndarray, texts: list[np.ndarray], labels: np.ndarray, weight: np.ndarray,
+             rate: float, order: np.ndarray) -> None:
+    """One epoch of stochastic gradient descent over some texts (places in ``placed``), in place; only the words that won a maximum receive a
+    gradient. ``moved``: sums of squares per row, for the step size."""
+    for k in order:
+        ids = placed[np.concatenate([texts[k], np.full(3 - min(len(texts[k]), 1), len(placed) - 1)])]  # empty words follow it
+        y = labels[k]
+        x = net.embed[ids[:, 0]] + net.embed[ids[:, 1]] + net.embed[ids[:, 2]]
+        best, at = net.pooled(x @ net.filters.transpose(1, 0, 2).reshape(DIM, -1))
+        active = best + net.bias > 0
+        wrong = (_logistic(net.logit(best)) - y) * weight[y]
+        back = (wrong * net.out * active).astype(np.float32)
+        net.out -= rate * wrong * np.maximum(best + net.bias, 0)
+        net.base -= rate * wrong
+        net.bias -= rate * back
+        block = 0
+        for w, width in enumerate(WIDTHS):
+            g, where = back[w * FILTERS:(w + 1) * FILTERS], at[w * FILTERS:(w + 1) * FILTERS]
+            for step in range(width):
+                old = net.filters[block + step]
+                touched = ids[where + step]  # (filters, 3)
+                grad = old.T * g[:, None]  # (filters, dim)
+                net.filters[block + step] = old - rate * (x[where + step] * g[:, None]).T
+                rows = touched.ravel()
+                np.add.at(moved, rows, np.repeat((grad**2).sum(axis=1), 3))
+                np.add.at(net.embed, rows, -rate * np.repeat(grad, 3, axis=0) / np.sqrt(1 + moved[rows])[:, None])
+            block += width
+        net.embed[-1] = 0
+
+
+def _dense(net: Network) -> np.ndarray:
+    return np.concatenate([net.filters.ravel(), net.bias, net.out, [net.base]]).astype(float)
+
+
+def _next(net: Network, moved: np.ndarray, moves: pa.Table, parts: int) -> tuple[Network, np.ndarray]:
+    """The network after the mean of the parts' moves, given as (row, v0 ..., n): whole numbers summed over n parts."""
+    row, n = moves.column("row").to_numpy(), moves.column("n").to_numpy()
+    values = np.stack([np.asarray(moves.column(f"v{k}").fill_null(0)) for k in range(DIM + 1)], axis=1) / STEPS
+    few = row < 0
+    dense = values[few, 0][::-1] / parts  # rows -1, -2, ... are the dense parameters
+    size = net.filters.size
+    net.filters = (net.filters + dense[:size].reshape(net.filters.shape)).astype(np.float32)
+    net.bias = (net.bias + dense[size:size + net.bias.size]).astype(np.float32)
+    net.out = (net.out + dense[size + net.bias.size:-1]).astype(np.float32)
+    net.base += float(dense[-1])
+    mean = values[~few] / n[~few][:, None]
+    net.embed[row[~few]] += mean[:, :DIM].astype(np.float32)
+    moved[row[~few]] += mean[:, DIM].astype(np.float32)
+    return net, moved
+
+
+def _summed(moves: DataFrame) -> pa.Table:
+    """(row, v0 ..., n): the sums of the parts' moves per row; the dense parameters are rows -1, -2, ... with a value each."""
+    cells = F.when(F.col("row") < 0, F.transform("values", lambda v, k: F.struct((-1 - k).cast("bigint").alias("row"), F.array(v).alias("values")))).otherwise(
+        F.array(F.struct("row", "values")))
+    one = moves.select(F.explode(cells).alias("c")).select("c.row", "c.values")
+    sums = one.groupBy("row").agg(*[F.sum(F.get("values", F.lit(k))).alias(f"v{k}") for k in range(DIM + 1)], F.count("*").alias("n"))
+    return sums.toArrow().sort_by("row")
+
+
+def _parts(batch: pa.RecordBatch):
+    """(buckets of its words, texts as places there, labels, number, held back) of the parts of a batch."""
+    for k in range(batch.num_rows):
+        row = {c: batch.column(c)[k].as_py() for c in ("part", "words", "texts", "labels", "back")}
+        yield (np.frombuffer(row["words"], np.int32).reshape(-1, 3), [np.frombuffer(t, np.int32) for t in row["texts"]],
+               np.array(row["labels"], int), row["part"], np.array(row["back"], bool))
+
+
+def _fit(packed: DataFrame, parts: int, epochs: int) -> Network:
+    """The network after ``epochs`` over all texts that are not held back, from a row per part."""
+    spark = packed.sparkSession
+
+    def count(batches):
+        for batch in batches:
+            for words, texts, labels, _, back in _parts(batch):
+                seen = {0: [], 1: []}
+                for t, y, b in zip(texts, labels, back, strict=True):
+                    if not b:
+                        seen[y].append(np.unique(words[np.unique(t)]))
+                for y, found in seen.items():
+                    rows, n = np.unique(np.concatenate([np.empty(0, np.int64), *found]), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.append(rows, -1)), pa.array(np.full(len(rows) + 1, y), pa.int32()),
+                                                      pa.array(np.append(n, len(found)))], names=["row", "label", "n"])
+
+    # a row per bucket at most, and -1 for the documents
+    got = packed.mapInArrow(count, "row bigint, label int, n bigint").groupBy("row").agg(
+        *[F.sum(F.when(F.col("label") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1)]).orderBy("row").toArrow()
+    held = np.array([got.column("n0").to_numpy(), got.column("n1").to_numpy()])
+    n, net = held[:, 0], _start(got.column("row").to_numpy()[1:], held[:, 1:], held[:, 0])
+    weight = np.array([0.5 / max(1, n[0]), 0.5 / max(1, n[1])]) * n.sum()
+    moved = np.zeros(len(net.embed), np.float32)
     for epoch in range(epochs):
-        rate = 0.05 / (1 + epoch)
-        for k in rng.permutation(len(texts)):
-            ids, y = placed[k], labels[k]
-            x = net.embed[ids].sum(axis=1)
-            best, at = net.pooled(np.concatenate([x @ f for f in net.filters], axis=1))
-            active = best + net.bias > 0
-            wrong = (1 / (1 + np.exp(-np.clip(net.logit(best), -30, 30))) - y) * weight[y]
-            back = (wrong * net.out * active).astype(np.float32)
-            net.out -= rate * wrong * np.maximum(best + net.bias, 0)
-            net.base -= rate * wrong
-            net.bias -= rate * back
-            block = 0
-            for w, width in enumerate(WIDTHS):
-                g, where = back[w * FILTERS:(w + 1) * FILTERS], at[w * FILTERS:(w + 1) * FILTERS]
-                for step in range(width):
-                    old = net.filters[block + step]
-                    touched = ids[where + step]  # (filters, 3)
-                    grad = old.T * g[:, None]  # (filters, dim)
-                    net.filters[block + step] = old - rate * (x[where + step] * g[:, None]).T
-                    rows = touched.ravel()
-                    np.add.at(moved, rows, np.repeat((grad**2).sum(axis=1), 3))
-                    np.add.at(net.embed, rows, -rate * np.repeat(grad, 3, axis=0) / np.sqrt(1 + moved[rows])[:, None])
-                block += width
-            net.embed[-1] = 0
+        shared = spark.sparkContext.broadcast((net, moved))
+
+        def descend(batches, epoch=epoch, shared=shared):
+            start, squares = shared.value
+            for batch in batches:
+                for words, texts, labels, part, back in _parts(batch):
+                    mine, own, learnt = copy.deepcopy(start), squares.copy(), np.flatnonzero(~back)
+                    placed = np.concatenate([mine.place(words.ravel()).reshape(-1, 3), np.full((1, 3), len(mine.rows))])
+                    _descend(mine, own, placed, [texts[k] for k in learnt], labels[learnt], weight, 0.05 / (1 + epoch), np.random.default_rng((80, epoch, part)).permutation(len(learnt)))
+                    rows = np.flatnonzero((own != squares) | (mine.embed != start.embed).any(axis=1))
+                    moves = np.concatenate([mine.embed[rows].astype(float) - start.embed[rows], (own[rows].astype(float) - squares[rows])[:, None]], axis=1)
+                    moves, dense = (np.rint(m * STEPS).astype(np.int64) for m in (moves, _dense(mine) - _dense(start)))
+                    for a in range(0, len(rows), 50_000):
+                        some = moves[a:a + 50_000]
+                        yield pa.RecordBatch.from_arrays([pa.array(rows[a:a + 50_000]), pa.ListArray.from_arrays(
+                            pa.array(np.arange(0, some.size + 1, DIM + 1), pa.int32()), pa.array(some.ravel()))], names=["row", "values"])
+                    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([dense], pa.list_(pa.int64()))], names=["row", "values"])
+
+        moves = packed.mapInArrow(descend, "row bigint, values array<bigint>")
+        net, moved = _next(net, moved, _summed(moves), parts)
+        shared.unpersist()
     return net
 
 
 def threshold(scores: np.ndarray, labels: np.ndarray) -> float:
     """Where the balanced error is least; the middle of the widest such gap."""
-    order = np.argsort(scores, kind="stable")
-    s, y = scores[order], labels[order]
-    wrong = np.concatenate(([0], np.cumsum(y / max(1, y.sum())))) + np.concatenate(
-        ((1 - y)[::-1].cumsum()[::-1] / max(1, (1 - y).sum()), [0]))
+    s, at = np.unique(scores, return_inverse=True)
+    return _gap(s, np.bincount(at, labels == 0), np.bincount(at, labels == 1))
+
+
+def _gap(s: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> float:
+    """``threshold`` from ascending scores and how many of either class have them."""
+    wrong = np.concatenate(([0], np.cumsum(ones / max(1, ones.sum())))) + np.concatenate(
+        ((zeros / max(1, zeros.sum()))[::-1].cumsum()[::-1], [0]))
     edges = np.concatenate(([s[0] - 1], s, [s[-1] + 1]))
     gap = np.where(wrong <= wrong.min() + 1e-12, np.diff(edges), -1)
     k = int(gap.argmax())
     return float((edges[k] + edges[k + 1]) / 2)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          label_col: str = "toxic", usable: Column | None = None, max_docs: int = MAX_DOCS, max_words: int = MAX_WORDS,
-          epochs: int = EPOCHS) -> tuple[Network | None, dict[str, float]]:
-    """The network and one threshold per language; (None, {}) without labels of both classes.
-    ``usable``, a condition on the id, names the rows whose labels may be learnt from."""
+def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, label_col: str, usable: Column | None,
+              max_docs: int | None, max_words: int | None) -> DataFrame:
+    """(id, lang, label, words, mark, text) of the rows to learn from."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     if usable is not None:
         known = known.where(usable)
     known = known.groupBy(id_col).agg(F.max(label_col).cast("int").alias("__label"))
     order = F.xxhash64(F.col(id_col), F.lit(8))
-    picked = None
-    for side in (0, 1):  # at most max_docs rows: the bound of the broadcast
-        part = known.where(F.col("__label") == side).orderBy(order, id_col).limit(max_docs // 2)
-        picked = part if picked is None else picked.unionByName(part)
-    rows = docs.select(id_col, text_col, lang_col).join(F.broadcast(picked), id_col)
-
-    longest = max_words // LONGEST
+    if max_docs is not None:
+        sides = [known.where(F.col("__label") == side).orderBy(order, id_col).limit(max_docs // 2) for side in (0, 1)]
+        known = sides[0].unionByName(sides[1])
+    rows = docs.select(id_col, text_col, lang_col).join(known.where("__label in (0, 1)"), id_col)
 
     def make():
-        number = TaskContext.get().partitionId() << 40  # numbers the rows, to tell repeated ones apart
-
         def fn(batch):
-            nonlocal number
-            words, packed = [], []
-            for text in batch.column(1).to_pylist():
-                found = tokens(text)
-                words.append(len(found))
-                packed.append(np.array([buckets(w) for w in found], np.int32).tobytes() if len(found) <= longest else b"")
-            keys = range(number, number + len(words))
-            number += len(words)
-            return [batch.column(0), batch.column(2), batch.column(3), words, [xxhash.xxh3_64_intdigest(p) >> 1 for p in packed],
-                    list(keys), packed]
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            found = [tokens(t) for t in texts]
+            mark = [xxhash.xxh3_64_intdigest(" ".join(f)) >> 1 for f in found]
+            return [batch.column(0), batch.column(2), batch.column(3), [len(f) for f in found], mark, texts]
         return fn
 
-    sample = cut(per_batch(rows, make, schema(
-        docs, id_col, "lang string, label int, words bigint, mark bigint, number bigint, packed binary")), "toxic")
-    place = f"xxhash64(`{id_col}`, 8), `{id_col}`, mark, number"
-    so_far = f"sum(greatest(words, 1)) OVER (PARTITION BY label ORDER BY {place} ROWS UNBOUNDED PRECEDING) AS total"
-    within = sample.where(F.col("words") <= longest).select(id_col, "label", "words", "mark", "number").selectExpr("*", so_far).where(
-        F.col("total") <= max_words // 2).select("number")
-    kept = sample.join(F.broadcast(within), "number").orderBy(F.expr(f"xxhash64(`{id_col}`, 8)"), id_col, "mark", "number").select(
-        "lang", "label", "packed").collect()
-    y = np.array([r["label"] for r in kept], int)
-    texts = [np.frombuffer(r["packed"], np.int32).reshape(-1, 3) for r in kept]
-    if len(np.unique(y)) < 2:
-        if sample.select("label").distinct().count() == 2:
-            raise ValueError(f"every sampled document of a class has more than {longest} words: raise max_words")
+    sample = cut(per_batch(rows, make, schema(docs, id_col, "lang string, label int, words bigint, mark bigint, text string")), "toxic")
+    if max_words is None:
+        return sample
+    longest = max_words // LONGEST
+    so_far = (f"sum(greatest(words, 1)) OVER (PARTITION BY label ORDER BY xxhash64(`{id_col}`, 8), `{id_col}`, mark "
+              "ROWS UNBOUNDED PRECEDING) AS total")
+    kept = cut(sample.where(F.col("words") <= longest).selectExpr("*", so_far).where(F.col("total") <= max_words // 2).drop("total"), "toxic")
+    if kept.select("label").distinct().count() < 2 and sample.select("label").distinct().count() == 2:
+        raise ValueError(f"every labelled document of a class has more than {longest} words: raise max_words")
+    return kept
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
+          label_col: str = "toxic", usable: Column | None = None, max_docs: int | None = None, max_words: int | None = None,
+          epochs: int = EPOCHS) -> tuple[Network | None, dict[str, float]]:
+    """The network and one threshold per language; (None, {}) without labels of both classes.
+    ``usable``, a condition on the id, names the rows whose labels may be learnt from."""
+    held = F.pmod(F.xxhash64(F.col(id_col), F.lit(88)), F.lit(5)) == 0  # held back to calibrate
+    kept = _labelled(docs, labels, id_col, text_col, lang_col, label_col, usable, max_docs, max_words).withColumn("back", held)
+    sizes = {(r["label"], r["back"]): r for r in kept.groupBy("label", "back").agg(F.count("*").alias("n"), F.sum("words").alias("words")).collect()}
+    if {y for y, _ in sizes} != {0, 1}:
         return None, {}
-    back = np.arange(len(y)) % 5 == 0  # held back to calibrate
-    if len(np.unique(y[back])) < 2 or len(np.unique(y[~back])) < 2:
-        back[:] = False
-    net = _fit([t for t, b in zip(texts, back, strict=True) if not b], y[~back], epochs)
-    judge = back if back.any() else ~back
-    product = net.products()
-    logits = np.array([net.logit(net.pooled(_sums(product, net.place(t.ravel()).reshape(-1, 3)))[0])
-                       for t, b in zip(texts, judge, strict=True) if b])
-    net.shift = threshold(logits, y[judge])
-    scores = np.array([net.score(v) for v in logits])
-    lang = np.array([r["lang"] or "" for r, b in zip(kept, judge, strict=True) if b])
-    limits = {}
-    for name in np.unique(lang):
-        mine = lang == name
-        if name and min(np.bincount(y[judge][mine], minlength=2)) >= 10:
-            limits[str(name)] = threshold(scores[mine], y[judge][mine])
-    return net, limits
+    none_back = len(sizes) < 4
+    parts = max(1, -(-sum(r["n"] for r in sizes.values()) // PART_DOCS), -(-sum(r["words"] for r in sizes.values()) // PART_WORDS))
+    if none_back:
+        kept = kept.withColumn("back", F.lit(False))
+
+    def pack(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("place", "ascending"), ("mark", "ascending")])
+        at: dict[str, int] = {}
+        texts = [np.array([at.setdefault(w, len(at)) for w in tokens(t)], np.int32).tobytes() for t in rows.column("text").to_pylist()]
+        words = np.array([buckets(w) for w in at], np.int32).tobytes()
+        return pa.table({"part": rows.column("part")[:1], "words": [words], "texts": pa.array([texts], pa.list_(pa.binary())),
+                         **{c + "s": pa.array([rows.column(c).to_pylist()], pa.list_(t)) for c, t in (("lang", pa.string()), ("label", pa.int32()))},
+                         "back": pa.array([rows.column("back").to_pylist()], pa.list_(pa.bool_()))})
+
+    place = F.xxhash64(F.col(id_col), F.lit(8))
+    packed = cut(kept.select(F.pmod(place, F.lit(parts)).cast("int").alias("part"), place.alias("place"), "mark", "text", "lang", "label", "back").groupBy(
+        "part").applyInArrow(pack, "part int, words binary, texts array<binary>, langs array<string>, labels array<int>, back array<boolean>"), "parts")
+    net = _fit(packed, parts, epochs)
+    shared = docs.sparkSession.sparkContext.broadcast(net)
+
+    def judge(batches):
+        own = shared.value
+        product = own.products()
+        for batch in batches:
+            for k, (words, texts, labels, _, back) in enumerate(_parts(batch)):
+                judged, placed = np.flatnonzero(back | none_back), own.place(words.ravel()).reshape(-1, 3)
+                logits = [own.logit(own.pooled(_sums(product, placed[texts[d]]))[0]) for d in judged]
+                langs = batch.column("langs")[k].as_py()
+                yield pa.RecordBatch.from_arrays([pa.array([langs[d] for d in judged], pa.string()), pa.array(labels[judged], pa.int32()),
+                                                  pa.array(np.rint(np.clip(logits, -64, 64) * GRID), pa.int32())], names=["lang", "label", "bin"])
+
+    both = [F.sum(F.when(F.col("label") == y, 1).otherwise(0)).alias(f"n{y}") for y in (0, 1)]
+    judged = cut(packed.mapInArrow(judge, "lang string, label int, bin int").groupBy("lang", "bin").agg(*both), "judged")
+    every = judged.groupBy("bin").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).orderBy("bin").toArrow()  # at most 128 * GRID rows
+    net.shift = _gap(every.column("bin").to_numpy() / GRID, every.column("n0").to_numpy(), every.column("n1").to_numpy())
+    shift = net.shift
+
+    def limit(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("bin")
+        n0, n1 = rows.column("n0").to_numpy(), rows.column("n1").to_numpy()
+        enough = int(min(n0.sum(), n1.sum()) >= 10)
+        scores = _logistic(rows.column("bin").to_numpy() / GRID - shift)
+        return pa.table({"lang": rows.column("lang")[:enough], "bar": pa.array([_gap(scores, n0, n1)] if enough else [], pa.float64())})
+
+    net_bars = judged.where("lang <> ''").groupBy("lang").applyInArrow(limit, "lang string, bar double").collect()
+    return net, {r["lang"]: r["bar"] for r in net_bars}
 
 
 def _sums(product: np.ndarray, placed: np.ndarray) -> np.ndarray:

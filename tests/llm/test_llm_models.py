@@ -136,3 +136,26 @@ def test_a_long_document_does_not_empty_the_sample(spark):
 def test_threshold_lies_in_the_widest_gap():
     assert toxicity.threshold(np.array([0.1, 0.2, 0.8, 0.9]), np.array([0, 0, 1, 1])) == pytest.approx(0.5)
     assert F.col("x") is not None
+
+
+def test_every_labelled_row_is_learnt_from(spark):
+    """Words of every labelled document count, also beyond 4000 of them and in the longest one."""
+    docs = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat(F.when(F.col("id") % 2 == 0, "kind ").otherwise("vile "), F.translate(
+        F.col("id").cast("string"), "0123456789", "abcdefghij"), F.when(F.col("id") == 5, F.repeat(F.lit(" words"), 700_000)).otherwise("")).alias("text"),
+        F.lit("en").alias("lang"))
+    marks = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    net, _ = toxicity.train(docs, marks, epochs=1)
+    back = {r["doc_id"] for r in docs.where(F.pmod(F.xxhash64("doc_id", F.lit(88)), F.lit(5)) == 0).select("doc_id").collect()}
+    texts = docs.where("doc_id <> 5").select("doc_id", "text").collect()
+    wanted = {b for r in texts if r["doc_id"] not in back for w in toxicity.tokens(r["text"]) for b in toxicity.buckets(w)}
+    assert wanted <= set(net.rows.tolist())
+    assert 5 in back or set(toxicity.buckets("words")) <= set(net.rows.tolist())
+
+
+def test_training_does_not_depend_on_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PART_DOCS", 40)
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.where("length(text) < 2000")
+    (one, bars), (two, others) = (toxicity.train(docs.repartition(n), labels.repartition(n), epochs=2) for n in (2, 5))
+    assert (one.rows == two.rows).all() and (one.embed == two.embed).all() and (one.filters == two.filters).all()
+    assert one.shift == two.shift and bars == others
