@@ -294,11 +294,9 @@ def q_document_frequency(spark, sf_dir):
 
 @register("lemma_join")
 def q_lemma_join(spark, sf_dir):
-    docs = TX.clean_documents(_docs(spark, sf_dir))
-    long = TX.explode_terms(docs)
-    lemmas = TX.suffix_lemmas(long.select("term"))
-    lem = TX.apply_lemmas(long, lemmas)
-    return lem.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    bow = written(TX.bag_of_words(TX.clean_documents(_docs(spark, sf_dir))), "bow")  # tokens once, read three times
+    lem = TX.apply_lemmas(bow, TX.suffix_lemmas(bow.select("term")))
+    return lem.groupBy("doc_id", "term").agg(F.sum("n").alias("n"))
 
 
 @register("bigram_scores")
@@ -318,7 +316,7 @@ def q_phrase_merge(spark, sf_dir):
 @register("tfidf_filter")
 def q_tfidf_filter(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    bow = TX.bag_of_words(TX.clean_documents(docs)).checkpoint()  # the corpus as (doc, term, n), read twice
+    bow = written(TX.bag_of_words(TX.clean_documents(docs)), "bow")  # the corpus as (doc, term, n), read twice
     return round_doubles(TX.tfidf_filter(bow, 0.05, n_docs=docs.count()))
 
 
@@ -394,7 +392,7 @@ def _source_topics(spark, sf_dir):
     clean = TX.clean_documents(docs.select("doc_id", "text"))
     tw = TP.grouped_topic_terms(TX.bag_of_words(clean), docs.select("doc_id", F.col("source").alias("topic")))
     # the topic-term table is the model: written once, read by every metric branch
-    return clean, tw.checkpoint()
+    return clean, written(tw, "topics")
 
 
 @register("top_terms")
@@ -785,7 +783,7 @@ def q_dictionary(spark, sf_dir):
 @register("doc2bow")
 def q_doc2bow(spark, sf_dir):
     """Bag of words against the corpus dictionary: (doc_id, term_id, n); unknown terms dropped."""
-    bow = TX.bag_of_words(TX.clean_documents(_docs(spark, sf_dir))).checkpoint()
+    bow = written(TX.bag_of_words(TX.clean_documents(_docs(spark, sf_dir))), "bow")
     vocab = TX.dictionary(TX.document_frequency(bow))
     return TX.dictionary_join(bow, vocab).select(
         "doc_id", F.col("term_id").cast("long").alias("term_id"), F.col("n").cast("long").alias("n"))

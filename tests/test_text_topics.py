@@ -159,3 +159,13 @@ def test_flag_string_merge_equals_sequential_scan(spark):
                     greedy_merge_flags(F.col("t"), flagged).alias("fast")).collect()
     for r in out:
         assert r["seq"] == r["fast"], r
+
+
+def test_lemmas_from_counts_that_are_written_once(spark, sf_dir):
+    """The corpus is tokenised once: what the counts and the lemma dictionary read is the written bag of words."""
+    from paddock.plans.queries import REGISTRY
+
+    got = REGISTRY["lemma_join"](spark, sf_dir)
+    assert got.inputFiles() and all("stage-bow" in f for f in got.inputFiles())
+    bow = REGISTRY["bag_of_words"](spark, sf_dir)
+    assert got.agg(F.sum("n")).first()[0] == bow.agg(F.sum("n")).first()[0]
