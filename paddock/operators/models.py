@@ -22,6 +22,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paddock.operators.common import written
+
 # ------------------------------------------------------------------ shared
 
 
@@ -158,7 +160,7 @@ def fit_logistic_newton(df: DataFrame, features: list[str], label: str, c: float
 
     cols = ([F.lit(1.0)] if fit_intercept else []) + [F.col(f).cast("double") for f in features]
     q = len(cols)
-    d = df.select(*[cc.alias(f"z{j}") for j, cc in enumerate(cols)], F.col(label).cast("double").alias("y")).checkpoint()
+    d = written(df.select(*[cc.alias(f"z{j}") for j, cc in enumerate(cols)], F.col(label).cast("double").alias("y")), "design")
     whole = F.lit(True)
     for name in d.columns:
         whole = whole & F.col(name).isNotNull() & ~F.isnan(name)
