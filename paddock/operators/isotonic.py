@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from paddock.operators.common import written
 
 ROWS_PER_PART = 200_000
+BROADCAST_SCORES = 1_000_000  # distinct scores, 16 bytes each
 EPS = 1e-13  # relative: a vertex this little below a line is on it
 
 _HULL = "part int, w array<double>, s array<double>, lo array<double>, hi array<double>"
@@ -222,7 +223,8 @@ def calibrate(fit: IsotonicFit, df: DataFrame, prob: str, out: str, rows_per_par
     x = F.col(prob).cast("double")
     scores = df.select(x.alias("x")).where("x is not null and not isnan(x)").distinct()
     scores = written(_dealt(scores, fit), "asked")
-    many = {r["part"]: -(-r["n"] // rows_per_part) for r in scores.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    asked = {r["part"]: r["n"] for r in scores.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    many = {p: -(-n // rows_per_part) for p, n in asked.items()}
     groups = df.sparkSession.createDataFrame([(int(p), g) for p, n in many.items() for g in range(n)], "part int, salt int")
     sizes = df.sparkSession.createDataFrame([(int(p), n) for p, n in many.items()], "part int, n int")
     left = scores.join(F.broadcast(sizes), "part").select("part", F.pmod(F.xxhash64("x"), F.col("n")).cast("int").alias("salt"), "x")
@@ -243,6 +245,8 @@ def calibrate(fit: IsotonicFit, df: DataFrame, prob: str, out: str, rows_per_par
 
     known = left.groupBy("part", "salt").cogroup(right.groupBy("part", "salt")).applyInArrow(look_up, ddl)
     known = known.select(F.col("x").alias("_score"), F.least(F.lit(1.0), F.col("y")).alias("_calibrated"))
+    if sum(asked.values()) <= BROADCAST_SCORES:
+        known = F.broadcast(known)  # few scores over many rows: dealt by score, most rows would meet in a task
     joined = df.join(known, x == F.col("_score"), "left").drop("_score")
     return joined.drop(out).withColumnRenamed("_calibrated", out)
 
