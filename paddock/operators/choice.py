@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paddock.operators.common import with_group_stats
+from paddock.operators.common import with_group_stats, written
 
 Z975 = 1.959963984540054
 
@@ -196,7 +196,7 @@ def fit_conditional_logit(df: DataFrame, features: list[str], y: str = "is_winne
                           max_iter: int = 50, tol: float = 1e-10, start: list[float] | None = None) -> ChoiceFit:
     p = len(features)
     # reliable cut: every iteration re-reads it, and rows keep the ids that deal them into parts
-    d = _prepare(df, features, y, race).withColumn("id", F.monotonically_increasing_id()).checkpoint()
+    d = written(_prepare(df, features, y, race).withColumn("id", F.monotonically_increasing_id()), "races")
     # a feature with no variation inside any race cancels out of every softmax: not identifiable
     spread = d.groupBy("race").agg(*[(F.max(f"x{j}") - F.min(f"x{j}")).alias(f"r{j}") for j in range(p)]) \
         .agg(*[F.max(f"r{j}").alias(f"r{j}") for j in range(p)]).collect()[0]

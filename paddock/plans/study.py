@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from paddock.functions.odds import PROB_EPS, clip_prob
 from paddock.operators import betting, choice as CH, features as FT, isotonic as ISO, models as MD, stats as ST
-from paddock.operators.common import with_group_stats
+from paddock.operators.common import with_group_stats, written
 
 
 def race_normalised_logit(df: DataFrame, prob: str, out_prob: str, out_logit: str, race: str = "race_id",
@@ -47,7 +47,7 @@ def select_flags(col: str, idx: list[int]) -> Column:
 
 @dataclass
 class Study:
-    panel: DataFrame            # lagged panel with model probabilities
+    panel: DataFrame            # panel with model probabilities
     tests: DataFrame            # chi-squared / correlation per topic
     selected: list[int]
     coefficients: DataFrame
@@ -67,12 +67,13 @@ def run_study(spark: SparkSession, panel: DataFrame, n_topics: int, topics: str
     if not sel:
         warnings.warn("no topic is significant; the text models use all of them", stacklevel=2)
         sel = list(range(n_topics))
-    df = df.withColumn("_x", select_flags(lag, sel)).checkpoint()  # reliable cut before the model fits
+    df = written(df.withColumn("_x", select_flags(lag, sel)), "lagged")  # reliable cut before the model fits
     train = df.filter(F.col("split") == "train")
     val = df.filter(F.col("split") == "val")
 
     nb = MD.fit_bernoulli_nb(train.unionByName(val) if refit_on_union else train, "_x", "is_winner")
-    df = df.withColumn("nb_prob", nb.predict_proba(F.col("_x")))
+    # the flags have done their work: what follows moves rows without them, scored once
+    df = written(df.withColumn("nb_prob", nb.predict_proba(F.col("_x"))).drop("_x", topics, lag), "nb")
     iso = ISO.fit_isotonic(df.filter(F.col("split") == "val"), "nb_prob", "is_winner")
     df = ISO.calibrate(iso, df, "nb_prob", "calibrated_nb_prob")
 
@@ -85,7 +86,7 @@ def run_study(spark: SparkSession, panel: DataFrame, n_topics: int, topics: str
 
     for m in text_models:
         df = race_normalised_logit(df, f"{m}_prob", f"{m}_win_prob", f"logit_{m}_win_prob", clip_logit=clip_logit)
-    df = df.checkpoint()
+    df = written(df, "scored")
     train = df.filter(F.col("split") == "train")
 
     base = CH.fit_conditional_logit(train, ["logit_sp_win_prob"])
@@ -97,7 +98,7 @@ def run_study(spark: SparkSession, panel: DataFrame, n_topics: int, topics: str
         rows.append(CH.coefficient_row(fit, m, {"logit_sp_win_prob": "beta", f"logit_{m}_win_prob": "gamma"}))
         df = CH.choice_probabilities(df, ["logit_sp_win_prob", f"logit_{m}_win_prob"], fit.params, out=f"cl_{m}")
     coefs = CH.coefficient_table(spark, rows, ["beta", "gamma"])
-    df = betting.uniform_probability(df).checkpoint()
+    df = written(betting.uniform_probability(df), "chosen")
 
     val = df.filter(F.col("split") == "val")
     bt = None
