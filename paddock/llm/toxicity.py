@@ -10,6 +10,10 @@ moved it). Moves are added up as integers, so their order does not count. A fift
 back to place the score's 0.5 and to calibrate one threshold per language, from counts of
 all their scores to 1 / ``GRID`` of a logit.
 
+Only texts that may have a label move, and each of them once, straight to its part: a Bloom filter of the labelled
+ids, of bounded size, leaves out the others where they are read. What decides on the parts (id, label,
+number of words, mark of the words) is joined and written without the texts.
+
 A caller may bound the rows by ``max_docs`` documents and ``max_words`` words, half of either for each class, both
 taken in the order of a hash of the id; a document of more than ``max_words / LONGEST`` words is then not learnt from
 (but scored whole like any other), so that none takes the place of many; a class all of whose documents are that long
@@ -28,6 +32,7 @@ is 0; repeated rows are scored each for itself; a null or unknown language has t
 from __future__ import annotations
 
 import copy
+from collections import Counter
 from collections.abc import Callable
 from itertools import repeat
 
@@ -38,6 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paddock.llm.common import bounded_batches, cut, per_batch, schema, slices, table
+from paddock.operators.text import FILTER_HASHES, phrase_filter
 
 DIM, FILTERS, WIDTHS = 8, 8, (1, 2, 3)
 BLOCKS = sum(WIDTHS)  # one block of filter weights per word of each width
@@ -256,28 +262,48 @@ def _gap(s: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> float:
     return float((edges[k] + edges[k + 1]) / 2)
 
 
-def _labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, label_col: str, usable: Column | None,
-              max_docs: int | None, max_words: int | None) -> DataFrame:
-    """(id, lang, label, words, mark, text) of the rows to learn from."""
+def _known(labels: DataFrame, id_col: str, label_col: str, usable: Column | None, max_docs: int | None) -> DataFrame:
+    """(id, label): one row per id whose label may be learnt from."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     if usable is not None:
         known = known.where(usable)
-    known = known.groupBy(id_col).agg(F.max(label_col).cast("int").alias("__label"))
-    order = F.xxhash64(F.col(id_col), F.lit(8))
+    known = known.groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
     if max_docs is not None:
-        sides = [known.where(F.col("__label") == side).orderBy(order, id_col).limit(max_docs // 2) for side in (0, 1)]
+        order = F.xxhash64(F.col(id_col), F.lit(8))
+        sides = [known.where(F.col("label") == side).orderBy(order, id_col).limit(max_docs // 2) for side in (0, 1)]
         known = sides[0].unionByName(sides[1])
-    rows = docs.select(id_col, text_col, lang_col).join(known.where("__label in (0, 1)"), id_col)
+    return cut(known.where("label in (0, 1)"), "known")
+
+
+def _found(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, lang_col: str) -> Callable[[bool], DataFrame]:
+    """A function that gives (id, words, mark), or (id, mark, lang, tokens), of the rows whose id may be in ``known``."""
+    like = docs.schema[id_col].dataType == known.schema[id_col].dataType  # else equal ids may hash apart, and all rows pass
+    bits = phrase_filter(known.select(F.col(id_col).alias("a"), F.lit(None).cast("int").alias("b"))) if like else np.array([2**64 - 1], np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    places = F.array(*[F.pmod(F.xxhash64(F.lit(k), F.col(id_col)), F.lit(64 * len(bits))) for k in range(FILTER_HASHES)])  # a null is not hashed
+
+    def found(whole: bool) -> DataFrame:
+        def make():
+            words = shared.value
+
+            def fn(batch):
+                at = batch.column(3).flatten().to_numpy().reshape(-1, FILTER_HASHES)
+                batch = batch.filter(pa.array(((words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(axis=1)))
+                split = [tokens(t) for t in batch.column(1).to_pylist()]
+                joined = [" ".join(f) for f in split]
+                mark = [xxhash.xxh3_64_intdigest(t) >> 1 for t in joined]
+                return [batch.column(0), mark, batch.column(2), joined] if whole else [batch.column(0), [len(f) for f in split], mark]
+            return fn
+
+        return per_batch(docs.where(F.col(id_col).isNotNull()).select(id_col, text_col, F.col(lang_col).cast("string"), places.alias("at")), make,
+                         schema(docs, id_col, "mark bigint, lang string, tokens string" if whole else "words bigint, mark bigint"))
+
+    return found
 
-    def make():
-        def fn(batch):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            found = [tokens(t) for t in texts]
-            mark = [xxhash.xxh3_64_intdigest(" ".join(f)) >> 1 for f in found]
-            return [batch.column(0), batch.column(2), batch.column(3), [len(f) for f in found], mark, texts]
-        return fn
 
-    sample = cut(per_batch(rows, make, schema(docs, id_col, "lang string, label int, words bigint, mark bigint, text string")), "toxic")
+def _labelled(found: DataFrame, known: DataFrame, id_col: str, max_words: int | None) -> DataFrame:
+    """(id, words, mark, label) of the rows to learn from."""
+    sample = cut(found.join(known, id_col), "toxic")
     if max_words is None:
         return sample
     longest = max_words // LONGEST
@@ -295,7 +321,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """The network and one threshold per language; (None, {}) without labels of both classes.
     ``usable``, a condition on the id, names the rows whose labels may be learnt from."""
     held = F.pmod(F.xxhash64(F.col(id_col), F.lit(88)), F.lit(5)) == 0  # held back to calibrate
-    kept = _labelled(docs, labels, id_col, text_col, lang_col, label_col, usable, max_docs, max_words).withColumn("back", held)
+    known = _known(labels, id_col, label_col, usable, max_docs)
+    found = _found(docs, known, id_col, text_col, lang_col)
+    kept = _labelled(found(False), known, id_col, max_words).withColumn("back", held)
     sizes = {(r["label"], r["back"]): r for r in kept.groupBy("label", "back").agg(F.count("*").alias("n"), F.sum("words").alias("words")).collect()}
     if {y for y, _ in sizes} != {0, 1}:
         return None, {}
@@ -304,18 +332,31 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if none_back:
         kept = kept.withColumn("back", F.lit(False))
 
-    def pack(rows: pa.Table) -> pa.Table:
+    def pack(rows: pa.Table, wanted: pa.Table) -> pa.Table:
+        facts = list(zip(*[wanted.column(c).to_pylist() for c in ("id", "mark", "label", "back")], strict=True))
+        left, of = Counter((i, mark) for i, mark, _, _ in facts), {(i, mark): (label, back) for i, mark, label, back in facts}
         rows = rows.sort_by([("place", "ascending"), ("mark", "ascending")])
+        own, mine = [], []
+        for key in zip(rows.column("id").to_pylist(), rows.column("mark").to_pylist(), strict=True):
+            own.append(left[key] > 0)  # of equal rows as many as are wanted
+            if own[-1]:
+                left[key] -= 1
+                mine.append(of[key])
+        rows = rows.filter(pa.array(own, pa.bool_()))
         at: dict[str, int] = {}
-        texts = [np.array([at.setdefault(w, len(at)) for w in tokens(t)], np.int32).tobytes() for t in rows.column("text").to_pylist()]
+        texts = [np.array([at.setdefault(w, len(at)) for w in t.split()], np.int32).tobytes() for t in rows.column("tokens").to_pylist()]
         words = np.array([buckets(w) for w in at], np.int32).tobytes()
-        return pa.table({"part": rows.column("part")[:1], "words": [words], "texts": pa.array([texts], pa.list_(pa.binary())),
-                         **{c + "s": pa.array([rows.column(c).to_pylist()], pa.list_(t)) for c, t in (("lang", pa.string()), ("label", pa.int32()))},
-                         "back": pa.array([rows.column("back").to_pylist()], pa.list_(pa.bool_()))})
+        return pa.table({"part": pa.array([wanted.column("part")[0].as_py() if mine else 0], pa.int32()), "words": [words],
+                         "texts": pa.array([texts], pa.list_(pa.binary())),
+                         "langs": pa.array([rows.column("lang").to_pylist()], pa.list_(pa.string())),
+                         "labels": pa.array([[label for label, _ in mine]], pa.list_(pa.int32())),
+                         "back": pa.array([[back for _, back in mine]], pa.list_(pa.bool_()))})[:min(1, len(mine))]
 
     place = F.xxhash64(F.col(id_col), F.lit(8))
-    packed = cut(kept.select(F.pmod(place, F.lit(parts)).cast("int").alias("part"), place.alias("place"), "mark", "text", "lang", "label", "back").groupBy(
-        "part").applyInArrow(pack, "part int, words binary, texts array<binary>, langs array<string>, labels array<int>, back array<boolean>"), "parts")
+    part = F.pmod(place, F.lit(parts)).cast("int").alias("part")
+    packed = cut(found(True).select(part, place.alias("place"), F.col(id_col).alias("id"), "mark", "lang", "tokens").groupBy("part").cogroup(
+        kept.select(part, F.col(id_col).alias("id"), "mark", "label", "back").groupBy("part")).applyInArrow(
+        pack, "part int, words binary, texts array<binary>, langs array<string>, labels array<int>, back array<boolean>"), "parts")
     net = _fit(packed, parts, epochs)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 

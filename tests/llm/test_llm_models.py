@@ -159,3 +159,24 @@ def test_training_does_not_depend_on_the_partitions(spark, monkeypatch):
     (one, bars), (two, others) = (toxicity.train(docs.repartition(n), labels.repartition(n), epochs=2) for n in (2, 5))
     assert (one.rows == two.rows).all() and (one.embed == two.embed).all() and (one.filters == two.filters).all()
     assert one.shift == two.shift and bars == others
+
+
+def test_only_labelled_texts_move(spark, monkeypatch):
+    """The join with the labels moves no texts, and of the texts only those that may have a label are dealt."""
+    cuts, real = {}, toxicity.cut
+    monkeypatch.setattr(toxicity, "cut", lambda df, name: cuts.setdefault(name, df) and real(df, name))
+    docs = spark.range(3000).select(F.when(F.col("id") % 7 > 0, F.col("id")).alias("doc_id"), F.concat(F.when(F.col("id") % 2 == 0, "kind ").otherwise(
+        "vile "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    docs = docs.unionByName(docs.where("doc_id in (50, 51)")).unionByName(docs.where("doc_id = 50").withColumn("text", F.lit("kind other")))
+    marks = docs.where("doc_id % 50 < 2").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    net, _ = toxicity.train(docs, marks, epochs=1)
+    assert net is not None and "text" not in cuts["toxic"].columns
+    wanted = marks.select("doc_id").distinct()
+    learnt = docs.join(wanted, "doc_id", "left_semi").count()
+    assert cuts["toxic"].count() == learnt
+    assert sum(len(r["labels"]) for r in cuts["parts"].collect()) == learnt
+    found = toxicity._found(docs, wanted, "doc_id", "text", "lang")(True)
+    assert learnt <= found.count() < learnt + 20 and set(found.columns) == {"doc_id", "mark", "lang", "tokens"}
+    # ids of unlike types
+    other, _ = toxicity.train(docs, marks.withColumn("doc_id", F.col("doc_id").cast("int")), epochs=1)
+    assert (net.rows == other.rows).all() and (net.embed == other.embed).all() and net.shift == other.shift
