@@ -64,10 +64,17 @@ def tokens(text: str | None) -> list[str]:
 
 def buckets(word: str) -> tuple[int, int, int]:
     """The hash buckets of a word, its first four and its first five characters, in one range."""
-    h = xxhash.xxh3_64_intdigest
-    return (h(word) >> (64 - WORD_BITS),
-            (1 << WORD_BITS) + (h(word[:4]) >> (64 - FOUR_BITS)),
-            (1 << WORD_BITS) + (1 << FOUR_BITS) + (h(word[:5]) >> (64 - FIVE_BITS)))
+    return tuple(all_buckets([word])[0].tolist())
+
+
+def all_buckets(words: list[str]) -> np.ndarray:
+    """(words, 3): the ``buckets`` of many words."""
+    out, start = np.empty((len(words), 3), np.int64), 0
+    for k, (part, bits) in enumerate(((words, WORD_BITS), ([w[:4] for w in words], FOUR_BITS), ([w[:5] for w in words], FIVE_BITS))):
+        out[:, k] = np.fromiter(map(xxhash.xxh3_64_intdigest, part), np.uint64, len(words)) >> np.uint64(64 - bits)
+        out[:, k] += start
+        start += 1 << bits
+    return out
 
 
 def _logistic(x):
@@ -112,6 +119,17 @@ class Network:
             block += width
         return np.concatenate(best), np.concatenate(at)
 
+    def best(self, product: np.ndarray) -> np.ndarray:
+        """The maxima of ``pooled`` alone."""
+        best, block, n = [], 0, len(product) - 2
+        for width in WIDTHS:
+            total = product[:n, block * FILTERS:(block + 1) * FILTERS]
+            for k in range(1, width):
+                total = total + product[k:n + k, (block + k) * FILTERS:(block + k + 1) * FILTERS]
+            best.append(total.max(axis=0))
+            block += width
+        return np.concatenate(best)
+
     def logit(self, best: np.ndarray) -> float:
         return float(self.base + np.maximum(best + self.bias, 0) @ self.out)
 
@@ -148,11 +166,13 @@ def _descend(net: Network, moved: np.ndarray, placed: np.ndarray, texts: list[np
         block = 0
         for w, width in enumerate(WIDTHS):
             g, where = back[w * FILTERS:(w + 1) * FILTERS], at[w * FILTERS:(w + 1) * FILTERS]
-            for step in range(width):
-                old = net.filters[block + step]
+            some = np.flatnonzero(g)  # the others move nothing
+            g, where = g[some], where[some]
+            for step in range(width if len(some) else 0):
+                old = net.filters[block + step][:, some]
                 touched = ids[where + step]  # (filters, 3)
                 grad = old.T * g[:, None]  # (filters, dim)
-                net.filters[block + step] = old - rate * (x[where + step] * g[:, None]).T
+                net.filters[block + step][:, some] = old - rate * (x[where + step] * g[:, None]).T
                 rows = touched.ravel()
                 np.add.at(moved, rows, np.repeat((grad**2).sum(axis=1), 3))
                 np.add.at(net.embed, rows, -rate * np.repeat(grad, 3, axis=0) / np.sqrt(1 + moved[rows])[:, None])
@@ -345,7 +365,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         rows = rows.filter(pa.array(own, pa.bool_()))
         at: dict[str, int] = {}
         texts = [np.array([at.setdefault(w, len(at)) for w in t.split()], np.int32).tobytes() for t in rows.column("tokens").to_pylist()]
-        words = np.array([buckets(w) for w in at], np.int32).tobytes()
+        words = all_buckets(list(at)).astype(np.int32).tobytes()
         return pa.table({"part": pa.array([wanted.column("part")[0].as_py() if mine else 0], pa.int32()), "words": [words],
                          "texts": pa.array([texts], pa.list_(pa.binary())),
                          "langs": pa.array([rows.column("lang").to_pylist()], pa.list_(pa.string())),
@@ -366,7 +386,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             for k, (words, texts, labels, _, back) in enumerate(_parts(batch)):
                 judged, placed = np.flatnonzero(back | none_back), own.place(words.ravel()).reshape(-1, 3)
-                logits = [own.logit(own.pooled(_sums(product, placed[texts[d]]))[0]) for d in judged]
+                logits = [own.logit(own.best(_sums(product, placed[texts[d]]))) for d in judged]
                 langs = batch.column("langs")[k].as_py()
                 yield pa.RecordBatch.from_arrays([pa.array([langs[d] for d in judged], pa.string()), pa.array(labels[judged], pa.int32()),
                                                   pa.array(np.rint(np.clip(logits, -64, 64) * GRID), pa.int32())], names=["lang", "label", "bin"])
@@ -400,6 +420,7 @@ def scorer(net: Network) -> Callable[[str | None], float]:
     product = net.products().astype(np.float32)
     memo: dict[str, int] = {}
     table_ = np.zeros((_MEMO + 1, product.shape[1]), np.float32)
+    row = net.place(np.arange((1 << WORD_BITS) + (1 << FOUR_BITS) + (1 << FIVE_BITS))).astype(np.int32)  # of every bucket
 
     def score(text: str | None) -> float:
         found = tokens(text)
@@ -407,20 +428,19 @@ def scorer(net: Network) -> Callable[[str | None], float]:
         if len(memo) + n > _MEMO:
             memo.clear()
         if n > _MEMO // 2:  # a very long text: no use of the memory
-            sums = _sums(product, net.place(np.array([buckets(w) for w in found]).ravel()).reshape(-1, 3))
-            return net.score(net.logit(net.pooled(sums)[0]))
+            return net.score(net.logit(net.best(_sums(product, row[all_buckets(found)]))))
         at = np.fromiter(map(memo.get, found, repeat(-1)), np.int64, n)
         gaps = np.flatnonzero(at < 0)
         if len(gaps):
-            fresh = list({found[k]: None for k in gaps})
+            missed = [found[k] for k in gaps.tolist()]
+            fresh = list(dict.fromkeys(missed))
             start = len(memo)
-            table_[start:start + len(fresh)] = product[net.place(
-                np.array([buckets(w) for w in fresh], np.int64).ravel()).reshape(-1, 3)].sum(axis=1)
+            table_[start:start + len(fresh)] = product[row[all_buckets(fresh)]].sum(axis=1)
             memo.update(zip(fresh, range(start, start + len(fresh)), strict=True))
-            at[gaps] = [memo[found[k]] for k in gaps]
+            at[gaps] = np.fromiter(map(memo.__getitem__, missed), np.int64, len(missed))
         sums = np.zeros((max(1, n) + 2, product.shape[1]), np.float32)
         np.take(table_, at, axis=0, out=sums[:n])
-        return net.score(net.logit(net.pooled(sums)[0]))
+        return net.score(net.logit(net.best(sums)))
 
     return score
 
