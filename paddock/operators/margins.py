@@ -402,7 +402,8 @@ def remove_margins(df: DataFrame, methods=("power", "odds_ratio", "shin"), odds:
         added += [T.StructField(f"{m}_root", T.DoubleType()), T.StructField(f"{m}_win_prob", T.DoubleType())]
     schema = T.StructType([*df.schema.fields, *added])
     names = schema.names
-    rows = written(ranged.sortWithinPartitions(*order).mapInArrow(_inner_races(race, odds, methods, names), schema), "margins")
+    spare = [] if keep_root else [f"{m}_root" for m in methods]
+    rows = written(ranged.sortWithinPartitions(*order).mapInArrow(_inner_races(race, odds, methods, names), schema).drop(*spare), "margins")
     edge = rows.where("_edge").select(*df.columns)
     found = _edge_roots(edge, race, odds, methods)
 
@@ -420,8 +421,8 @@ def remove_margins(df: DataFrame, methods=("power", "odds_ratio", "shin"), odds:
                         values[2 * i + 1][a:e] = _probabilities(pi[a:e], np.full(e - a, roots[i]), whole, 1.0, m)  # at a root the terms add up to 1
             yield _with(b, True, values, names)
 
-    out = rows.where("not _edge").unionByName(edge.mapInArrow(fill, schema))
-    return out.drop("_edge", *([] if keep_root else [f"{m}_root" for m in methods]))
+    out = rows.where("not _edge").unionByName(edge.mapInArrow(fill, schema).drop(*spare))
+    return out.drop("_edge")
 
 
 def remove_margin(df: DataFrame, method: str, odds: str = "sp", race: str = "race_id", out: str | None = None,
