@@ -167,15 +167,13 @@ def _descend(net: Network, moved: np.ndarray, placed: np.ndarray, texts: list[np
         for w, width in enumerate(WIDTHS):
             g, where = back[w * FILTERS:(w + 1) * FILTERS], at[w * FILTERS:(w + 1) * FILTERS]
             some = np.flatnonzero(g)  # the others move nothing
-            g, where = g[some], where[some]
             for step in range(width if len(some) else 0):
-                old = net.filters[block + step][:, some]
-                touched = ids[where + step]  # (filters, 3)
+                old = net.filters[block + step]
+                rows = ids[where[some] + step].ravel()  # (filters, 3)
                 grad = old.T * g[:, None]  # (filters, dim)
-                net.filters[block + step][:, some] = old - rate * (x[where + step] * g[:, None]).T
-                rows = touched.ravel()
-                np.add.at(moved, rows, np.repeat((grad**2).sum(axis=1), 3))
-                np.add.at(net.embed, rows, -rate * np.repeat(grad, 3, axis=0) / np.sqrt(1 + moved[rows])[:, None])
+                net.filters[block + step] = old - rate * (x[where + step] * g[:, None]).T
+                np.add.at(moved, rows, np.repeat((grad**2).sum(axis=1)[some], 3))
+                np.add.at(net.embed, rows, -rate * np.repeat(grad[some], 3, axis=0) / np.sqrt(1 + moved[rows])[:, None])
             block += width
         net.embed[-1] = 0
 
