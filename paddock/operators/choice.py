@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paddock.operators.common import with_group_stats, written
+from paddock.operators.common import forget, with_group_stats, written
 
 Z975 = 1.959963984540054
 
@@ -201,6 +201,7 @@ def fit_conditional_logit(df: DataFrame, features: list[str], y: str = "is_winne
     spread = d.groupBy("race").agg(*[(F.max(f"x{j}") - F.min(f"x{j}")).alias(f"r{j}") for j in range(p)]) \
         .agg(*[F.max(f"r{j}").alias(f"r{j}") for j in range(p)]).collect()[0]
     if any(not spread[f"r{j}"] for j in range(p)):
+        forget(d)
         nan = np.full(p, np.nan)
         return ChoiceFit(list(features), nan, np.full((p, p), np.nan), float("nan"), 0, 0, False)
     has_heats = not d.filter(F.col("k") >= 2).isEmpty()
@@ -240,12 +241,14 @@ def fit_conditional_logit(df: DataFrame, features: list[str], y: str = "is_winne
         try:
             step = np.linalg.solve(h, g)
         except np.linalg.LinAlgError:  # features that depend on each other: no estimate
+            forget(d)
             nan = np.full(p, np.nan)
             return ChoiceFit(list(features), nan, np.full((p, p), np.nan), ll, it, n_races, False, hist)
         before, beta = beta, beta + step
         if np.max(np.abs(step)) < tol:
             converged = True
             break
+    forget(d)
     cov = np.linalg.inv(h)
     return ChoiceFit(list(features), beta, cov, ll, it, n_races, converged, hist)
 

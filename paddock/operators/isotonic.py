@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paddock.operators.common import written
+from paddock.operators.common import forget, written
 
 ROWS_PER_PART = 200_000
 BROADCAST_SCORES = 1_000_000  # distinct scores, 16 bytes each
@@ -205,6 +205,8 @@ def fit_isotonic(scored: DataFrame, prob: str, label: str, rows_per_part: int =
                 yield pa.RecordBatch.from_pylist([dict(zip(out.names, (part, *cols), strict=True))], schema=out)
 
     knots = written(hulls.mapInArrow(settle, _KNOTS), "knots")
+    for table in (points, hulls):
+        forget(table)
     return of(knots)
 
 

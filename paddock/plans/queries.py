@@ -152,12 +152,15 @@ def categories(spark: SparkSession, sf_dir: str, attr: str) -> list[str]:
 
 def topic_panel(spark: SparkSession, sf_dir: str, attr: str = "source", *cols: str) -> tuple[DataFrame, int]:
     """Clean panel (all columns, or ``cols`` and the key of the comment) + ``topics`` array of stand-in topic flags from the runner's comment."""
+    return _with_topics(spark, sf_dir, clean_fixture_panel(spark, sf_dir, *cols, *(["comment_key"] if cols else [])), attr)
+
+
+def _with_topics(spark: SparkSession, sf_dir: str, panel: DataFrame, attr: str) -> tuple[DataFrame, int]:
     cats = categories(spark, sf_dir, attr)
     docs = read_table(spark, sf_dir, "documents")
     flags = FT.category_flags(docs, attr, cats)
     n_docs = docs.count()
     none = F.array_repeat(F.lit(0), len(cats))  # a runner without a comment has no topic
-    panel = clean_fixture_panel(spark, sf_dir, *cols, *(["comment_key"] if cols else []))
     return attach_comments(panel, flags, n_docs, fill={"topics": none}), len(cats)
 
 
@@ -648,8 +651,11 @@ from paddock.plans import study as SD  # noqa: E402
 
 
 def _study(spark, sf_dir):
-    panel, k = topic_panel(spark, sf_dir, "source")
-    return SD.run_study(spark, panel, k)
+    clean = clean_fixture_panel(spark, sf_dir, "race_id", "horse_id", "date", "split", "is_winner", "sp", "sp_win_prob",
+                                "logit_sp_win_prob", "comment_key")
+    panel, k = _with_topics(spark, sf_dir, clean, "source")
+    # the flags, the key and the probability have done their work once the rows are lagged
+    return SD.run_study(spark, panel.drop("comment_key", "doc_id", "sp_win_prob"), k, spent=[clean])
 
 
 @register("text_choice_fit")

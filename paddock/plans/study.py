@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import warnings
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from paddock.functions.odds import PROB_EPS, clip_prob
 from paddock.operators import betting, choice as CH, features as FT, isotonic as ISO, models as MD, stats as ST
-from paddock.operators.common import with_group_stats, written
+from paddock.operators.common import forget, with_group_stats, written
 
 
 def race_normalised_logit(df: DataFrame, prob: str, out_prob: str, out_logit: str, race: str = "race_id",
@@ -57,36 +58,35 @@ class Study:
 
 
 def run_study(spark: SparkSession, panel: DataFrame, n_topics: int, topics: str = "topics",
-              clip_logit: bool = False, refit_on_union: bool = False, threshold: float = 0.15) -> Study:
-    """``panel``: clean panel with a K-flag ``topics`` array per runner."""
+              clip_logit: bool = False, refit_on_union: bool = False, threshold: float = 0.15, spent: Sequence[DataFrame] = ()) -> Study:
+    """``panel``: clean panel with a K-flag ``topics`` array per runner; ``spent``: written tables behind it that nothing
+    else reads. A stage is removed as soon as the next one is written; the results read the last."""
     df = FT.lag_features(panel, [topics], max_lag=1)
     lag = f"{topics}_lag_1"
     train = df.filter(F.col("split") == "train")
-    tests = ST.topic_tests(train, {0: topics, 1: lag}, n_topics)
+    tests = written(ST.topic_tests(train, {0: topics, 1: lag}, n_topics), "tests")
     sel = selected_topics(tests)
     if not sel:
         warnings.warn("no topic is significant; the text models use all of them", stacklevel=2)
         sel = list(range(n_topics))
-    df = written(df.withColumn("_x", select_flags(lag, sel)), "lagged")  # reliable cut before the model fits
+    df = lagged = written(df.withColumn("_x", select_flags(lag, sel)).drop(topics, lag), "lagged")  # reliable cut before the model fits
+    for table in spent:
+        forget(table)
     train = df.filter(F.col("split") == "train")
     val = df.filter(F.col("split") == "val")
 
     nb = MD.fit_bernoulli_nb(train.unionByName(val) if refit_on_union else train, "_x", "is_winner")
     # the flags have done their work: what follows moves rows without them, scored once
-    df = written(df.withColumn("nb_prob", nb.predict_proba(F.col("_x"))).drop("_x", topics, lag), "nb")
+    df = plain = written(df.withColumn("nb_prob", nb.predict_proba(F.col("_x"))).drop("_x"), "nb")
+    forget(lagged)
     iso = ISO.fit_isotonic(df.filter(F.col("split") == "val"), "nb_prob", "is_winner")
     df = ISO.calibrate(iso, df, "nb_prob", "calibrated_nb_prob")
 
-    val = df.filter(F.col("split") == "val")
     text_models = ["nb", "calibrated_nb"]
-    ct = None
-    for m in text_models:
-        t = ST.brier_vs_uniform(val, f"{m}_prob", n_tests=len(text_models)).select(F.lit(m).alias("model"), "*")
-        ct = t if ct is None else ct.unionByName(t)
-
     for m in text_models:
         df = race_normalised_logit(df, f"{m}_prob", f"{m}_win_prob", f"logit_{m}_win_prob", clip_logit=clip_logit)
-    df = written(df, "scored")
+    df = scores = written(df, "scored")
+    forget(plain)
     train = df.filter(F.col("split") == "train")
 
     base = CH.fit_conditional_logit(train, ["logit_sp_win_prob"])
@@ -99,8 +99,13 @@ def run_study(spark: SparkSession, panel: DataFrame, n_topics: int, topics: str
         df = CH.choice_probabilities(df, ["logit_sp_win_prob", f"logit_{m}_win_prob"], fit.params, out=f"cl_{m}")
     coefs = CH.coefficient_table(spark, rows, ["beta", "gamma"])
     df = written(betting.uniform_probability(df), "chosen")
+    forget(scores)
 
     val = df.filter(F.col("split") == "val")
+    ct = None
+    for m in text_models:
+        t = ST.brier_vs_uniform(val, f"{m}_prob", n_tests=len(text_models)).select(F.lit(m).alias("model"), "*")
+        ct = t if ct is None else ct.unionByName(t)
     bt = None
     for m in text_models:
         scored = val.withColumn("b_base", ST.brier("cl_baseline", "is_winner")).withColumn(
